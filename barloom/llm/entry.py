@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup
+from . import line_dedup, quality_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_line_dedup": line_dedup.op3_line_dedup,
+        "op7_quality_rules": quality_rules.op7_quality_rules,
     }
 
 
