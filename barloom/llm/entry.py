@@ -6,17 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, quality_rules
+from . import line_dedup, mixing, packing, quality_rules, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_mixing": mixing.op1_mixing,
         "op3_line_dedup": line_dedup.op3_line_dedup,
         "op7_quality_rules": quality_rules.op7_quality_rules,
+        "op8_token_files": token_files.op8_token_files,
+        "op10_packing": packing.op10_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_mixing": mixing.OP1_SQL,
         "op3_line_dedup": line_dedup.OP3_SQL,
     }
