@@ -36,8 +36,10 @@ def line_key(line: Column) -> Column:
 class LineRuns:
     """The levelled runs ``(h1, h2, owner)`` on shared storage."""
 
-    def __init__(self, spark: SparkSession, buckets: int = 32, fanout: int = 2):
-        self.spark, self.buckets, self.fanout = spark, buckets, fanout
+    def __init__(self, spark: SparkSession, fanout: int = 2):
+        # As many buckets as a shuffle has partitions: what a group-by on the hash yields is then
+        # laid out like a run already.
+        self.spark, self.buckets, self.fanout = spark, int(spark.conf.get("spark.sql.shuffle.partitions")), fanout
         self.root, self.tag = shared_dir(spark), uuid.uuid4().hex[:12]
         self.levels: list[list[str]] = []
         self.made = 0
@@ -46,8 +48,7 @@ class LineRuns:
         name = f"line_run_{self.tag}_{self.made}"
         self.made += 1
         (
-            rows.repartition(self.buckets, "h1", "h2")
-            .write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2")
+            rows.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2")
             .option("path", f"{self.root}/{name}").option("compression", "zstd").format("parquet").saveAsTable(name)
         )
         return name
@@ -60,7 +61,7 @@ class LineRuns:
         return [self.spark.table(n) for level in reversed(self.levels) for n in level]
 
     def unseen(self, owners: DataFrame) -> DataFrame:
-        """The rows of ``owners`` whose hash is in no run yet."""
+        """The rows of ``owners`` (partitioned by hash) whose hash is in no run yet."""
         for run in self.tables():
             owners = owners.join(run.hint("merge"), ["h1", "h2"], "left_anti")
         return owners
@@ -84,7 +85,7 @@ class LineRuns:
                     merged = merged.unionByName(self.spark.table(n))
                 if level + 1 == len(self.levels):
                     self.levels.append([])
-                self.levels[level + 1].append(self._write(merged))
+                self.levels[level + 1].append(self._write(merged.repartition(self.buckets, "h1", "h2")))
                 self.levels[level] = []
                 for n in names:
                     self._drop(n)
@@ -104,7 +105,6 @@ def dedup_lines(
     min_chars: int = 10,
     n_batches: int = 4,
     fanout: int = 2,
-    buckets: int = 32,
 ) -> DataFrame:
     """All rows and columns of ``docs`` with ``n_lines``, ``n_dropped`` and ``kept_text`` added.
 
@@ -138,7 +138,7 @@ def dedup_lines(
     )
     held = materialize(each, "lines", ["batch"])
 
-    runs = LineRuns(spark, buckets, fanout)
+    runs = LineRuns(spark, fanout)
     before = spark.conf.get(SORTED_SCAN, None)
     spark.conf.set(SORTED_SCAN, "true")
     losses = []
