@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, mixing, packing, quality_rules, token_files
+from . import language, line_dedup, mixing, packing, quality_classifier, quality_rules, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": mixing.op1_mixing,
         "op3_line_dedup": line_dedup.op3_line_dedup,
+        "op5_language_id": language.op5_language_id,
         "op7_quality_rules": quality_rules.op7_quality_rules,
         "op8_token_files": token_files.op8_token_files,
+        "op9_quality_classifier": quality_classifier.op9_quality_classifier,
         "op10_packing": packing.op10_packing,
     }
 
