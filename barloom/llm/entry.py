@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, line_dedup, mixing, packing, quality_classifier, quality_rules, token_files
+from . import html_text, language, line_dedup, minhash, mixing, packing, quality_classifier, quality_rules, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": mixing.op1_mixing,
         "op3_line_dedup": line_dedup.op3_line_dedup,
+        "op4_minhash": minhash.op4_minhash,
         "op5_language_id": language.op5_language_id,
+        "op6_html_text": html_text.op6_html_text,
         "op7_quality_rules": quality_rules.op7_quality_rules,
         "op8_token_files": token_files.op8_token_files,
         "op9_quality_classifier": quality_classifier.op9_quality_classifier,
@@ -25,4 +27,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_mixing": mixing.OP1_SQL,
         "op3_line_dedup": line_dedup.OP3_SQL,
+        "op4_minhash": minhash.OP4_SQL,
     }
