@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, language, line_dedup, minhash, mixing, packing, quality_classifier, quality_rules, token_files
+from . import embedding_dedup, html_text, language, line_dedup, minhash, mixing, packing, quality_classifier, quality_rules, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": mixing.op1_mixing,
+        "op2_embedding_dedup": embedding_dedup.op2_embedding_dedup,
         "op3_line_dedup": line_dedup.op3_line_dedup,
         "op4_minhash": minhash.op4_minhash,
         "op5_language_id": language.op5_language_id,
@@ -26,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_mixing": mixing.OP1_SQL,
+        "op2_embedding_dedup": embedding_dedup.OP2_SQL,
         "op3_line_dedup": line_dedup.OP3_SQL,
         "op4_minhash": minhash.OP4_SQL,
     }
