@@ -228,25 +228,35 @@ def learn(
     return DecisionList(tuple(rules))
 
 
+FEATURES = BASE[2:4] + RATIOS
+
+
+def _learned(stats: DataFrame, labels: DataFrame, id_col: str, **settings) -> DecisionList:
+    """The list for statistics that were computed before: only numbers are joined with labels."""
+    known = labels.select(col(id_col).alias(id_col), F.col("quality")).where(F.col("quality").isNotNull()).dropDuplicates([id_col])
+    rows = stats.select(id_col, *BASE, *RATIOS).where(~base_failed()).join(known, id_col)
+    return learn(rows, "quality", id_col, FEATURES, **settings)
+
+
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> tuple[DataFrame, DecisionList]:
     """Statistics of all ``docs`` with ``base_failed``, ``rule`` (number of the rule that fired, 0
     if none) and ``kept``; and the list, learned from rows of ``labels`` (id, quality) that have
     a document. Null ids match no label but are judged like any other row."""
-    stats = text_stats(docs, id_col, text_col)
-    known = labels.select(col(id_col).alias(id_col), F.col("quality")).where(F.col("quality").isNotNull()).dropDuplicates([id_col])
-    rules = learn(text_stats(docs.join(known, id_col), id_col, text_col, keep=("quality",)).where(~base_failed()), "quality", id_col, BASE[2:4] + RATIOS, **settings)
+    stats = materialize(text_stats(docs, id_col, text_col), "text_stats")
+    rules = _learned(stats, labels, id_col, **settings)
     return stats.withColumn("base_failed", base_failed()).withColumn("rule", rules.rule_number()).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0)), rules
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """The rows of ``docs`` that the base rules and the learned list keep, columns unchanged."""
+    """The rows of ``docs`` that the base rules and the learned list keep, columns unchanged.
+
+    Rows and statistics are written side by side once; learning then reads the numbers alone, and
+    no text is shuffled."""
     (own,) = fresh(docs, "qr_source_row")
-    known = labels.select(col(id_col).alias(id_col), F.col("quality")).where(F.col("quality").isNotNull()).dropDuplicates([id_col])
-    slim = docs.select(col(id_col).alias(id_col), col(text_col).alias(text_col))
-    rules = learn(text_stats(slim.join(known, id_col), id_col, text_col, keep=("quality",)).where(~base_failed()), "quality", id_col, BASE[2:4] + RATIOS, **settings)
     packed = docs.select(F.struct(*[col(c) for c in docs.columns]).alias(own), col(id_col).alias("k"), col(text_col).alias("x"))
-    judged = text_stats(packed, "k", "x", keep=(own,)).where(~base_failed() & rules.keeps())
-    return judged.select(*[F.col(own)[c].alias(c) for c in docs.columns])
+    judged = materialize(text_stats(packed, "k", "x", keep=(own,)), "judged")
+    rules = _learned(judged.withColumnRenamed("k", id_col), labels, id_col, **settings)
+    return judged.where(~base_failed() & rules.keeps()).select(*[F.col(own)[c].alias(c) for c in docs.columns])
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
