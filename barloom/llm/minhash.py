@@ -5,11 +5,11 @@ and the largest value under each are kept: two nearly independent signature valu
 evaluation. ``ROWS`` values make a band; texts with an equal band share a bucket. Texts with equal
 sets are one class from the start, so copies never meet each other again.
 
-Candidates are verified on full sets. In a bucket every member is compared with one pivot; members
-that end up in one component need no comparison among themselves, and only those of different
-components are compared further, from a new pivot at a time while they are many and outright when
-few are left. So the work follows the members of a bucket, not their pairs, and yet no link between
-different components is lost.
+Candidates are verified on full sets. In a bucket every member is first compared with one pivot;
+members that end up in one part need no comparison among themselves. Where a bucket still holds
+several parts, members of different parts are compared as well: a few by pairs, many in blocks whose
+tasks send on one link a member. So what is moved and made follows the members of a bucket, not
+their pairs, and yet no link between different parts is lost.
 """
 
 from __future__ import annotations
@@ -29,6 +29,9 @@ ROWS = 4
 WORDS = 2
 #: Links have 100 * intersection >= SIMILAR * union.
 SIMILAR = 80
+#: Buckets of more members than this that are not connected yet are compared in blocks.
+SMALL = 8
+BLOCK = 512
 
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -167,38 +170,115 @@ def near_duplicates(
 
 def _links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, words: int, similar: int) -> DataFrame:
     """Verified links between classes that connect whatever the buckets can connect."""
-    spark = docs.sparkSession
     each = classes.select("id", F.explode("bands").alias("bucket"))
     shared = each.groupBy("bucket").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("bucket", "pivot")
     members = materialize(each.join(shared, "bucket").select("bucket", "id", "pivot"), "members")
     wanted = members.select("id").distinct()
     texts = materialize(docs.select(col(id_col).cast("long").alias("id"), col(text_col).alias("text")).join(wanted, "id", "left_semi"), "candidate_texts")
-    n_members = members.count()
-    links = spark.createDataFrame([], "a long, b long")
-    open_members = members
-    while True:
-        star = open_members.where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-        links = links.unionByName(materialize(verified(star, texts, words, similar), "links"))
-        parts = connected_components(links)
-        # Pivots are done with. What is left of a bucket matters if it lies in several components.
-        now = open_members.where("id <> pivot").select("bucket", "id").join(parts, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("part"))
-        now = materialize(now, "open")
-        sizes = now.groupBy("bucket", "part").agg(F.count("*").alias("c"), F.min("id").alias("low"))
-        mixed = sizes.groupBy("bucket").agg(
-            F.count("*").alias("parts"), F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("same"), F.min_by("low", F.struct("c", "low")).alias("pivot")
-        ).where("parts > 1")
-        mixed = materialize(mixed.select("bucket", "pivot", ((F.col("m") * F.col("m") - F.col("same")) / 2).alias("cross")), "mixed")
-        cross = mixed.agg(F.sum("cross")).first()[0]
-        if not cross:
-            return links
-        if cross <= max(100_000, n_members):
-            break
-        # The pivot comes from the bucket's smallest part; it meets the members of other parts.
-        open_members = materialize(now.join(mixed.select("bucket", "pivot"), "bucket").select("bucket", "id", "pivot"), "members")
-    left = now.join(mixed.select("bucket"), "bucket")
-    x, y = left.select("bucket", F.col("id").alias("a"), F.col("part").alias("pa")), left.select("bucket", F.col("id").alias("b"), F.col("part").alias("pb"))
-    rest = x.join(y, "bucket").where("a < b AND pa <> pb").select("a", "b").distinct()
-    return links.unionByName(materialize(verified(rest, texts, words, similar), "links"))
+    star = members.where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+    links = materialize(verified(star, texts, words, similar), "links")
+    parts = connected_components(links)
+    # Pivots are done with. What is left of a bucket matters if it lies in several parts.
+    left = members.where("id <> pivot").select("bucket", "id").join(parts, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("part"))
+    left = materialize(left, "left")
+    sizes = left.groupBy("bucket", "part").agg(F.count("*").alias("c"))
+    mixed = sizes.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("c").alias("m"), F.max("c").alias("most"), F.max_by("part", F.struct("c", "part")).alias("major"))
+    mixed = materialize(mixed.where("parts > 1").drop("parts"), "mixed")
+    # Small buckets: their few pairs, each once. Large ones: blocks of members.
+    small = left.join(mixed.where(F.col("m") <= SMALL).select("bucket"), "bucket")
+    x, y = small.select("bucket", F.col("id").alias("a"), F.col("part").alias("pa")), small.select("bucket", F.col("id").alias("b"), F.col("part").alias("pb"))
+    pairs = x.join(y, "bucket").where("a < b AND pa <> pb").select("a", "b").distinct()
+    return links.unionByName(materialize(verified(pairs, texts, words, similar), "links")).unionByName(
+        materialize(_block_links(left, mixed.where(F.col("m") > SMALL), texts, words, similar), "links")
+    )
+
+
+def shared_counts(sets: list[np.ndarray], chunk: int = 4096) -> np.ndarray:
+    """How many elements each two sets share, as a matrix; elements of one set alone drop out first,
+    the rest goes through a dense product in chunks of bounded size."""
+    n = len(sets)
+    owner = np.repeat(np.arange(n), [len(x) for x in sets])
+    value = np.concatenate(sets)
+    order = np.argsort(value, kind="stable")
+    value, owner = value[order], owner[order]
+    number = np.cumsum(np.concatenate([[0], value[1:] != value[:-1]]))
+    often = np.bincount(number) > 1
+    keep = often[number]
+    number, owner = (np.cumsum(often) - 1)[number[keep]], owner[keep]
+    out = np.zeros((n, n), np.float32)
+    for lo in range(0, int(number[-1]) + 1 if len(number) else 0, chunk):
+        a, b = np.searchsorted(number, [lo, lo + chunk])
+        block = np.zeros((n, chunk), np.float32)
+        block[owner[a:b], number[a:b] - lo] = 1
+        out += block @ block.T
+    return out
+
+
+def _block_links(left: DataFrame, mixed: DataFrame, texts: DataFrame, words: int, similar: int) -> DataFrame:
+    """Links between different parts of large buckets.
+
+    A bucket's largest part and the rest are cut into blocks apart; every block of the rest meets
+    itself and all others in a task of its own, while blocks of the largest part, connected as they
+    are, do not meet each other. A task sends on at most one link for each member, enough to connect
+    what it found connected.
+    """
+    spark = left.sparkSession
+    up = lambda c: F.ceil(c / F.lit(BLOCK)).cast("int")
+    plan = mixed.select("bucket", "major", up(F.col("most")).alias("cm"), up(F.col("m") - F.col("most")).alias("co"))
+    rows = left.join(plan, "bucket")
+    pick = F.xxhash64(F.lit(3), "id")
+    in_major = F.col("part") == F.col("major")
+    rows = rows.withColumn("block", F.when(in_major, F.pmod(pick, F.col("cm"))).otherwise(F.col("cm") + F.pmod(pick, F.col("co"))).cast("int"))
+    others = F.sequence(F.col("cm"), F.col("cm") + F.col("co") - 1)
+    meets = F.when(in_major, others).otherwise(F.concat(F.sequence(F.lit(0), F.col("cm") - 1), others))
+    rows = rows.withColumn("with", F.explode(meets)).select(
+        "bucket", F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y"), "block", "id"
+    )
+    keys = ["bucket", "x", "y"]
+    dealt = rows.join(texts, "id").select(*keys, "block", "id", "text")
+    dealt = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys, "id")
+
+    def solve(x: int, y: int, blocks: list, ids: list, sets: list) -> list[tuple[int, int]]:
+        size = np.array([len(s) for s in sets], np.float32)
+        both = shared_counts(sets)
+        linked = 100 * both >= similar * (size[:, None] + size[None, :] - both)
+        if x != y:
+            side = np.array(blocks) == x
+            linked &= side[:, None] != side[None, :]
+        np.fill_diagonal(linked, False)
+        root = np.arange(len(ids))
+        while True:  # ids ascend, so the smallest row is the smallest id
+            low = np.minimum(root, np.where(linked, root[None, :], len(ids)).min(axis=1))
+            low = low[low]
+            if (low == root).all():
+                break
+            root = low
+        return [(ids[r], ids[k]) for k, r in enumerate(root) if r != k]
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: tuple | None = None
+        blocks, ids, sets = [], [], []
+
+        def out() -> pa.RecordBatch:
+            found = solve(now[1], now[2], blocks, ids, sets) if len(ids) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        for part in parts:
+            cols = [part.column(i).to_pylist() for i in range(5)]
+            for bucket, x, y, block, key, text in zip(*cols, part.column(5), strict=True):
+                if (bucket, x, y) != now:
+                    if now is not None:
+                        yield out()
+                    now, blocks, ids, sets = (bucket, x, y), [], [], []
+                if ids and ids[-1] == key:
+                    continue
+                blocks.append(block)
+                ids.append(key)
+                sets.append(shingle_set(text.as_py(), words))
+        if now is not None:
+            yield out()
+
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
