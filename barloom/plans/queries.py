@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions.intervals import interval_seconds, next_open_time
 from ..operators import bars as B
-from ..operators import legacy_segments, live, points, structure, zones
+from ..operators import legacy_segments, live, points, structure, validators, zones
 from ..operators.folds import KEYS
-from .analysis import analyze, stroke_issues
+from .analysis import analyze
 
 K = list(KEYS)
 
@@ -163,7 +163,11 @@ QUERIES: dict[str, Query] = {
     "third_points": lambda s, d: _show(_judged(s, d)["third"]),
     "contiguous_block": q_contiguous_block,
     "strokes": lambda s, d: _analysis(s, d).strokes,
-    "stroke_issues": lambda s, d: (lambda a: stroke_issues(a.strokes, a.fractals, 6))(_analysis(s, d)),
+    "stroke_issues": lambda s, d: (lambda a: validators.stroke_issues(a.strokes, a.fractals, 6))(_analysis(s, d)),
+    "segment_issues": lambda s, d: (lambda a: validators.segment_issues(a.detected_segments, a.strokes))(_analysis(s, d)),
+    "feature_coverage": lambda s, d: (lambda a: validators.feature_coverage(a.feature_elements, a.strokes))(_analysis(s, d)),
+    "superseded_gap_endpoints": lambda s, d: (lambda a: validators.superseded_gap_endpoints(a.evidence, a.segments, a.strokes))(_analysis(s, d)),
+    "commit_conflicts": lambda s, d: validators.commit_conflicts(_analysis(s, d).evidence),
     "detected_segments": lambda s, d: _analysis(s, d).detected_segments,
     "committed_segments": lambda s, d: _analysis(s, d).segments,
     "segment_evidence": lambda s, d: _analysis(s, d).evidence,

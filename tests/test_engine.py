@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from barloom.functions.intervals import interval_seconds, next_open_time
 from barloom.operators import bars as B
-from barloom.operators import live, points, structure, zones
+from barloom.operators import live, points, structure, validators, zones
 from barloom.plans.analysis import analyze
 from barloom.plans.frames import frames
 from barloom.plans.oracles import ORACLES
@@ -158,6 +158,14 @@ def test_analysis_layers(spark, walks):
     assert sorted(map(key, alone.collect())) == sorted(key(r) for r in committed if r.symbol == "B")
     loose = analyze(walks, least=6)
     assert loose.segments.count() == 0 and loose.detected_segments.count() == len(detected)
+    assert validators.stroke_issues(a.strokes, a.fractals, 6).count() == 0
+    assert validators.segment_issues(a.detected_segments, a.strokes).count() == 0 == validators.segment_issues(a.segments, a.strokes).count()
+    assert validators.feature_coverage(a.feature_elements, a.strokes).count() == 0
+    assert validators.superseded_gap_endpoints(a.evidence, a.segments, a.strokes).count() == 0 == validators.commit_conflicts(a.evidence).count()
+    bad = a.segments.withColumn("high", F.col("high") + 1)
+    assert {r.code for r in validators.segment_issues(bad, a.strokes).collect()} == {"BOUNDS"}
+    short = a.strokes.withColumn("length", F.lit(3))
+    assert {r.code for r in validators.stroke_issues(short, a.fractals, 6).collect()} == {"STROKE_TOO_SHORT"}
     a.release()
     loose.release()
 
