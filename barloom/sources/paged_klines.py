@@ -14,7 +14,7 @@ import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from ..functions.intervals import UNIT_SECONDS
 
@@ -63,6 +63,30 @@ class KlineReader(DataSourceReader):
                 yield self.o["symbol"].strip().upper(), self.o["interval"], int(k[0]), int(k[6]), *(float(k[i]) for i in (1, 2, 3, 4, 5, 7)), int(k[8])
 
 
+class KlineStreamReader(DataSourceStreamReader):
+    """New closed bars as a stream. The offset is the open time up to which bars were read; a batch asks
+    for what lies between two offsets, so a batch that is run again reads the same bars."""
+
+    def __init__(self, options: dict, now: Callable[[], float] = time.time):
+        self.o, self.now = options, now
+        self.pages = KlineReader(options)
+        self.step = int(options["interval"][:-1]) * UNIT_SECONDS[options["interval"][-1]] * 1000
+
+    def initialOffset(self) -> dict:
+        return {"open": int(self.o.get("from", 0)) - 1}
+
+    def latestOffset(self) -> dict:
+        """The open time of the last bar that is closed by now."""
+        return {"open": int(self.now() * 1000) // self.step * self.step - self.step}
+
+    def partitions(self, start: dict, end: dict) -> list[Page]:
+        size = int(self.o.get("page", 1000)) * self.step
+        return [Page(lo, min(end["open"], lo + size - 1)) for lo in range(start["open"] + 1, end["open"] + 1, size)]
+
+    def read(self, page: Page) -> Iterator[tuple]:
+        return self.pages.read(page)
+
+
 class KlineSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -76,3 +100,6 @@ class KlineSource(DataSource):
 
     def reader(self, schema) -> KlineReader:
         return KlineReader(dict(self.options))
+
+    def streamReader(self, schema) -> KlineStreamReader:
+        return KlineStreamReader(dict(self.options))

@@ -17,7 +17,8 @@ from barloom.plans.frames import frames
 from barloom.plans.oracles import ORACLES
 from barloom.plans.queries import QUERIES
 from barloom.sources import bar_files
-from barloom.sources.paged_klines import KlineReader, fetch
+from barloom.sources.demo import demo_bars
+from barloom.sources.paged_klines import KlineReader, KlineStreamReader, fetch
 from barloom.streaming import live_bars
 
 SF = "/root/testdata/sf0.001"
@@ -211,6 +212,12 @@ def test_csv_layouts(spark, tmp_path, walks):
     assert [(r.symbol, r.open_time, r.low) for r in rows] == [("X", T0, 0.5)]
 
 
+def test_demo_bars(spark):
+    d = demo_bars(spark, 300)
+    assert d.count() == 300 and B.bar_violations(d).count() == 0 and B.continuity(d).first().continuous
+    assert structure.fractals(structure.merged_bars(B.with_position(d))).count() > 20
+
+
 def test_paging_and_retries(tmp_path):
     hour = 3_600_000
     rows = [[k * hour, "1", "2", "0", "1", "1", (k + 1) * hour - 1, "1", 1, "0", "0", "0"] for k in range(30)]
@@ -218,6 +225,11 @@ def test_paging_and_retries(tmp_path):
     r = KlineReader({"symbol": "x", "interval": "1h", "limit": "25", "page": "10", "end": str(29 * hour), "url": f"file://{tmp_path}/k.json"})
     pages = r.partitions()
     assert len(pages) == 3 and sorted(x[2] for p in pages for x in r.read(p)) == [k * hour for k in range(5, 30)]
+    st = KlineStreamReader({"symbol": "x", "interval": "1h", "page": "10", "url": f"file://{tmp_path}/k.json"}, now=lambda: 25.5 * 3600)
+    end = st.latestOffset()
+    assert end == {"open": 24 * hour}
+    assert sorted(x[2] for p in st.partitions(st.initialOffset(), end) for x in st.read(p)) == [k * hour for k in range(25)]
+    assert sorted(x[2] for p in st.partitions({"open": 20 * hour}, end) for x in st.read(p)) == [k * hour for k in range(21, 25)]
     waits, calls = [], []
 
     def opener(url, timeout):
