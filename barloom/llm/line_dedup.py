@@ -161,7 +161,8 @@ def dedup_lines(
     for more in losses[1:]:
         lost = lost.unionByName(more)
     lost = lost.select(F.col("d").alias(d), F.col("th").alias(th), F.col("gone").alias(dropped))
-    joined = tagged.join(lost, [d, th], "left").withColumn(lines, split_lines(col(text_col)))
+    # What is lost grows with the corpus: a shuffled join at any size, never a broadcast.
+    joined = tagged.join(lost.hint("merge"), [d, th], "left").withColumn(lines, split_lines(col(text_col)))
     # Positions are distinct, so array_except keeps their order and works through a hash set.
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(dropped))
     return (

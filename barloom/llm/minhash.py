@@ -174,7 +174,7 @@ def _links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, word
     shared = each.groupBy("bucket").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("bucket", "pivot")
     members = materialize(each.join(shared, "bucket").select("bucket", "id", "pivot"), "members")
     wanted = members.select("id").distinct()
-    texts = materialize(docs.select(col(id_col).cast("long").alias("id"), col(text_col).alias("text")).join(wanted, "id", "left_semi"), "candidate_texts")
+    texts = materialize(docs.select(col(id_col).cast("long").alias("id"), col(text_col).alias("text")).join(wanted.hint("merge"), "id", "left_semi"), "candidate_texts")
     star = members.where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
     links = materialize(verified(star, texts, words, similar), "links")
     parts = connected_components(links)
