@@ -24,7 +24,7 @@ _NOT_PLAIN = re.compile(f"(?:^|[ \n])(?:[ \n]|\\Z)|[{_ODD_WS}]|<\\|")
 _CHUNK = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 _WHOLE = re.compile("<\\||[\x1c-\x1f]")
 
-CACHE_UNITS = 700_000
+CACHE_UNITS = 1_200_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -88,7 +88,11 @@ class UnitEncoder:
             cuts = np.flatnonzero(self.spaced[ids])
             parts = np.split(ids, cuts[1:]) if len(cuts) == len(new) and cuts[0] == 0 else self._encode_each([" " + u for u in new])
         else:
-            parts = self._encode_each(new)
+            # One call for all: a token's place in the joined text tells its unit.
+            e = self.tok.encode(" ".join(new), add_special_tokens=False)
+            starts = np.cumsum([0, *(len(u) + 1 for u in new[:-1])])
+            owner = np.searchsorted(starts, np.fromiter((o[0] for o in e.offsets), np.int64, len(e)), "right") - 1
+            parts = np.split(np.array(e.ids, np.uint32), np.searchsorted(owner, np.arange(1, len(new))))
         first = self._add(parts)
         self.after_space.update(zip(new, range(first, first + len(new)), strict=True))
 
