@@ -36,6 +36,20 @@ BLOCK = 512
 PAGE_IDS = 1 << 18
 
 
+_WIDTH16 = np.array([k.bit_length() for k in range(1 << 16)], np.uint8)
+
+
+def _widths(x: np.ndarray) -> np.ndarray:
+    """The bit length of each value."""
+    if int(x.max()) < 1 << 16:
+        return _WIDTH16[x.astype(np.uint16)]
+    out = np.zeros(x.shape, np.uint8)
+    for shift in (48, 32, 16, 0):
+        part = ((x >> np.uint64(shift)) & np.uint64(0xFFFF)).astype(np.uint16)
+        out = np.where((out == 0) & (part > 0), _WIDTH16[part] + np.uint8(shift), out)
+    return out
+
+
 def pack_words(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(words, block_words, escapes)`` of unsigned 64-bit ids."""
     ids = np.asarray(ids, np.uint64)
@@ -45,25 +59,22 @@ def pack_words(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndar
     blocks = -(-n // block)
     grid = np.zeros(blocks * block, np.uint64)
     grid[:n] = ids
-    grid = grid.reshape(blocks, block)
-    left = np.minimum(block, n - np.arange(blocks) * block)[:, None] - np.arange(block)[None, :]
-    choice = np.zeros((blocks, block), np.uint8)  # the selector of a word that starts here
-    most = int(ids.max())
-    if most < 1 << 60:
-        choice[:] = 15
-    else:
-        choice[grid < np.uint64(1 << 60)] = 15
-    where = np.arange(block, dtype=np.int32)
+    width = _widths(grid)
+    width[n:] = 255  # what lies behind the end fits nowhere
+    width = np.ascontiguousarray(width.reshape(blocks, block).T)  # a row holds one position of all blocks
+    choice = np.where(width <= 60, 15, 0).astype(np.uint8)  # the selector of a word that starts here
+    fits = np.empty(width.shape, bool)
     for s in range(14, 0, -1):
         count, bits = SELECTORS[s]
-        # Where the next value too wide for this selector stands.
-        if most < 1 << bits:
-            fits = left >= count
-        else:
-            stop = np.where(grid >= np.uint64(1 << bits), where, np.int32(block))
-            stop = np.minimum.accumulate(stop[:, ::-1], axis=1)[:, ::-1]
-            fits = (stop - where >= count) & (left >= count)
-        choice[fits] = s
+        fine = (width <= bits).astype(np.int16)
+        if not fine.any():
+            break  # narrower selectors fit nowhere either
+        run = np.zeros(blocks, np.int16)  # how many values from here on are narrow enough
+        for p in range(block - 1, -1, -1):
+            run += 1
+            run *= fine[p]
+            np.greater_equal(run, count, out=fits[p])
+        np.copyto(choice, s, where=fits)
     counts = np.array([c for c, _ in SELECTORS], np.int64)
     at = np.zeros(blocks, np.int64)
     rows = np.arange(blocks)
@@ -71,12 +82,12 @@ def pack_words(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndar
     starts = []  # (block, position) of each word, step by step
     while len(rows):
         starts.append(rows * block + at)
-        at = at + counts[choice[rows, at]]
+        at = at + counts[choice[at, rows]]
         go = at < ends
         rows, at, ends = rows[go], at[go], ends[go]
     first = np.sort(np.concatenate(starts))
-    sel = choice.reshape(-1)[first]
-    flat = grid.reshape(-1)
+    sel = choice[first % block, first // block]
+    flat = grid
     words = sel.astype(np.uint64) << np.uint64(60)
     for s in np.unique(sel):
         count, bits = SELECTORS[s]
