@@ -85,7 +85,7 @@ def build(source: str) -> list[tuple]:
                 e = source.find("]]>", j + 9)
                 i = n if e < 0 else e + 3
             elif nxt and nxt in "!?/" or nxt.isalpha() and nxt.isascii():
-                if nxt.isalpha() or source[j + 2 : j + 3].isalpha():
+                if nxt.isalpha() or nxt == "/" and source[j + 2 : j + 3].isalpha():
                     if tags is _TAG:  # a quote that is never closed: from here on quotes count for nothing
                         tags = _PLAIN_TAG
                         i = j

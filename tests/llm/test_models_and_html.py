@@ -44,7 +44,7 @@ def test_quality_classifier(make_docs, spark):
 PAGE = (
     "<!DOCTYPE html><html><head><title>no</title><style>p{}</style></head><body><p>Hello <b>x</b> a &amp; b<p>two<ul><li>one<li>two<ol start=3><li>n1<li>n2</ol><li>three</ul>"
     "<table><tr><th>A<th>Name<tr><td>1<td>foo bar<tr><td>22<td>b</table>after<div style='display: none'>no<p>no</div><div hidden>no</div><pre>  a\n   b\n</pre>x<br>y"
-    "<script>if(a<b)no</script><noscript>no</noscript><!-- no --><textarea>no</textarea><hr>1 < 2 <a href='x>y'>l</a>"
+    "<script>if(a<b)no</script><noscript>no</noscript><!-- no --><textarea hidden>no</textarea><hr>1 < 2 <a href='x>y'>l</a>"
 )
 
 
