@@ -23,13 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, col, connected_components, materialize
+from .common import col, connected_components, materialize
 
 TABLES = 5
 ROTATIONS = 2
 COSINE = 0.98
 BLOCK = 1024
-SALTS = 64
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -151,18 +150,14 @@ def near_duplicates(
     signed = materialize(
         classes.select("label", "v", "id", "copies").mapInArrow(hashed, "label string, id long, copies long, dim int, unit binary, sigs array<long>"), "signed"
     )
-    entries = signed.select("*", F.posexplode("sigs").alias("slot", "bucket")).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    entries = signed.select("*", F.posexplode("sigs").alias("slot", "bucket"))
     place = ["label", "dim", "bucket"]
     counts = entries.groupBy(*place).agg(F.count("*").alias("n")).where("n > 1")
     split = F.when(F.col("n") > BLOCK, F.ceil(F.col("n") / BLOCK)).otherwise(1).cast("int")
     crowd = materialize(counts.select(*place, split.alias("chunks")), "crowded")
-    n_crowd = crowd.count()
-    # Buckets of one class drop out here. A bucket in many blocks spreads by salt on both sides.
-    if n_crowd <= BROADCAST_ROWS:
-        met = entries.join(F.broadcast(crowd), place)
-    else:
-        salted = crowd.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-        met = entries.join(salted, [*place, "salt"])
+    # Buckets of one class drop out here. The join is a shuffled one at any size; both sides come
+    # straight from their shuffles, so a bucket that holds a large share is split while it runs.
+    met = entries.join(crowd.hint("merge"), place)
     met = met.withColumn("block", F.pmod(F.xxhash64(F.lit(5), "id"), F.col("chunks")).cast("int"))
     # Block x meets block y in the task (x, y), x <= y.
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
