@@ -20,7 +20,7 @@ def is_supported(interval: Column | str) -> Column:
 
 def parts(interval: Column | str) -> tuple[Column, Column]:
     c = _column(interval)
-    return F.regexp_extract(c, r"^([0-9]+)", 1).cast("int"), F.regexp_extract(c, r"([smhdwM])$", 1)
+    return F.regexp_extract(c, r"^([0-9]+)", 1).try_cast("int"), F.regexp_extract(c, r"([smhdwM])$", 1)
 
 
 def interval_seconds(interval: Column | str) -> Column:

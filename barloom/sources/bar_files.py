@@ -23,9 +23,9 @@ MICROS_FROM, MILLIS_FROM = 1e14, 1e11
 def epoch_or_text(values: Column, largest: Column) -> Column:
     """A timestamp from text that holds an epoch (its unit told by the column's largest absolute
     value) or an ISO time, taken as UTC."""
-    number = values.cast("double")
+    number = values.try_cast("double")
     micros = F.when(largest >= MICROS_FROM, number).when(largest >= MILLIS_FROM, number * 1e3).otherwise(number * 1e6)
-    return F.coalesce(F.timestamp_micros(micros.cast("long")), F.to_timestamp(values))
+    return F.coalesce(F.timestamp_micros(micros.cast("long")), values.try_cast("timestamp"))
 
 
 def read_csv(spark: SparkSession, path: str, symbol: str, interval: str) -> DataFrame:
@@ -47,7 +47,7 @@ def read_csv(spark: SparkSession, path: str, symbol: str, interval: str) -> Data
     if need:
         raise ValueError(f"missing columns: {sorted(need)}")
     timed = [c for c in ("open_time", "close_time") if c in raw.columns]
-    big = raw.agg(*[F.max(F.abs(F.try_to_number(F.regexp_extract(c, r"^-?[0-9]+(\.[0-9]+)?$", 0), F.lit("S999999999999999999")))).alias(c) for c in timed]).first()
+    big = raw.agg(*[F.max(F.abs(F.col(c).try_cast("double"))).alias(c) for c in timed]).first()
     largest = {c: F.lit(float(big[c] or 0)) for c in timed}
     out = raw.withColumns({c: epoch_or_text(F.col(c), largest[c]) for c in timed})
     given = out["close_time"] if "close_time" in timed else F.lit(None).cast("timestamp")
