@@ -42,7 +42,11 @@ IN_HEAD = frozenset("html head meta link base title style script noscript templa
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 _PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
-_HIDDEN = re.compile(r"(?:^|[\s\"'/])hidden(?=[\s=/\"']|$)|style\s*=\s*[\"'][^\"']*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+_MAY_HIDE = re.compile(r"hidden|style", re.I)
+#: One attribute: a name and its value in double, single or no quotes. A quote never closed runs to the end.
+_ATTRIBUTE = re.compile(r"([^\s/][^\s/=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"?|'([^']*+)'?|([^\s\"'][^\s]*+)))?")
+#: Parts of a style in which colons and semicolons separate nothing.
+_OPAQUE = re.compile(r"/\*.*?(?:\*/|$)|\"[^\"]*+\"?|'[^']*+'?|\([^()]*+\)", re.S)
 _SPAN = re.compile(r"colspan\s*=\s*[\"']?(\d{1,3})", re.I)
 _START = re.compile(r"start\s*=\s*[\"']?(-?\d{1,9})", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f\v]+")
@@ -142,6 +146,39 @@ def build(source: str) -> list[tuple]:
     return events
 
 
+def attributes(source: str) -> dict[str, str]:
+    """Names in lower case and values of a tag's attributes; of equal names the first counts."""
+    out: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(source):
+        out.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
+    return out
+
+
+def declarations(style: str) -> dict[str, str]:
+    """Properties of a style attribute: the last declaration counts, an important one before others."""
+    out: dict[str, str] = {}
+    important: set[str] = set()
+    for part in _OPAQUE.sub(lambda m: " " if m[0].startswith("/*") else "?", style).lower().split(";"):
+        name, colon, value = part.partition(":")
+        name, (value, bang, word) = name.strip(), value.partition("!")
+        strong = bool(bang) and word.strip() == "important"
+        if colon and value.strip() and (strong or not bang and name not in important):
+            out[name] = value.strip()
+            if strong:
+                important.add(name)
+    return out
+
+
+def hides_itself(source: str) -> bool:
+    """Whether a tag's attributes leave its element undrawn; a style's display outweighs ``hidden``."""
+    if not _MAY_HIDE.search(source):
+        return False
+    found = attributes(source)
+    style = declarations(found["style"]) if "style" in found else {}
+    gone = style["display"] == "none" if "display" in style else "hidden" in found
+    return gone or style.get("visibility") in ("hidden", "collapse")
+
+
 class _Flow:
     """Lines of one block context: the page, or a table cell."""
 
@@ -235,7 +272,7 @@ def render(events: list[tuple]) -> str:
                 flow.inline.append(text)
         elif kind == 1:
             tag, attrs = ev[1], ev[2]
-            hide = tag in UNSEEN or bool(attrs) and bool(_HIDDEN.search(attrs))
+            hide = tag in UNSEEN or bool(attrs) and hides_itself(attrs)
             hides.append(hide)
             hidden += hide
             if hidden:

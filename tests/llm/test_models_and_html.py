@@ -68,3 +68,20 @@ def test_odd_pages(spark):
     pages = spark.createDataFrame([(1, None), (2, ""), (3, "<p>x"), (3, "<p>x"), (None, "y")], "page_id long, html string")
     assert sorted((r.page_id or 0, r.text) for r in extract_pages(pages).collect()) == [(0, "y"), (1, ""), (2, ""), (3, "x"), (3, "x")]
     assert extract_pages(pages.where(F.lit(False))).count() == 0
+
+
+def test_only_hiding_attributes_hide():
+    shown = [
+        'style="overflow: hidden"', "style='color: red; overflow:hidden'", 'title="Hidden gems"', 'href="/hidden/"', 'class="hidden"', "class='a hidden b'", "aria-hidden=true", 'data-x="style=\'display:none\'"',
+        'style="--display: none"', 'style="display:none; display:block"', 'style="background:url(a;display:none)"', 'style="/* display:none */"', 'data-style="display:none"', "href=/hidden", 'hidden style="display:flex"',
+        'style="backface-visibility: hidden"', 'style="display:block!important;display:none"', 'title="hidden',
+    ]
+    gone = [
+        "hidden", "HIDDEN", 'hidden=""', "hidden=until-found", 'class="a"hidden', "id=x hidden/", 'style="display: none"', "style=display:none", "STYLE='Color:red;DISPLAY : None'", 'style="visibility:hidden"',
+        'style="visibility: collapse;"', 'style="display:none !important; display:block"', 'style="display&#58;none"', 'title=">" style = "display:none"', 'class="x" style="background:url(a;b);display:none"',
+    ]
+    for a in shown:
+        assert extract(f"a<div {a}>all <b>the text</b></div>b") == "a\nall the text\nb", a
+    for a in gone:
+        assert extract(f"<i>a</i> <div {a}>all <b>the text</b></div>b") == "a b", a
+    assert extract("<body><div class='page' style='position: relative; overflow: hidden'><h1>T</h1><p>whole text</div>") == "T\n\nwhole text"
