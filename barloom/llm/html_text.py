@@ -2,7 +2,8 @@
 
 ``build`` reads tags and text into a tree in preorder (open, text and close events), adding the end
 tags that HTML implies and dropping stray ones. ``render`` lays the tree out as a text browser
-would: hidden elements are left out, blocks are set apart, list items get their marker and
+would: hidden elements are left out, formulas, texts in drawings and the options that a form shows
+are not, blocks are set apart, list items get their marker and
 indentation, preformatted text keeps its white space and table cells stand in aligned columns.
 Both work without recursion, so depth is bounded by memory alone.
 """
@@ -22,8 +23,18 @@ from .common import col
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is text up to their own end tag.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-#: Elements that are never drawn.
-UNSEEN = frozenset("head script style title template noscript iframe noembed noframes object audio video canvas svg math datalist select".split())
+#: Elements that are never drawn: anywhere, in drawings (shapes to be used elsewhere count as such) and in formulas.
+UNSEEN = frozenset("head script style title template noscript iframe noembed noframes object audio video canvas datalist".split())
+UNSEEN_SVG = frozenset("desc metadata defs symbol clippath mask pattern marker filter lineargradient radialgradient".split())
+UNSEEN_MATH = frozenset("annotation annotation-xml".split())
+#: Elements in which a tag may close itself, elements in them that hold HTML again, and HTML tags that end them.
+FOREIGN = frozenset("svg math".split())
+ISLANDS = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+BREAKOUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
+#: Parts of a formula whose children stand apart.
+APART = frozenset("mfrac mtable mtr mlabeledtr".split())
 #: Blocks with a blank line around them, and blocks that only start on a line of their own.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure fieldset".split())
 BLOCKS = SPACED | frozenset(
@@ -42,7 +53,8 @@ IN_HEAD = frozenset("html head meta link base title style script noscript templa
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 _PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
-_MAY_HIDE = re.compile(r"hidden|style", re.I)
+_MAY_HIDE = re.compile(r"hidden|style|display|visibility", re.I)
+_OPEN_VALUE = re.compile(r"=\s*[^\s\"']+/$")
 #: One attribute: a name and its value in double, single or no quotes. A quote never closed runs to the end.
 _ATTRIBUTE = re.compile(r"([^\s/][^\s/=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"?|'([^']*+)'?|([^\s\"'][^\s]*+)))?")
 #: Parts of a style in which colons and semicolons separate nothing.
@@ -59,10 +71,30 @@ def build(source: str) -> list[tuple]:
     events: list[tuple] = []
     stack: list[str] = []
     i, n, tags = 0, len(source), _TAG
+    roots = 0  # open drawings and formulas
 
     def close_to(depth: int) -> None:
+        nonlocal roots
         while len(stack) > depth:
-            events.append((2, stack.pop()))
+            tag = stack.pop()
+            roots -= tag in FOREIGN
+            events.append((2, tag))
+
+    def put_text(text: str) -> None:
+        # Text behind an open head begins the body.
+        if stack and stack[-1] in ("head", "html") and "head" in stack and text.strip(" \t\n\r\f"):
+            close_to(stack.index("head"))
+        events.append((0, text))
+
+    def foreign() -> int:
+        """Where the drawing or formula stands that the place belongs to; -1: it is in HTML."""
+        if roots:
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k] in FOREIGN:
+                    return k
+                if stack[k] in ISLANDS:
+                    return -1
+        return -1
 
     def find(names, stops) -> int:
         for k in range(len(stack) - 1, -1, -1):
@@ -75,10 +107,10 @@ def build(source: str) -> list[tuple]:
     while i < n:
         j = source.find("<", i)
         if j < 0:
-            events.append((0, source[i:]))
+            put_text(source[i:])
             break
         if j > i:
-            events.append((0, source[i:j]))
+            put_text(source[i:j])
         m = tags.match(source, j)
         if m is None:
             nxt = source[j + 1 : j + 2]
@@ -87,6 +119,8 @@ def build(source: str) -> list[tuple]:
                 i = n if e < 0 else e + 3
             elif source.startswith("<![CDATA[", j):
                 e = source.find("]]>", j + 9)
+                if foreign() >= 0:  # text, without entities
+                    put_text(html.escape(source[j + 9 : n if e < 0 else e], quote=False))
                 i = n if e < 0 else e + 3
             elif nxt and nxt in "!?/" or nxt.isalpha() and nxt.isascii():
                 if nxt.isalpha() or nxt == "/" and source[j + 2 : j + 3].isalpha():
@@ -97,7 +131,7 @@ def build(source: str) -> list[tuple]:
                 e = source.find(">", j)
                 i = n if e < 0 else e + 1
             else:
-                events.append((0, "<"))
+                put_text("<")
                 i = j + 1
             continue
         i = m.end()
@@ -114,6 +148,17 @@ def build(source: str) -> list[tuple]:
             continue
         if "head" in stack and tag not in IN_HEAD:
             close_to(stack.index("head"))
+        if roots and foreign() >= 0:
+            if tag in BREAKOUT:
+                while (k := foreign()) >= 0:
+                    close_to(k)
+            elif m[3].endswith("/") and not _OPEN_VALUE.search(m[3]):
+                events += [(1, tag, m[3]), (2, tag)]
+                continue
+        if tag in ("select", "input", "textarea") and "select" in stack:
+            close_to(stack.index("select"))
+            if tag == "select":
+                continue
         if tag in CLOSES:
             names, stops = CLOSES[tag]
             k = find(names, stops)
@@ -142,6 +187,7 @@ def build(source: str) -> list[tuple]:
             i = n if g < 0 else g + 1
         else:
             stack.append(tag)
+            roots += tag in FOREIGN
     close_to(0)
     return events
 
@@ -169,16 +215,48 @@ def declarations(style: str) -> dict[str, str]:
     return out
 
 
-def hides_itself(source: str) -> bool:
-    """Whether a tag's attributes leave its element undrawn; a style's display outweighs ``hidden``."""
+def hides_itself(source: str, drawing: bool = False) -> bool:
+    """Whether a tag's attributes leave its element undrawn; a style's display outweighs ``hidden``.
+    In a drawing display and visibility may be attributes too, which a style outweighs."""
     if not _MAY_HIDE.search(source):
         return False
     found = attributes(source)
     style = declarations(found["style"]) if "style" in found else {}
+    if drawing:
+        style = {k: found[k].strip().lower() for k in ("display", "visibility") if k in found} | style
     gone = style["display"] == "none" if "display" in style else "hidden" in found
     return gone or style.get("visibility") in ("hidden", "collapse")
 
 
+def options(events: list[tuple], at: int) -> tuple[bool, int]:
+    """Of the select that opens at ``at``: whether it is a list box, which shows all options, and the
+    event of the one option that a drop-down shows (the last selected, else the first enabled one)."""
+    found = attributes(events[at][2])
+    size = found.get("size", "").strip()
+    if "multiple" in found or size.isdecimal() and int(size) > 1:
+        return True, -1
+    chosen = first = -1
+    depth, group = 0, False
+    for k in range(at, len(events)):
+        ev = events[k]
+        if ev[0] == 2:
+            depth -= 1
+            if not depth:
+                break
+            group = group and ev[1] != "optgroup"
+        elif ev[0] == 1:
+            depth += 1
+            if ev[1] == "optgroup":
+                group = "disabled" in attributes(ev[2])
+            elif ev[1] == "option":
+                own = attributes(ev[2])
+                if "selected" in own:
+                    chosen = k
+                elif first < 0 and not group and "disabled" not in own:
+                    first = k
+    return False, chosen if chosen >= 0 else first
+
+
 class _Flow:
     """Lines of one block context: the page, or a table cell."""
 
@@ -251,10 +329,13 @@ def render(events: list[tuple]) -> str:
     lists: list[list] = []  # [is numbered, next number, prefix outside]
     hidden = pre = 0
     hides: list[bool] = []
-    for ev in events:
+    svg = 0
+    formula: list[str] = []  # open elements of a formula
+    select, shown, option = 0, -1, 0  # 1: in a drop-down, 2: in a list box; its option shown; open options
+    for at, ev in enumerate(events):
         kind = ev[0]
         if kind == 0:
-            if hidden:
+            if hidden or select and not option:
                 continue
             text = html.unescape(ev[1]) if "&" in ev[1] else ev[1]
             if pre:
@@ -272,12 +353,31 @@ def render(events: list[tuple]) -> str:
                 flow.inline.append(text)
         elif kind == 1:
             tag, attrs = ev[1], ev[2]
-            hide = tag in UNSEEN or bool(attrs) and hides_itself(attrs)
+            if select == 1 and tag == "option":
+                hide = at != shown
+            else:
+                hide = tag in UNSEEN or bool(svg) and tag in UNSEEN_SVG or bool(formula) and tag in UNSEEN_MATH or bool(attrs) and hides_itself(attrs, bool(svg))
             hides.append(hide)
             hidden += hide
             if hidden:
                 continue
-            if tag in BLOCKS:
+            if formula or tag == "math":
+                if formula and formula[-1] in APART:
+                    flow.inline.append(" ")
+                formula.append(tag)
+            if tag == "option":
+                option += 1
+            if select == 1 and tag in ("option", "optgroup"):
+                pass
+            elif tag == "select":
+                box, shown = options(events, at)
+                select = 2 if box else 1
+                flow.block(False) if box else flow.inline.append(" ")
+            elif tag == "svg":
+                svg += 1
+            elif svg and tag in ("text", "foreignobject"):
+                flow.block(False)
+            elif tag in BLOCKS:
                 flow.block(tag in SPACED and not (tag in ("ul", "ol", "dl") and lists))
                 if tag == "li":
                     level = lists[-1] if lists else [False, 1, flow.prefix]
@@ -316,7 +416,20 @@ def render(events: list[tuple]) -> str:
             if hidden:
                 hidden -= hide
                 continue
-            if tag in ("td", "th") and outer and outer[-1][3] == len(tables):
+            if formula and formula.pop() in APART:
+                flow.inline.append(" ")
+            if tag == "option":
+                option -= 1
+            if select == 1 and tag in ("option", "optgroup"):
+                pass
+            elif tag == "select":
+                flow.block(False) if select == 2 else flow.inline.append(" ")
+                select = 0
+            elif tag == "svg":
+                svg -= 1
+            elif svg and tag in ("text", "foreignobject"):
+                flow.block(False)
+            elif tag in ("td", "th") and outer and outer[-1][3] == len(tables):
                 flow.end_line()
                 lines = flow.lines
                 flow, lists, pre, _ = outer.pop()

@@ -85,3 +85,22 @@ def test_only_hiding_attributes_hide():
     for a in gone:
         assert extract(f"<i>a</i> <div {a}>all <b>the text</b></div>b") == "a b", a
     assert extract("<body><div class='page' style='position: relative; overflow: hidden'><h1>T</h1><p>whole text</div>") == "T\n\nwhole text"
+
+
+def test_formulas_drawings_and_options_are_drawn():
+    assert extract("<p>Let <math><semantics><mrow><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac></mrow><annotation encoding='t'>no</annotation></semantics></math>, then") == "Let x= 1 2 , then"
+    svg = "<svg><title>no</title><desc>no</desc><metadata>no</metadata><metadata/><defs><text>no</text></defs><defs/><path d=x/><text>A</text><g display=none><text>no</text></g><text x='1'>B<tspan/> c</text>"
+    assert extract(f"a{svg}<text><![CDATA[1<2]]></text><foreignObject><p>f</foreignObject></svg>b").split() == "a A B c 1<2 f b".split()
+    assert extract(f"{svg}<defs><text>no<p>after an open drawing").split("\n")[-1] == "after an open drawing"
+    assert extract("<p>Size <select><option>S<option selected>M<option>L</select>each") == "Size M each"
+    assert extract("<select> no <optgroup disabled><option>A</optgroup><option disabled>B</option><option>C<option>D</select>") == "C"
+    assert extract("<select><option value='' disabled selected hidden>Choose</option><option>A</select>") == "Choose"
+    assert extract("<select multiple><option>A<option selected>B</select>") == extract("<select size=2><option>A<option>B</select>") == "A\nB"
+    assert extract("<select hidden><option>A</select>b") == extract("<datalist><option>A</datalist>b") == extract("<select></select>b") == "b"
+    assert extract("<select><option>A<input>b<select><option>C<select>d") == "A b C d"
+
+
+def test_text_closes_an_open_head():
+    assert extract("<head><title>T</title>Some text") == "Some text"
+    assert extract("<html><head>\n<meta charset=x><title>T</title>\n<style>p{}</style> &amp; text <b>all</b>") == "& text all"
+    assert extract("<head><noscript>no</noscript><template>no</template>\n</head>x") == "x" and extract("<head><head>< 1") == "< 1"
