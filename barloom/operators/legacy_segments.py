@@ -1,7 +1,9 @@
-"""The older segment finder by stroke extremes: three-point extremes, alternation, three-stroke check.
+"""The older segment finder by stroke extremes.
 
 Potential turning points are found by window functions over the endpoints of one mark; the reduction
-to alternating points is a fold.
+to alternating points at least three strokes apart is a fold. Exactly three strokes need to be
+confirmed. A later point may take back any number of turning points, so the fold keeps those of a
+key (one in three strokes at most) until its end; strokes are not kept.
 """
 
 from __future__ import annotations
@@ -27,37 +29,59 @@ def potentials(points: DataFrame) -> DataFrame:
     before, after = F.lag("value").over(w), F.lead("value").over(w)
     top = (F.col("mark") == "G") & (F.col("value") >= before) & (F.col("value") >= after)
     low = (F.col("mark") == "D") & (F.col("value") <= before) & (F.col("value") <= after)
-    return points.where(F.lit(True)).withColumn("__p", top | low).where("__p").drop("__p")
+    return points.withColumn("__p", top | low).where("__p").drop("__p")
 
 
 class _Alternate:
-    def __init__(self) -> None:
-        self.last: tuple | None = None
+    """Rows ``(pos, mark, value, same, opposite, next)``: the values one mark and one endpoint before, and one behind."""
+
+    def __init__(self, strict: bool) -> None:
+        self.strict = strict
+        self.points: list[tuple] = []
 
     def push(self, row: tuple) -> list[tuple]:
-        out = []
-        if self.last is not None and self.last[1] == row[1]:
-            better = row[2] >= self.last[2] if row[1] == "G" else row[2] <= self.last[2]
-            if better:
-                self.last = row
-        elif self.last is None or abs(row[0] - self.last[0]) >= 3:
-            if self.last is not None:
-                out.append(self.last)
-            self.last = row
-        return out
+        pos, mark, value, same, opposite, after = row
+        sign = 1 if mark == "G" else -1
+        if not self.points:
+            self.points.append(row[:3])
+            return []
+        last_pos, last_mark, last_value = self.points[-1]
+        if last_mark == mark:  # of equal extremes the first stays
+            if sign * value > sign * last_value:
+                self.points[-1] = row[:3]
+        elif sign * value <= sign * last_value:  # a top must be above the bottom before it: that one falls, this one does not stand
+            self.points.pop()
+        elif pos - last_pos > 3 or pos - last_pos == 3 and sign * value > sign * same and (not self.strict or sign * after > sign * opposite):
+            self.points.append(row[:3])
+        return []
 
     def finish(self) -> list[tuple]:
-        return [self.last] if self.last is not None else []
+        return self.points
+
 
+def turning_points(strokes: DataFrame, mode: str = "strict", merged: DataFrame | None = None) -> DataFrame:
+    """Alternating extremes at least three strokes apart: the ends of the older segments.
 
-def turning_points(strokes: DataFrame) -> DataFrame:
-    """Alternating extremes at least three strokes apart: the ends of the older segments."""
-    return keyed_fold(potentials(endpoints(strokes)), ["pos", "mark", "value"], ["pos"], lambda key: _Alternate(), "pos long, mark string, value double")
+    A turn after exactly three strokes must break the extreme of its mark before it; in ``strict``
+    mode the next stroke must also stop short of the opposite extreme before it, in ``loose`` mode
+    not. With ``merged`` bars, a last turning point that the latest of them breaks is taken back.
+    """
+    if mode not in ("strict", "loose"):
+        raise ValueError("mode must be strict or loose")
+    w = Window.partitionBy(*K).orderBy("pos")
+    near = endpoints(strokes).withColumns({"same": F.lag("value", 2).over(w), "opposite": F.lag("value").over(w), "after": F.lead("value").over(w)})
+    t = keyed_fold(potentials(near), ["pos", "mark", "value", "same", "opposite", "after"], ["pos"], lambda key: _Alternate(mode == "strict"), "pos long, mark string, value double")
+    if merged is None:
+        return t
+    latest = merged.groupBy(*K).agg(F.max_by(F.struct("high", "low"), "mpos").alias("bar"))
+    broken = F.when(F.col("mark") == "D", F.col("bar.low") < F.col("value")).otherwise(F.col("bar.high") > F.col("value"))
+    last = t.withColumn("last", F.lead("pos").over(w).isNull()).join(latest, K, "left")
+    return last.where(~(F.col("last") & F.coalesce(broken, F.lit(False)))).drop("last", "bar")
 
 
-def legacy_segments(strokes: DataFrame) -> DataFrame:
+def legacy_segments(strokes: DataFrame, mode: str = "strict", merged: DataFrame | None = None) -> DataFrame:
     w = Window.partitionBy(*K).orderBy("pos")
-    t = turning_points(strokes).withColumns({"end_pos": F.lead("pos").over(w), "end_value": F.lead("value").over(w)})
+    t = turning_points(strokes, mode, merged).withColumns({"end_pos": F.lead("pos").over(w), "end_value": F.lead("value").over(w)})
     return t.where("end_pos IS NOT NULL").select(
         *K, (F.row_number().over(w) - 1).cast("long").alias("idx"), F.when(F.col("mark") == "D", "up").otherwise("down").alias("direction"), F.col("pos").alias("start_pos"), "end_pos", F.col("value").alias("start_value"), "end_value"
     )

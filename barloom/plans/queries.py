@@ -179,7 +179,7 @@ QUERIES: dict[str, Query] = {
     "segment_zone_candidates": lambda s, d: _analysis(s, d).segment_zone_candidates,
     "trading_points": lambda s, d: _analysis(s, d).judged,
     "projected_lines": lambda s, d: (lambda a: a.projected_stroke.unionByName(a.projected_segment))(_analysis(s, d)),
-    "legacy_segments": lambda s, d: legacy_segments.legacy_segments(_analysis(s, d).strokes),
+    "legacy_segments": lambda s, d: (lambda a: legacy_segments.legacy_segments(a.strokes, merged=a.merged))(_analysis(s, d)),
     "user_strokes": lambda s, d: analyze(by_user(s, d), least=6, trusted=True).strokes,
 }
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from barloom.functions.intervals import interval_seconds, next_open_time
 from barloom.operators import bars as B
-from barloom.operators import live, points, structure, validators, zones
+from barloom.operators import legacy_segments, live, points, structure, validators, zones
 from barloom.plans.analysis import analyze
 from barloom.plans.frames import frames
 from barloom.plans.oracles import ORACLES
@@ -171,6 +171,73 @@ def test_analysis_layers(spark, walks):
     loose.release()
 
 
+def older_segments(values, first_top, mode="strict", latest=None):
+    """The older finder, plainly: segments as pairs of endpoint positions."""
+    top = [(k % 2 == 0) == first_top for k in range(len(values))]
+    kept = []
+    for k in range(2, len(values) - 2):
+        v, left, right = values[k], values[k - 2], values[k + 2]
+        if not (left <= v >= right if top[k] else left >= v <= right):
+            continue
+        if not kept:
+            kept.append(k)
+            continue
+        p = kept[-1]
+        if top[p] == top[k]:
+            if v > values[p] if top[k] else v < values[p]:
+                kept[-1] = k
+            continue
+        if v >= values[p] if top[p] else v <= values[p]:
+            kept.pop()
+            continue
+        chain, right_side = values[p : k + 1], values[k:]
+        if len(chain) < 4:
+            continue
+        if len(chain) == 4:
+            ok = v > chain[-3] if top[k] else v < chain[-3]
+            if mode == "strict":
+                ok = ok and (chain[-2] < right_side[1] if top[k] else chain[-2] > right_side[1])
+            if not ok:
+                continue
+        kept.append(k)
+    if kept and latest and (latest[0] > values[kept[-1]] if top[kept[-1]] else latest[1] < values[kept[-1]]):
+        kept.pop()
+    return list(zip(kept, kept[1:], strict=False))
+
+
+def test_older_segments(spark):
+    cases = {
+        "unconfirmed": ([9, 1, 5, 0, 6, 3, 7, 2, 4, 1, 5, 3, 8, 2, 9], True), "equal tops": ([1, 5, 0, 4, 2, 9, 3, 9, 2, 6, 1, 5, -1, 4, 0, 5], False),
+        "order": ([1, 3, 0, 2, 1, 9, 8, 20, 15, 19, 14, 12, 11, 16, 10], False),
+    }
+    for n in range(60):
+        r = random.Random(n)
+        values = [r.randint(40, 60)]
+        for k in range(r.choice((1, 2, 5, 40, 90))):
+            values.append(values[-1] + r.randint(1, 12) * (1 if (k % 2 == 0) == (n % 2 == 0) else -1))
+        cases[f"walk {n}"] = (values, n % 2 == 1)
+        cases[f"jumps {n}"] = ([r.randint(0, 9) for _ in range(50)], n % 2 == 1)
+    t = lambda k: T0 + dt.timedelta(minutes=k)
+    rows = [(s, "1m", k, "down" if (k % 2 == 0) == top else "up", float(v[k]), float(v[k + 1]), t(k), t(k + 1)) for s, (v, top) in cases.items() for k in range(len(v) - 1)]
+    strokes = spark.createDataFrame(rows, "symbol string, interval string, pos long, direction string, start_value double, end_value double, start_dt timestamp, end_dt timestamp")
+    bars = {s: (float(v[-1] + h), float(v[-1] - h)) for s, (v, _) in cases.items() if s != "order" for h in [random.Random(s).randint(0, 12)]}
+    merged = spark.createDataFrame([(s, "1m", m, b[0] + 99 * (1 - m), b[1] - 99 * (1 - m)) for s, b in bars.items() for m in (0, 1)], "symbol string, interval string, mpos long, high double, low double")
+    found = {}
+    for mode in ("strict", "loose"):
+        for use in (None, merged):
+            got = {}
+            for r in legacy_segments.legacy_segments(strokes, mode, use).orderBy("symbol", "idx").collect():
+                values, top = cases[r.symbol]
+                assert (r.start_value, r.end_value) == (values[r.start_pos], values[r.end_pos]) and (r.direction == "down") == ((r.start_pos % 2 == 0) == top)
+                got.setdefault(r.symbol, []).append((r.start_pos, r.end_pos))
+            want = {s: older_segments(v, top, mode, bars.get(s) if use is not None else None) for s, (v, top) in cases.items()}
+            assert got == {s: x for s, x in want.items() if x}, mode
+            found[mode, use is not None] = sum(map(len, got.values()))
+    assert len(set(found.values())) == 4 and min(found.values()) > 50
+    with pytest.raises(ValueError, match="mode"):
+        legacy_segments.turning_points(strokes, "other")
+
+
 def test_macd_continues_from_its_anchor(spark, walks):
     one = B.with_position(walks.where("symbol = 'A'"))
     whole = structure.macd(one)
