@@ -41,8 +41,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 2048 tokens; a copy is a document of its own."""
-    return packing.digests(packing.pack(docs))
+    """Pieces of sequences of 2048 tokens with their ids, and a digest of them; a copy is a document of its own."""
+    return packing.pack(docs).withColumn("ids_crc32", F.crc32("ids"))
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]

@@ -1,7 +1,11 @@
+import zlib
 from collections import Counter
 
+import numpy as np
+
 import corpus_pipeline
 from barloom.llm.common import connected_components
+from barloom.llm.tokens import UnitEncoder, tokenizer_path
 
 SF = "/root/testdata/sf0.001"
 
@@ -25,6 +29,16 @@ def test_stages_on_test_tables(spark):
     assert all(tokens[d] == copies[d] * size[d] for d in copies)
 
 
+def test_the_last_stage_writes_the_ids(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    pieces = corpus_pipeline.materialize(corpus_pipeline.STAGES[-1][1](spark, docs, SF), "pieces").collect()
+    assert all(zlib.crc32(bytes(p.ids)) == p.ids_crc32 and len(p.ids) == 4 * p.length for p in pieces)
+    enc = UnitEncoder(tokenizer_path("word_bpe_49k.json"), "word").tok
+    for d in docs.collect():
+        whole = b"".join(bytes(p.ids) for p in sorted((p for p in pieces if p.doc_id == d.doc_id), key=lambda p: p.start))
+        assert np.frombuffer(whole, "<u4").tolist() == [*enc.encode(d.text or "", add_special_tokens=False).ids, 1]
+
+
 def test_empty_corpus(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES:
