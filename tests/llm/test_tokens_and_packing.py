@@ -104,3 +104,21 @@ def test_three_limits_at_once():
     p.finish()
     rows = [dict(doc_id=a, doc_tokens=b, start=c, ids=d.astype("<u4").tobytes(), length=len(d), sequence_id=s, offset=o) for a, b, c, d, s, o in p.out]
     assert check_pieces(rows, want, 64, 4, (40, free)) == 0
+
+
+def test_packing_with_prompts_that_bear_no_loss(spark):
+    talks = {}
+    for r in spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").orderBy("conv_id", "turn").collect():
+        talks.setdefault(r.conv_id, []).append(r.text or "")
+    enc = UnitEncoder(tokenizer_path("word_bpe_49k.json"), "word").tok
+    size = lambda t: len(enc.encode(t, add_special_tokens=False).ids)
+    rows = [(c, "\n".join(t), None if c % 7 == 0 else size(t[0])) for c, t in talks.items()]
+    want = {c: [*enc.encode(t, add_special_tokens=False).ids, 1] for c, t, _ in rows}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, prompt long")
+    got = [x.asDict() for x in packing.pack(docs, no_loss_col="prompt", length=256, max_segments=8, max_loss=100).collect()]
+    assert check_pieces(got, want, 256, 8, (100, {c: n or 0 for c, _, n in rows})) == 0
+    plain = [x.asDict() for x in packing.pack(docs, length=256, max_segments=8).collect()]
+    sums = {}
+    for x in plain:
+        sums[x["sequence_id"]] = sums.get(x["sequence_id"], 0) + x["length"]
+    assert max(sums.values()) > 100  # without the limit sequences bear more
