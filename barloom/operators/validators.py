@@ -40,7 +40,7 @@ def stroke_issues(strokes: DataFrame, fractals: DataFrame, least: int = MIN_BARS
 
 
 def segment_issues(segments: DataFrame, strokes: DataFrame) -> DataFrame:
-    """Every broken rule of segments over their strokes: count, direction, alternation, shared
+    """Broken geometric rules of segments over their strokes: count, direction, alternation, shared
     endpoints, range of the first three strokes, bounds and endpoints that the strokes do not have."""
     w = Window.partitionBy(*K).orderBy("pos")
     prev = F.lag(F.struct("direction", "end_dt", "end_value")).over(w)
