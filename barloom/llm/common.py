@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,20 +23,52 @@ BROADCAST_ROWS = 50_000
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name under the storage that driver and executors share.
 
-    The cluster names that storage in ``spark.checkpoint.dir``. Only where it is unset (tests on one
-    machine) a temporary folder is made and set.
+    The cluster names that storage in ``spark.checkpoint.dir``. Where it is unset a session on one
+    machine (a ``local`` master, as in tests) gets a temporary folder; any other session is refused,
+    since a folder of one machine would be invisible to the rest.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         kept = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = kept.get() if kept.isDefined() else None
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="corpus-")
         spark.sparkContext.setCheckpointDir(root)
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/corpus-{uuid.uuid4().hex[:12]}"
 
 
+#: The folders that each open ``scratch`` block has seen written, innermost last.
+_open: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes the tables that were materialized inside the block when it ends without an error, but
+    for those passed to ``keep``. What the block returns must not read any other of them."""
+    _open.append([])
+    try:
+        yield _open[-1]
+    except BaseException:
+        _open.pop()
+        raise
+    for path in _open.pop():
+        delete_path(spark, path)
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Hand a materialized table over to the scratch block around the current one, if there is any."""
+    path = df._scratch_path
+    if _open and path in _open[-1]:
+        _open[-1].remove(path)
+        if len(_open) > 1:
+            _open[-2].append(path)
+    return df
+
+
 def materialize(df: DataFrame, name: str, partition_by: Iterable[str] = ()) -> DataFrame:
     """Write ``df`` as Parquet on shared storage and read it back: the lineage is cut and the
     result survives the loss of any executor."""
@@ -42,7 +77,11 @@ def materialize(df: DataFrame, name: str, partition_by: Iterable[str] = ()) -> D
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    if _open:
+        _open[-1].append(path)
+    return out
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
@@ -80,38 +119,65 @@ def bounded_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) ->
     return F.broadcast(df) if rows <= limit else df
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
-    """Components of an undirected graph: ``(id, component)`` for each id on an edge.
-
-    Works by contraction. In a round each vertex points to its smallest neighbour if that is
-    smaller than itself, then to where that one points; edges are mapped along the pointers and
-    those within one vertex vanish, so chains shrink by a factor and stars at once. A component's
-    smallest id never points elsewhere, hence all of it ends there. Only minima are aggregated (no
-    neighbour list is ever gathered), and each round is written to shared storage.
+def runs_of(parts: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    """The runs of rows with equal values in the first ``keys`` columns (integers without nulls) of a
+    sorted stream, each as one batch; a run may lie across any number of incoming batches."""
+    held: list[pa.RecordBatch] = []
+    last: tuple | None = None
+    for part in parts:
+        if not part.num_rows:
+            continue
+        cols = [part.column(k).to_numpy() for k in range(keys)]
+        new = np.zeros(part.num_rows - 1, bool)
+        for c in cols:
+            new |= c[1:] != c[:-1]
+        cuts = [0, *(np.flatnonzero(new) + 1).tolist(), part.num_rows]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            now = tuple(int(c[lo]) for c in cols)
+            if held and now != last:
+                yield held[0] if len(held) == 1 else pa.concat_batches(held)
+                held = []
+            held.append(part.slice(lo, hi - lo))
+            last = now
+    if held:
+        yield held[0] if len(held) == 1 else pa.concat_batches(held)
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """Components of an undirected graph: ``(id, component)`` for each id on an edge; the component is
+    named by its smallest id.
+
+    Works by local contraction: in a round each vertex points to the one of itself and its neighbours
+    with the least priority, then to where that one points, and edges are mapped along the pointers.
+    Priorities are hashed anew in each round, so the number of vertices falls by a constant factor in
+    expectation whatever the ids and the shape: chains and stars of n vertices take O(log n) rounds.
+    The vertex of the largest priority always vanishes, so the loop ends. Only minima are aggregated
+    (no neighbour list is ever gathered), and each round is written to shared storage.
     """
     spark = edges.sparkSession
-    left = materialize(
-        edges.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct(), "edges"
-    )
-    maps = []
-    for _ in range(max_rounds):
-        if left.isEmpty():
-            break
-        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        first = materialize(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("to")), "point")
-        then = first.select(F.col("id").alias("to"), F.col("to").alias("to2"))
-        hop = materialize(first.join(then, "to").select("id", F.col("to2").alias("to")), "hop")
-        maps.append(hop)
-        ha = hop.select(F.col("id").alias("a"), F.col("to").alias("a2"))
-        hb = hop.select(F.col("id").alias("b"), F.col("to").alias("b2"))
-        moved = left.join(ha, "a").join(hb, "b").where("a2 <> b2")
-        left = materialize(moved.select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct(), "edges")
-    else:
-        raise RuntimeError("the graph did not contract; raise max_rounds")
-    if not maps:
-        return spark.createDataFrame([], "id bigint, component bigint")
-    out = maps[0].select("id", F.col("to").alias("component"))
-    for hop in maps[1:]:
-        nxt = hop.select(F.col("id").alias("component"), F.col("to").alias("next"))
-        out = out.join(nxt, "component", "left").select("id", F.coalesce("next", "component").alias("component"))
-    return materialize(out, "components")
+    with scratch(spark):
+        left = materialize(
+            edges.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct(), "edges"
+        )
+        maps: list[DataFrame] = []
+        while not left.isEmpty():
+            priority = lambda c, k=len(maps): F.xxhash64(F.lit(k), F.col(c))
+            both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            near = both.groupBy("a").agg(F.min_by("b", priority("b")).alias("n"), F.min(priority("b")).alias("p"))
+            point = near.select(F.col("a").alias("id"), F.when(F.col("p") < priority("a"), F.col("n")).otherwise(F.col("a")).alias("to"))
+            then = point.select(F.col("id").alias("to"), F.col("to").alias("to2"))
+            hop = materialize(point.join(then, "to").select("id", F.col("to2").alias("to")), "hop")
+            maps.append(hop)
+            ha = hop.select(F.col("id").alias("a"), F.col("to").alias("a2"))
+            hb = hop.select(F.col("id").alias("b"), F.col("to").alias("b2"))
+            moved = left.join(ha, "a").join(hb, "b").where("a2 <> b2")
+            left = materialize(moved.select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct(), "edges")
+        if not maps:
+            return spark.createDataFrame([], "id bigint, component bigint")
+        # From the last, smallest round back to the first.
+        root = maps[-1].select("id", F.col("to").alias("root"))
+        for hop in reversed(maps[:-1]):
+            root = hop.join(root.select(F.col("id").alias("to"), "root"), "to", "left").select("id", F.coalesce("root", "to").alias("root"))
+        root = materialize(root, "roots")
+        names = root.groupBy("root").agg(F.min("id").alias("component"))
+        return keep(materialize(root.join(names, "root").select("id", "component"), "components"))

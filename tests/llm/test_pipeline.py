@@ -51,3 +51,11 @@ def test_components(spark):
     got = {r.id: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert {got[k] for k in range(1, 61)} == {1} and {got[k] for k in range(100, 150)} == {100} and got[201] == 200
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_long_chains_contract(spark):
+    n = 5000
+    for k, ids in enumerate((list(range(n)), list(range(n, 0, -1)), np.random.default_rng(1).permutation(n).tolist())):
+        edges = spark.createDataFrame(list(zip(ids[:-1], ids[1:], strict=True)), "a long, b long")
+        got = connected_components(edges).agg({"id": "count", "component": "max", "*": "count"}).first()
+        assert (got["count(id)"], got["max(component)"]) == (n, min(ids)), k
