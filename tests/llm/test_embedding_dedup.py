@@ -52,5 +52,39 @@ def test_empty(spark):
 def test_rotation_keeps_length():
     x = np.random.default_rng(0).normal(size=(5, 64))
     assert np.allclose(np.linalg.norm(e.hadamard(x), axis=1), 8 * np.linalg.norm(x, axis=1))
-    s = e.buckets(np.concatenate([x, x * 2]))
-    assert (s[:5] == s[5:]).all() and s.shape == (10, e.TABLES * 4)
+    s = e.buckets(np.concatenate([x, x * 2]), 5, 2)
+    assert (s[:5] == s[5:]).all() and s.shape == (10, 5 * 4)
+
+
+def test_plan_keeps_recall_and_grows_with_the_table():
+    assert e.plan(100, 64, 0.98)[1] < e.plan(10**5, 64, 0.98)[1] < e.plan(10**9, 64, 0.98)[1] <= e.MOST_ROTATIONS
+    r = np.random.default_rng(1)
+    for n, dim in ((100, 64), (10**6, 64), (10**5, 300), (1000, 5)):
+        x = r.normal(size=(1000, dim))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        z = r.normal(size=x.shape)
+        z -= (z * x).sum(1, keepdims=True) * x
+        z /= np.linalg.norm(z, axis=1, keepdims=True)
+        y = 0.98 * x + np.sqrt(1 - 0.98**2) * z
+        a, b = e.buckets(x, *e.plan(n, dim, 0.98)), e.buckets(y, *e.plan(n, dim, 0.98))
+        assert np.mean([bool(np.intersect1d(p, q).size) for p, q in zip(a, b, strict=True)]) >= 0.999
+
+
+def test_chain_of_links(spark):
+    # Neighbours are three degrees apart, so three steps link and four do not.
+    t = np.radians(3.0) * np.arange(100)
+    rows = [(k, [float(np.cos(x)), float(np.sin(x)), 1e-9 * k], 0) for k, x in enumerate(t)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in e.near_duplicates(df).collect()), key=repr)
+    assert got == brute(rows) and {r[2] for r in got} == {0}
+
+
+def test_crowded_buckets_and_clashing_columns(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    base = r.normal(size=16)
+    rows = [(k, [float(x) for x in base + r.normal(size=16) * 0.12 * (k % 3)], 1) for k in range(700)]
+    df = spark.createDataFrame([(*x, 0, "b", True, 1.0) for x in rows], "vec_id long, embedding array<double>, label int, id long, bucket string, kept boolean, v double")
+    monkeypatch.setattr(e, "BLOCK", 50)
+    monkeypatch.setattr(e, "HOT_SAMPLE", 8)
+    got = sorted(((x.vec_id, x.n_links, x.component_id, x.kept) for x in e.near_duplicates(df).collect()), key=repr)
+    assert got == brute(rows)
