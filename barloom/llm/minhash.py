@@ -5,8 +5,9 @@ and the largest value under each are kept: two nearly independent signature valu
 evaluation. ``ROWS`` values make a band; texts with an equal band share a bucket. Texts with equal
 sets are one class from the start, so copies never meet each other again.
 
-Candidates are verified on full sets. In a bucket every member is first compared with one pivot;
-members that end up in one part need no comparison among themselves. Where a bucket still holds
+Candidates are verified on full sets. In a bucket every member is first compared with one pivot, in
+chunks that each hold the pivot once; members that end up in one part need no comparison among
+themselves. Where a bucket still holds
 several parts, members of different parts are compared as well: a few by pairs, many in blocks whose
 tasks send on one link a member. So what is moved and made follows the members of a bucket, not
 their pairs, and yet no link between different parts is lost.
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col, connected_components, materialize
+from .common import col, connected_components, keep, materialize, scratch
 
 BANDS = 30
 ROWS = 4
@@ -31,7 +32,10 @@ WORDS = 2
 SIMILAR = 80
 #: Buckets of more members than this that are not connected yet are compared in blocks.
 SMALL = 8
+#: At most so many members or shingles of a side make a block, and so many members a pivot's chunk.
 BLOCK = 512
+BLOCK_SHINGLES = 4_000_000
+STAR = 256
 
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -106,28 +110,33 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, bands: int
     )
 
 
+def alike(x: np.ndarray, y: np.ndarray, similar: int) -> bool:
+    """Whether two full sets (ascending) have a Jaccard similarity of at least ``similar`` percent."""
+    small, large = (x, y) if len(x) <= len(y) else (y, x)
+    if not len(small) or 100 * len(small) < similar * len(large):
+        return False
+    at = np.searchsorted(large, small)
+    at[at == len(large)] = 0
+    both = int((large[at] == small).sum())
+    return 100 * both >= similar * (len(x) + len(y) - both)
+
+
 def verified(pairs: DataFrame, texts: DataFrame, words: int, similar: int) -> DataFrame:
     """The pairs ``(a, b)`` whose full shingle sets are similar enough."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str | None, np.ndarray] = {}
         for part in parts:
-            a, b, ta, tb = (part.column(i).to_pylist() for i in range(4))
             good = []
-            for i in range(len(a)):
+            for ta, tb in zip(part.column(2), part.column(3), strict=True):
                 if len(known) > 64:
                     known.clear()
-                for text in (ta[i], tb[i]):
+                pair = []
+                for text in (ta.as_py(), tb.as_py()):
                     if text not in known:
                         known[text] = shingle_set(text, words)
-                x, y = known[ta[i]], known[tb[i]]
-                small, large = (x, y) if len(x) <= len(y) else (y, x)
-                both = 0
-                if 100 * len(small) >= similar * len(large):
-                    at = np.searchsorted(large, small)
-                    at[at == len(large)] = 0
-                    both = int((large[at] == small).sum())
-                good.append(100 * both >= similar * (len(x) + len(y) - both))
+                    pair.append(known[text])
+                good.append(alike(*pair, similar))
             yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(good)), part.column(1).filter(pa.array(good))], ["a", "b"])
 
     ta = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
@@ -135,6 +144,34 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, similar: int) -> Da
     return pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def star_links(members: DataFrame, texts: DataFrame, words: int, similar: int) -> DataFrame:
+    """Links ``(a, b)`` between pivots and members of their buckets (``members``: id, pivot, n).
+
+    A pivot's members are dealt into chunks of about ``STAR``, so neither its id nor its text is one key
+    for all of them; a task reads the pivot first and the members one by one."""
+    chunks = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.col("n") / STAR, F.lit(1.0))))).cast("long")
+    dealt = members.where("id <> pivot").select("pivot", chunks.alias("of"), "id")
+    dealt = dealt.select("pivot", "of", F.pmod(F.xxhash64(F.lit(4), "id"), F.col("of")).alias("chunk"), F.lit(1).alias("role"), "id").distinct()
+    heads = dealt.select("pivot", "of", "chunk").distinct().select("*", F.lit(0).alias("role"), F.col("pivot").alias("id"))
+    keys = ["pivot", "of", "chunk"]
+    rows = dealt.unionByName(heads).join(texts, "id").select(*keys, "role", "id", "text")
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys, "role", "id")
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = np.zeros(0, np.uint64)
+        for part in parts:
+            good = []
+            for role, text in zip(part.column(3).to_pylist(), part.column(5), strict=True):
+                x = shingle_set(text.as_py(), words)
+                if role == 0:
+                    head = x
+                good.append(role == 1 and alike(head, x, similar))
+            mask = pa.array(good, pa.bool_())
+            yield pa.RecordBatch.from_arrays([part.column(0).filter(mask), part.column(4).filter(mask)], ["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -147,50 +184,60 @@ def near_duplicates(
     """``doc_id, n_shingles, component_id, kept`` of every row.
 
     Texts link if their shingle sets have a Jaccard similarity of at least ``similar`` percent;
-    ``component_id`` is the smallest id reachable by links. At that similarity a pair shares no
+    ``id_col`` is a number. ``component_id`` is the smallest id reachable by links. At that similarity a pair shares no
     band with a chance of about 1e-7. A null or empty text, or one without words, has no shingles
     and links with nothing. A null id links with nothing, has a null component and is kept. Rows
     that repeat an id fall together if their texts are equal; else each has the component of its
-    own text, and links found for the id count for either. An empty table gives an empty result.
+    own text, and links found for the id count for either. Whole texts count, whatever their length;
+    other columns are ignored. An empty table gives an empty result.
     """
-    all_sketches = materialize(sketches(docs, id_col, text_col, words, bands, rows), "sketches")
-    named = all_sketches.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = materialize(
-        named.groupBy("k1", "k2", "n_shingles").agg(F.min(F.struct("doc_id", "bands")).alias("first")).select("k1", "k2", "n_shingles", F.col("first.doc_id").alias("id"), F.col("first.bands").alias("bands")),
-        "classes",
-    )
-    links = _links(docs, classes, id_col, text_col, words, similar)
-    parts = connected_components(links)
-    rep = classes.select("k1", "k2", "n_shingles", "id").join(parts, "id", "left").select("k1", "k2", "n_shingles", F.coalesce("component", "id").alias("component"))
-    out = all_sketches.drop("bands").join(rep, ["k1", "k2", "n_shingles"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
-    component = F.when(F.col("doc_id").isNotNull(), component)
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
-
-
-def _links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, words: int, similar: int) -> DataFrame:
-    """Verified links between classes that connect whatever the buckets can connect."""
-    each = classes.select("id", F.explode("bands").alias("bucket"))
-    shared = each.groupBy("bucket").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("bucket", "pivot")
-    members = materialize(each.join(shared, "bucket").select("bucket", "id", "pivot"), "members")
+    with scratch(docs.sparkSession):
+        all_sketches = materialize(sketches(docs, id_col, text_col, words, bands, rows), "sketches")
+        named = all_sketches.where("doc_id IS NOT NULL AND n_shingles > 0")
+        first = F.min(F.struct("doc_id", "bands")).alias("first")
+        classes = materialize(
+            named.groupBy("k1", "k2", "n_shingles").agg(first).select("k1", "k2", "n_shingles", F.col("first.doc_id").alias("id"), F.col("first.bands").alias("bands")), "classes"
+        )
+        parts = _parts(docs, classes, id_col, text_col, words, similar)
+        rep = classes.select("k1", "k2", "n_shingles", "id").join(parts, "id", "left").select("k1", "k2", "n_shingles", F.coalesce("component", "id").alias("component"))
+        out = all_sketches.drop("bands").join(rep, ["k1", "k2", "n_shingles"], "left")
+        component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
+        component = F.when(F.col("doc_id").isNotNull(), component)
+        out = out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+        return keep(materialize(out, "near_copies"))
+
+
+def _parts(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, words: int, similar: int) -> DataFrame:
+    """``(id, component)`` of the classes that have verified links: enough of them to connect whatever
+    the buckets can connect."""
+    each = classes.select("id", F.col("n_shingles").alias("w"), F.explode("bands").alias("bucket"))
+    shared = each.groupBy("bucket").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).where("n > 1")
+    members = materialize(each.join(shared, "bucket").select("bucket", "id", "w", "pivot", "n"), "members")
     wanted = members.select("id").distinct()
     texts = materialize(docs.select(col(id_col).cast("long").alias("id"), col(text_col).alias("text")).join(wanted.hint("merge"), "id", "left_semi"), "candidate_texts")
-    star = members.where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-    links = materialize(verified(star, texts, words, similar), "links")
+    links = materialize(star_links(members, texts, words, similar), "links")
     parts = connected_components(links)
     # Pivots are done with. What is left of a bucket matters if it lies in several parts.
-    left = members.where("id <> pivot").select("bucket", "id").join(parts, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("part"))
+    left = members.where("id <> pivot").select("bucket", "id", "w").join(parts, "id", "left").select("bucket", "id", "w", F.coalesce("component", "id").alias("part"))
     left = materialize(left, "left")
-    sizes = left.groupBy("bucket", "part").agg(F.count("*").alias("c"))
-    mixed = sizes.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("c").alias("m"), F.max("c").alias("most"), F.max_by("part", F.struct("c", "part")).alias("major"))
-    mixed = materialize(mixed.where("parts > 1").drop("parts"), "mixed")
+    sizes = left.groupBy("bucket", "part").agg(F.count("*").alias("c"), F.sum("w").alias("cw"))
+    mixed = sizes.groupBy("bucket").agg(
+        F.count("*").alias("parts"), F.sum("c").alias("m"), F.sum("cw").alias("mw"), F.max("c").alias("most"), F.max_by(F.struct("part", "cw"), F.struct("c", "part")).alias("top")
+    )
+    mixed = materialize(mixed.where("parts > 1").select("bucket", "m", "mw", "most", F.col("top.part").alias("major"), F.col("top.cw").alias("most_w")), "mixed")
     # Small buckets: their few pairs, each once. Large ones: blocks of members.
     small = left.join(mixed.where(F.col("m") <= SMALL).select("bucket"), "bucket")
     x, y = small.select("bucket", F.col("id").alias("a"), F.col("part").alias("pa")), small.select("bucket", F.col("id").alias("b"), F.col("part").alias("pb"))
     pairs = x.join(y, "bucket").where("a < b AND pa <> pb").select("a", "b").distinct()
-    return links.unionByName(materialize(verified(pairs, texts, words, similar), "links")).unionByName(
+    more = materialize(verified(pairs, texts, words, similar), "links").unionByName(
         materialize(_block_links(left, mixed.where(F.col("m") > SMALL), texts, words, similar), "links")
     )
+    # Later links join the parts that there are.
+    of = lambda c: parts.select(F.col("id").alias(c), F.col("component").alias(f"{c}_part"))
+    more = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_part", "a").alias("a"), F.coalesce("b_part", "b").alias("b"))
+    joined = connected_components(more).select(F.col("id").alias("part"), F.col("component").alias("whole"))
+    every = classes.select("id").join(parts, "id", "left").select("id", F.coalesce("component", "id").alias("part"))
+    return every.join(joined, "part", "left").select("id", F.coalesce("whole", "part").alias("component"))
 
 
 def shared_counts(sets: list[np.ndarray], chunk: int = 4096) -> np.ndarray:
@@ -223,8 +270,8 @@ def _block_links(left: DataFrame, mixed: DataFrame, texts: DataFrame, words: int
     what it found connected.
     """
     spark = left.sparkSession
-    up = lambda c: F.ceil(c / F.lit(BLOCK)).cast("int")
-    plan = mixed.select("bucket", "major", up(F.col("most")).alias("cm"), up(F.col("m") - F.col("most")).alias("co"))
+    up = lambda c, w: F.ceil(F.greatest(c / F.lit(BLOCK), w / F.lit(BLOCK_SHINGLES))).cast("int")
+    plan = mixed.select("bucket", "major", up(F.col("most"), F.col("most_w")).alias("cm"), up(F.col("m") - F.col("most"), F.col("mw") - F.col("most_w")).alias("co"))
     rows = left.join(plan, "bucket")
     pick = F.xxhash64(F.lit(3), "id")
     in_major = F.col("part") == F.col("major")

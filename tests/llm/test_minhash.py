@@ -57,10 +57,20 @@ def test_blocks_lose_no_link(make_docs, words, monkeypatch):
     # One band for all: every text shares one bucket, so blocks do the work.
     monkeypatch.setattr(m, "band_keys", lambda sets, bands=0, rows=0: __import__("numpy").ones((len(sets), 1), "uint64"))
     monkeypatch.setattr(m, "BLOCK", 20)
+    monkeypatch.setattr(m, "BLOCK_SHINGLES", 3000)
+    monkeypatch.setattr(m, "STAR", 7)
     keep = m.near_duplicates(make_docs(texts), words=2)
     assert {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in keep.collect()} == brute(texts, 2)
 
 
+def test_a_long_chain(make_docs, words):
+    # Windows over one long text: neighbours are alike, texts further on are not.
+    source = words(60 + 4 * 300, 3)
+    texts = [(k, " ".join(source[4 * k : 4 * k + 60])) for k in range(300)]
+    rows = m.near_duplicates(make_docs(texts), words=2).collect()
+    assert {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in rows} == brute(texts, 2) and {r.component_id for r in rows} == {0}
+
+
 def test_repeated_rows_and_empty(make_docs):
     rows = m.near_duplicates(make_docs([(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f")])).collect()
     assert sorted((r.doc_id, r.component_id, r.kept) for r in rows) == [(1, 1, True), (1, 1, True), (2, 1, False)]
