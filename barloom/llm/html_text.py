@@ -5,7 +5,12 @@ tags that HTML implies and dropping stray ones. ``render`` lays the tree out as
 would: hidden elements are left out, formulas, texts in drawings and the options that a form shows
 are not, blocks are set apart, list items get their marker and
 indentation, preformatted text keeps its white space and table cells stand in aligned columns.
-Both work without recursion, so depth is bounded by memory alone.
+
+Both work without recursion and in time linear in the page, whatever its depth: where an element is
+open is looked up and never searched. No text is dropped for depth, width or length; three layout
+limits only say how far it is set out: a cell wider than ``WIDEST`` does not widen its column, lines
+are indented by ``DEEPEST`` characters at most, and spans are clipped as HTML clips them
+(``COLSPAN``, ``ROWSPAN``).
 """
 
 from __future__ import annotations
@@ -59,50 +64,47 @@ _OPEN_VALUE = re.compile(r"=\s*[^\s\"']+/$")
 _ATTRIBUTE = re.compile(r"([^\s/][^\s/=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"?|'([^']*+)'?|([^\s\"'][^\s]*+)))?")
 #: Parts of a style in which colons and semicolons separate nothing.
 _OPAQUE = re.compile(r"/\*.*?(?:\*/|$)|\"[^\"]*+\"?|'[^']*+'?|\([^()]*+\)", re.S)
-_SPAN = re.compile(r"colspan\s*=\s*[\"']?(\d{1,3})", re.I)
-_START = re.compile(r"start\s*=\s*[\"']?(-?\d{1,9})", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f\v]+")
+_NUMBER = re.compile(r"\s*([+-]?\d{1,9})")
 
-WIDEST = 40
+WIDEST = 60
+DEEPEST = 200
+#: The largest spans of a table cell in HTML.
+COLSPAN, ROWSPAN = 1000, 65534
 
 
 def build(source: str) -> list[tuple]:
     """The tree in preorder: ``(1, tag, attributes)``, ``(0, text)`` and ``(2, tag)`` events."""
     events: list[tuple] = []
     stack: list[str] = []
+    places: dict[str, list[int]] = {}  # where in the stack each tag is open, outermost first
     i, n, tags = 0, len(source), _TAG
-    roots = 0  # open drawings and formulas
 
     def close_to(depth: int) -> None:
-        nonlocal roots
         while len(stack) > depth:
             tag = stack.pop()
-            roots -= tag in FOREIGN
+            places[tag].pop()
             events.append((2, tag))
 
+    def last(names) -> int:
+        """Where the innermost open element of these names stands; -1: none is open."""
+        return max([places[t][-1] for t in names if places.get(t)], default=-1)
+
     def put_text(text: str) -> None:
         # Text behind an open head begins the body.
-        if stack and stack[-1] in ("head", "html") and "head" in stack and text.strip(" \t\n\r\f"):
-            close_to(stack.index("head"))
+        if stack and stack[-1] in ("head", "html") and places.get("head") and text.strip(" \t\n\r\f"):
+            close_to(places["head"][0])
         events.append((0, text))
 
     def foreign() -> int:
         """Where the drawing or formula stands that the place belongs to; -1: it is in HTML."""
-        if roots:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k] in FOREIGN:
-                    return k
-                if stack[k] in ISLANDS:
-                    return -1
-        return -1
+        k = last(FOREIGN)
+        return k if k > last(ISLANDS) else -1
 
     def find(names, stops) -> int:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k] in names:
-                return k
-            if stack[k] in stops:
-                return -1
-        return -1
+        """Where the innermost of ``names`` stands, unless one of ``stops`` stands further in."""
+        k = last(names)
+        return k if k >= 0 and k >= last(stops) else -1
 
     while i < n:
         j = source.find("<", i)
@@ -146,17 +148,17 @@ def build(source: str) -> list[tuple]:
                 if k >= 0 and tag not in ("body", "html"):
                     close_to(k)
             continue
-        if "head" in stack and tag not in IN_HEAD:
-            close_to(stack.index("head"))
-        if roots and foreign() >= 0:
+        if places.get("head") and tag not in IN_HEAD:
+            close_to(places["head"][0])
+        if foreign() >= 0:
             if tag in BREAKOUT:
                 while (k := foreign()) >= 0:
                     close_to(k)
             elif m[3].endswith("/") and not _OPEN_VALUE.search(m[3]):
                 events += [(1, tag, m[3]), (2, tag)]
                 continue
-        if tag in ("select", "input", "textarea") and "select" in stack:
-            close_to(stack.index("select"))
+        if tag in ("select", "input", "textarea") and places.get("select"):
+            close_to(places["select"][0])
             if tag == "select":
                 continue
         if tag in CLOSES:
@@ -170,7 +172,7 @@ def build(source: str) -> list[tuple]:
                 close_to(k)
             if tag in HEADINGS and stack and stack[-1] in HEADINGS:
                 close_to(len(stack) - 1)
-        elif tag == "hr" or tag == "a" and "a" in stack[-8:]:
+        elif tag in ("hr", "a"):
             k = find(("p",) if tag == "hr" else ("a",), ("table", "td", "th", "li", "p", "div"))
             if k >= 0:
                 close_to(k)
@@ -186,8 +188,8 @@ def build(source: str) -> list[tuple]:
             g = source.find(">", e.end())
             i = n if g < 0 else g + 1
         else:
+            places.setdefault(tag, []).append(len(stack))
             stack.append(tag)
-            roots += tag in FOREIGN
     close_to(0)
     return events
 
@@ -215,17 +217,24 @@ def declarations(style: str) -> dict[str, str]:
     return out
 
 
-def hides_itself(source: str, drawing: bool = False) -> bool:
-    """Whether a tag's attributes leave its element undrawn; a style's display outweighs ``hidden``.
+def sight(source: str, drawing: bool = False) -> tuple[bool, str]:
+    """Whether a tag's attributes take its element out of the page (a style's display outweighs
+    ``hidden``), and its own ``visibility``, which an inner element may set anew ("" if it has none).
     In a drawing display and visibility may be attributes too, which a style outweighs."""
     if not _MAY_HIDE.search(source):
-        return False
+        return False, ""
     found = attributes(source)
     style = declarations(found["style"]) if "style" in found else {}
     if drawing:
         style = {k: found[k].strip().lower() for k in ("display", "visibility") if k in found} | style
     gone = style["display"] == "none" if "display" in style else "hidden" in found
-    return gone or style.get("visibility") in ("hidden", "collapse")
+    return gone, style.get("visibility", "")
+
+
+def number(attributes_: str, name: str, default: int) -> int:
+    """A whole-number attribute."""
+    m = _NUMBER.match(attributes(attributes_).get(name, "")) if name in attributes_.lower() else None
+    return int(m[1]) if m else default
 
 
 def options(events: list[tuple], at: int) -> tuple[bool, int]:
@@ -281,7 +290,7 @@ class _Flow:
             self.lines.append("")
         self.gap = False
         if self.marker:
-            self.lines.append(self.prefix[: -len(self.marker)] + self.marker + text)
+            self.lines.append(self.prefix[: max(0, len(self.prefix) - len(self.marker))] + self.marker + text)
             self.marker = ""
         else:
             self.lines.append(self.prefix + text)
@@ -296,46 +305,68 @@ class _Table:
     __slots__ = ("rows",)
 
     def __init__(self) -> None:
-        self.rows: list[list[tuple[int, list[str]]]] = []
+        self.rows: list[list[tuple[int, int, list[str]]]] = []  # columns and rows that a cell spans, its lines
+
+    def placed(self) -> Iterator[list[tuple[int, int, list[str]]]]:
+        """The rows with (first column, columns, lines) of each cell: cells step aside for those above
+        that reach down to them."""
+        taken: dict[int, int] = {}  # rows still to come in which a column is taken
+        for row in self.rows:
+            out, at, new = [], 0, {}
+            for across, down, cell in row:
+                while taken.get(at, 0):
+                    at += 1
+                out.append((at, across, cell))
+                if down > 1:
+                    new.update(dict.fromkeys(range(at, at + across), down - 1))
+                at += across
+            taken = {c: k - 1 for c, k in taken.items() if k > 1} | new
+            yield out
 
     def lay_out(self) -> list[str]:
-        rows = [r for r in self.rows if any(c for _, c in r)]
+        rows = [r for r in self.placed() if any(c for _, _, c in r)]
         width: dict[int, int] = {}
         for r in rows:
-            at = 0
-            for span, cell in r:
-                if span == 1:
+            for at, across, cell in r:
+                if across == 1:
                     w = max(map(len, cell), default=0)
                     if w <= WIDEST:
                         width[at] = max(width.get(at, 0), w)
-                at += span
+        edge, total = {}, 0  # where each column begins
+        for c in range(max((at + (1 if across == 1 else 0) for r in rows for at, across, _ in r), default=0) + 1):
+            edge[c] = total
+            total += width.get(c, 0) + 2
         out = []
         for r in rows:
-            for k in range(max(len(c) for _, c in r)):
-                parts, at = [], 0
-                for span, cell in r:
-                    w = sum(width.get(at + x, 0) for x in range(span)) + 2 * (span - 1)
-                    parts.append((cell[k] if k < len(cell) else "").ljust(w))
-                    at += span
-                out.append("  ".join(parts).rstrip())
+            for k in range(max(len(c) for _, _, c in r)):
+                line = ""
+                for at, _, cell in r:
+                    if k < len(cell):
+                        line = line.ljust(edge[at]) if len(line) + 2 <= edge[at] or not line else line + "  "
+                        line += cell[k]
+                out.append(line.rstrip())
         return out
 
 
 def render(events: list[tuple]) -> str:
     """All visible text of a tree as laid-out lines."""
     flow = _Flow()
-    outer: list[_Flow] = []  # the flows around open cells
+    outer: list[tuple] = []  # the flows around open cells
     tables: list[_Table] = []
     lists: list[list] = []  # [is numbered, next number, prefix outside]
     hidden = pre = 0
     hides: list[bool] = []
+    seen: list[bool] = []  # whether what each open element holds is visible
+    folded: list[int] = []  # depths of closed details whose summary is still to come; -1 behind it
+    indents: list[str] = []
     svg = 0
     formula: list[str] = []  # open elements of a formula
     select, shown, option = 0, -1, 0  # 1: in a drop-down, 2: in a list box; its option shown; open options
     for at, ev in enumerate(events):
         kind = ev[0]
+        visible = not seen or seen[-1]
         if kind == 0:
-            if hidden or select and not option:
+            if hidden or not visible or select and not option or folded and abs(folded[-1]) == len(seen):
                 continue
             text = html.unescape(ev[1]) if "&" in ev[1] else ev[1]
             if pre:
@@ -353,12 +384,26 @@ def render(events: list[tuple]) -> str:
                 flow.inline.append(text)
         elif kind == 1:
             tag, attrs = ev[1], ev[2]
+            gone, own = sight(attrs, bool(svg)) if attrs else (False, "")
             if select == 1 and tag == "option":
                 hide = at != shown
             else:
-                hide = tag in UNSEEN or bool(svg) and tag in UNSEEN_SVG or bool(formula) and tag in UNSEEN_MATH or bool(attrs) and hides_itself(attrs, bool(svg))
+                hide = tag in UNSEEN or bool(svg) and tag in UNSEEN_SVG or bool(formula) and tag in UNSEEN_MATH or gone
+                hide = hide or tag == "dialog" and "open" not in attributes(attrs)
+                if folded and abs(folded[-1]) == len(seen):
+                    if tag == "summary" and folded[-1] > 0:
+                        folded[-1] = -folded[-1]
+                    else:
+                        hide = True
+            if own in ("hidden", "collapse"):
+                visible = False
+            elif own == "visible":
+                visible = True
             hides.append(hide)
+            seen.append(visible)
             hidden += hide
+            if tag == "details" and "open" not in attributes(attrs):
+                folded.append(len(seen))
             if hidden:
                 continue
             if formula or tag == "math":
@@ -378,41 +423,50 @@ def render(events: list[tuple]) -> str:
             elif svg and tag in ("text", "foreignobject"):
                 flow.block(False)
             elif tag in BLOCKS:
-                flow.block(tag in SPACED and not (tag in ("ul", "ol", "dl") and lists))
+                if visible:
+                    flow.block(tag in SPACED and not (tag in ("ul", "ol", "dl") and lists))
                 if tag == "li":
                     level = lists[-1] if lists else [False, 1, flow.prefix]
-                    flow.marker = f"{level[1]}. " if level[0] else "- "
+                    if level[0]:
+                        level[1] = number(attrs, "value", level[1])
+                    marker = f"{level[1]}. " if level[0] else "- "
                     level[1] += 1
-                    flow.prefix = level[2] + " " * len(flow.marker)
+                    flow.prefix = (level[2] + " " * len(marker))[:DEEPEST]
+                    if visible:
+                        flow.marker = marker
                 elif tag in ("ul", "ol", "menu", "dir"):
-                    start = _START.search(attrs) if tag == "ol" and attrs else None
-                    lists.append([tag == "ol", int(start[1]) if start else 1, flow.prefix])
+                    lists.append([tag == "ol", number(attrs, "start", 1) if tag == "ol" else 1, flow.prefix])
                 elif tag in ("blockquote", "dd"):
-                    flow.prefix += "  "
+                    indents.append(flow.prefix)
+                    flow.prefix = (flow.prefix + "  ")[:DEEPEST]
                 elif tag == "pre":
                     pre += 1
                 elif tag == "table":
                     tables.append(_Table())
             elif tag == "br":
-                if pre or flow.inline:
+                if visible and (pre or flow.inline):
                     flow.end_line()
             elif tag == "hr":
-                flow.block(False)
-                flow.put("---")
+                if visible:
+                    flow.block(False)
+                    flow.put("---")
             elif tag == "tr":
                 if tables:
                     tables[-1].rows.append([])
             elif tag in ("td", "th") and tables:
                 if not tables[-1].rows:
                     tables[-1].rows.append([])
-                span = _SPAN.search(attrs) if attrs else None
-                tables[-1].rows[-1].append((min(100, max(1, int(span[1]))) if span else 1, []))
+                across, down = number(attrs, "colspan", 1), number(attrs, "rowspan", 1)
+                tables[-1].rows[-1].append((min(COLSPAN, max(1, across)), ROWSPAN if down == 0 else min(ROWSPAN, max(1, down)), []))
                 flow.end_line()
-                outer.append((flow, lists, pre, len(tables)))
-                flow, lists, pre = _Flow(), [], 0
+                outer.append((flow, lists, pre, len(tables), indents))
+                flow, lists, pre, indents = _Flow(), [], 0, []
         else:
             tag = ev[1]
             hide = hides.pop()
+            if folded and abs(folded[-1]) == len(seen):
+                folded.pop()
+            seen.pop()
             if hidden:
                 hidden -= hide
                 continue
@@ -432,8 +486,8 @@ def render(events: list[tuple]) -> str:
             elif tag in ("td", "th") and outer and outer[-1][3] == len(tables):
                 flow.end_line()
                 lines = flow.lines
-                flow, lists, pre, _ = outer.pop()
-                tables[-1].rows[-1][-1][1].extend(lines)
+                flow, lists, pre, _, indents = outer.pop()
+                tables[-1].rows[-1][-1][2].extend(lines)
             elif tag in BLOCKS:
                 if tag == "pre":
                     if flow.inline:
@@ -446,14 +500,15 @@ def render(events: list[tuple]) -> str:
                     flow.block(True)
                     for x in tables.pop().lay_out():
                         flow.put(x) if x else flow.lines.append("")
-                flow.block(tag in SPACED and not (tag in ("ul", "ol", "dl") and len(lists) > 1))
+                if visible:
+                    flow.block(tag in SPACED and not (tag in ("ul", "ol", "dl") and len(lists) > 1))
                 if tag == "li":
                     flow.marker = ""
                     flow.prefix = lists[-1][2] if lists else flow.prefix[:-2]
                 elif tag in ("ul", "ol", "menu", "dir") and lists:
                     flow.prefix = lists.pop()[2]
-                elif tag in ("blockquote", "dd"):
-                    flow.prefix = flow.prefix[:-2]
+                elif tag in ("blockquote", "dd") and indents:
+                    flow.prefix = indents.pop()
     flow.end_line()
     return "\n".join(flow.lines)
 
@@ -469,7 +524,8 @@ def extract(source: str | None) -> str:
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """``(page_id, text)`` for every row: a page's visible text. A null or empty page has the text
-    "". Ids may repeat or be null; an empty table gives an empty result; no page is cut."""
+    "". Ids are numbers and may repeat or be null; rows are independent of each other; other columns
+    are ignored; an empty table gives an empty result; no page is cut, however long or deep."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
