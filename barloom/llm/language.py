@@ -14,15 +14,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import col
+from .common import bounded_broadcast, col
 
 DIMS = 1 << 13
 CENTROIDS = 4
-#: Texts per language for the centroids, the first by a hash of the id; document frequencies are
-#: counted over all training rows.
+#: Distinct rows per language for the centroids, the first by a hash of id and text; document
+#: frequencies are counted over all training rows.
 SAMPLE_PER_LANGUAGE = 400
 REJECT_QUANTILE = 0.002
 
@@ -80,8 +80,11 @@ class LanguageModel:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE_PER_LANGUAGE, centroids: int = CENTROIDS) -> LanguageModel:
     """A model from all rows with text and language. Document frequencies come from every row;
-    centroids from at most ``sample`` texts per language. No such row: a model that knows none."""
-    rows = docs.where(col(lang_col).isNotNull() & col(text_col).isNotNull()).select(col(id_col).alias("k"), col(text_col).alias("t"), col(lang_col).alias("lang"))
+    centroids from at most ``sample`` distinct (id, text) rows per language, the first by a hash of
+    both, so null and repeated ids bias nothing and repeated rows count once. The driver gets no text,
+    only the n-gram numbers of the sampled rows (at most ``DIMS`` each). Of equally close centroids the
+    first by language name wins. No such row: a model that knows none."""
+    rows = docs.where(col(lang_col).isNotNull() & col(text_col).isNotNull()).select(col(id_col).alias("k"), col(text_col).alias("t"), col(lang_col).cast("string").alias("lang"))
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(DIMS + 1, np.int64)
@@ -98,22 +101,30 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     for r in rows.select("t").mapInArrow(count, "dim long, n long").groupBy("dim").agg(F.sum("n").alias("n")).collect():
         df[r["dim"]] = r["n"]
     idf = np.log((df[DIMS] + 1.0) / (df[:DIMS] + 1.0)) + 0.05
-    langs = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    # A uniform share of each language by the hash of the id, then a bound for certain.
-    order = (F.pmod(F.xxhash64("k"), F.lit(1 << 40)) / float(1 << 40)).alias("u")
-    share = F.lit(0.0)
-    for lang, n in sorted(langs.items()):
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, 1.5 * sample / n))).otherwise(share)
+    # A uniform share of each language's distinct rows by the hash, then the bound for certain.
+    u = (F.pmod(F.xxhash64("k", "t"), F.lit(1 << 40)) / float(1 << 40)).alias("u")
+    sizes = rows.select("lang", u).groupBy("lang").agg(F.approx_count_distinct("u", 0.05).alias("n"))
+    shares = sizes.select(F.col("lang").alias("of"), (F.lit(2.0 * sample) / F.col("n")).alias("share"))
+    near = rows.select("lang", "t", u).join(bounded_broadcast(shares, sizes.count()), F.col("lang") == F.col("of")).where("u < share")
+    near = near.groupBy("lang", "u").agg(F.min("t").alias("t"))
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("u"))).where(F.col("rank") <= sample)
+
+    def features(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            got = [ngram_counts(t.as_py()) for t in part.column(2)]
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), part.column(1), pa.array([g[0] for g in got], pa.list_(pa.int64())), pa.array([g[1] for g in got], pa.list_(pa.int64()))], ["lang", "u", "at", "n"]
+            )
+
     by: dict[str, list[tuple]] = {}
-    for r in rows.withColumn("u", order).where(F.col("u") < share).select("u", "k", "lang", "t").toLocalIterator():
-        at, n = ngram_counts(r["t"])
-        if len(at):
-            by.setdefault(r["lang"], []).append((r["u"], str(r["k"]), at, n))
+    for r in ranked.select("lang", "u", "t").mapInArrow(features, "lang string, u double, at array<long>, n array<long>").toLocalIterator():
+        if r["at"]:
+            by.setdefault(r["lang"], []).append((r["u"], np.array(r["at"]), np.array(r["n"])))
     names, owner, centres, floor = [], [], [], []
     for lang in sorted(by):
-        picked = sorted(by[lang], key=lambda x: x[:2])[:sample]
+        picked = sorted(by[lang], key=lambda x: x[0])
         x = np.zeros((len(picked), DIMS), np.float32)
-        for i, (_, _, at, n) in enumerate(picked):
+        for i, (_, at, n) in enumerate(picked):
             x[i, at] = np.sqrt(n) * idf[at]
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
         c = _spherical_k_means(x, min(centroids, len(picked)))
@@ -144,7 +155,8 @@ def _spherical_k_means(x: np.ndarray, k: int, rounds: int = 15) -> np.ndarray:
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, lang_pred, score, rejected)`` of every row's whole text. Null texts and texts
-    without a letter are ``und`` with score 0. Ids may repeat or be null."""
+    without a letter are ``und`` with score 0. Ids are numbers and may repeat or be null; other columns
+    are ignored. An empty table gives an empty result."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
