@@ -3,7 +3,7 @@
 Two Zstandard dictionaries are built, one from good and one from bad labelled text. A text is cut
 into chunks of fixed size (all of it, so a dictionary counts to the end of a long text) and each is
 compressed with either dictionary. The difference of the two total sizes over their sum, shifted
-and scaled by a logistic fit, is the probability of a good text.
+and scaled by a logistic fit, is the probability of a good text. Nothing else enters the score.
 """
 
 from __future__ import annotations
@@ -14,19 +14,19 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import col
 
 CHUNK = 2048
 LEVEL = 3
-#: Labelled rows taken per class, the first by a hash of the id: one half builds dictionaries, the
-#: other half fits the calibration.
+#: The bounded sample that the model is fitted on: labelled rows taken per class, the first by a hash of
+#: the id, and of them those whose texts add up to so many bytes. Every other row builds dictionaries,
+#: the rest fits the calibration.
 SAMPLE_PER_CLASS = 1500
+SAMPLE_BYTES = 12_000_000
 DICTIONARY_BYTES = 112 * 1024
-#: A character budget per class for building, which bounds the driver's memory.
-SAMPLE_CHARS = 12_000_000
 
 
 def chunks(text: str | None) -> list[bytes]:
@@ -38,22 +38,24 @@ def chunks(text: str | None) -> list[bytes]:
 class CompressionModel:
     good: bytes
     bad: bytes
-    #: Logistic weights: constant, normalised difference, ratio under the better dictionary.
-    weights: tuple[float, float, float]
+    #: Constant and slope of the logistic calibration.
+    weights: tuple[float, float]
 
-    def features(self, texts: list[str | None]) -> np.ndarray:
+    def difference(self, texts: list[str | None]) -> np.ndarray:
+        """How much smaller each text gets by the good dictionary than by the bad one, normalised."""
+        if not self.weights[1] and not self.good:
+            return np.zeros(len(texts))
         tools = _compressors(self.good, self.bad)
-        out = np.zeros((len(texts), 2))
+        out = np.zeros(len(texts))
         for k, t in enumerate(texts):
             parts = chunks(t)
             g, b = (sum(len(c.compress(x)) for x in parts) for c in tools)
             if g + b:
-                out[k] = (b - g) / (b + g), min(g, b) / sum(map(len, parts))
+                out[k] = (b - g) / (b + g)
         return out
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        x = self.features(texts)
-        z = self.weights[0] + x @ np.array(self.weights[1:])
+        z = self.weights[0] + self.weights[1] * self.difference(texts)
         return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
 
 
@@ -101,45 +103,58 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50
     return np.concatenate([[w[0] - raw @ mean], raw])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE_PER_CLASS) -> CompressionModel:
-    """A model from labelled rows (``labels``: id and label 0/1; null labels are left out), at most
-    ``sample`` of each class. Raises ``ValueError`` if a class has no row with a document."""
-    known = labels.select(col(id_col).alias("k"), col(label_col).cast("int").alias("y")).where("k IS NOT NULL AND y IN (0, 1)").dropDuplicates(["k"])
+def fit(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "quality",
+    sample: int = SAMPLE_PER_CLASS,
+    sample_bytes: int = SAMPLE_BYTES,
+) -> CompressionModel:
+    """A model from labelled rows (``labels``: id and label 0/1) that have a document.
+
+    At most ``sample`` ids of each class are used, the first by a hash of the id, and of their texts
+    those that bring the sum of bytes to at most ``sample_bytes`` in that order; only they reach the
+    driver. Null and other labels, null ids and ids with both labels are left out; of several texts
+    of one id the first by order counts. Without rows of both classes there is nothing to compare:
+    every text gets the smoothed share of label 1, which is 0.5 without any label.
+    """
+    known = (
+        labels.select(col(id_col).alias("k"), col(label_col).cast("int").alias("y")).where("k IS NOT NULL AND y IN (0, 1)")
+        .groupBy("k").agg(F.min("y").alias("y"), F.max("y").alias("most")).where("y = most").select("k", "y", F.xxhash64("k").alias("h"))
+    )
     picked = None
     for y in (0, 1):
-        part = known.where(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(sample)
+        part = known.where(F.col("y") == y).orderBy("h", "k").limit(sample)
         picked = part if picked is None else picked.unionByName(part)
     texts = docs.select(col(id_col).alias("k"), F.coalesce(col(text_col), F.lit("")).alias("t"))
-    rows = sorted(texts.join(F.broadcast(picked), "k").select("k", "y", "t").collect(), key=lambda r: (hash_order(r["k"]), r["k"]))
+    # Text lengths first: what is too long never leaves its task.
+    found = texts.join(F.broadcast(picked), "k").withColumn("bytes", F.octet_length("t")).where(F.col("bytes") <= sample_bytes)
+    found = found.groupBy("y", "h", "k").agg(F.min(F.struct("t", "bytes")).alias("d")).select("y", "h", "k", "d.t", "d.bytes")
+    sums = F.sum("bytes").over(Window.partitionBy("y").orderBy("h", "k").rowsBetween(Window.unboundedPreceding, 0))
+    rows = sorted(found.withColumn("sum", sums).where(F.col("sum") <= sample_bytes).select("y", "h", "k", "t").collect(), key=lambda r: (r["h"], r["k"]))
+    n = {0: 0, 1: 0} | {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     halves: dict[tuple[int, int], list[str]] = {}
-    seen, budget = {0: 0, 1: 0}, {0: SAMPLE_CHARS, 1: SAMPLE_CHARS}
+    seen = {0: 0, 1: 0}
     for r in rows:
-        if budget[r["y"]] > 0:
-            halves.setdefault((r["y"], seen[r["y"]] % 2), []).append(r["t"])
-            seen[r["y"]] += 1
-            budget[r["y"]] -= len(r["t"])
+        halves.setdefault((r["y"], seen[r["y"]] % 2), []).append(r["t"])
+        seen[r["y"]] += 1
     if not seen[0] or not seen[1]:
-        raise ValueError("both labels are needed to fit a quality classifier")
-    first = CompressionModel(build_dictionary(halves[1, 0]), build_dictionary(halves[0, 0]), (0.0, 0.0, 0.0))
+        return CompressionModel(b"", b"", (float(np.log((n[1] + 1) / (n[0] + 1))), 0.0))
+    first = CompressionModel(build_dictionary(halves[1, 0]), build_dictionary(halves[0, 0]), (0.0, 1.0))
     held = [(y, t) for y in (0, 1) for t in halves.get((y, 1), halves[y, 0])]
-    # Rows weigh as their class does among all labelled rows.
-    n = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     y = np.array([v for v, _ in held], float)
-    x = first.features([t for _, t in held])
-    w = _logistic(x, y)
+    w = _logistic(first.difference([t for _, t in held])[:, None], y)
+    # Rows weigh as their class does among all labelled rows.
     prior = np.log(n[1] / n[0]) - np.log(y.sum() / (len(y) - y.sum()))
-    return CompressionModel(first.good, first.bad, (float(w[0] + prior), float(w[1]), float(w[2])))
-
-
-def hash_order(key) -> int:
-    import zlib
-
-    return zlib.crc32(str(key).encode())
+    return CompressionModel(first.good, first.bad, (float(w[0] + prior), float(w[1])))
 
 
 def score(docs: DataFrame, model: CompressionModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, score)`` for every row, in place: null and empty texts get the score of no evidence.
-    The id may be null or repeated; an empty table gives an empty result."""
+    """``(doc_id, score)`` for every row: null and empty texts get the score of no difference. Whole
+    texts count. Ids are numbers and may be null or repeated, equal texts get equal scores, other
+    columns are ignored; an empty table gives an empty result."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
