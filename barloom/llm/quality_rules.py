@@ -27,18 +27,22 @@ def text_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Per row: the id, the columns in ``keep``, the five base counts (long) and the ratios (double).
 
     A null or empty text, or one of white space alone, has no words: all counts and ratios are 0.
-    Repeated rows are computed row by row.
+    Repeated rows are computed row by row. Any id type and any column names will do, but for those of
+    the statistics themselves.
     """
+    # Inside, the columns that pass through have names of their own.
+    names = {c: f"qs_{k}" for k, c in enumerate((id_col, *keep))}
+    own = list(names.values())
     text = F.coalesce(col(text_col), F.lit(""))
     removed = lambda pattern: F.char_length("t") - F.char_length(F.regexp_replace("t", pattern, ""))
-    a = docs.select(col(id_col).alias(id_col), *[col(c) for c in keep], text.alias("t"))
+    a = docs.select(*[col(c).alias(k) for c, k in names.items()], text.alias("t"))
     b = a.select(
-        id_col, *keep, "t",
+        *own, "t",
         F.filter(F.split("t", WS_CLASS), lambda w: w != "").alias("w"),
         F.filter(F.split("t", "\n", -1), lambda x: F.btrim(x, F.lit(ASCII_WS)) != "").alias("lines"),
     )
     c = b.select(
-        id_col, *keep,
+        *own,
         F.size("w").cast("long").alias("n_words"),
         F.char_length(F.array_join("w", "")).cast("long").alias("word_chars"),
         removed(r"[#*$%&|<>]").cast("long").alias("n_symbols"),
@@ -82,7 +86,7 @@ def text_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ]
     # A generator, since a filter on the statistics would else be pushed below these projections
     # and evaluate them anew inside every lambda.
-    return f.select(id_col, *keep, F.inline(F.array(F.struct(*stats))))
+    return f.select(*[F.col(k).alias(c) for c, k in names.items()], F.inline(F.array(F.struct(*stats))))
 
 
 def base_failed() -> Column:
@@ -232,16 +236,19 @@ FEATURES = BASE[2:4] + RATIOS
 
 
 def _learned(stats: DataFrame, labels: DataFrame, id_col: str, **settings) -> DecisionList:
-    """The list for statistics that were computed before: only numbers are joined with labels."""
-    known = labels.select(col(id_col).alias(id_col), F.col("quality")).where(F.col("quality").isNotNull()).dropDuplicates([id_col])
-    rows = stats.select(id_col, *BASE, *RATIOS).where(~base_failed()).join(known, id_col)
-    return learn(rows, "quality", id_col, FEATURES, **settings)
+    """The list for statistics that were computed before: only numbers are joined with labels. Ids that
+    carry both labels are left out."""
+    known = labels.select(col(id_col).alias("qs_id"), F.col("quality").cast("int").alias("qs_label")).where("qs_id IS NOT NULL AND qs_label IN (0, 1)")
+    known = known.groupBy("qs_id").agg(F.min("qs_label").alias("qs_label"), F.max("qs_label").alias("most")).where("qs_label = most").drop("most")
+    rows = stats.select(col(id_col).alias("qs_id"), *BASE, *RATIOS).where(~base_failed()).join(known, "qs_id")
+    return learn(rows, "qs_label", "qs_id", FEATURES, **settings)
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> tuple[DataFrame, DecisionList]:
     """Statistics of all ``docs`` with ``base_failed``, ``rule`` (number of the rule that fired, 0
     if none) and ``kept``; and the list, learned from rows of ``labels`` (id, quality) that have
-    a document. Null ids match no label but are judged like any other row."""
+    a document. Null ids match no label but are judged like any other row; labels other than 0 and 1 and
+    ids with both labels teach nothing; repeated rows are judged alike."""
     stats = materialize(text_stats(docs, id_col, text_col), "text_stats")
     rules = _learned(stats, labels, id_col, **settings)
     return stats.withColumn("base_failed", base_failed()).withColumn("rule", rules.rule_number()).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0)), rules

@@ -43,6 +43,32 @@ def test_learns_separating_rules(spark, make_docs):
     assert kept.columns == docs.columns and {x.doc_id for x in kept.collect()} == {i for i, _ in good}
 
 
+def test_verdict_is_the_first_rule_that_fires_and_rules_hold_on_held_rows(spark, make_docs):
+    """The verdict against plain Python over brute-force statistics, and the list against its own contract."""
+    r = random.Random(5)
+    texts = [(k, " ".join(r.choice(["Word", "w#rd", "wörd!", "12", "|"]) + str(r.randint(0, 900)) for _ in range(r.randint(30, 120)))) for k in range(400)]
+    share = lambda t: t.count("#") / max(1, len(t.split()))
+    labels = spark.createDataFrame([(k, int(share(t) < 0.2)) for k, t in texts if k % 2] + [(3, 0), (3, 1), (5, 7)], "doc_id long, quality int")
+    out, rules = q.judge(make_docs(texts), labels)
+    assert rules.rules and all(x.covered >= 0.9 * (x.covered + x.wrong) for x in rules.rules)
+    for row, text in ((x, dict(texts)[x.doc_id]) for x in out.collect()):
+        n, chars, symbols, _, repeats = brute(text)
+        stats = row.asDict() | {"symbol_share": symbols / n, "mean_word": chars / n}
+        fires = [k for k, rule in enumerate(rules.rules, 1) if all((stats[c.feature] > c.threshold) == c.above for c in rule.conditions)]
+        assert row.rule == (fires[0] if fires else 0)
+        assert row.base_failed == (n < 50 or 100 * repeats > 50 * n) and row.kept == (not row.base_failed and not fires)
+    rejected = [share(dict(texts)[x.doc_id]) >= 0.2 for x in out.collect() if x.doc_id % 2 == 0 and x.rule]
+    assert len(rejected) >= 10 and sum(rejected) >= 0.8 * len(rejected)  # rows that taught nothing
+
+
+def test_ids_of_any_name_and_type(spark):
+    docs = spark.createDataFrame([("a", "word " * 60, 1), ("b", None, 2), (None, "x y z", 3)], "t string, text string, w int")
+    labels = spark.createDataFrame([("a", 1)], "t string, quality int")
+    out, _ = q.judge(docs, labels, "t")
+    assert sorted((x.t or "", x.n_words) for x in out.collect()) == [("", 3), ("a", 60), ("b", 0)]
+    assert q.keep_good(docs, labels, "t").columns == ["t", "text", "w"]
+
+
 def test_without_labels_and_without_rows(spark, make_docs):
     none = spark.createDataFrame([], "doc_id long, quality int")
     out, rules = q.judge(make_docs([(1, "word " * 10), (2, None)]), none)
