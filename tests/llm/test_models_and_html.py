@@ -1,5 +1,13 @@
+import collections
+import html
+import math
 import random
+import re
+import time
+from html.parser import HTMLParser
 
+import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from barloom.llm import language, quality_classifier
@@ -41,6 +49,76 @@ def test_quality_classifier(make_docs, spark):
     assert quality_classifier.score(make_docs([]), model).count() == 0
 
 
+def test_prediction_against_a_plain_version(spark):
+    """TF-IDF vectors as dictionaries, all centroids one by one, over held-out rows of the test table."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    got = language.op5_language_id(spark, "/root/testdata/sf0.01").collect()
+    model = language.fit(docs.where("coalesce(crc32(cast(cast(doc_id AS string) AS binary)) % 3 <> 1, true)"))
+    truth = {r.doc_id: r for r in docs.collect()}
+    held = [r for r in got if r.held_out and truth[r.doc_id].lang is not None]
+    assert len(got) == len(truth) and sum(r.lang_pred == truth[r.doc_id].lang for r in held) >= 0.97 * len(held)
+    checked = 0
+    for r in held[:40]:
+        text = truth[r.doc_id].text or ""
+        s = ""
+        for c in text.lower():
+            s += c if c.isalpha() else " " if s and s[-1] != " " else ""
+        if not s:
+            continue
+        s = f" {s} "
+        at, n = language.ngram_counts(text)
+        v = {int(a): math.sqrt(c) * model.idf[a] for a, c in zip(at, n, strict=True)}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        sims = [sum(x * model.centroids[a, k] for a, x in v.items()) / size for k in range(len(model.owner))]
+        best = max(range(len(sims)), key=sims.__getitem__)
+        assert r.lang_pred == model.languages[model.owner[best]] and abs(r.score - min(1, max(0, sims[best]))) < 1e-6
+        grams = collections.Counter(s[i : i + 2] for i in range(len(s) - 1)) + collections.Counter(s[i : i + 3] for i in range(len(s) - 2))
+        assert sum(n) == sum(grams.values())  # letter pairs and triples of the whole text
+        checked += 1
+    assert checked >= 10
+
+
+def test_language_sample_is_bounded_and_distinct(spark):
+    rows = [(None, "tha ing ere", "aa")] * 3000 + [(7, "sch ung ein", "bb")] * 3000 + [(k, f"ção que {'os' * (k % 5)} lar", "cc") for k in range(200)]
+    train = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(train, sample=50)
+    assert model.languages == ("aa", "bb", "cc") and collections.Counter(model.owner.tolist()) == {0: 1, 1: 1, 2: 4}
+    assert [model.predict(t)[0] for t in ("tha ere", "ung ein", "ção lar")] == ["aa", "bb", "cc"]
+
+
+def test_quality_on_held_out_rows_and_against_plain_sizes(spark):
+    sf = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = quality_classifier.op9_quality_classifier(spark, sf).collect()
+    held = [(r.score, labels[r.doc_id]) for r in rows if r.held_out and labels.get(r.doc_id) is not None]
+    pairs = [(a > b) + 0.5 * (a == b) for a, x in held if x == 1 for b, y in held if y == 0]
+    assert len(pairs) > 200 and sum(pairs) / len(pairs) >= 0.85
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in rows)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    model = quality_classifier.fit(docs, spark.read.parquet(f"{sf}/labels.parquet").where("crc32(cast(cast(doc_id AS string) AS binary)) % 5 <> 0"))
+    texts = {r.doc_id: r.text or "" for r in docs.limit(40).collect()}
+    size = lambda d, raw: sum(len(zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False).compress(raw[i : i + 2048])) for i in range(0, len(raw), 2048))
+    for r in rows:
+        if r.doc_id in texts:
+            g, b = (size(d, texts[r.doc_id].encode()) for d in (model.good, model.bad))
+            z = model.weights[0] + model.weights[1] * ((b - g) / (b + g) if b + g else 0)
+            assert abs(r.score - 1 / (1 + math.exp(-z))) < 1e-9
+
+
+def test_quality_without_classes_and_with_conflicts(make_docs, spark):
+    docs = make_docs([(1, "good text"), (2, "bad text"), (2, "bad text"), (None, "x"), (3, None)])
+    fit = lambda rows, d=docs: quality_classifier.fit(d, spark.createDataFrame(rows, "doc_id long, quality int"))
+    assert fit([]).score(["a", None]).tolist() == [0.5, 0.5]
+    assert fit([(1, 1)]).score(["a"]) == pytest.approx([2 / 3]) and fit([(1, 1), (2, 0)], make_docs([])).score(["a"]) == pytest.approx([0.5])
+    assert fit([(1, 1), (1, 0), (2, 0), (None, 1), (3, 5)]).score(["a"]) == pytest.approx([1 / 3])  # id 1 has both labels
+    for order in ([(1, 1), (1, 0), (2, 0), (3, 1)], [(3, 1), (2, 0), (1, 0), (1, 1)]):
+        assert fit(order).weights == fit([(2, 0), (3, 1)]).weights
+    many = make_docs([(k, "word " * 400) for k in range(60)])
+    small = quality_classifier.fit(many, spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int"), sample_bytes=9000)
+    assert 0 <= small.score(["word"])[0] <= 1
+    assert quality_classifier.score(docs, small).count() == 5
+
+
 PAGE = (
     "<!DOCTYPE html><html><head><title>no</title><style>p{}</style></head><body><p>Hello <b>x</b> a &amp; b<p>two<ul><li>one<li>two<ol start=3><li>n1<li>n2</ol><li>three</ul>"
     "<table><tr><th>A<th>Name<tr><td>1<td>foo bar<tr><td>22<td>b</table>after<div style='display: none'>no<p>no</div><div hidden>no</div><pre>  a\n   b\n</pre>x<br>y"
@@ -104,3 +182,66 @@ def test_text_closes_an_open_head():
     assert extract("<head><title>T</title>Some text") == "Some text"
     assert extract("<html><head>\n<meta charset=x><title>T</title>\n<style>p{}</style> &amp; text <b>all</b>") == "& text all"
     assert extract("<head><noscript>no</noscript><template>no</template>\n</head>x") == "x" and extract("<head><head>< 1") == "< 1"
+
+
+def test_lists_tables_and_visibility():
+    assert extract("<ol><li value=5>a<li>b<li value=x>c</ol>") == "5. a\n6. b\n7. c"
+    assert extract("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>dd<td>e</table>") == "a   b\n    c\ndd  e"
+    assert extract("<table><tr><td>1<td rowspan=0>2<tr><td>3<tr><td>4<td>5</table>") == "1  2\n3\n4     5"
+    assert extract("<table><tr><th colspan=2>head<th>z<tr><td>a<td>b<td>c</table>") == "head  z\na  b  c"
+    assert extract("<div style='visibility:hidden'>no<b style='visibility:visible'>yes</b><p>no</div>") == "yes"
+    assert extract("<details>no<summary>s</summary>no<summary>no</summary><p>no</details>x<details open><summary>t</summary>yes</details>") == "s\nx\nt\nyes"
+    assert extract("<dialog>no</dialog><dialog open>yes</dialog>") == "yes"
+    wide = "w" * 5000
+    assert extract(f"<table><tr><td>{wide}<td>b<tr><td>a<td>{wide}</table>") == f"{wide}  b\na  {wide}"
+
+
+def test_deep_and_long_pages_take_linear_time():
+    for one in ("<div>", "<p><span>", "<blockquote>", "<ul><li>", "<a><b>", "<table><tr><td>", "<svg><g>", "<details open>"):
+        took = []
+        for n in (10_000, 80_000):
+            began = time.process_time()
+            assert extract(one * n + "the end").endswith("the end")
+            took.append(time.process_time() - began)
+        assert took[1] < 16 * took[0] + 1, one
+    assert extract("<p>" + "long text " * 200_000).count("long") == 200_000
+
+
+class Visible(HTMLParser):
+    """Text nodes outside of elements that are never drawn, in order: no tree, no layout."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.off, self.out = [], []
+
+    def handle_starttag(self, tag, attrs):
+        a = dict(attrs)
+        style = (a.get("style") or "").replace(" ", "").lower()
+        if tag in ("script", "style", "title", "noscript", "template", "svg", "textarea") or (("hidden" in a or "display:none" in style) and tag not in ("br", "img", "input", "hr")):
+            self.off.append(tag)
+
+    def handle_endtag(self, tag):
+        if tag in self.off:
+            del self.off[self.off.index(tag) :]
+
+    def handle_data(self, data):
+        if not self.off:
+            self.out.append(data)
+
+
+def test_every_visible_text_node_of_the_test_pages_appears(spark):
+    pages = {r.page_id: r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()}
+    from barloom.llm.html_text import op6_html_text
+
+    got = {r.page_id: r for r in op6_html_text(spark, "/root/testdata/sf0.01").collect()}
+    assert set(got) == set(pages)
+    words = lambda t: re.findall(r"[^\W\d_]+", t)
+    for k, source in pages.items():
+        p = Visible()
+        p.feed(source or "")
+        p.close()
+        want, have = words(" ".join(p.out)), words(got[k].text)
+        assert collections.Counter(have) == collections.Counter(want), k
+        if "<table" not in (source or ""):  # cells of several lines interleave
+            assert have == want, k
+        assert got[k].n_chars == len(got[k].text) and html.unescape("&amp;") == "&"
