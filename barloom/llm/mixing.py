@@ -37,6 +37,11 @@ def poisson_table(rate: Column) -> Column:
     return F.when(rate > 0, F.aggregate(F.sequence(F.lit(1), last), zero, step, lambda acc: acc["all"])).otherwise(F.array(F.lit(1.0)))
 
 
+def key_of(seed: int, id_col: str, copy: str) -> Column:
+    """The hashed key that orders all copies."""
+    return F.xxhash64(F.lit(seed), col(id_col), F.col(copy))
+
+
 def mix(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -80,7 +85,11 @@ def mix(
     u = hashed_uniform(F.lit(seed), col(id_col))
     drawn = joined.withColumn(copy, F.size(F.filter(F.col(cdf), lambda c: c < u))).where(F.col(copy) > 0)
     copies = drawn.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copy))))
-    ordered = copies.withColumn(key, F.xxhash64(F.lit(seed), col(id_col), F.col(copy))).orderBy(key)
+    # Hashed keys are uniform, so ranges of equal width are even and need no sampling: every row is
+    # computed and moved once.
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor((key_of(seed, id_col, copy).cast("double") / 2.0**64 + 0.5) * n))).cast("int")
+    ordered = copies.withColumn(key, key_of(seed, id_col, copy)).repartitionById(n, place).sortWithinPartitions(key)
     kept = [col(c) for c in docs.columns]
     if tags:
         kept += [F.col(copy).alias("copy"), F.col(rate).alias("rate"), F.col(key).alias("mix_key")]
