@@ -8,8 +8,8 @@ each coded on its own:
 * a 64-bit little-endian word holds a selector in its top four bits and ``SELECTORS[s]`` = (count,
   bits) values below, the first one lowest; the widest value set wins at each word, greedily;
 * selector 0 is the escape: one value too wide for 60 bits, found in the page's ``escapes`` list;
-* ``block_words`` has where each block's words begin, so a reader may decode all blocks at once or
-  only those it needs.
+* ``block_words`` and ``block_escapes`` have where each block's words and escapes begin, so a reader
+  may decode all blocks at once (``read_tokens``) or only those it needs (``read_range``).
 
 Coding and decoding run over arrays: all blocks of a page advance by one word per step.
 """
@@ -120,9 +120,21 @@ def unpack_words(words: np.ndarray, escapes: np.ndarray) -> np.ndarray:
     return out
 
 
+def block_escapes(words: np.ndarray, block_words: np.ndarray) -> np.ndarray:
+    """How many escapes lie before each block."""
+    before = np.concatenate([[0], np.cumsum((words >> np.uint64(60)) == 0)])
+    return before[block_words]
+
+
+def unpack_blocks(words: np.ndarray, escapes: np.ndarray, block_words: np.ndarray, escape_starts: np.ndarray, first: int, last: int) -> np.ndarray:
+    """The ids of the blocks ``first`` to ``last`` (left out) of a page; no other word is looked at."""
+    end = block_words[last] if last < len(block_words) else len(words)
+    return unpack_words(words[block_words[first] : end], escapes[escape_starts[first] :])
+
+
 PAGE = (
     "shard int, page int, first_id long, n_ids long, doc_ids array<long>, doc_sizes array<int>, "
-    "block_words array<int>, escapes binary, words binary"
+    "block_words array<int>, block_escapes array<int>, escapes binary, words binary"
 )
 
 
@@ -131,14 +143,16 @@ def write_tokens(
 ) -> str:
     """Encode all ``docs`` into token files under ``path`` (on storage that executors share).
 
-    Ids ascend over shards and within them (null first; rows of one id in the order of their
-    texts). Every row is a document of its own. A null or empty text is the end id alone. An
+    ``id_col`` is a number. Ids ascend over shards and within them (null first); rows of one id, or
+    without any, stand in the order of their texts' hashes, so they may spread over shards. Every
+    row is a document of its own; other columns are ignored. A null or empty text is the end id alone. An
     empty table gives an empty folder of files.
     """
     spark = docs.sparkSession
     source = tokenizer or tokenizer_path("byte_bpe_50k.json")
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text")).repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text"))
+    rows = rows.withColumn("h", F.xxhash64("text")).repartitionByRange(shards, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, shard, page, before = encoder(source, "byte"), TaskContext.get().partitionId(), 0, 0
@@ -155,9 +169,10 @@ def write_tokens(
                 [
                     one(shard, pa.int32()), one(page, pa.int32()), one(before, pa.int64()), one(len(ids), pa.int64()), one(keys, pa.list_(pa.int64())),
                     one(each.tolist(), pa.list_(pa.int32())), one(block_words.tolist(), pa.list_(pa.int32())),
+                    one(block_escapes(words, block_words).tolist(), pa.list_(pa.int32())),
                     one(escapes.astype("<u8").tobytes(), pa.binary()), one(words.astype("<u8").tobytes(), pa.binary()),
                 ],
-                ["shard", "page", "first_id", "n_ids", "doc_ids", "doc_sizes", "block_words", "escapes", "words"],
+                ["shard", "page", "first_id", "n_ids", "doc_ids", "doc_sizes", "block_words", "block_escapes", "escapes", "words"],
             )
             page, before, keys, held, sizes = page + 1, before + len(ids), [], [], []
             return out
@@ -178,19 +193,25 @@ def write_tokens(
     return path
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """One row per document of the token files: ``doc_id, start, n_tokens, ids_crc32, ids``.
-
-    ``start`` counts the ids of all documents before; ``ids`` is an array of long.
-    """
+def _pages(spark: SparkSession, path: str) -> DataFrame:
+    """The pages with ``ahead``, the number of ids in all shards before theirs."""
     pages = spark.read.schema(PAGE).parquet(path)
-    totals = pages.groupBy("shard").agg(F.sum("n_ids").alias("n"))
-    # One row per file of the folder, so the window sees as many rows as there were tasks.
-    ahead = {}
-    at = 0
-    for r in sorted(totals.collect(), key=lambda r: r["shard"]):
+    # One row per file of the folder: as many as there were tasks.
+    ahead, at = {}, 0
+    for r in sorted(pages.groupBy("shard").agg(F.sum("n_ids").alias("n")).collect(), key=lambda r: r["shard"]):
         ahead[r["shard"]], at = at, at + r["n"]
     offsets = materialize(spark.createDataFrame(list(ahead.items()) or [(0, 0)], "shard int, ahead long"), "shard_offsets")
+    return pages.join(bounded_broadcast(offsets, len(ahead)), "shard")
+
+
+def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """One row per document of the token files: ``doc_id, start, n_tokens, ids_crc32, ids``.
+
+    ``start`` counts the ids of all documents before; ``ids`` is an array of long, which ``with_ids``
+    may leave out.
+    """
+    schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<long>" if with_ids else "")
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -198,21 +219,37 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 ids = unpack_words(np.frombuffer(r["words"], "<u8"), np.frombuffer(r["escapes"], "<u8"))
                 sizes = np.array(r["doc_sizes"], np.int64)
                 ends = np.cumsum(sizes)
-                each = [ids[e - n : e].astype("<u4") for e, n in zip(ends, sizes, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(r["doc_ids"], pa.int64()), pa.array(r["ahead"] + r["first_id"] + ends - sizes), pa.array(sizes),
-                        pa.array([crc(x) for x in each], pa.int64()), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids.astype(np.int64))),
-                    ],
-                    ["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
-                )
+                slim = ids.astype("<u4")
+                digests = [crc(slim[e - n : e]) for e, n in zip(ends, sizes, strict=True)]
+                out = [pa.array(r["doc_ids"], pa.int64()), pa.array(r["ahead"] + r["first_id"] + ends - sizes), pa.array(sizes), pa.array(digests, pa.int64())]
+                if with_ids:
+                    out.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids.astype(np.int64))))
+                yield pa.RecordBatch.from_arrays(out, names)
+
+    slim = _pages(spark, path).select("ahead", "first_id", "doc_ids", "doc_sizes", "escapes", "words")
+    return slim.mapInArrow(run, schema)
+
+
+def read_range(spark: SparkSession, path: str, start: int, stop: int) -> DataFrame:
+    """The ids ``start`` to ``stop`` (left out) of the whole corpus as rows ``(start, ids)``, a page each:
+    pages outside the range are not decoded, nor are blocks of the others."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for r in part.to_pylist():
+                base = r["ahead"] + r["first_id"]
+                lo, hi = max(start - base, 0), min(stop - base, r["n_ids"])
+                first, last = lo // BLOCK, -(-hi // BLOCK)
+                ids = unpack_blocks(np.frombuffer(r["words"], "<u8"), np.frombuffer(r["escapes"], "<u8"), np.array(r["block_words"]), np.array(r["block_escapes"]), first, last)
+                ids = ids[lo - first * BLOCK : hi - first * BLOCK].astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([base + lo], pa.int64()), pa.array([ids.tolist()], pa.list_(pa.int64()))], ["start", "ids"])
 
-    small = bounded_broadcast(offsets, len(ahead))
-    slim = pages.join(small, "shard").select("ahead", "first_id", "doc_ids", "doc_sizes", "escapes", "words")
-    return slim.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<long>")
+    begin = F.col("ahead") + F.col("first_id")
+    hit = _pages(spark, path).where((begin < stop) & (begin + F.col("n_ids") > start) & F.lit(start < stop))
+    return hit.select("ahead", "first_id", "n_ids", "block_words", "block_escapes", "escapes", "words").mapInArrow(run, "start long, ids array<long>")
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     path = write_tokens(docs, f"{shared_dir(spark)}/tokens")
-    return read_tokens(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return read_tokens(spark, path, with_ids=False)

@@ -35,6 +35,10 @@ def test_simple8b_round_trip():
             words, starts, escapes = token_files.pack_words(x)
             assert (token_files.unpack_words(words, escapes) == x).all()
             assert len(starts) == -(-n // token_files.BLOCK)
+            at = token_files.block_escapes(words, starts)
+            for lo, hi in ((0, 1), (len(starts) - 1, len(starts)), (len(starts) // 2, len(starts))):
+                if 0 <= lo < len(starts):
+                    assert (token_files.unpack_blocks(words, escapes, starts, at, lo, hi) == x[lo * token_files.BLOCK : hi * token_files.BLOCK]).all()
     zeros, _, _ = token_files.pack_words(np.zeros(480, np.uint64))
     assert len(zeros) == 4
 
@@ -50,6 +54,14 @@ def test_token_files(spark, make_docs):
     order = [-1 if r.doc_id is None else r.doc_id for r in rows]
     assert order == sorted(order)
     assert all(r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes()) and r.n_tokens == len(r.ids) for r in rows)
+    every = [i for r in rows for i in r.ids]
+    for lo, hi in ((0, 5), (700, 2100), (len(every) - 3, len(every) + 9), (5, 5), (-4, 2)):
+        got = sorted(token_files.read_range(spark, path, lo, hi).collect(), key=lambda r: r.start)
+        assert [i for r in got for i in r.ids] == every[max(lo, 0) : max(hi, 0)]
+    slim = token_files.read_tokens(spark, path, with_ids=False)
+    assert slim.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and slim.count() == len(rows)
+    same = token_files.write_tokens(make_docs([(None, f"text {k}") for k in range(400)]), f"{shared_dir(spark)}/n", shards=4)
+    assert len({r.shard for r in spark.read.parquet(same).collect()}) == 4  # rows without an id spread over shards
     empty = token_files.write_tokens(make_docs([]), f"{shared_dir(spark)}/e")
     assert token_files.read_tokens(spark, empty).count() == 0
 
