@@ -150,6 +150,7 @@ def dedup_lines(
             lost = part.join(mine, ["h1", "h2", "d"], "left_anti")
             losses.append(materialize(lost.groupBy("d", "th").agg(F.collect_set("pos").alias("gone")), f"lost{k}"))
             runs.compact()
+        delete_path(spark, held._scratch_path)
     finally:
         runs.close()
         if before is None:
