@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from barloom.llm import line_dedup as lines
 from barloom.llm import minhash, mixing, packing
 from barloom.llm import quality_rules as rules
-from barloom.llm.common import materialize
+from barloom.llm.common import delete_path, keep, materialize, scratch
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +60,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``. A stage's tables go once its result is written, and that goes once
+    the next stage is."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        with scratch(spark):
+            done = keep(materialize(stage(spark, docs, sf_dir), name))
+        before, docs = getattr(docs, "_scratch_path", None), done
+        if before:
+            delete_path(spark, before)
     return docs
