@@ -429,20 +429,33 @@ class Ledger:
     None) is an endpoint known to be final. With neither nothing is ever committed. A bar that
     leaves the strokes as they were costs nothing here, and else only the strokes behind the last
     committed end are looked at.
+
+    What is final is handed out and not kept: of the segments only the last end, of the stable strokes
+    those behind it and a few before. A reader who wants the whole chain collects ``left`` (it is filled
+    if ``collect`` is set) and what ``chain`` has.
     """
 
     machine: StrokeMachine
     trusted: bool = False
     anchor: tuple[int, float, str | None] | None = None
-    entries: list[Committed] = field(default_factory=list)
+    collect: bool = False
+    count: int = 0  # committed segments
+    base: int = 0  # where the last of them ends
     stable: list[Stroke] = field(default_factory=list)
+    cut: int = 0  # stable strokes that were let go
+    left: list[Stroke] = field(default_factory=list)
     resolved_from: int | None = None
     notes: list[tuple[str, int]] = field(default_factory=list)
+    _end_t: int | None = None
     _seen: int = -1
     _last: tuple | None = None
     _bars: int = 0
     _doubt: int = 0  # strokes of the machine from here on may differ from the stable ones
 
+    @property
+    def stable_total(self) -> int:
+        return self.cut + len(self.stable)
+
     def push(self, bar: Bar) -> list[Committed]:
         """One bar on; the segments committed by it."""
         self.machine.push(bar)
@@ -450,31 +463,39 @@ class Ledger:
         if self.machine.version == self._seen:
             return []
         self._seen = self.machine.version
-        base = self.entries[-1].outcome.end if self.entries else 0
-        tail = self._tail(base)
-        keys = (base, *(s.key for s in tail))
+        tail = self._tail(self.base)
+        keys = (self.base, len(tail), hash(tuple(s.key for s in tail)))
         if keys == self._last:
             return []
         self._last = keys
-        return self._advance(tail, base, bar.t_end, self._bars - 1)
+        new = self._advance(tail, self.base, bar.t_end, self._bars - 1)
+        old = self.base - self.machine.margin - self.cut
+        if old > self.machine.margin:
+            if self.collect:
+                self.left += self.stable[:old]
+            del self.stable[:old]
+            self.cut += old
+        return new
 
     def _tail(self, base: int) -> list[Stroke]:
         """The stable strokes from ``base`` on, with what the machine has behind them."""
-        now, k = self.machine.strokes, len(self.stable)
+        now, first, k = self.machine.strokes, self.machine.first, self.stable_total
         self._doubt = min(self._doubt, self.machine.low)
-        self.machine.low = len(now)
+        self.machine.low = self.machine.total
         if not k:
             return list(now)
-        if self._doubt < k and len(now) >= k and all(now[i].key == self.stable[i].key for i in range(self._doubt, k)):
-            self._doubt = k
-        if self._doubt >= k:
-            return self.stable[base:] + now[k:]
+        mine = self.stable[base - self.cut :]
+        if self._doubt < k and self.machine.total >= k and self._doubt >= max(first, self.cut):
+            if all(now[i - first].key == self.stable[i - self.cut].key for i in range(self._doubt, k)):
+                self._doubt = k
+        if self._doubt >= k >= first:
+            return mine + now[k - first :]
         end = self.stable[-1].b.key
         at = next((i for i in range(len(now) - 1, -1, -1) if now[i].a.key == end), None)
-        return self.stable[base:] + (now[at:] if at is not None else [])
+        return mine + (now[at:] if at is not None else [])
 
     def chain(self) -> list[Stroke]:
-        return self._tail(0)
+        return self.left + self._tail(self.cut)
 
     def anchor_position(self, chain: list[Stroke], tolerance: float = 1e-9) -> int | None:
         t, value, mark = self.anchor
@@ -486,7 +507,7 @@ class Ledger:
     def _advance(self, tail: list[Stroke], base: int, at: int, pos: int) -> list[Committed]:
         if not tail:
             return []
-        if self.entries:
+        if self.count:
             found = detect(tail, 0, spare_last=True)
         elif self.trusted:
             found = detect(tail, None, spare_last=True)
@@ -502,18 +523,20 @@ class Ledger:
         ]
         if not new:
             return []
-        if self.entries and new[0].strokes[0].a.t != self.entries[-1].strokes[-1].b.t:
+        if self.count and new[0].strokes[0].a.t != self._end_t:
             self.notes.append(("CONFIRMED_SEGMENT_DIVERGENCE_IGNORED", new[0].strokes[0].a.t))
             return []
-        self.entries += new
+        self.count += len(new)
+        self._end_t = new[-1].strokes[-1].b.t
         if self.resolved_from is None:
             self.resolved_from = 0 if self.trusted else new[0].outcome.start
         covered = max(c.outcome.end for c in new) + 1
         if covered - base > len(tail):
             raise RuntimeError("a new segment reaches beyond the strokes")
-        aligned = self._doubt >= len(self.stable)
-        self.stable += tail[len(self.stable) - base : covered - base]
-        self._doubt = len(self.stable) if aligned else self._doubt
+        aligned = self._doubt >= self.stable_total
+        self.stable += tail[self.stable_total - base : covered - base]
+        self._doubt = self.stable_total if aligned else self._doubt
+        self.base = self.machine.settled = new[-1].outcome.end
         return new
 
 

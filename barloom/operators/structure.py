@@ -145,7 +145,7 @@ class _Structure:
 
     def __init__(self, key: tuple, least: int, trusted: bool, anchor: tuple | None):
         self.key = key
-        self.ledger = seg.Ledger(StrokeMachine(least), trusted, anchor)
+        self.ledger = seg.Ledger(StrokeMachine(least), trusted, anchor, collect=True)
         self.n = 0
 
     def push(self, row: tuple) -> list[tuple]:
@@ -163,7 +163,7 @@ class _Structure:
             _event(
                 kind="segment", idx=idx, layer=layer, direction=strokes[0].direction, start_pos=o.start, end_pos=o.end, start_dt=a.t, end_dt=b.t,
                 start_value=a.value, end_value=b.value, high=max(s.high for s in strokes), low=min(s.low for s in strokes), size=len(strokes),
-                source_start=strokes[0].bars[0].first_t, source_end=strokes[-1].bars[-1].last_t, known_at=max(m.known_at for m in confirm.bars),
+                source_start=strokes[0].source_start, source_end=strokes[-1].source_end, known_at=confirm.known_at,
                 committed_at=c.committed_at if c else None, committed_pos=c.committed_pos if c else None, code=o.confirmation,
                 gap=(o.gap_origin or f).gap, moved=o.gap_origin is not None and o.gap_origin.endpoint != o.end, left_pos=list(f.left.positions),
                 middle_pos=list(f.middle.positions), right_pos=list(f.right.positions), at_pos=o.at,
@@ -173,7 +173,7 @@ class _Structure:
 
     def finish(self) -> list[tuple]:
         led = self.ledger
-        chain, stable = led.chain(), len(led.stable)
+        chain, stable = led.chain(), led.stable_total
         first = led.resolved_from or 0
         out = []
         for i, s in enumerate(chain):
@@ -181,8 +181,8 @@ class _Structure:
             out.append(
                 _event(
                     kind="stroke", idx=i, layer=layer, direction=s.direction, start_dt=s.a.t, end_dt=s.b.t, start_value=s.a.value, end_value=s.b.value,
-                    high=s.high, low=s.low, size=len(s.bars), source_start=s.bars[0].first_t, source_end=s.bars[-1].last_t,
-                    known_at=max(m.known_at for m in s.bars), fingerprint=stroke_print(self.key, s),
+                    high=s.high, low=s.low, size=s.size, source_start=s.source_start, source_end=s.source_end,
+                    known_at=s.known_at, fingerprint=stroke_print(self.key, s),
                 )
             )
         found = seg.detect(chain)
@@ -212,7 +212,7 @@ class _Structure:
             out.append(_event(kind="note", idx=i, layer="segment", code=code, at_pos=p))
         for i, (code, t) in enumerate(led.notes):
             out.append(_event(kind="note", idx=i, layer="ledger", code=code, end_dt=t))
-        out.append(_event(kind="state", idx=0, start_pos=led.resolved_from, end_pos=stable, size=len(chain), at_pos=found.unfinished_from, code=str(len(led.machine.buf))))
+        out.append(_event(kind="state", idx=0, start_pos=led.resolved_from, end_pos=stable, size=len(chain), at_pos=found.unfinished_from, code=str(led.machine.open_bars)))
         return out
 
 

@@ -34,7 +34,8 @@ def committed_segments(bars: DataFrame, least: int = MIN_BARS, trusted: bool = T
     """Segments as they become final, from a stream of bars: an append-only output.
 
     A key's machine is its state, restored from the checkpoint after a failure. Within a batch bars
-    are put in order; a bar not newer than the last one seen is turned away as a row of kind
+    are put in order. The state holds the open part, the strokes behind the last committed end and
+    a fixed number before it, so its size does not grow with the series. A bar not newer than the last one seen is turned away as a row of kind
     ``late`` and changes nothing.
     """
 
@@ -46,10 +47,12 @@ def committed_segments(bars: DataFrame, least: int = MIN_BARS, trusted: bool = T
                 rows.append((*key, "late", -1, None, r.t, None, r.t_end, r.close, None, None))
                 continue
             seen = r.t
-            for c in ledger.push(Bar(n, r.t, r.t_end, r.open, r.high, r.low, r.close, r.volume, r.quote_volume)):
+            before = ledger.count
+            for k, c in enumerate(ledger.push(Bar(n, r.t, r.t_end, r.open, r.high, r.low, r.close, r.volume, r.quote_volume))):
                 a, b = c.strokes[0].a, c.strokes[-1].b
-                rows.append((*key, "segment", len(ledger.entries) - 1, c.strokes[0].direction, a.t, a.value, b.t, b.value, c.outcome.confirmation, c.committed_at))
+                rows.append((*key, "segment", before + k, c.strokes[0].direction, a.t, a.value, b.t, b.value, c.outcome.confirmation, c.committed_at))
             n += 1
+            ledger.machine.notes.clear()
         state.update((pickle.dumps((ledger, seen, n)),))
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in OUT.split(", ")])
 

@@ -1,12 +1,14 @@
 """The sequential cores against hand-built and random series."""
 
+import pickle
 import random
+import time
 
 import pytest
 
 from barloom.operators import segment_machine as seg
 from barloom.operators.inclusion import Bar, InclusionFold
-from barloom.operators.stroke_machine import DOWN, UP, Fractal, Stroke, StrokeMachine, accepted_fractals
+from barloom.operators.stroke_machine import DOWN, UP, Fractal, Stroke, StrokeMachine, extreme
 
 HOUR = 3_600_000_000
 
@@ -32,7 +34,8 @@ def merged(series):
     ],
 )
 def test_fractals(pairs, marks):
-    assert [f.mark for f in accepted_fractals(merged(bars(pairs)))] == marks
+    m = merged(bars(pairs))
+    assert [x for x in map(extreme, m, m[1:], m[2:]) if x] == marks
 
 
 def test_inclusion():
@@ -57,9 +60,9 @@ def test_strokes():
     assert not run(short, 7).strokes and len(run(short, 6).strokes) == 1
     whole = [(10, 8), (9, 7), (11, 9), (12, 10), (13, 11), (15, 13), (14, 12)]
     s = run(whole, 7).strokes
-    assert [(x.direction, len(x.bars)) for x in s] == [(UP, 7)] and not run(whole, 8).strokes
+    assert [(x.direction, x.size) for x in s] == [(UP, 7)] and not run(whole, 8).strokes
     far = run([(10, 8), (9, 7), (11, 9), (12, 10), (14, 12), (11, 9), (13, 11), (16, 14), (15, 13)], 6).strokes
-    assert [(x.b.value, len(x.bars)) for x in far] == [(16, 9)]
+    assert [(x.b.value, x.size) for x in far] == [(16, 9)]
     moved = run(
         [(9, 7), (12, 10), (10, 8), (9, 7), (8, 6), (7, 5), (6.5, 4.5), (6, 4), (8, 6), (9, 7), (10, 8), (11, 9), (12, 10), (14, 12), (11, 9), (5, 3), (9, 7), (10, 8),
          (11, 9), (12, 10), (13, 11), (16, 14), (14, 12)], 6,
@@ -76,10 +79,9 @@ def chain(values, first_bottom=True):
     for i, v in enumerate(values):
         top = (i % 2 == 1) == first_bottom
         h, lo = (v, v - 2) if top else (v + 2, v)
-        m = merged(bars([(h, lo)]))[0]
-        fs.append(Fractal(i, "G" if top else "D", h, lo, m, m))
+        fs.append(Fractal(i, "G" if top else "D", h, lo))
     for a, b in zip(fs, fs[1:]):
-        out.append(Stroke(a, b, (a.left, a.left, b.right)))
+        out.append(Stroke(a, b, 3, a.t, b.t, b.t))
     return out
 
 
@@ -116,10 +118,10 @@ def test_ledger_never_retracts_and_agrees_with_a_rescan(seed):
         seen += new
         now = led.chain()
         assert [s.key for s in now[: len(led.stable)]] == [s.key for s in led.stable]
-    assert seen == led.entries and len(seen) > 3
+    assert len(seen) == led.count > 3
     full = [(o.start, o.end, o.confirmation) for o in seg.detect(led.chain()).segments]
-    assert [(c.outcome.start, c.outcome.end, c.outcome.confirmation) for c in led.entries] == full[: len(seen)]
-    for a, b in zip(led.entries, led.entries[1:]):
+    assert [(c.outcome.start, c.outcome.end, c.outcome.confirmation) for c in seen] == full[: len(seen)]
+    for a, b in zip(seen, seen[1:]):
         assert a.strokes[-1].b.key == b.strokes[0].a.key and len(b.strokes) % 2 == 1
 
 
@@ -132,18 +134,63 @@ def test_short_stretches_decide_like_the_whole_chain():
     assert all(seg._scan(s, k, len(s))[:4] == seg.scan(s, k)[:4] for k in range(0, len(s) - 3, 3))
 
 
+def committed(ledger, series):
+    return [c for b in series for c in ledger.push(b)]
+
+
 def test_left_edge():
     series = walk(3000, 3)
-    full = seg.Ledger(StrokeMachine(6), trusted=True)
-    none = seg.Ledger(StrokeMachine(6))
-    for b in series:
-        full.push(b)
-        none.push(b)
-    assert full.entries and not none.entries
-    start = full.entries[2].strokes[0].a
-    part = seg.Ledger(StrokeMachine(6), anchor=(start.t, start.value, start.mark))
-    for b in [b for b in series if b.t >= start.t - 600 * 60_000_000]:
-        part.push(b)
-    ours = [(c.strokes[0].a.t, c.strokes[-1].b.t) for c in part.entries]
-    theirs = [(c.strokes[0].a.t, c.strokes[-1].b.t) for c in full.entries]
+    full, none = committed(seg.Ledger(StrokeMachine(6), trusted=True), series), committed(seg.Ledger(StrokeMachine(6)), series)
+    assert full and not none
+    start = full[2].strokes[0].a
+    part = committed(seg.Ledger(StrokeMachine(6), anchor=(start.t, start.value, start.mark)), [b for b in series if b.t >= start.t - 600 * 60_000_000])
+    ours = [(c.strokes[0].a.t, c.strokes[-1].b.t) for c in part]
+    theirs = [(c.strokes[0].a.t, c.strokes[-1].b.t) for c in full]
     assert not ours or any(theirs[k : k + len(ours)] == ours for k in range(len(theirs)))
+
+
+def test_state_stays_flat_and_nothing_depends_on_what_is_forgotten():
+    series = walk(60_000, 5)
+    short, whole = seg.Ledger(StrokeMachine(6, margin=16), trusted=True), seg.Ledger(StrokeMachine(6, margin=10**9), trusted=True, collect=True)
+    sizes, got, want = [], [], []
+    for k, b in enumerate(series):
+        got += short.push(b)
+        want += whole.push(b)
+        short.machine.notes.clear()
+        if k in (19_999, 59_999):
+            sizes.append(len(pickle.dumps(short)))
+    assert got == want and len(got) > 100 and sizes[1] < 1.5 * sizes[0] < 300_000
+    some = seg.Ledger(StrokeMachine(6, margin=16), trusted=True, collect=True)
+    assert committed(some, series[:20_000]) == [c for c in want if c.committed_pos < 20_000]
+    again = seg.Ledger(StrokeMachine(6, margin=10**9), trusted=True, collect=True)
+    committed(again, series[:20_000])
+    assert [s.key for s in some.chain()] == [s.key for s in again.chain()] and some.cut > 0
+
+
+def test_a_long_trend_takes_linear_time():
+    took = []
+    for n in (5_000, 40_000):
+        m, began = StrokeMachine(7), time.process_time()
+        for i in range(n):
+            p = i + (3.0 if i % 4 == 0 else 0.0)
+            m.push(Bar(i, i * HOUR, i * HOUR + 1, p, p + 1, p - 1, p, 1.0, 1.0))
+        took.append(time.process_time() - began)
+    assert took[1] < 16 * took[0] + 0.5
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_liveness_and_tail_coverage(seed):
+    """On random walks with spikes: commits go on, and the feature scan reaches the last strokes."""
+    r, led, last = random.Random(seed), seg.Ledger(StrokeMachine(6), trusted=True), 0
+    for b in walk(700, seed):
+        if r.random() < 0.02:
+            b = b._replace(high=b.high + 6 * r.random(), low=b.low - 6 * r.random())
+        led.push(b)
+        assert led.base >= last
+        last = led.base
+    chain = led.chain()
+    found = seg.detect(chain)
+    assert all(s.b.key == t.a.key and s.direction != t.direction for s, t in zip(chain, chain[1:]))
+    assert not [n for n in led.notes if n[0] != "CONFIRMED_SEGMENT_DIVERGENCE_IGNORED"]
+    if found.scans and len(chain) >= 4:
+        assert max(e.positions[-1] for o in found.scans for _, e in seg.elements_of(o)) >= len(chain) - 3
