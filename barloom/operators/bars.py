@@ -102,6 +102,17 @@ def snapshot(history: DataFrame, latest: DataFrame, cutoff: Column, limit: int)
     ).drop("__rank", "__closed")
 
 
+def revised(feed: DataFrame, arrival: str) -> DataFrame:
+    """A feed of bars in order of ``arrival`` with what becomes of each: ``current``, ``revised`` (a later
+    row has its open time, as long as no newer bar had come) or ``late`` (a newer bar came before). The
+    ``current`` rows are the series to analyse; late ones change nothing."""
+    order = Window.partitionBy(*KEYS).orderBy(arrival)
+    newest = F.max("open_time").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    seen = feed.withColumn("__late", F.coalesce(F.col("open_time") < newest, F.lit(False)))
+    again = F.lead(arrival).over(Window.partitionBy(*KEYS, "open_time", "__late").orderBy(arrival)).isNotNull()
+    return seen.withColumn("state", F.when(F.col("__late"), "late").when(again, "revised").otherwise("current")).drop("__late")
+
+
 def all_bars(snap: DataFrame) -> DataFrame:
     """Closed bars and the strictly newer current one."""
     newest = F.max(F.when(F.col("is_closed"), F.col("open_time"))).over(Window.partitionBy(*KEYS))

@@ -161,27 +161,70 @@ def sell_points(p: DataFrame) -> DataFrame:
 
 def structure_issues(segments: DataFrame, strokes: DataFrame | None = None) -> DataFrame:
     """The first broken rule of each key's segments: an odd number of at least three strokes, an end in
-    the segment's direction, alternation, shared endpoints. A key in here gets no formal points."""
+    the segment's direction, alternation, shared endpoints. With ``strokes`` also their inside: the first
+    stroke's direction, the ends of the inner chain, its alternation and shared endpoints, a range that
+    the first three have in common. A key in here gets no formal points."""
     w = Window.partitionBy(*K).orderBy("pos")
     prev = F.lag(F.struct("direction", "end_dt", "end_value")).over(w)
-    code = (
-        F.when((F.col("size") < 3) | (F.col("size") % 2 == 0), "STROKE_COUNT")
-        .when((F.col("direction") == "up") & (F.col("end_value") <= F.col("start_value")), "ENDPOINT_DIRECTION")
-        .when((F.col("direction") == "down") & (F.col("end_value") >= F.col("start_value")), "ENDPOINT_DIRECTION")
-        .when(F.col("direction") == F.col("__p.direction"), "NOT_ALTERNATING")
-        .when((F.col("start_dt") != F.col("__p.end_dt")) | (F.abs(F.col("start_value") - F.col("__p.end_value")) > EPS), "ENDPOINT_NOT_SHARED")
+    apart = lambda a, b: F.abs(F.col(a) - F.col(b)) > EPS
+    code = F.when((F.col("size") < 3) | (F.col("size") % 2 == 0), "STROKE_COUNT")
+    rows = segments
+    if strokes is not None:
+        before = F.lag(F.struct("direction", "end_dt", "end_value")).over(w)
+        s = strokes.withColumn("b", before).select(
+            *K, F.col("pos").alias("sp"), F.col("direction").alias("sd"), "high", "low", "start_dt", "start_value", "end_dt", "end_value",
+            (F.col("direction") == F.col("b.direction")).alias("same"), ((F.col("start_dt") != F.col("b.end_dt")) | (F.abs(F.col("start_value") - F.col("b.end_value")) > EPS)).alias("torn"),
+        )
+        at = segments.select(*K, "pos", "start_pos", F.explode(F.sequence(F.col("start_pos"), F.greatest("start_pos", F.col("end_pos") - 1))).alias("sp"))
+        later, three = F.col("sp") > F.col("start_pos"), F.col("sp") < F.col("start_pos") + 3
+        inner = at.join(s, [*K, "sp"]).groupBy(*K, "pos").agg(
+            F.min_by("sd", "sp").alias("i_direction"), F.min_by(F.struct("start_dt", "start_value"), "sp").alias("i_a"), F.max_by(F.struct("end_dt", "end_value"), "sp").alias("i_b"),
+            F.bool_or(later & F.col("same")).alias("i_same"), F.bool_or(later & F.col("torn")).alias("i_torn"),
+            F.max(F.when(three, F.col("low"))).alias("i_low"), F.min(F.when(three, F.col("high"))).alias("i_high"),
+        )
+        rows = rows.join(inner, [*K, "pos"], "left")
+        code = code.when(~F.col("direction").eqNullSafe(F.col("i_direction")), "FIRST_STROKE_DIRECTION")
+    code = code.when((F.col("direction") == "up") & (F.col("end_value") <= F.col("start_value")), "ENDPOINT_DIRECTION").when(
+        (F.col("direction") == "down") & (F.col("end_value") >= F.col("start_value")), "ENDPOINT_DIRECTION"
+    )
+    if strokes is not None:
+        code = (
+            code.when((F.col("start_dt") != F.col("i_a.start_dt")) | apart("start_value", "i_a.start_value") | (F.col("end_dt") != F.col("i_b.end_dt")) | apart("end_value", "i_b.end_value"), "ENDPOINT_STROKES")
+            .when(F.col("i_same"), "INNER_NOT_ALTERNATING").when(F.col("i_torn"), "INNER_ENDPOINT_NOT_SHARED").when(F.col("i_low") > F.col("i_high") + EPS, "FIRST_THREE_APART")
+        )
+    code = code.when(F.col("direction") == F.col("__p.direction"), "NOT_ALTERNATING").when(
+        (F.col("start_dt") != F.col("__p.end_dt")) | (F.abs(F.col("start_value") - F.col("__p.end_value")) > EPS), "ENDPOINT_NOT_SHARED"
     )
-    rows = segments.withColumn("__p", prev).withColumn("code", code).where("code IS NOT NULL")
+    rows = rows.withColumn("__p", prev).withColumn("code", code).where("code IS NOT NULL")
     return rows.groupBy(*K).agg(F.min_by(F.struct("pos", "code"), "pos").alias("f")).select(*K, "f.pos", "f.code")
 
 
-def provenance_issues(segments: DataFrame) -> DataFrame:
-    """The first segment of each key without a commit time at or behind its own end."""
+def provenance_issues(segments: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
+    """The first segment of each key without a commit time at or behind its own end. With ``evidence``
+    (pos, fingerprint, committed_at) also: evidence without its segment or the other way round, evidence
+    of another segment; the commit time is then the evidence's."""
+    rows = segments
     code = F.when(F.col("committed_at").isNull(), "NOT_COMMITTED").when(F.col("committed_at") < F.greatest("end_dt", "source_end"), "COMMITTED_BEFORE_END")
-    rows = segments.withColumn("code", code).where("code IS NOT NULL")
+    if evidence is not None:
+        e = evidence.select(*K, "pos", F.col("fingerprint").alias("of_print"), "committed_at", F.lit(True).alias("has"))
+        rows = segments.drop("committed_at").withColumn("there", F.lit(True)).join(e, [*K, "pos"], "full_outer")
+        code = (
+            F.when(F.col("has").isNull(), "EVIDENCE_MISSING").when(F.col("there").isNull(), "SEGMENT_MISSING").when(~F.col("fingerprint").eqNullSafe(F.col("of_print")), "EVIDENCE_OF_ANOTHER")
+            .when(F.col("committed_at").isNull(), "NOT_COMMITTED").when(F.col("committed_at") < F.greatest("end_dt", "source_end"), "COMMITTED_BEFORE_END")
+        )
+    rows = rows.withColumn("code", code).where("code IS NOT NULL")
     return rows.groupBy(*K).agg(F.min_by(F.struct("pos", "code"), "pos").alias("f")).select(*K, "f.pos", "f.code")
 
 
+def formal_issues(given: DataFrame, judged: DataFrame, segments: DataFrame, strokes: DataFrame | None = None, evidence: DataFrame | None = None) -> DataFrame:
+    """What is wrong with published points: of a key whose segments fail a gate the gate's finding alone,
+    of any other the points that a recomputation does not give."""
+    gate = structure_issues(segments, strokes).withColumn("rule", F.lit("structure")).unionByName(provenance_issues(segments, evidence).withColumn("rule", F.lit("provenance")))
+    shut = gate.select(*K).distinct()
+    points_ = recheck(given.join(shut, K, "left_anti"), judged.join(shut, K, "left_anti"))
+    return gate.select(*K, "rule", F.col("pos").alias("segment_pos"), "code").unionByName(points_.select(*K, F.lit("points").alias("rule"), "segment_pos", "code"))
+
+
 def recheck(given: DataFrame, judged: DataFrame) -> DataFrame:
     """Given points against a recomputation: what is missing, invented or differs."""
     a = given.select(*K, "point_type", "segment_pos", F.col("price").alias("given_price"), F.col("dt").alias("given_dt"))

@@ -74,11 +74,13 @@ def fractals(merged: DataFrame) -> DataFrame:
 class _Macd:
     FAST, SLOW, SIGNAL = 2 / 13, 2 / 27, 2 / 10
 
-    def __init__(self, start: tuple[float, float, float] | None):
-        self.state = start
+    def __init__(self) -> None:
+        self.state: tuple[float, float, float] | None = None
 
     def push(self, row: tuple) -> list[tuple]:
-        pos, close = row
+        pos, close, *before = row
+        if self.state is None and before and before[0] is not None:
+            self.state = tuple(before)
         if self.state is None:
             self.state = (close, close, 0.0)
             return [(pos, close, close, 0.0, 0.0)]
@@ -94,11 +96,15 @@ class _Macd:
         return []
 
 
-def macd(bars: DataFrame, anchors: dict[tuple[str, str], tuple[float, float, float]] | None = None) -> DataFrame:
+def macd(bars: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
     """12/26/9 MACD of each key: ``pos, ema_fast, ema_slow, dea, hist``. The first close seeds both
-    averages, unless ``anchors`` (few rows, per key) continues an earlier series."""
-    anchors = anchors or {}
-    return keyed_fold(bars, ["pos", "close"], ["pos"], lambda key: _Macd(anchors.get(key)), "pos long, ema_fast double, ema_slow double, dea double, hist double")
+    averages, unless ``anchors`` (key, ema_fast, ema_slow, dea; one row a key) continue an earlier series."""
+    columns = ["pos", "close"]
+    if anchors is not None:
+        seed = ["ema_fast", "ema_slow", "dea"]
+        bars = bars.select(*KEYS, *columns).join(anchors.select(*KEYS, *seed), list(KEYS), "left")
+        columns += seed
+    return keyed_fold(bars, columns, ["pos"], lambda key: _Macd(), "pos long, ema_fast double, ema_slow double, dea double, hist double")
 
 
 def macd_anchor(values: DataFrame, bars: DataFrame) -> DataFrame:

@@ -22,19 +22,27 @@ def as_of(rows: DataFrame, marks: DataFrame, row_time: str, mark_time: str, colu
     return both.where("__o = 1").select(*K, "__r.*", *[F.col(f"__m.{c}").alias(f"of_{c}") for c in columns])
 
 
-def stroke_issues(strokes: DataFrame, fractals: DataFrame, least: int = MIN_BARS) -> DataFrame:
-    """Wrong direction, too short, not alternating, endpoint not shared, or an inner fractal of the
-    start's mark that goes beyond the start."""
+def stroke_issues(strokes: DataFrame, raw_fractals: DataFrame, least: int = MIN_BARS) -> DataFrame:
+    """Wrong direction, too short, not alternating, endpoint not shared, or (but for a key's first stroke)
+    a fractal of its own that has the start's mark and goes beyond the start. A stroke may break several.
+
+    A stroke's own fractals are the raw ones between its ends; one with the mark of the fractal before it
+    does not count, unless that one is the start.
+    """
     w = Window.partitionBy(*K).orderBy("pos")
     prev = F.lag(F.struct("direction", "end_dt", "end_value")).over(w)
-    code = (
-        F.when((F.col("direction") == "up") & (F.col("end_value") <= F.col("start_value")), "DIRECTION_MARK_MISMATCH")
-        .when((F.col("direction") == "down") & (F.col("end_value") >= F.col("start_value")), "DIRECTION_MARK_MISMATCH")
-        .when(F.col("length") < least, "STROKE_TOO_SHORT").when(F.col("direction") == F.col("__p.direction"), "DIRECTION_NOT_ALTERNATING")
-        .when((F.col("start_dt") != F.col("__p.end_dt")) | (F.col("start_value") != F.col("__p.end_value")), "ENDPOINT_NOT_SHARED")
-    )
-    rules = strokes.withColumn("__p", prev).withColumn("code", code).where("code IS NOT NULL").select(*K, "pos", "code")
-    inner = as_of(fractals, strokes, "dt", "start_dt", ["pos", "direction", "start_dt", "end_dt", "start_value"]).where("dt > of_start_dt AND dt < of_end_dt")
+    up = F.col("direction") == "up"
+    codes = F.array_compact(F.array(
+        F.when(up != (F.col("end_value") > F.col("start_value")), F.lit("DIRECTION_MARK_MISMATCH")), F.when(F.col("length") < least, F.lit("STROKE_TOO_SHORT")),
+        F.when(F.col("direction") == F.col("__p.direction"), F.lit("DIRECTION_NOT_ALTERNATING")),
+        F.when((F.col("start_dt") != F.col("__p.end_dt")) | (F.col("start_value") != F.col("__p.end_value")), F.lit("ENDPOINT_NOT_SHARED")),
+    ))
+    rules = strokes.withColumn("__p", prev).select(*K, "pos", F.explode(codes).alias("code"))
+    later = strokes.withColumn("__n", F.row_number().over(w)).where("__n > 1").drop("__n")
+    wf = Window.partitionBy(*K).orderBy("mpos")
+    f = raw_fractals.withColumns({"before": F.lag(F.struct("dt", "mark")).over(wf)}).select(*K, "dt", "mark", "value", "before")
+    inner = as_of(f, later, "dt", "start_dt", ["pos", "direction", "start_dt", "start_value", "end_dt"]).where("dt > of_start_dt AND dt < of_end_dt")
+    inner = inner.where("before.dt = of_start_dt OR before.mark <> mark")
     stale = inner.where("(of_direction = 'up' AND mark = 'D' AND value < of_start_value) OR (of_direction = 'down' AND mark = 'G' AND value > of_start_value)")
     return rules.unionByName(stale.select(*K, F.col("of_pos").alias("pos"), F.lit("STALE_SHARED_ENDPOINT").alias("code")).distinct())
 

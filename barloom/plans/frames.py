@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import legacy_segments, zones
 from ..operators.folds import KEYS
 from .analysis import Analysis
 
@@ -48,14 +49,19 @@ def frames(a: Analysis) -> dict[str, DataFrame]:
         "feature_elements": a.feature_elements.select(*[joined(c) if c == "positions" else F.col(c) for c in a.feature_elements.columns]),
         "feature_fractals": a.feature_fractals.select(*[joined(c) if c in ("left_pos", "middle_pos", "right_pos") else F.col(c) for c in a.feature_fractals.columns]),
         "unresolved_prefix": a.segment_overlay.where("reason IN ('LEFT_PREFIX', 'UNRESOLVED_BOUNDARY')"),
-        "unfinished_segment": a.segment_overlay.where("reason = 'RIGHT_TAIL'"),
+        "unresolved_prefix_strokes": a.strokes.where("layer = 'left_unresolved'"),
+        "unfinished_segment": a.unfinished_strokes,
+        "unfinished_segments": a.segment_overlay.where("reason = 'RIGHT_TAIL'"),
         "unfinished_bars": a.merged.join(last, K, "left").where("last_end IS NULL OR dt > last_end").drop("last_end"),
         "stroke_zones": a.stroke_zones,
+        "stroke_zone_groups": zones.stroke_zone_groups(a.strokes),
         "stroke_zone_candidates": a.stroke_zone_candidates,
         "segment_zones": a.segment_zones,
         "segment_zone_candidates": a.segment_zone_candidates,
         "trading_points": a.trading_points.select(*[joined(c) if c == "related" else F.col(c) for c in a.trading_points.columns]),
         "trading_point_candidates": a.judged.select(*[joined(c) if c == "related" else F.col(c) for c in a.judged.columns]),
+        "trend_divergences": a.divergences,
+        "segment_markers": legacy_segments.endpoints(a.segments).withColumn("mark", label("mark")),
         "diagnostics": a.diagnostics,
         "projected_strokes": a.projected_stroke,
         "projected_segments": a.projected_segment,

@@ -64,8 +64,8 @@ CHAIN = """runs AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol, interval, run ORDER BY CASE WHEN mark = 'G' THEN value ELSE -value END DESC, mpos DESC) AS rn FROM runs) WHERE rn = 1
 ), unit AS (
   SELECT symbol, interval, row_number() OVER (PARTITION BY symbol, interval ORDER BY mpos) - 1 AS pos, CASE WHEN mark = 'D' THEN 'up' ELSE 'down' END AS direction,
-         dt AS start_dt, value AS start_value, end_dt, end_value, greatest(value, end_value) AS high, least(value, end_value) AS low
-  FROM (SELECT *, lead(dt) OVER w AS end_dt, lead(value) OVER w AS end_value FROM ends WINDOW w AS (PARTITION BY symbol, interval ORDER BY mpos)) WHERE end_dt IS NOT NULL
+         dt AS start_dt, value AS start_value, end_dt, end_value, greatest(value, end_value) AS high, least(value, end_value) AS low, end_mpos - mpos + 3 AS length
+  FROM (SELECT *, lead(dt) OVER w AS end_dt, lead(value) OVER w AS end_value, lead(mpos) OVER w AS end_mpos FROM ends WINDOW w AS (PARTITION BY symbol, interval ORDER BY mpos)) WHERE end_dt IS NOT NULL
 )"""
 
 MACD = """macd(symbol, interval, pos, open_time, f, s, dea, hist) AS (
@@ -169,6 +169,38 @@ THIRD = """gone AS (
 )"""
 
 
+# A chain with faults, each unit with the one before it that is still there.
+DAMAGED = """faulty AS (
+  SELECT *, lag(direction) OVER w AS pd, lag(end_dt) OVER w AS pe, lag(end_value) OVER w AS pv, row_number() OVER w AS nr
+  FROM (SELECT * EXCLUDE (end_value), CASE WHEN pos % 13 = 3 THEN start_value - (end_value - start_value) ELSE end_value END AS end_value FROM unit WHERE pos % 11 <> 5)
+  WINDOW w AS (PARTITION BY symbol, interval ORDER BY pos)
+)"""
+
+POINTS = """point AS (
+  SELECT symbol, interval, pos, start_dt AS dt, start_value AS value, CASE WHEN direction = 'up' THEN 'D' ELSE 'G' END AS mark FROM unit
+  UNION ALL
+  SELECT symbol, interval, max(pos) + 1, arg_max(end_dt, pos), arg_max(end_value, pos), CASE WHEN arg_max(direction, pos) = 'up' THEN 'G' ELSE 'D' END FROM unit GROUP BY symbol, interval
+)"""
+
+SEEDS = """seed AS (
+  SELECT symbol, interval, pos AS start_pos, zg, zd FROM (
+    SELECT *, least(high, lead(high, 1) OVER w, lead(high, 2) OVER w) AS zg, greatest(low, lead(low, 1) OVER w, lead(low, 2) OVER w) AS zd, lead(pos, 2) OVER w AS last FROM unit WINDOW w AS (PARTITION BY symbol, interval ORDER BY pos))
+  WHERE last IS NOT NULL AND zg >= zd
+)"""
+
+# The same grouping over the units behind the first group.
+TAIL_GROUPS = """head AS (
+  SELECT symbol, interval, max(pos) AS cut FROM grp WHERE g = 0 GROUP BY symbol, interval
+), grp2(symbol, interval, pos, g, r, zg, zd) AS (
+  SELECT u.symbol, u.interval, u.pos, CAST(0 AS BIGINT), CAST(1 AS BIGINT), high, low FROM unit u JOIN head h ON h.symbol = u.symbol AND h.interval = u.interval AND u.pos = h.cut + 1
+  UNION ALL
+  SELECT symbol, interval, pos, CASE WHEN apart THEN g + 1 ELSE g END, CASE WHEN apart THEN 1 ELSE r + 1 END,
+         CASE WHEN apart THEN high WHEN r < 3 THEN least(zg, high) ELSE zg END, CASE WHEN apart THEN low WHEN r < 3 THEN greatest(zd, low) ELSE zd END
+  FROM (SELECT u.*, x.g, x.r, x.zg, x.zd, CASE WHEN u.direction = 'up' THEN u.high < x.zd ELSE u.low > x.zg END AS apart
+        FROM grp2 x JOIN unit u ON u.symbol = x.symbol AND u.interval = x.interval AND u.pos = x.pos + 1)
+)"""
+
+
 def point_rows(name: str) -> str:
     return f"""SELECT p.symbol, p.interval, p.point_type, p.status, p.reason, p.zone, p.segment_pos, u.end_dt AS dt, p.price
 FROM {name} p LEFT JOIN unit u ON u.symbol = p.symbol AND u.interval = p.interval AND u.pos = p.segment_pos"""
@@ -202,11 +234,85 @@ ORACLES: dict[str, str] = {
   CASE event_id % 6 WHEN 0 THEN ts + INTERVAL 5 MINUTE WHEN 1 THEN ts + INTERVAL 4 HOUR WHEN 2 THEN ts + INTERVAL 3 DAY WHEN 3 THEN ts + INTERVAL 14 DAY WHEN 4 THEN ts + INTERVAL 1 MONTH END AS next_open,
   CAST(CASE event_id % 6 WHEN 0 THEN 300 WHEN 1 THEN 14400 WHEN 2 THEN 259200 WHEN 3 THEN 1209600 WHEN 4 THEN 2592000 END AS BIGINT) AS seconds FROM events""",
     "last_n_bars": query([BY_USER], "SELECT symbol, open_time, close FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY open_time DESC) AS rn FROM by_user) WHERE rn <= 5"),
-    "snapshot_merge": query([BY_TYPE], """SELECT symbol, interval, open_time, close, is_closed FROM (
+    "snapshot_merge": query([BY_TYPE, "e AS (SELECT max(open_time) AS end_ FROM by_type)"], """SELECT symbol, interval, open_time, close, is_closed FROM (
   SELECT *, row_number() OVER (PARTITION BY symbol, is_closed ORDER BY open_time DESC) AS rn, max(CASE WHEN is_closed THEN open_time END) OVER (PARTITION BY symbol) AS mx FROM (
-    SELECT symbol, interval, open_time, CASE WHEN open_time >= TIMESTAMP '2024-01-18 12:00:00' THEN close + 1 ELSE close END AS close, close_time <= TIMESTAMP '2024-01-20 11:00:00' AS is_closed
-    FROM by_type WHERE open_time <= TIMESTAMP '2024-01-20 08:00:00'))
+    SELECT symbol, interval, open_time, CASE WHEN open_time >= end_ - INTERVAL 46 HOUR THEN close + 1 ELSE close END AS close, close_time <= end_ + INTERVAL 3 HOUR AS is_closed FROM by_type, e))
   WHERE (is_closed AND rn <= 40) OR (NOT is_closed AND rn = 1 AND (mx IS NULL OR open_time > mx))"""),
+    "all_bars": query([BY_TYPE], """SELECT symbol, interval, open_time, close, is_closed FROM (
+  SELECT *, max(CASE WHEN is_closed THEN open_time END) OVER (PARTITION BY symbol) AS mx FROM (
+    SELECT *, CASE WHEN length(symbol) % 3 = 0 THEN n <> 2 ELSE n <> 1 END AS is_closed FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY open_time DESC) AS n FROM by_type)))
+  WHERE is_closed OR mx IS NULL OR open_time > mx"""),
+    "revised_bars": query([BY_TYPE, """b AS (
+  SELECT symbol, interval, open_time, close, row_number() OVER (PARTITION BY symbol ORDER BY open_time) AS n FROM by_type
+), r AS (
+  SELECT symbol, interval, open_time, close, n * 10 AS arrival FROM b UNION ALL SELECT symbol, interval, open_time, close + 1, n * 10 + 1 FROM b WHERE n % 7 = 0
+  UNION ALL SELECT symbol, interval, open_time - INTERVAL 5 HOUR, close, n * 10 + 2 FROM b WHERE n % 9 = 0 AND n > 1
+), f AS (
+  SELECT *, coalesce(open_time < max(open_time) OVER (PARTITION BY symbol ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), FALSE) AS late FROM r
+)"""], """SELECT symbol, interval, open_time, close, arrival, CASE WHEN late THEN 'late' WHEN lead(arrival) OVER (PARTITION BY symbol, open_time, late ORDER BY arrival) IS NOT NULL THEN 'revised' ELSE 'current' END AS state FROM f"""),
+    "klines": """SELECT 'EVT' AS symbol, date_trunc('millisecond', ts) AS open_time, date_trunc('millisecond', ts) + INTERVAL 59999 MILLISECOND AS close_time,
+  1.5e0 AS open, 2.5e0 AS high, 0.5e0 AS low, 2e0 AS close, CAST(event_id % 50 AS DOUBLE) AS volume, 10.25e0 AS quote_volume, event_id % 7 AS trade_count FROM events""",
+    "macd_anchor": query([*ONE[:2], MERGED, MACD], "SELECT symbol, interval, open_time, f AS ema_fast, s AS ema_slow, dea, pos + 1 AS processed_bar_count FROM macd WHERE pos = (SELECT max(pos) FROM macd)"),
+    "macd_anchor_issues": query([BY_TYPE, "b AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY open_time) - 1 AS pos FROM by_type)"], """SELECT symbol, interval, code FROM (
+  SELECT a.symbol, a.interval, CASE WHEN f.t IS NULL THEN 'NO_BARS' WHEN f.t <= a.open_time THEN 'NOT_AFTER_ANCHOR' WHEN f.t <= a.close_time THEN 'OVERLAPS_ANCHOR' WHEN f.t <> a.open_time + INTERVAL 4 HOUR THEN 'NOT_CONTIGUOUS' END AS code
+  FROM (SELECT * FROM b WHERE pos = 19) a LEFT JOIN (SELECT symbol, min(open_time) AS t FROM b WHERE pos >= CASE length(symbol) % 4 WHEN 0 THEN 20 WHEN 1 THEN 19 WHEN 2 THEN 22 ELSE 1000000000 END GROUP BY symbol) f ON f.symbol = a.symbol)
+  WHERE code IS NOT NULL"""),
+    "stroke_faults": query([*BOTH, DAMAGED], """SELECT symbol, interval, pos, code FROM (
+  SELECT symbol, interval, pos, unnest([CASE WHEN (direction = 'up') <> (end_value > start_value) THEN 'DIRECTION_MARK_MISMATCH' END, CASE WHEN length < 5 THEN 'STROKE_TOO_SHORT' END,
+         CASE WHEN direction = pd THEN 'DIRECTION_NOT_ALTERNATING' END, CASE WHEN start_dt <> pe OR start_value <> pv THEN 'ENDPOINT_NOT_SHARED' END]) AS code FROM faulty) WHERE code IS NOT NULL
+UNION ALL
+SELECT DISTINCT u.symbol, u.interval, u.pos, 'STALE_SHARED_ENDPOINT' FROM faulty u
+JOIN (SELECT *, lag(dt) OVER w AS bdt, lag(mark) OVER w AS bm FROM fractal WINDOW w AS (PARTITION BY symbol, interval ORDER BY mpos)) f
+  ON f.symbol = u.symbol AND f.interval = u.interval AND f.dt > u.start_dt AND f.dt < u.end_dt
+WHERE u.nr > 1 AND (f.bdt = u.start_dt OR f.bm <> f.mark) AND ((u.direction = 'up' AND f.mark = 'D' AND f.value < u.start_value) OR (u.direction = 'down' AND f.mark = 'G' AND f.value > u.start_value))"""),
+    "structure_faults": query([*BOTH, DAMAGED], """SELECT symbol, interval, min(pos) AS pos, arg_min(code, pos) AS code FROM (
+  SELECT symbol, interval, pos, CASE WHEN pos % 17 = 4 THEN 'STROKE_COUNT' WHEN (direction = 'up' AND end_value <= start_value) OR (direction = 'down' AND end_value >= start_value) THEN 'ENDPOINT_DIRECTION'
+         WHEN direction = pd THEN 'NOT_ALTERNATING' WHEN start_dt <> pe OR abs(start_value - pv) > 1e-9 THEN 'ENDPOINT_NOT_SHARED' END AS code FROM faulty) WHERE code IS NOT NULL GROUP BY symbol, interval"""),
+    "provenance_faults": query(BOTH, """SELECT symbol, interval, min(pos) AS pos, arg_min(code, pos) AS code FROM (
+  SELECT symbol, interval, pos, CASE WHEN pos % 19 = 7 THEN 'NOT_COMMITTED' WHEN pos % 23 = 9 THEN 'COMMITTED_BEFORE_END' END AS code FROM unit) WHERE code IS NOT NULL GROUP BY symbol, interval"""),
+    "commit_faults": query(BOTH, """SELECT symbol, interval, direction || '/' || (pos % 40) AS fingerprint, count(DISTINCT pos % 80) AS n FROM unit GROUP BY symbol, interval, direction, pos % 40 HAVING count(DISTINCT pos % 80) > 1"""),
+    "endpoints": query([*BOTH, POINTS], "SELECT symbol, interval, pos, dt, value, mark FROM point"),
+    "potentials": query([*BOTH, POINTS], """SELECT symbol, interval, pos, dt, value, mark FROM (SELECT *, lag(value) OVER w AS b, lead(value) OVER w AS a FROM point WINDOW w AS (PARTITION BY symbol, interval, mark ORDER BY pos))
+WHERE (mark = 'G' AND value >= b AND value >= a) OR (mark = 'D' AND value <= b AND value <= a)"""),
+    "formal_stroke_zones": query([*BOTH, GROUPS, TAIL_GROUPS], """SELECT symbol, interval, row_number() OVER (PARTITION BY symbol, interval ORDER BY g) - 1 AS zone, start_pos, end_pos, zg, zd, size FROM (
+  SELECT u.symbol, u.interval, x.g, min(u.pos) AS start_pos, max(u.pos) AS end_pos, count(*) AS size, e.zg, e.zd, bool_and(u.high BETWEEN e.zd AND e.zg OR u.low BETWEEN e.zd AND e.zg OR (u.high >= e.zg AND u.low <= e.zd)) AS meet
+  FROM grp2 x JOIN unit u ON u.symbol = x.symbol AND u.interval = x.interval AND u.pos = x.pos
+  JOIN (SELECT symbol, interval, g, arg_max(zg, pos) AS zg, arg_max(zd, pos) AS zd FROM grp2 GROUP BY symbol, interval, g) e ON e.symbol = x.symbol AND e.interval = x.interval AND e.g = x.g
+  GROUP BY u.symbol, u.interval, x.g, e.zg, e.zd) WHERE size >= 3 AND zg >= zd AND meet"""),
+    "formal_segment_zones": query(_Z, "SELECT symbol, interval, zone - 1 AS zone, start_pos, end_pos, zg, zd, end_pos - start_pos + 1 AS size FROM zone WHERE zone > 0"),
+    "zone_candidates": query([*_Z, SEEDS], """SELECT symbol, interval, start_pos, end_pos, zd, zg, zg - zd AS width FROM (SELECT s.symbol, s.interval, s.start_pos, s.start_pos + 2 AS end_pos, s.zd, s.zg FROM seed s) c
+WHERE NOT EXISTS (SELECT 1 FROM span p WHERE p.symbol = c.symbol AND p.interval = c.interval AND p.start_pos = c.start_pos AND p.end_pos = c.end_pos)"""),
+    "zone_faults": query([*_Z], """SELECT symbol, interval, start_pos, end_pos, code FROM (
+  SELECT z.*, CASE WHEN size < 3 THEN 'ZONE_TOO_SHORT' WHEN z.zg < z.zd THEN 'ZONE_WITHOUT_OVERLAP' WHEN zone % 7 = 3 THEN 'MEMBER_OUTSIDE' WHEN z.end_pos - z.start_pos + 1 <> size THEN 'NOT_CONTIGUOUS'
+         WHEN lag(z.end_pos) OVER (PARTITION BY z.symbol, z.interval ORDER BY z.start_pos) >= z.start_pos THEN 'ZONES_OVERLAP' WHEN u.high >= z.zd AND u.low <= z.zg THEN 'NOT_MAXIMAL' END AS code
+  FROM (SELECT symbol, interval, zone, start_pos, zd, CASE WHEN zone % 7 = 4 THEN zd - 1 ELSE zg END AS zg, CASE WHEN zone % 7 = 5 AND n > 3 THEN end_pos - 1 ELSE end_pos END AS end_pos,
+               CASE WHEN zone % 7 = 1 THEN 2 WHEN zone % 7 = 2 THEN n + 1 WHEN zone % 7 = 5 AND n > 3 THEN n - 1 ELSE n END AS size FROM (SELECT *, end_pos - start_pos + 1 AS n FROM zone)) z
+  LEFT JOIN unit u ON u.symbol = z.symbol AND u.interval = z.interval AND u.pos = z.end_pos + 1) WHERE code IS NOT NULL"""),
+    "divergences": query([*_Z, MACD, AREA.replace("SELECT u.symbol, u.interval, u.pos,\n         coalesce(", "SELECT u.symbol, u.interval, u.pos,\n         round(coalesce(").replace("END), 0) AS area", "END), 0), 4) AS area"), PAIRS, FIRST], """SELECT l.symbol, l.interval, l.zone, p.pzone AS prev_zone, l.strict AS direction, CASE WHEN has THEN b END AS b, CASE WHEN has THEN c END AS c, price, has AS has_legs,
+  CASE WHEN l.strict = 'down' THEN price < least_low - 1e-9 ELSE price > most_high + 1e-9 END AS new_extreme, CASE WHEN b IS NOT NULL THEN area_b END AS area_b, CASE WHEN c IS NOT NULL THEN area_c END AS area_c,
+  area_b > 1e-9 AND area_c < area_b - 1e-9 AS diverges
+FROM legs l JOIN pair p ON p.symbol = l.symbol AND p.interval = l.interval AND p.zone = l.zone"""),
+    "points_recheck": query([*_Z, THIRD, """pts AS (SELECT symbol, interval, point_type, segment_pos, price, zone FROM (SELECT *, row_number() OVER (PARTITION BY symbol, interval, point_type, segment_pos ORDER BY zone DESC) AS rn FROM third WHERE status = 'confirmed') WHERE rn = 1
+)"""], """SELECT symbol, interval, point_type, segment_pos, CASE segment_pos % 5 WHEN 1 THEN 'MISSING' WHEN 2 THEN 'DIFFERS' ELSE 'MISSING' END AS code FROM pts WHERE segment_pos % 5 IN (1, 2, 3)
+UNION ALL SELECT symbol, interval, point_type, segment_pos + 1000000, 'NOT_REPRODUCED' FROM pts WHERE segment_pos % 5 = 3"""),
+    "common_prefix": query(BOTH, """SELECT symbol, interval, coalesce(min(CASE WHEN pos % 37 = 30 + length(symbol) % 5 THEN pos END), max(pos) + 1) AS length FROM unit GROUP BY symbol, interval"""),
+    "diff_summary": query([BY_TYPE], """SELECT symbol, interval, count(*) AS compared, count(*) FILTER (WHERE m) AS matched FROM (
+  SELECT coalesce(a.symbol, b.symbol) AS symbol, '4h' AS interval, coalesce(a.open_time = b.open_time AND abs(a.close - b.close) <= 1e-9, FALSE) AS m
+  FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY open_time) - 1 AS o FROM by_type) a
+  FULL JOIN (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY open_time) - 1 AS o FROM by_type WHERE trade_count <> 8) b ON a.symbol = b.symbol AND a.o = b.o) GROUP BY symbol, interval"""),
+    "projected_strokes": query([*BOTH, """tip AS (
+  SELECT symbol, interval, CASE WHEN direction = 'down' THEN 'up' ELSE 'down' END AS direction, end_dt AS start_dt, end_value AS start_value
+  FROM (SELECT *, max(pos) OVER (PARTITION BY symbol, interval) AS m FROM unit) WHERE pos = m - 4
+)"""], """SELECT symbol, interval, direction, start_dt, start_value, end_dt, end_value FROM (
+  SELECT t.*, m.dt AS end_dt, CASE WHEN t.direction = 'up' THEN m.high ELSE m.low END AS end_value,
+         row_number() OVER (PARTITION BY t.symbol, t.interval ORDER BY CASE WHEN t.direction = 'up' THEN m.high ELSE -m.low END DESC, m.dt DESC) AS rn
+  FROM tip t JOIN merged m ON m.symbol = t.symbol AND m.interval = t.interval AND m.dt > t.start_dt) WHERE rn = 1 AND abs(end_value - start_value) > 1e-12"""),
+    "projected_segments": query([*BOTH, """u AS (SELECT *, max(pos) OVER (PARTITION BY symbol, interval) AS m FROM unit), tip AS (
+  SELECT symbol, interval, CASE WHEN direction = 'down' THEN 'up' ELSE 'down' END AS direction, end_dt AS start_dt, end_value AS start_value, 0 AS lo FROM u WHERE pos = m - 9 AND length(symbol) % 2 = 0
+  UNION ALL SELECT symbol, interval, direction, start_dt, start_value, m - 7 FROM u WHERE pos = m - 7 AND NOT (length(symbol) % 2 = 0 AND m >= 9)
+)"""], """SELECT symbol, interval, direction, start_dt, start_value, end_dt, end_value FROM (
+  SELECT t.*, u.end_dt, u.end_value, row_number() OVER (PARTITION BY t.symbol, t.interval ORDER BY CASE WHEN t.direction = 'up' THEN u.end_value ELSE -u.end_value END DESC, u.end_dt DESC) AS rn
+  FROM tip t JOIN u ON u.symbol = t.symbol AND u.interval = t.interval AND u.pos >= t.lo AND u.direction = t.direction AND u.end_dt > t.start_dt) WHERE rn = 1 AND abs(end_value - start_value) > 1e-12"""),
     "positional_diff": query([BY_TYPE], """SELECT coalesce(a.symbol, b.symbol) AS symbol, '4h' AS interval, coalesce(a.o, b.o) AS ordinal, a.close AS left_close, b.close AS right_close,
   coalesce(a.open_time = b.open_time AND abs(a.close - b.close) <= 1e-9, FALSE) AS match
   FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY open_time) - 1 AS o FROM by_type) a

@@ -12,7 +12,8 @@ from ..functions.intervals import interval_seconds, next_open_time
 from ..operators import bars as B
 from ..operators import legacy_segments, live, points, structure, validators, zones
 from ..operators.folds import KEYS
-from .analysis import analyze
+from ..sources import bar_files
+from .analysis import analyze, analyze_snapshot
 
 K = list(KEYS)
 
@@ -49,10 +50,17 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def walk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly bars of a whole-numbered random walk per event type, which trends as prices do."""
+    """Hourly bars of a whole-numbered random walk per event type, which trends as prices do.
+
+    The running sum is taken within each hour and, over one row an hour, from hour to hour, so no task
+    holds all events of a type."""
     step = F.pmod(F.round(F.col("value") * 100).cast("long"), F.lit(201)) - 100
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    ticks = read(spark, sf_dir, "events").withColumn("price", (100000 + F.sum(step).over(w)).cast("double"))
+    ticks = read(spark, sf_dir, "events").select("event_type", "event_id", "ts", step.alias("step"), F.date_trunc("hour", "ts").alias("hour"))
+    hours = ticks.groupBy("event_type", "hour").agg(F.sum("step").alias("total"))
+    before = F.sum("total").over(Window.partitionBy("event_type").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1))
+    within = F.sum("step").over(Window.partitionBy("event_type", "hour").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0))
+    ticks = ticks.join(hours.select("event_type", "hour", F.coalesce(before, F.lit(0)).alias("before")), ["event_type", "hour"])
+    ticks = ticks.withColumn("price", (100000 + F.col("before") + within).cast("double"))
     return B.resample(ticks, "1h", F.concat(F.lit("walk/"), F.col("event_type")), "ts", "price", ["event_id"])
 
 
@@ -66,10 +74,11 @@ def unit_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     rank = F.struct(F.when(F.col("mark") == "G", F.col("value")).otherwise(-F.col("value")), F.col("mpos"))
     ends = runs.groupBy(*K, "run", "mark").agg(F.max_by(F.struct("mpos", "dt", "value"), rank).alias("e")).select(*K, "mark", "e.mpos", "e.dt", "e.value")
     nxt = lambda c: F.lead(c).over(w)
-    u = ends.select(*K, "mark", "mpos", F.col("dt").alias("start_dt"), F.col("value").alias("start_value"), nxt("dt").alias("end_dt"), nxt("value").alias("end_value")).where("end_dt IS NOT NULL")
+    u = ends.select(*K, "mark", "mpos", F.col("dt").alias("start_dt"), F.col("value").alias("start_value"), nxt("dt").alias("end_dt"), nxt("value").alias("end_value"), nxt("mpos").alias("end_mpos")).where("end_dt IS NOT NULL")
     return u.select(
         *K, (F.row_number().over(w) - 1).cast("long").alias("pos"), F.when(F.col("mark") == "D", "up").otherwise("down").alias("direction"), "start_dt", "start_value", "end_dt", "end_value",
         F.greatest("start_value", "end_value").alias("high"), F.least("start_value", "end_value").alias("low"), F.col("start_dt").alias("source_start"), F.col("end_dt").alias("source_end"),
+        (F.col("end_mpos") - F.col("mpos") + 3).alias("length"),
     )
 
 
@@ -108,12 +117,37 @@ def q_next_open(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", "interval", next_open_time(F.col("ts"), F.col("interval")).alias("next_open"), interval_seconds(F.col("interval")).alias("seconds"))
 
 
+def _snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table cut by its own last time: history up to 30 hours before it, newer rows from 46 hours on
+    (with other prices), and a cut-off that leaves the last bar open."""
+    b = by_type(spark, sf_dir)
+    end = F.lit(b.agg(F.max("open_time")).first()[0])
+    back = lambda h: end - F.expr(f"INTERVAL '{h}' HOUR")
+    latest = b.where(F.col("open_time") >= back(46)).withColumn("close", F.col("close") + 1)
+    return B.snapshot(b.where(F.col("open_time") < back(30)), latest, end + F.expr("INTERVAL '3' HOUR"), 40)
+
+
 def q_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _snapshot(spark, sf_dir).select(*K, "open_time", "close", "is_closed")
+
+
+def q_all_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed bars and the current one of a snapshot; of every third series the current bar is an old one."""
+    b = by_type(spark, sf_dir)
+    n = F.row_number().over(Window.partitionBy(*K).orderBy(F.col("open_time").desc()))
+    snap = b.withColumn("n", n).withColumn("is_closed", F.when(F.length("symbol") % 3 == 0, F.col("n") != 2).otherwise(F.col("n") != 1))
+    return B.all_bars(snap).select(*K, "open_time", "close", "is_closed")
+
+
+def q_revised_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars as they arrive, every seventh followed by a revision and every ninth by a late one."""
     b = by_type(spark, sf_dir)
-    cut = F.lit("2024-01-20 11:00:00").cast("timestamp_ntz")
-    history = b.where(F.col("open_time") < F.lit("2024-01-19 00:00:00").cast("timestamp_ntz"))
-    latest = b.where(F.col("open_time").between(F.lit("2024-01-18 12:00:00").cast("timestamp_ntz"), F.lit("2024-01-20 08:00:00").cast("timestamp_ntz"))).withColumn("close", F.col("close") + 1)
-    return B.snapshot(history, latest, cut, 40).select(*K, "open_time", "close", "is_closed")
+    n = F.row_number().over(Window.partitionBy(*K).orderBy("open_time"))
+    b = b.withColumns({"n": n.cast("long")}).select(*K, "open_time", "close", "n")
+    again = b.where("n % 7 = 0").select(*K, "open_time", (F.col("close") + 1).alias("close"), (F.col("n") * 10 + 1).alias("arrival"))
+    late = b.where("n % 9 = 0 AND n > 1").select(*K, (F.col("open_time") - F.expr("INTERVAL '5' HOUR")).alias("open_time"), "close", (F.col("n") * 10 + 2).alias("arrival"))
+    feed = b.select(*K, "open_time", "close", (F.col("n") * 10).alias("arrival")).unionByName(again).unionByName(late)
+    return B.revised(feed, "arrival").select(*K, "open_time", "close", "arrival", "state")
 
 
 def q_positional_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,10 +163,94 @@ def q_contiguous_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.overlay(needle, u, ["direction", "start_dt", "end_value"]).select(*K, "pos", "reason")
 
 
+def damaged(units: DataFrame) -> DataFrame:
+    """A unit chain with faults: every eleventh unit missing, every thirteenth ending elsewhere."""
+    end = F.when(F.col("pos") % 13 == 3, F.col("start_value") - (F.col("end_value") - F.col("start_value"))).otherwise(F.col("end_value"))
+    return units.where("pos % 11 <> 5").withColumn("end_value", end)
+
+
+def as_segments(units: DataFrame) -> DataFrame:
+    """Units dressed as segments: some of two strokes, some committed too early or never."""
+    return units.withColumns({
+        "size": F.when(F.col("pos") % 17 == 4, 2).otherwise(3).cast("long"),
+        "committed_at": F.when(F.col("pos") % 19 == 7, F.lit(None)).when(F.col("pos") % 23 == 9, F.col("start_dt")).otherwise(F.col("end_dt") + F.expr("INTERVAL '1' HOUR")),
+    })
+
+
+def q_zone_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segment zones with faults: too short, ranges turned, members lost, ends moved."""
+    u = unit_chain(spark, sf_dir)
+    z = zones.segment_zones(u).withColumns({
+        "size": F.when(F.col("zone") % 7 == 1, 2).when(F.col("zone") % 7 == 2, F.col("size") + 1).otherwise(F.col("size")), "is_valid": F.col("is_valid") & (F.col("zone") % 7 != 3),
+        "zg": F.when(F.col("zone") % 7 == 4, F.col("zd") - 1).otherwise(F.col("zg")), "end_pos": F.when((F.col("zone") % 7 == 5) & (F.col("size") > 3), F.col("end_pos") - 1).otherwise(F.col("end_pos")),
+    })
+    z = z.withColumn("size", F.when((F.col("zone") % 7 == 5) & (F.col("size") > 3), F.col("size") - 1).otherwise(F.col("size")))
+    return zones.zone_issues(z, u)
+
+
+def q_recheck(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Third points given with faults against their recomputation."""
+    u = unit_chain(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+    judged = points.third_points(u, zones.segment_zones(u))
+    given = points.points(judged).withColumn("n", F.col("segment_pos") % 5)
+    given = given.where("n <> 1").withColumns({"price": F.when(F.col("n") == 2, F.col("price") + 1).otherwise(F.col("price")), "segment_pos": F.when(F.col("n") == 3, F.col("segment_pos") + 1000000).otherwise(F.col("segment_pos"))})
+    return points.recheck(given, judged).select(*K, "point_type", "segment_pos", "code")
+
+
+def q_macd_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors made of each series' 20th bar against bars that go on right, too early or too late."""
+    b = B.with_position(by_type(spark, sf_dir))
+    a = b.where("pos = 19").select(*K, "open_time", "close_time", next_open_time(F.col("open_time"), F.col("interval")).alias("expected_next_open"))
+    kind = F.length("symbol") % 4
+    rest = b.where(F.col("pos") >= F.when(kind == 0, 20).when(kind == 1, 19).when(kind == 2, 22).otherwise(10**9))
+    return validators.macd_anchor_issues(a, rest).select(*K, "code")
+
+
+def q_common_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = unit_chain(spark, sf_dir)
+    other = u.withColumn("end_value", F.when(F.col("pos") % 37 == 30 + F.length("symbol") % 5, F.col("end_value") + 1).otherwise(F.col("end_value")))
+    return live.common_prefix(u, other, ["direction", "end_value"])
+
+
+def q_projected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The line behind the unit chain without its last four units."""
+    b = structure.merged_bars(B.with_position(hourly(spark, sf_dir).unionByName(walk(spark, sf_dir))))
+    u = unit_chain(spark, sf_dir)
+    last = F.max("pos").over(Window.partitionBy(*K))
+    return live.next_stroke(u.withColumn("m", last).where("pos <= m - 4").drop("m"), b)
+
+
+def q_projected_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of half of the series the line goes on from a segment, of the others from unfinished strokes."""
+    u = unit_chain(spark, sf_dir)
+    u = u.withColumn("m", F.max("pos").over(Window.partitionBy(*K)))
+    seg = u.where((F.col("pos") == F.col("m") - 9) & (F.length("symbol") % 2 == 0))
+    return live.next_segment(seg, u, u.where("pos >= m - 7"))
+
+
+def q_klines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events written as REST rows and read back."""
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    row = F.concat(
+        F.lit("[["), ms.cast("string"), F.lit(',"1.5","2.5","0.5","2.0","'), (F.col("event_id") % 50).cast("string"), F.lit('",'), (ms + 59999).cast("string"), F.lit(',"10.25",'),
+        (F.col("event_id") % 7).cast("string"), F.lit(',"0","0","0"]]'),
+    )
+    out = bar_files.parse_klines(read(spark, sf_dir, "events").select(row.alias("body")), "body", "evt", "1m")
+    return out.select("symbol", "open_time", "close_time", "open", "high", "low", "close", "volume", "quote_volume", "trade_count")
+
+
 def _analysis(spark: SparkSession, sf_dir: str):
     return analyze(hourly(spark, sf_dir).unionByName(walk(spark, sf_dir)).unionByName(weekly_lines(spark, sf_dir)), least=6, trusted=True)
 
 
+def q_live_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Provisional strokes and segments of a snapshot whose last bar is still open."""
+    b = hourly(spark, sf_dir).unionByName(walk(spark, sf_dir))
+    snap = b.withColumn("is_closed", F.col("open_time") < F.max("open_time").over(Window.partitionBy(*K)))
+    a = analyze_snapshot(snap, least=6, trusted=True)
+    return a.provisional_strokes.withColumn("structure", F.lit("stroke")).unionByName(a.provisional_segments.withColumn("structure", F.lit("segment")))
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 BAR_VIEW = ["open_time", "close_time", "open", "high", "low", "close", "volume", "quote_volume", "trade_count"]
 
@@ -162,8 +280,31 @@ QUERIES: dict[str, Query] = {
     "second_points": lambda s, d: _show(_judged(s, d)["second"]),
     "third_points": lambda s, d: _show(_judged(s, d)["third"]),
     "contiguous_block": q_contiguous_block,
+    "all_bars": q_all_bars,
+    "revised_bars": q_revised_bars,
+    "klines": q_klines,
+    "macd_anchor": lambda s, d: (lambda b: structure.macd_anchor(structure.macd(b), b))(B.with_position(hourly(s, d))).select(*K, "open_time", "ema_fast", "ema_slow", "dea", "processed_bar_count"),
+    "macd_anchor_issues": q_macd_anchors,
+    "stroke_faults": lambda s, d: (lambda u: validators.stroke_issues(damaged(u), structure.raw_fractals(structure.merged_bars(B.with_position(hourly(s, d).unionByName(walk(s, d))))), 5))(unit_chain(s, d)),
+    "structure_faults": lambda s, d: points.structure_issues(as_segments(damaged(unit_chain(s, d)))),
+    "provenance_faults": lambda s, d: points.provenance_issues(as_segments(unit_chain(s, d))),
+    "commit_faults": lambda s, d: validators.commit_conflicts(unit_chain(s, d).select(*K, F.concat_ws("/", "direction", F.col("pos") % 40).alias("fingerprint"), (F.col("pos") % 80).alias("committed_at"))),
+    "endpoints": lambda s, d: legacy_segments.endpoints(unit_chain(s, d)),
+    "potentials": lambda s, d: legacy_segments.potentials(legacy_segments.endpoints(unit_chain(s, d))),
+    "formal_stroke_zones": lambda s, d: zones.stroke_zones(zones.behind_first_group(unit_chain(s, d))).select(*K, "zone", "start_pos", "end_pos", "zg", "zd", "size"),
+    "formal_segment_zones": lambda s, d: zones.segment_zones(zones.behind_first_zone(unit_chain(s, d))).select(*K, "zone", "start_pos", "end_pos", "zg", "zd", "size"),
+    "zone_candidates": lambda s, d: (lambda u: zones.zone_candidates(u, zones.segment_zones(u)))(unit_chain(s, d)).select(*K, "start_pos", "end_pos", "zd", "zg", "width"),
+    "zone_faults": q_zone_issues,
+    "divergences": lambda s, d: (lambda u: points.divergences(points.trend_pairs(zones.segment_zones(u)), u, rounded(_areas(s, d, u), "area"), u.select(*K).distinct().withColumn("exact", F.lit(True))))(unit_chain(s, d)).select(
+        *K, "zone", "prev_zone", "direction", "b", "c", "price", "has_legs", "new_extreme", "area_b", "area_c", "diverges"
+    ),
+    "points_recheck": q_recheck,
+    "common_prefix": q_common_prefix,
+    "diff_summary": lambda s, d: live.diff_summary(live.positional_diff(by_type(s, d), by_type(s, d).where("trade_count <> 8"), ["open_time"], ["open_time", "close"], 1e-9)),
+    "projected_strokes": q_projected,
+    "projected_segments": q_projected_segments,
     "strokes": lambda s, d: _analysis(s, d).strokes,
-    "stroke_issues": lambda s, d: (lambda a: validators.stroke_issues(a.strokes, a.fractals, 6))(_analysis(s, d)),
+    "stroke_issues": lambda s, d: (lambda a: validators.stroke_issues(a.strokes, structure.raw_fractals(a.merged), 6))(_analysis(s, d)),
     "segment_issues": lambda s, d: (lambda a: validators.segment_issues(a.detected_segments, a.strokes))(_analysis(s, d)),
     "feature_coverage": lambda s, d: (lambda a: validators.feature_coverage(a.feature_elements, a.strokes))(_analysis(s, d)),
     "superseded_gap_endpoints": lambda s, d: (lambda a: validators.superseded_gap_endpoints(a.evidence, a.segments, a.strokes))(_analysis(s, d)),
@@ -179,6 +320,7 @@ QUERIES: dict[str, Query] = {
     "segment_zone_candidates": lambda s, d: _analysis(s, d).segment_zone_candidates,
     "trading_points": lambda s, d: _analysis(s, d).judged,
     "projected_lines": lambda s, d: (lambda a: a.projected_stroke.unionByName(a.projected_segment))(_analysis(s, d)),
+    "live_overlay": q_live_overlay,
     "legacy_segments": lambda s, d: (lambda a: legacy_segments.legacy_segments(a.strokes, merged=a.merged))(_analysis(s, d)),
     "user_strokes": lambda s, d: analyze(by_user(s, d), least=6, trusted=True).strokes,
 }

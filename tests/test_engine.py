@@ -6,6 +6,7 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import __spark_entry__
@@ -152,7 +153,7 @@ def test_analysis_layers(spark, walks):
     assert a.evidence.count() == len(committed) and a.feature_fractals.count() > 0
     assert {r.layer for r in a.strokes.collect()} == {"stable", "provisional"}
     names = frames(a)
-    assert len(names) == 20
+    assert len(names) == 25
     for n in ("strokes", "segments", "fractals", "segment_evidence", "unfinished_bars"):
         assert names[n].count() > 0
     alone = analyze(walks.where("symbol = 'B'"), least=6, trusted=True).segments
@@ -244,7 +245,7 @@ def test_macd_continues_from_its_anchor(spark, walks):
     half = structure.macd(one.where("pos < 700"))
     s = structure.macd_anchor(half, one).first()
     assert s.processed_bar_count == 700
-    rest = structure.macd(one.where("pos >= 700"), {("A", "1m"): (s.ema_fast, s.ema_slow, s.dea)})
+    rest = structure.macd(one.where("pos >= 700"), spark.createDataFrame([("A", "1m", s.ema_fast, s.ema_slow, s.dea)], "symbol string, interval string, ema_fast double, ema_slow double, dea double"))
     assert rest.select("pos", "hist").subtract(whole.select("pos", "hist")).count() == 0
 
 
@@ -254,7 +255,77 @@ def test_live(spark, walks):
     assert live.diff_summary(live.positional_diff(a, a, ["pos"], ["dt", "high"])).where("compared <> matched").count() == 0
     snap = B.snapshot(walks, walks.limit(0), F.lit(T0 + dt.timedelta(minutes=1500)).cast("timestamp"), 100)
     assert snap.where("is_closed").groupBy("symbol").count().where("count <> 100").count() == 0
-    assert B.all_bars(snap).count() == snap.count() and live.refresh_trigger("1m") == "5 seconds"
+    assert B.all_bars(snap).count() == snap.count() and live.refresh_trigger("1m") == "10 seconds" and live.refresh_trigger("1M") == "1800 seconds"
+    with pytest.raises(ValueError, match="2s"):
+        live.refresh_trigger("2s")
+
+
+def test_two_live_layers(spark, walks):
+    from barloom.plans.analysis import analyze_snapshot
+
+    snap = walks.where("symbol = 'A'").withColumn("is_closed", F.col("open_time") < walks.where("symbol = 'A'").agg(F.max("open_time")).first()[0])
+    first = analyze_snapshot(snap, least=6, trusted=True)
+    lines = first.provisional_strokes.collect()
+    stable = first.confirmed.resolved_strokes.count()
+    assert [r.reason for r in lines].count("RIGHT_TAIL") == first.live.strokes.count() - stable and [r.reason for r in lines].count("PROJECTED") <= 1
+    assert all(r.end_dt > r.start_dt and r.end_value != r.start_value for r in lines)
+    seg = first.provisional_segments.collect()
+    assert sum(r.reason == "RIGHT_TAIL" for r in seg) == first.live.detected_segments.count() - first.confirmed.segments.count()
+    moved = snap.withColumn("close", F.when(F.col("is_closed"), F.col("close")).otherwise((F.col("high") + F.col("low")) / 2))
+    assert analyze_snapshot(moved, least=6, trusted=True, previous=first).confirmed is first.confirmed
+    assert analyze_snapshot(snap.where("open_time > '2024-01-01 05:00:00' OR is_closed = false").limit(50), least=6, trusted=True, previous=first).confirmed is not first.confirmed
+    # Without a trusted start nothing is formal: every live unit is dashed, and the next segment starts from unfinished strokes.
+    loose = analyze_snapshot(snap, least=6)
+    assert {r.reason for r in loose.provisional_strokes.collect()} <= {"UNRESOLVED_BOUNDARY", "PROJECTED"} and loose.live.projected_segment.count() <= 1
+
+
+def test_left_boundary(spark, walks):
+    full = analyze(walks.where("symbol = 'B'"), least=6, trusted=True)
+    start = full.segments.orderBy("pos").collect()[1]
+    mark = "D" if start.direction == "up" else "G"
+    window = walks.where("symbol = 'B'").where(F.col("open_time") >= F.lit(start.start_dt) - F.expr("INTERVAL '10' HOUR"))
+    micros = int(spark.createDataFrame([(start.start_dt,)], "t timestamp").select(F.unix_micros("t")).first()[0])
+    part = analyze(window, least=6, anchors={("B", start.interval): (micros, start.start_value, mark)})
+    ours, theirs = [[(r.start_dt, r.end_dt) for r in a.segments.orderBy("pos").collect()] for a in (part, full)]
+    assert not ours or any(theirs[k : k + len(ours)] == ours for k in range(len(theirs)))
+    zone = lambda df: [(r.start_dt, r.zg, r.zd) for r in df.collect()]
+    held, formal, every = zone(part.unresolved_stroke_zones), zone(part.stroke_zones), zone(zones.stroke_zones(part.resolved_strokes))
+    assert len(held) <= 1 and not set(held) & set(formal) and (not every or set(held) | set(formal) >= set(every) or held)
+    assert analyze(window, least=6).stroke_zones.count() == 0 and not part.exact.first().exact
+    b = window.withColumn("n", F.row_number().over(Window.orderBy("open_time")))
+    head, tail = window.join(b.where("n <= 100").select("open_time"), "open_time"), window.join(b.where("n > 100").select("open_time"), "open_time")
+    anchor = analyze(head, least=6, trusted=True).macd_anchor
+    on = analyze(tail, least=6, macd_anchors=anchor)
+    assert on.exact.first().exact
+    whole = {r.open_time: r.hist for r in (lambda a: a.macd.join(a.positioned.select("pos", "open_time"), "pos"))(analyze(window, least=6)).collect()}
+    assert all(abs(whole[r.open_time] - r.hist) < 1e-9 for r in on.macd.join(on.positioned.select("pos", "open_time"), "pos").collect())
+    gap = analyze(tail.where(F.col("open_time") > tail.agg(F.min("open_time")).first()[0]), least=6, macd_anchors=anchor)
+    assert not gap.exact.first().exact
+
+
+def test_gates_look_inside(spark, walks):
+    a = analyze(walks.where("symbol = 'A'"), least=6, trusted=True)
+    s, k, e = a.segments, a.strokes, a.evidence
+    code = lambda df: [r.code for r in df.collect()]
+    p = s.where("pos = 0").first().start_pos
+    assert code(points.structure_issues(s, k)) == [] == code(points.provenance_issues(s, e))
+    assert code(points.structure_issues(s, k.withColumn("low", F.when(F.col("pos") == p + 1, F.col("high") + 500).otherwise(F.col("low"))))) == ["FIRST_THREE_APART"]
+    assert code(points.structure_issues(s, k.withColumn("end_value", F.when(F.col("pos") == p, F.col("end_value") + 1).otherwise(F.col("end_value"))))) == ["INNER_ENDPOINT_NOT_SHARED"]
+    assert code(points.structure_issues(s.withColumn("start_value", F.when(F.col("pos") == 0, F.col("start_value") - 0.5).otherwise(F.col("start_value"))), k)) in (["ENDPOINT_STROKES"], ["ENDPOINT_DIRECTION"])
+    assert code(points.provenance_issues(s, e.where("pos > 0"))) == ["EVIDENCE_MISSING"] and code(points.provenance_issues(s.where("pos > 0"), e)) == ["SEGMENT_MISSING"]
+    assert code(points.provenance_issues(s, e.withColumn("fingerprint", F.lit("x")))) == ["EVIDENCE_OF_ANOTHER"]
+    judged = spark.createDataFrame(a.judged.collect(), a.judged.schema)
+    assert points.formal_issues(points.points(judged), judged, s, k, e).count() == 0
+    assert [(r.rule, r.code) for r in points.formal_issues(points.points(judged), judged, s, k, e.withColumn("committed_at", F.lit(None).cast("timestamp"))).collect()] == [("provenance", "NOT_COMMITTED")]
+
+
+def test_command_line(spark, tmp_path):
+    from barloom.__main__ import main
+
+    main(["export-demo", str(tmp_path / "demo"), "--count", "400"], spark)
+    main(["analyze", str(tmp_path / "demo"), str(tmp_path / "out"), "--least", "6", "--trusted", "--frames", "strokes", "fractals", "--symbol", "demo"], spark)
+    strokes = spark.read.option("header", True).csv(str(tmp_path / "out" / "strokes"))
+    assert strokes.count() > 3 and {r.symbol for r in strokes.collect()} == {"DEMO"} and not (tmp_path / "out" / "merged").exists()
 
 
 def test_intervals(spark):
