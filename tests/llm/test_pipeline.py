@@ -1,3 +1,5 @@
+import hashlib
+import math
 import zlib
 from collections import Counter
 
@@ -7,18 +9,51 @@ import corpus_pipeline
 from barloom.llm.common import connected_components
 from barloom.llm.tokens import UnitEncoder, tokenizer_path
 
+from test_line_dedup import brute as lines_brute
+from test_minhash import brute as copies_brute
+
 SF = "/root/testdata/sf0.001"
 
 
+def draws_brute(rows, weights):
+    """Copies by document: Poisson counts by walking the cumulative probabilities of each source's rate."""
+    size = Counter()
+    for r in rows:
+        size[r.source] += len(r.text or "")
+    share = {s: weights.get(s, 1.0) for s in size}
+    whole = sum(w for s, w in share.items() if size[s])
+    out = Counter()
+    for r in rows:
+        if size[r.source]:
+            rate = sum(size.values()) * (share[r.source] / whole) / size[r.source]
+            u = (int(hashlib.md5(f"17:{r.doc_id}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+            n, p, c = 0, math.exp(-rate), math.exp(-rate)
+            while c < u:
+                n += 1
+                p *= rate / n
+                c += p
+            if n:
+                out[r.doc_id] = n
+    return out
+
+
 def test_stages_on_test_tables(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns, before = docs.columns, docs.count()
     for name, stage in corpus_pipeline.STAGES[:3]:
+        given = [(r.doc_id, r.text) for r in docs.collect()]
         docs = corpus_pipeline.materialize(stage(spark, docs, SF), name)
         assert docs.columns == columns
+        texts = sorted((r.doc_id, r.text) for r in docs.collect())
+        if name == "line_dedup":
+            assert texts == sorted((d, t) for d, _, _, t in lines_brute(given))
+        elif name == "minhash_near_dedup":
+            kept = {d for d, _, _, stays in copies_brute(given, 5) if stays}
+            assert texts == sorted(x for x in given if x[0] in kept)
         ids = [r.doc_id for r in docs.select("doc_id").collect()]
         assert len(ids) == len(set(ids)) <= before
     mixed = corpus_pipeline.materialize(corpus_pipeline.STAGES[3][1](spark, docs, SF), "mixed")
+    assert Counter(r.doc_id for r in mixed.collect()) == draws_brute(docs.collect(), corpus_pipeline.mixing.WEIGHTS)
     assert mixed.columns == columns and set(r.doc_id for r in mixed.collect()) <= set(ids)
     pieces = corpus_pipeline.STAGES[4][1](spark, mixed, SF).collect()
     copies = Counter(r.doc_id for r in mixed.select("doc_id").collect())
