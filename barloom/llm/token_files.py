@@ -63,18 +63,14 @@ def pack_words(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndar
     width[n:] = 255  # what lies behind the end fits nowhere
     width = np.ascontiguousarray(width.reshape(blocks, block).T)  # a row holds one position of all blocks
     choice = np.where(width <= 60, 15, 0).astype(np.uint8)  # the selector of a word that starts here
-    fits = np.empty(width.shape, bool)
+    widest, span = width.copy(), 1  # the widest of ``span`` values from here on
     for s in range(14, 0, -1):
         count, bits = SELECTORS[s]
-        fine = (width <= bits).astype(np.int16)
-        if not fine.any():
-            break  # narrower selectors fit nowhere either
-        run = np.zeros(blocks, np.int16)  # how many values from here on are narrow enough
-        for p in range(block - 1, -1, -1):
-            run += 1
-            run *= fine[p]
-            np.greater_equal(run, count, out=fits[p])
-        np.copyto(choice, s, where=fits)
+        more = count - span
+        np.maximum(widest[:-more], widest[more:], out=widest[:-more])
+        widest[-more:] = 255
+        span = count
+        np.copyto(choice, s, where=widest <= bits)
     counts = np.array([c for c, _ in SELECTORS], np.int64)
     at = np.zeros(blocks, np.int64)
     rows = np.arange(blocks)

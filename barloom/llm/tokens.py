@@ -12,15 +12,16 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: White space as in the Unicode property that the tokenizers' patterns use.
 _WS = "\t-\r \x85\xa0  -     　"
 _ODD_WS = "\t\x0b\x0c\r\x85\xa0  -     　"
-#: A text that has none of these is words with single spaces or line breaks between them.
-_NOT_PLAIN = re.compile(f"(?:^|[ \n])(?:[ \n]|\\Z)|[{_ODD_WS}]|<\\|")
+_ODD = re.compile(f"[{_ODD_WS}]")
 _CHUNK = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 _WHOLE = re.compile("<\\||[\x1c-\x1f]")
 
@@ -55,93 +56,112 @@ class UnitEncoder:
         self.size = np.zeros(1 << 14, np.int64)
         self.n_units = self.n_flat = 0
         if self.style == "byte":
-            self.newline = self._add([self.tok.encode("\n", add_special_tokens=False).ids])
+            self.newline = self._add(*self._encode_each(["\n"]))
             self.after_space["\n"] = self.newline
 
-    def _add(self, ids: list) -> int:
-        """Store the ids of new units; returns the first one's number."""
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        total, first = int(sizes.sum()), self.n_units
+    def _add(self, flat: np.ndarray, sizes: np.ndarray) -> int:
+        """Store the ids of new units, one behind the other; returns the first unit's number."""
+        total, first, end = len(flat), self.n_units, self.n_units + len(sizes)
         while self.n_flat + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while first + len(ids) > len(self.at):
+        while end > len(self.at):
             self.at, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size))
-        self.flat[self.n_flat : self.n_flat + total] = np.concatenate([np.asarray(x, np.uint32) for x in ids]) if ids else []
-        self.size[first : first + len(ids)] = sizes
-        self.at[first : first + len(ids)] = self.n_flat + np.cumsum(sizes) - sizes
-        self.n_flat, self.n_units = self.n_flat + total, first + len(ids)
+        self.flat[self.n_flat : self.n_flat + total] = flat
+        self.size[first:end] = sizes
+        self.at[first:end] = self.n_flat + np.cumsum(sizes) - sizes
+        self.n_flat, self.n_units = self.n_flat + total, end
         return first
 
-    def _encode_each(self, units: list[str]) -> list:
-        return [e.ids for e in self.tok.encode_batch_fast(units, add_special_tokens=False)]
+    def _encode_each(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.tok.encode_batch_fast(units, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())), sizes
 
     def _learn_exact(self, units: list[str]) -> None:
         new = [u for u in dict.fromkeys(units) if u not in self.exact]
         if new:
-            first = self._add(self._encode_each(new))
+            first = self._add(*self._encode_each(new))
             self.exact.update(zip(new, range(first, first + len(new)), strict=True))
 
-    def _learn_spaced(self, units: list[str]) -> None:
-        new = list(dict.fromkeys(units))
+    def _learn_spaced(self, new: list[str]) -> None:
+        """``new`` are distinct words, learned as they stand behind a space."""
         if self.style == "byte":
             ids = np.array(self.tok.encode_batch_fast([" " + " ".join(new)], add_special_tokens=False)[0].ids, np.uint32)
             cuts = np.flatnonzero(self.spaced[ids])
-            parts = np.split(ids, cuts[1:]) if len(cuts) == len(new) and cuts[0] == 0 else self._encode_each([" " + u for u in new])
+            if len(cuts) == len(new) and cuts[0] == 0:
+                sizes = np.diff(cuts, append=len(ids))
+            else:
+                ids, sizes = self._encode_each([" " + u for u in new])
         else:
             # One call for all: a token's place in the joined text tells its unit.
             e = self.tok.encode(" ".join(new), add_special_tokens=False)
             starts = np.cumsum([0, *(len(u) + 1 for u in new[:-1])])
             owner = np.searchsorted(starts, np.fromiter((o[0] for o in e.offsets), np.int64, len(e)), "right") - 1
-            parts = np.split(np.array(e.ids, np.uint32), np.searchsorted(owner, np.arange(1, len(new))))
-        first = self._add(parts)
+            ids, sizes = np.array(e.ids, np.uint32), np.bincount(owner, minlength=len(new))
+        first = self._add(ids, sizes)
         self.after_space.update(zip(new, range(first, first + len(new)), strict=True))
 
     def _lookup(self, table: dict[str, int], parts: list[str]) -> np.ndarray:
         return np.fromiter(map(table.get, parts, repeat(-1)), np.int64, len(parts))
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in one array, and how many belong to each text."""
-        if self.n_units > CACHE_UNITS:
-            self._clear()
-        plain: list[str] = []
+    def _split(self, texts: list[str]) -> tuple[np.ndarray, pa.Array, dict, dict]:
+        """``(counts, parts, other, whole)``: the words of all texts in a row and how many each has, the
+        units of texts with other white space, and the ids of those that go to the library whole."""
         counts = np.zeros(len(texts), np.int64)
         other: dict[int, np.ndarray] = {}
         whole: dict[int, np.ndarray] = {}
-        for k, t in enumerate(texts):
-            if self.style == "byte":
-                if not _NOT_PLAIN.search(t):
-                    parts = t.replace("\n", " \n ").split(" ")
-                elif "<|" in t:
+        if self.style == "word":
+            words: list[str] = []
+            for k, t in enumerate(texts):
+                if _WHOLE.search(t):
                     whole[k] = np.array(self.tok.encode(t, add_special_tokens=False).ids, np.uint32)
-                    continue
                 else:
-                    chunks = _CHUNK.findall(t)
-                    self._learn_exact(chunks)
-                    other[k] = self._lookup(self.exact, chunks)
-                    continue
-            elif _WHOLE.search(t):
+                    found = t.split()
+                    counts[k] = len(found)
+                    words += found
+            return counts, pa.array(words, pa.large_string()), other, whole
+        at: list[int] = []
+        plain: list[str] = []
+        for k, t in enumerate(texts):
+            if "<|" in t:
                 whole[k] = np.array(self.tok.encode(t, add_special_tokens=False).ids, np.uint32)
                 continue
+            spaced = t.replace("\n", " \n ")
+            # Words with single spaces or line breaks between them leave no empty part.
+            if not t or "  " in spaced or spaced[0] == " " or spaced[-1] == " " or _ODD.search(t):
+                chunks = _CHUNK.findall(t)
+                self._learn_exact(chunks)
+                other[k] = self._lookup(self.exact, chunks)
             else:
-                parts = t.split()
-            counts[k] = len(parts)
-            plain += parts
-        units = self._lookup(self.after_space, plain)
+                at.append(k)
+                plain.append(spaced)
+        rows = pc.split_pattern(pa.array(plain, pa.large_string()), " ")
+        counts[at] = rows.value_lengths().to_numpy(zero_copy_only=False)
+        return counts, rows.flatten(), other, whole
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in one array, and how many belong to each text."""
+        if self.n_units > CACHE_UNITS:
+            self._clear()
+        counts, parts, other, whole = self._split(texts)
+        coded = parts.dictionary_encode()
+        code, known = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # each distinct word is looked up once
+        units = self._lookup(self.after_space, known)[code] if len(code) else np.zeros(0, np.int64)
         miss = units < 0
-        if self.style == "byte" and plain:
+        if self.style == "byte" and len(code):
             # The first word of a text or of a line has no space before it.
             bare = np.flatnonzero(units == self.newline) + 1
             starts = np.cumsum(counts) - counts
             bare = np.concatenate([bare, starts[counts > 0]])
-            words = [plain[i] for i in bare]
+            words = [known[i] for i in code[bare]]
             self._learn_exact(words)
             miss[bare] = False
             units[bare] = self._lookup(self.exact, words)
         if miss.any():
-            where = np.flatnonzero(miss)
-            words = [plain[i] for i in where]
+            new, place = np.unique(code[miss], return_inverse=True)
+            words = [known[i] for i in new]
             self._learn_spaced(words)
-            units[where] = self._lookup(self.after_space, words)
+            units[miss] = self._lookup(self.after_space, words)[place]
         if other:
             pieces, at = [], 0
             for k in range(len(texts)):
