@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .folds import KEYS, keyed_fold
+from .validators import EPS
 
 K = list(KEYS)
 
@@ -85,3 +86,33 @@ def legacy_segments(strokes: DataFrame, mode: str = "strict", merged: DataFrame
     return t.where("end_pos IS NOT NULL").select(
         *K, (F.row_number().over(w) - 1).cast("long").alias("idx"), F.when(F.col("mark") == "D", "up").otherwise("down").alias("direction"), F.col("pos").alias("start_pos"), "end_pos", F.col("value").alias("start_value"), "end_value"
     )
+
+
+def legacy_issues(segments: DataFrame, strokes: DataFrame, mode: str = "strict") -> DataFrame:
+    """Broken rules of older segments (rows of ``legacy_segments``) over their strokes; a segment may break several.
+
+    An end that is no endpoint of the strokes, or not behind the start, is ``ENDPOINT_NOT_IN_CHAIN``;
+    marks, values and confirmation are judged only where both ends are found. A null position is found
+    nowhere. Without segments there are no rows.
+    """
+    if mode not in ("strict", "loose"):
+        raise ValueError("mode must be strict or loose")
+    w = Window.partitionBy(*K).orderBy("pos")
+    p = endpoints(strokes).withColumns({"same": F.lag("value", 2).over(w), "opposite": F.lag("value").over(w), "after": F.lead("value").over(w)})
+    a = p.select(*K, F.col("pos").alias("start_pos"), F.struct("mark", "value").alias("a"))
+    b = p.select(*K, F.col("pos").alias("end_pos"), F.struct("mark", "value", "same", "opposite", "after").alias("b"))
+    prev = F.lag(F.struct("direction", "end_pos", "end_value")).over(Window.partitionBy(*K).orderBy("idx"))
+    seg = segments.withColumn("prev", prev).join(a, [*K, "start_pos"], "left").join(b, [*K, "end_pos"], "left")
+    n, sign = F.col("end_pos") - F.col("start_pos"), F.when(F.col("b.mark") == "G", 1.0).otherwise(-1.0)
+    found = F.col("a").isNotNull() & F.col("b").isNotNull() & (n > 0)
+    marks = F.when(F.col("direction") == "up", "DG").otherwise("GD")
+    confirmed = (sign * F.col("b.value") > sign * F.col("b.same")) & (sign * F.col("b.after") > sign * F.col("b.opposite"))
+    codes = F.array_compact(F.array(
+        F.when((n < 3) | (n % 2 == 0), F.lit("STROKE_COUNT")), F.when(~found, F.lit("ENDPOINT_NOT_IN_CHAIN")),
+        F.when(found & (F.concat("a.mark", "b.mark") != marks), F.lit("DIRECTION_MARK")),
+        F.when(found & ((F.abs(F.col("a.value") - F.col("start_value")) > EPS) | (F.abs(F.col("b.value") - F.col("end_value")) > EPS)), F.lit("ENDPOINT_VALUE")),
+        F.when(found & F.lit(mode == "strict") & (n == 3) & ~F.coalesce(confirmed, F.lit(False)), F.lit("NOT_CONFIRMED")),
+        F.when(F.col("direction") == F.col("prev.direction"), F.lit("NOT_ALTERNATING")),
+        F.when((F.col("start_pos") != F.col("prev.end_pos")) | (F.col("start_value") != F.col("prev.end_value")), F.lit("ENDPOINT_NOT_SHARED")),
+    ))
+    return seg.select(*K, "idx", F.explode(codes).alias("code"))

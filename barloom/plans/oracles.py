@@ -272,6 +272,22 @@ WHERE u.nr > 1 AND (f.bdt = u.start_dt OR f.bm <> f.mark) AND ((u.direction = 'u
   SELECT symbol, interval, pos, CASE WHEN pos % 19 = 7 THEN 'NOT_COMMITTED' WHEN pos % 23 = 9 THEN 'COMMITTED_BEFORE_END' END AS code FROM unit) WHERE code IS NOT NULL GROUP BY symbol, interval"""),
     "commit_faults": query(BOTH, """SELECT symbol, interval, direction || '/' || (pos % 40) AS fingerprint, count(DISTINCT pos % 80) AS n FROM unit GROUP BY symbol, interval, direction, pos % 40 HAVING count(DISTINCT pos % 80) > 1"""),
     "endpoints": query([*BOTH, POINTS], "SELECT symbol, interval, pos, dt, value, mark FROM point"),
+    "legacy_faults": query([*BOTH, POINTS, """near AS (SELECT *, lag(value, 2) OVER w AS same, lag(value) OVER w AS opposite, lead(value) OVER w AS after FROM point WINDOW w AS (PARTITION BY symbol, interval ORDER BY pos))""",
+        """seg AS (SELECT *, lag(direction) OVER v AS pd, lag(end_pos) OVER v AS pe, lag(end_value) OVER v AS pv FROM (
+  SELECT symbol, interval, pos // 3 AS idx, direction, pos AS start_pos, pos + CASE WHEN pos // 3 % 7 = 2 THEN 4 WHEN pos // 3 % 17 = 3 THEN 1000000000 ELSE 3 END AS end_pos,
+         start_value, end_at + CASE WHEN pos // 3 % 11 = 4 THEN 1 ELSE 0 END AS end_value
+  FROM (SELECT *, lead(end_value, 2) OVER (PARTITION BY symbol, interval ORDER BY pos) AS end_at FROM unit) WHERE pos % 3 = 0 AND end_at IS NOT NULL AND pos // 3 % 13 <> 5)
+  WINDOW v AS (PARTITION BY symbol, interval ORDER BY idx))""",
+        """placed AS (SELECT s.*, s.end_pos - s.start_pos AS n, a.mark AS am, a.value AS av, b.mark AS bm, b.value AS bv, b.same, b.opposite, b.after FROM seg s
+  LEFT JOIN near a ON a.symbol = s.symbol AND a.interval = s.interval AND a.pos = s.start_pos LEFT JOIN near b ON b.symbol = s.symbol AND b.interval = s.interval AND b.pos = s.end_pos)"""],
+        """SELECT symbol, interval, idx, 'STROKE_COUNT' AS code FROM placed WHERE n < 3 OR n % 2 = 0
+UNION ALL SELECT symbol, interval, idx, 'ENDPOINT_NOT_IN_CHAIN' FROM placed WHERE bm IS NULL
+UNION ALL SELECT symbol, interval, idx, 'DIRECTION_MARK' FROM placed WHERE bm IS NOT NULL AND (am = 'D' AND bm = 'G') <> (direction = 'up')
+UNION ALL SELECT symbol, interval, idx, 'DIRECTION_MARK' FROM placed WHERE bm IS NOT NULL AND am = bm AND direction <> 'up'
+UNION ALL SELECT symbol, interval, idx, 'ENDPOINT_VALUE' FROM placed WHERE abs(av - start_value) > 1e-9 OR abs(bv - end_value) > 1e-9
+UNION ALL SELECT symbol, interval, idx, 'NOT_CONFIRMED' FROM placed WHERE n = 3 AND bm IS NOT NULL AND NOT coalesce(CASE WHEN bm = 'G' THEN bv > same AND after > opposite ELSE bv < same AND after < opposite END, false)
+UNION ALL SELECT symbol, interval, idx, 'NOT_ALTERNATING' FROM placed WHERE direction = pd
+UNION ALL SELECT symbol, interval, idx, 'ENDPOINT_NOT_SHARED' FROM placed WHERE start_pos <> pe OR start_value <> pv"""),
     "potentials": query([*BOTH, POINTS], """SELECT symbol, interval, pos, dt, value, mark FROM (SELECT *, lag(value) OVER w AS b, lead(value) OVER w AS a FROM point WINDOW w AS (PARTITION BY symbol, interval, mark ORDER BY pos))
 WHERE (mark = 'G' AND value >= b AND value >= a) OR (mark = 'D' AND value <= b AND value <= a)"""),
     "formal_stroke_zones": query([*BOTH, GROUPS, TAIL_GROUPS], """SELECT symbol, interval, row_number() OVER (PARTITION BY symbol, interval ORDER BY g) - 1 AS zone, start_pos, end_pos, zg, zd, size FROM (

@@ -251,6 +251,18 @@ def q_live_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.provisional_strokes.withColumn("structure", F.lit("stroke")).unionByName(a.provisional_segments.withColumn("structure", F.lit("segment")))
 
 
+def q_legacy_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every three units as an older segment, with faults: some a unit too long, some ending elsewhere, some missing."""
+    u = unit_chain(spark, sf_dir)
+    k, by = F.floor(F.col("pos") / 3).cast("long"), Window.partitionBy(*K).orderBy("pos")
+    seg = u.withColumns({"idx": k, "end_at": F.lead("end_value", 2).over(by)}).where("pos % 3 = 0 AND end_at IS NOT NULL AND idx % 13 <> 5")
+    seg = seg.select(
+        *K, "idx", "direction", F.col("pos").alias("start_pos"), (F.col("pos") + F.when(F.col("idx") % 7 == 2, 4).when(F.col("idx") % 17 == 3, 10**9).otherwise(3)).alias("end_pos"),
+        "start_value", (F.col("end_at") + F.when(F.col("idx") % 11 == 4, 1.0).otherwise(0.0)).alias("end_value"),
+    )
+    return legacy_segments.legacy_issues(seg, u)
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 BAR_VIEW = ["open_time", "close_time", "open", "high", "low", "close", "volume", "quote_volume", "trade_count"]
 
@@ -290,6 +302,7 @@ QUERIES: dict[str, Query] = {
     "provenance_faults": lambda s, d: points.provenance_issues(as_segments(unit_chain(s, d))),
     "commit_faults": lambda s, d: validators.commit_conflicts(unit_chain(s, d).select(*K, F.concat_ws("/", "direction", F.col("pos") % 40).alias("fingerprint"), (F.col("pos") % 80).alias("committed_at"))),
     "endpoints": lambda s, d: legacy_segments.endpoints(unit_chain(s, d)),
+    "legacy_faults": q_legacy_faults,
     "potentials": lambda s, d: legacy_segments.potentials(legacy_segments.endpoints(unit_chain(s, d))),
     "formal_stroke_zones": lambda s, d: zones.stroke_zones(zones.behind_first_group(unit_chain(s, d))).select(*K, "zone", "start_pos", "end_pos", "zg", "zd", "size"),
     "formal_segment_zones": lambda s, d: zones.segment_zones(zones.behind_first_zone(unit_chain(s, d))).select(*K, "zone", "start_pos", "end_pos", "zg", "zd", "size"),

@@ -35,7 +35,7 @@ def sql():
     return con
 
 
-@pytest.mark.parametrize("name", ["resample_by_type", "stream_issues", "bar_gaps", "next_open", "snapshot_merge", "merged_bars", "fractals", "macd", "macd_area", "stroke_zone_groups", "segment_zones", "third_points"])
+@pytest.mark.parametrize("name", ["resample_by_type", "stream_issues", "bar_gaps", "next_open", "snapshot_merge", "merged_bars", "fractals", "macd", "macd_area", "stroke_zone_groups", "segment_zones", "third_points", "legacy_faults"])
 def test_against_sql(spark, sql, name):
     df = __spark_entry__.queries()[name](spark, SF)
     columns = sorted(df.columns)
@@ -45,6 +45,14 @@ def test_against_sql(spark, sql, name):
     assert got == sorted((tuple(r[i] for i in at) for r in cur.fetchall()), key=repr)
 
 
+def test_sound_legacy_segments_have_no_issue(spark):
+    u = QUERIES["unit_chain"](spark, SF)
+    for mode in ("strict", "loose"):
+        seg = legacy_segments.legacy_segments(u, mode)
+        assert seg.count() and legacy_segments.legacy_issues(seg, u, mode).count() == 0
+    assert legacy_segments.legacy_issues(seg.where("false"), u).count() == 0
+
+
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
