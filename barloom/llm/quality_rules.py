@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from .common import ASCII_WS, col, fresh, materialize
 
 WS_CLASS = r"[\x20\x09-\x0D]+"
+COMMON = r"[^#*$%&|<>!?0-9\p{Lu}]+"
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 RATIOS = ["mean_word", "symbol_share", "dup_line_share", "repeat_share", "upper_share", "mark_share", "pipe_share", "digit_share", "line_words"]
 
@@ -34,11 +35,13 @@ def text_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     names = {c: f"qs_{k}" for k, c in enumerate((id_col, *keep))}
     own = list(names.values())
     text = F.coalesce(col(text_col), F.lit(""))
-    removed = lambda pattern: F.char_length("t") - F.char_length(F.regexp_replace("t", pattern, ""))
+    removed = lambda pattern: F.char_length("rare") - F.char_length(F.regexp_replace("rare", pattern, ""))
     a = docs.select(*[col(c).alias(k) for c, k in names.items()], text.alias("t"))
     b = a.select(
-        *own, "t",
-        F.filter(F.split("t", WS_CLASS), lambda w: w != "").alias("w"),
+        *own,
+        # The characters that are counted, in one pass over the text: each count below reads these alone.
+        F.regexp_replace("t", COMMON, "").alias("rare"),
+        F.array_remove(F.split("t", WS_CLASS), "").alias("w"),
         F.filter(F.split("t", "\n", -1), lambda x: F.btrim(x, F.lit(ASCII_WS)) != "").alias("lines"),
     )
     c = b.select(
