@@ -77,8 +77,9 @@ def _finish(rows: DataFrame, units: DataFrame, commits: DataFrame | None) -> Dat
     return out.withColumn("confirmed_at", F.when(F.col("status") == "confirmed", F.col("confirmed_at"))).select(*K, *COLUMNS)
 
 
-def first_points(units: DataFrame, zones: DataFrame, areas: DataFrame, exact: DataFrame, commits: DataFrame | None = None) -> DataFrame:
-    """B1 and S1: strict trend, then both legs, then a new extreme, then exact MACD, then divergence."""
+def first_points(units: DataFrame, zones: DataFrame, areas: DataFrame, exact: DataFrame, commits: DataFrame | None = None, inside: DataFrame | None = None) -> DataFrame:
+    """B1 and S1: strict trend, then both legs, then a new extreme, then exact MACD, then divergence. With
+    ``inside`` (zone, whole) the leg that leaves must also be whole inside, which is asked behind the legs."""
     pairs = trend_pairs(zones)
     kind = lambda c: F.when(F.col(c) == "down", "B1").otherwise("S1")
     null = F.lit(None)
@@ -87,11 +88,15 @@ def first_points(units: DataFrame, zones: DataFrame, areas: DataFrame, exact: Da
         null.cast("long").alias("segment_pos"), null.cast("double").alias("price"), F.array().cast("array<bigint>").alias("related"),
     )
     d = divergences(pairs, units, areas, exact)
+    reason = F.when(~F.col("has_legs"), "LEGS_INCOMPLETE")
+    if inside is not None:
+        d = d.join(inside.select(*K, "zone", "whole"), [*K, "zone"], "left")
+        reason = reason.when(~F.coalesce("whole", F.lit(False)), "INSIDE_INCOMPLETE")
     reason = (
-        F.when(~F.col("has_legs"), "LEGS_INCOMPLETE").when(~F.col("new_extreme"), "NO_NEW_EXTREME").when(~F.col("exact"), "MACD_NOT_EXACT")
+        reason.when(~F.col("new_extreme"), "NO_NEW_EXTREME").when(~F.col("exact"), "MACD_NOT_EXACT")
         .when(~F.col("diverges"), "NO_DIVERGENCE").otherwise("TREND_DIVERGENCE")
     )
-    status = F.when(F.col("reason").isin("LEGS_INCOMPLETE", "MACD_NOT_EXACT"), "pending").when(F.col("reason") == "TREND_DIVERGENCE", "confirmed").otherwise("rejected")
+    status = F.when(F.col("reason").isin("LEGS_INCOMPLETE", "INSIDE_INCOMPLETE", "MACD_NOT_EXACT"), "pending").when(F.col("reason") == "TREND_DIVERGENCE", "confirmed").otherwise("rejected")
     related = F.when(F.col("has_legs"), F.array("b", "c")).otherwise(F.array().cast("array<bigint>"))
     strong = d.withColumn("reason", reason).select(
         *K, kind("direction").alias("point_type"), status.alias("status"), "reason", "zone", F.col("c").alias("segment_pos"), F.when(F.col("has_legs"), F.col("price")).alias("price"), related.alias("related")
@@ -99,15 +104,23 @@ def first_points(units: DataFrame, zones: DataFrame, areas: DataFrame, exact: Da
     return _finish(weak.unionByName(strong), units, commits)
 
 
-def second_points(first: DataFrame, units: DataFrame, commits: DataFrame | None = None) -> DataFrame:
-    """B2 and S2: the first pullback behind a confirmed first point that does not pass its price."""
+def second_points(first: DataFrame, units: DataFrame, commits: DataFrame | None = None, lower: DataFrame | None = None) -> DataFrame:
+    """B2 and S2: the first pullback behind a confirmed first point that does not pass its price. With
+    ``lower`` (segment, point_type, dt, price) a first point of the lower level must end the pullback."""
     f = first.where("status = 'confirmed'").select(*K, F.col("point_type").alias("of"), F.col("segment_pos").alias("p0"), F.col("price").alias("first_price")).distinct()
     at = lambda k, n: units.select(*K, (F.col("pos") - k).alias("p0"), F.col("direction").alias(f"{n}_direction"), F.col("end_value").alias(f"{n}_value"))
     rows = f.join(at(1, "back"), [*K, "p0"], "left").join(at(2, "again"), [*K, "p0"], "left")
     buy = F.col("of") == "B1"
     turned = F.when(buy, (F.col("back_direction") == "up") & (F.col("again_direction") == "down")).otherwise((F.col("back_direction") == "down") & (F.col("again_direction") == "up"))
     holds = F.when(buy, F.col("again_value") >= F.col("first_price") - EPS).otherwise(F.col("again_value") <= F.col("first_price") + EPS)
-    reason = F.when(F.col("again_value").isNull(), "PULLBACK_INCOMPLETE").when(~(turned & holds), "FIRST_POINT_BROKEN").otherwise("FIRST_PULLBACK_HOLDS")
+    reason = F.when(F.col("again_value").isNull(), "PULLBACK_INCOMPLETE").when(~(turned & holds), "FIRST_POINT_BROKEN")
+    if lower is not None:
+        ends = units.select(*K, F.col("pos").alias("segment"), F.col("end_dt").alias("dt"), "end_value")
+        met = lower.join(ends, [*K, "segment", "dt"]).where(F.abs(F.col("price") - F.col("end_value")) <= EPS)
+        met = met.select(*K, (F.col("segment") - 2).alias("p0"), F.col("point_type").alias("of"), F.lit(True).alias("met")).distinct()
+        rows = rows.join(met, [*K, "p0", "of"], "left")
+        reason = reason.when(F.col("met").isNull(), "NO_POINT_INSIDE")
+    reason = reason.otherwise("FIRST_PULLBACK_HOLDS")
     there = F.col("again_value").isNotNull()
     out = rows.withColumn("reason", reason).select(
         *K, F.when(buy, "B2").otherwise("S2").alias("point_type"),

@@ -354,6 +354,14 @@ UNION ALL SELECT symbol, interval, point_type, segment_pos + 1000000, 'NOT_REPRO
     "trend_pairs": query([*_Z, PAIRS], "SELECT symbol, interval, zone, pzone AS prev_zone, gg, dd, strict, core FROM pair"),
     "first_points": query(_F, point_rows("first")),
     "second_points": query([*_F, SECOND], point_rows("second")),
+    "inner_third_points": query([*_Z], """SELECT z.symbol, z.interval, z.zone, z.end_pos AS segment_pos, min(b.pos) AS third_pos
+FROM zone z JOIN unit s ON s.symbol = z.symbol AND s.interval = z.interval AND s.pos = z.end_pos
+JOIN unit a ON a.symbol = z.symbol AND a.interval = z.interval AND a.pos BETWEEN z.end_pos AND z.end_pos + 4 AND a.direction = s.direction
+JOIN unit b ON b.symbol = z.symbol AND b.interval = z.interval AND b.pos = a.pos + 1 AND b.direction <> s.direction
+JOIN unit c ON c.symbol = z.symbol AND c.interval = z.interval AND c.pos = a.pos + 2 AND c.direction = s.direction
+WHERE CASE WHEN s.direction = 'down' THEN a.end_value < z.zd - 1e-9 AND b.high <= z.zd + 1e-9 AND c.end_value < b.start_value - 1e-9
+           ELSE a.end_value > z.zg + 1e-9 AND b.low >= z.zg - 1e-9 AND c.end_value > b.start_value + 1e-9 END
+GROUP BY z.symbol, z.interval, z.zone, z.end_pos"""),
     "third_points": query([*_Z, THIRD], point_rows("third")),
     "contiguous_block": query(BOTH, """SELECT u.symbol, u.interval, u.pos, CASE WHEN n < 5 THEN 'UNRESOLVED_BOUNDARY' WHEN pos > 9 THEN 'RIGHT_TAIL' ELSE 'LEFT_PREFIX' END AS reason
   FROM unit u JOIN (SELECT symbol, interval, count(*) FILTER (WHERE pos BETWEEN 5 AND 9) AS n FROM unit GROUP BY symbol, interval) c ON c.symbol = u.symbol AND c.interval = u.interval

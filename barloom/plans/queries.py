@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.intervals import interval_seconds, next_open_time
 from ..operators import bars as B
-from ..operators import legacy_segments, live, points, structure, validators, zones
+from ..operators import legacy_segments, live, points, recursive_points, structure, validators, zones
 from ..operators.folds import KEYS
 from ..sources import bar_files
 from .analysis import analyze, analyze_snapshot
@@ -263,6 +263,13 @@ def q_legacy_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return legacy_segments.legacy_issues(seg, u)
 
 
+def q_inner_thirds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Third points among the seven units from the end of each zone."""
+    u = unit_chain(spark, sf_dir)
+    legs = u.select(*K, "pos", "direction", F.col("pos").alias("start_pos"), (F.col("pos") + 7).alias("end_pos"))
+    return recursive_points.inner_thirds(zones.segment_zones(u), legs, recursive_points.inner_strokes(legs, u))
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 BAR_VIEW = ["open_time", "close_time", "open", "high", "low", "close", "volume", "quote_volume", "trade_count"]
 
@@ -291,6 +298,7 @@ QUERIES: dict[str, Query] = {
     "first_points": lambda s, d: _show(_judged(s, d)["first"]),
     "second_points": lambda s, d: _show(_judged(s, d)["second"]),
     "third_points": lambda s, d: _show(_judged(s, d)["third"]),
+    "inner_third_points": q_inner_thirds,
     "contiguous_block": q_contiguous_block,
     "all_bars": q_all_bars,
     "revised_bars": q_revised_bars,

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from barloom.functions.intervals import interval_seconds, next_open_time
 from barloom.operators import bars as B
-from barloom.operators import legacy_segments, live, points, structure, validators, zones
+from barloom.operators import legacy_segments, live, points, recursive_points, structure, validators, zones
 from barloom.plans.analysis import analyze
 from barloom.plans.frames import frames
 from barloom.plans.oracles import ORACLES
@@ -35,7 +35,7 @@ def sql():
     return con
 
 
-@pytest.mark.parametrize("name", ["resample_by_type", "stream_issues", "bar_gaps", "next_open", "snapshot_merge", "merged_bars", "fractals", "macd", "macd_area", "stroke_zone_groups", "segment_zones", "third_points", "legacy_faults"])
+@pytest.mark.parametrize("name", ["resample_by_type", "stream_issues", "bar_gaps", "next_open", "snapshot_merge", "merged_bars", "fractals", "macd", "macd_area", "stroke_zone_groups", "segment_zones", "third_points", "inner_third_points", "legacy_faults"])
 def test_against_sql(spark, sql, name):
     df = __spark_entry__.queries()[name](spark, SF)
     columns = sorted(df.columns)
@@ -112,6 +112,31 @@ def test_first_and_second_points(spark):
     assert not {x for x in judge(spark, [120, 100, 115, 95, 108, 90], True)[0] if x[0] in ("B1", "S1")}
 
 
+def test_older_points_look_inside(spark):
+    zone = spark.createDataFrame([("X", "1m", 0, 90.0, 100.0, 0)], "symbol string, interval string, zone long, zd double, zg double, end_pos long")
+    for values, third, count in [([110, 80, 88, 70, 78, 60, 72, 50], 1, 2), ([110, 80, 95, 70, 78, 60, 72, 50], 3, 2), ([110, 80, 95, 70], None, 1)]:
+        for sign in (1, -1):
+            v = [x if sign == 1 else 190 - x for x in values]
+            strokes = units(spark, v, sign == 1)
+            leg = strokes.where("pos = 0").withColumns({"start_pos": F.lit(0).cast("long"), "end_pos": F.lit(len(v) - 1).cast("long")})
+            r = recursive_points.inside(zone, leg, strokes).collect()
+            assert [(x.symbol, x.third_pos, x.n_zones, x.whole) for x in r] == [("X", third, count, third is not None)]
+    u = units(spark, DOWN, True)
+    a = u.select("symbol", "interval", "pos", F.when(F.col("pos") == 4, 50.0).otherwise(5.0).alias("area"))
+    e, z, key = u.select("symbol", "interval").distinct().withColumn("exact", F.lit(True)), zones.segment_zones(u), ["symbol", "interval"]
+    for whole, status in ((True, "confirmed"), (False, "pending")):
+        first = points.first_points(u, z, a, e, None, z.select(*key, "zone", F.lit(whole).alias("whole")))
+        assert ("B1", 10, status) in {(r.point_type, r.segment_pos, r.status) for r in first.collect()}
+    first = points.first_points(u, z, a, e)
+    met = u.where("pos = 12").select(*key, F.col("pos").alias("segment"), F.lit("B1").alias("point_type"), F.col("end_dt").alias("dt"), F.col("end_value").alias("price"))
+    for lower, reason in ((met, "FIRST_PULLBACK_HOLDS"), (met.withColumn("point_type", F.lit("S1")), "NO_POINT_INSIDE"), (met.withColumn("price", F.col("price") + 1), "NO_POINT_INSIDE")):
+        assert [r.reason for r in points.second_points(first, u, None, lower).collect()] == [reason]
+    inner = u.withColumn("symbol", F.lit("X"))
+    seg = u.where("pos = 0").withColumns({"symbol": F.lit("X"), "start_pos": F.lit(0).cast("long"), "end_pos": F.lit(13).cast("long")})
+    got = recursive_points.stroke_first_points(seg, inner, a, e).collect()
+    assert [(r.symbol, r.segment, r.point_type, r.price) for r in got] == [("X", 0, "B1", 80.0)]
+
+
 def test_third_point_and_gates(spark):
     assert ("B3", 5, "confirmed") in judge(spark, [100, 120, 105, 118, 108, 130, 118], False)[0]
     u = units(spark, [10, 20, 12, 18], False)
