@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, html_text, language, line_dedup, minhash, mixing, packing, quality_classifier, quality_rules, token_files
+from . import embedding_dedup, filter_audit, html_text, language, line_dedup, minhash, mixing, packing, quality_classifier, quality_rules, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_files": token_files.op8_token_files,
         "op9_quality_classifier": quality_classifier.op9_quality_classifier,
         "op10_packing": packing.op10_packing,
+        "op11_filter_audit": filter_audit.op11_filter_audit,
     }
 
 
@@ -30,4 +31,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_embedding_dedup": embedding_dedup.OP2_SQL,
         "op3_line_dedup": line_dedup.OP3_SQL,
         "op4_minhash": minhash.OP4_SQL,
+        "op11_filter_audit": filter_audit.OP11_SQL,
     }
