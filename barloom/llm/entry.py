@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, filter_audit, fingerprints, html_text, language, line_dedup, minhash, mixing, packing, quality_classifier, quality_rules, token_files
+from . import collocations, embedding_dedup, filter_audit, fingerprints, html_text, language, line_dedup, minhash, mixing, packing, quality_classifier, quality_rules, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality_classifier": quality_classifier.op9_quality_classifier,
         "op10_packing": packing.op10_packing,
         "op11_filter_audit": filter_audit.op11_filter_audit,
+        "op12_collocations": collocations.op12_collocations,
         "op13_fingerprints": fingerprints.op13_fingerprints,
     }
 
@@ -33,5 +34,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_line_dedup": line_dedup.OP3_SQL,
         "op4_minhash": minhash.OP4_SQL,
         "op11_filter_audit": filter_audit.OP11_SQL,
+        "op12_collocations": collocations.OP12_SQL,
         "op13_fingerprints": fingerprints.OP13_SQL,
     }
