@@ -8,9 +8,9 @@ that word. Its popcount is the phrase's count in the shard, and sums over shards
 
 A shard walks the tree of phrases depth first, a group of first words at a time, and meets only words
 that have a bit in the blocks its shifted bitmaps touch. Support is a matter of the whole corpus, so the walk is
-made once per length: the pass to depth d goes down only through phrases that are frequent in all shards
-together, which are told to each shard that holds them. Words are numbers from the moment their counts are known, so
-counts of phrases are exact sums over integer keys.
+made once per length, and each goes down only through what may be frequent in all shards together: words and
+pairs are first counted by hash, which can only count too much, and the hashes with support become a filter of bounded
+size that every shard gets. What passes is counted exactly, so a full filter costs time and no results.
 """
 
 from __future__ import annotations
@@ -19,11 +19,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, col, keep, materialize, runs_of, scratch
+from .common import bounded_broadcast, col, keep, materialize, scratch
 
 #: A phrase must occur so often in its part of the corpus.
 SUPPORT = 10
@@ -34,6 +35,8 @@ FIRST = 2000
 POSITIONS = 1 << 20
 #: Pairs of blocks compared at once.
 MEETINGS = 1 << 21
+#: The size that a filter of hashes has at most: 32 MB.
+FILTER_BITS = 1 << 28
 WIDTH = 16
 
 _END = b"\xff"  # no byte of UTF-8
@@ -72,18 +75,14 @@ def bitmaps_of(at: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray, np
     return (key[first] & ((1 << 40) - 1)).astype(np.uint32), bits, starts
 
 
-def _binary(values: np.ndarray, starts: np.ndarray) -> pa.Array:
-    """Slices of an array as binary values, without a loop."""
-    return pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer((starts * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+BITMAPS = "shard long, ids array<long>, n array<long>, part array<string>, text array<string>, size array<int>, blocks binary, bits binary"
 
 
-BITMAPS = "shard long, word long, part string, text string, n long, blocks binary, bits binary"
-_BITMAPS = pa.schema([("shard", pa.int64()), ("word", pa.int64()), ("part", pa.string()), ("text", pa.string()), ("n", pa.int64()), ("blocks", pa.binary()), ("bits", pa.binary())])
-
-
-def word_bitmaps(docs: DataFrame, text_col: str = "text", part_col: str = "lang", positions: int = POSITIONS) -> DataFrame:
-    """Bitmaps of all words of all shards. ``part`` is the value of ``part_col`` (null: ``und``); words of
-    different parts are different words. Number blocks take 2 bytes, in a shard of a very long document 4."""
+def word_bitmaps(docs: DataFrame, text_col: str = "text", part_col: str = "lang", positions: int = POSITIONS, seed: int = 0) -> DataFrame:
+    """One row per shard: its words (``ids`` are hashes of part and word, ``n`` occurrences), and the blocks and
+    bits of all bitmaps one behind the other, ``size`` of each. ``part`` is the value of ``part_col`` (null:
+    ``und``); words of different parts are different words. Block numbers take 2 bytes, in a shard of a very
+    long document 4."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId() << 32
@@ -92,22 +91,24 @@ def word_bitmaps(docs: DataFrame, text_col: str = "text", part_col: str = "lang"
         held: list[np.ndarray] = []
         n = 0
 
+        def one(values: pa.Array) -> pa.Array:
+            return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
         def close() -> pa.RecordBatch:
             nonlocal shard, n
             at = np.concatenate(held)
             blocks, bits, starts = bitmaps_of(at, len(seen))
-            counts = np.bincount(at, minlength=len(seen))[1:]
+            counts = np.bincount(at, minlength=len(seen))[1:].astype(np.int64)
             parts, words = zip(*seen[1:], strict=True) if len(seen) > 1 else ((), ())
+            ids = np.fromiter((xxhash.xxh3_64_intdigest(p.encode() + _END + w, seed) for p, w in seen[1:]), np.uint64, len(words)).view(np.int64)
             if len(at) // WIDTH < 1 << 16:
                 blocks = blocks.astype(np.uint16)
-            arrays = [
-                pa.array(np.full(len(words), shard, np.int64)), pa.array(np.arange(1, len(words) + 1)), pa.array(parts, pa.string()),
-                pa.array(words, pa.binary()).cast(pa.string()), pa.array(counts.astype(np.int64)), _binary(blocks, starts), _binary(bits, starts),
-            ]
+            lists = [pa.array(ids), pa.array(counts), pa.array(parts, pa.string()), pa.array(words, pa.binary()).cast(pa.string()), pa.array(np.diff(starts).astype(np.int32))]
+            out = pa.RecordBatch.from_arrays([pa.array([shard]), *map(one, lists), pa.array([blocks.tobytes()], pa.binary()), pa.array([bits.tobytes()], pa.binary())], [c.split()[0] for c in BITMAPS.split(", ")])
             held.clear(), numbers.clear()
             seen[:] = [None]
             shard, n = shard + 1, 0
-            return pa.RecordBatch.from_arrays(arrays, schema=_BITMAPS)
+            return out
 
         for batch in batches:
             for part, text in zip(batch.column(0), batch.column(1), strict=True):
@@ -180,8 +181,42 @@ def _tally(key: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return kinds, np.bincount(inverse, np.bitwise_count(bits), len(kinds)).astype(np.int64)
 
 
+_M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+
+
+def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """32 bits for two word ids, as int64."""
+    x = a.view(np.uint64) * _M1 ^ (b.view(np.uint64) >> np.uint64(7)) * _M2 + b.view(np.uint64)
+    x = (x ^ (x >> np.uint64(29))) * _M2
+    return (x >> np.uint64(32)).astype(np.int64)
+
+
+class Filter:
+    """A set of hashes as one bit each; others may seem to be in it. Its size is a power of two."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits, self.mask = bits, len(bits) * 8 - 1
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        at = hashes & self.mask
+        return (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 != 0
+
+
+def filter_of(hashes: DataFrame, rows: int, most: int = FILTER_BITS) -> Filter:
+    """The filter of a column ``hash`` of ``rows`` rows: 16 bits a row, from 2^16 up to ``most`` bits in all. The
+    bits are set where the rows are; the driver gets the bitmap alone."""
+    size = min(most, max(1 << 16, 1 << (16 * rows).bit_length()))
+    at = F.col("hash").bitwiseAND(F.lit(size - 1))
+    chunk = 1 << 15
+    rows_ = hashes.select(F.floor(at / chunk).alias("no"), (at % chunk).alias("bit")).groupBy("no").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
+    out = np.zeros(size // 8, np.uint8)
+    for r in rows_:
+        out[r["no"] * chunk // 8 : (r["no"] + 1) * chunk // 8] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return Filter(out)
+
+
 def pairs_of(s: Shard) -> Iterator[tuple[np.ndarray, ...]]:
-    """(first word, second word, count) of all two-word phrases, by numbers."""
+    """(first word, second word, count) of all two-word phrases, by ids."""
     n = len(s.ids)
     for branch in s.branches():
         p, w, _, bits = s.next_words(*branch)
@@ -189,70 +224,53 @@ def pairs_of(s: Shard) -> Iterator[tuple[np.ndarray, ...]]:
         yield s.ids[key // n], s.ids[key % n], count
 
 
-def triples_of(s: Shard, frequent: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    """(first, second, third word, count) of the phrases whose both pairs are in ``frequent`` (sorted keys of
-    word indexes), going down through those pairs only."""
+def phrases_of(s: Shard, frequent: Filter) -> Iterator[tuple[np.ndarray, ...]]:
+    """(first, second, third word, count) of the two-word phrases (third word -1) that pass the filter, and of
+    the three-word phrases whose both pairs do, going down through those pairs only."""
     n = len(s.ids)
-    known = lambda key: frequent[np.minimum(np.searchsorted(frequent, key), len(frequent) - 1)] == key
-    if not len(frequent):
-        return
     for branch in s.branches():
         p, w, block, bits = s.next_words(*branch)
-        key = p * n + w
-        down = known(key)
-        q, w2, _, bits2 = s.next_words(key[down], block[down], bits[down])
-        last = known((q % n) * n + w2)
-        q, w2, bits2 = q[last], w2[last], bits2[last]
-        # Pairs are renumbered, so that a key of three words fits 64 bits.
-        at, inverse = np.unique(q, return_inverse=True)
-        keys, count = _tally(inverse * n + w2, bits2)
-        pair = at[keys // n] if len(keys) else keys
-        yield s.ids[pair // n], s.ids[pair % n], s.ids[keys % n], count
-
-
-_MASK, _NAME, _PAIR = 0, 1, 2
-
-
-def _shards(bitmaps: DataFrame, names: DataFrame, pairs: DataFrame | None, depth: int) -> DataFrame:
-    """All phrases of ``depth`` words by shard: ``shard, w1, w2[, w3], n``. A shard's bitmaps meet the numbers of
-    its frequent words and its frequent pairs in one shuffle by shard."""
-    none = F.lit(None).cast("binary")
-    rows = bitmaps.select("shard", F.lit(_MASK).cast("long").alias("kind"), F.col("word").alias("a"), F.lit(-1).cast("long").alias("b"), "blocks", "bits")
-    rows = rows.unionByName(names.select("shard", F.lit(_NAME).cast("long").alias("kind"), F.col("word").alias("a"), F.col("id").alias("b"), none.alias("blocks"), none.alias("bits")))
-    if pairs is not None:
-        rows = rows.unionByName(pairs.select("shard", F.lit(_PAIR).cast("long").alias("kind"), F.col("w1").alias("a"), F.col("w2").alias("b"), none.alias("blocks"), none.alias("bits")))
-    n = int(bitmaps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(n, "shard").sortWithinPartitions("shard", "kind", "a", "b")
-    columns = ["shard", *[f"w{k + 1}" for k in range(depth)], "n"]
-    schema = pa.schema([(c, pa.int64()) for c in columns])
-
-    def read(run: pa.RecordBatch) -> tuple[int, Shard, np.ndarray]:
-        kind, a, b = (run.column(k).to_numpy() for k in (1, 2, 3))
-        cut, end = np.searchsorted(kind, _NAME), np.searchsorted(kind, _PAIR)
-        bits = run.column(5).slice(0, cut)
-        size = np.diff(np.frombuffer(bits.buffers()[1], np.int32)[bits.offset : bits.offset + cut + 1]) // 2 if cut else np.zeros(0, np.int64)
-        joined = b"".join(run.column(4).slice(0, cut).to_pylist())
-        blocks = np.frombuffer(joined, np.uint16 if len(joined) == 2 * size.sum() else np.uint32).astype(np.int64)
-        # A shard's words are 1, 2, …; entries of those without a number go.
-        number = np.full(cut, -1, np.int64)
-        number[a[cut:end] - 1] = b[cut:end]
-        entry = np.repeat(np.arange(cut), size)
-        held = number[entry] >= 0
-        index = np.cumsum(number >= 0) - 1
-        ids = number[number >= 0]
-        shard = Shard(ids, index[entry[held]], blocks[held], np.frombuffer(b"".join(bits.to_pylist()), np.uint16)[held])
-        order = np.argsort(ids)
-        at = lambda x: order[np.searchsorted(ids[order], x)]
-        return int(run.column(0)[0].as_py()), shard, np.sort(at(a[end:]) * len(ids) + at(b[end:])) if end < len(a) else np.zeros(0, np.int64)
+        pair, at = np.unique(p * n + w, return_inverse=True)
+        first, second = pair // n, pair % n
+        passes = frequent(pair_hash(s.ids[first], s.ids[second]))
+        count = np.bincount(at, np.bitwise_count(bits), len(pair)).astype(np.int64)
+        yield s.ids[first[passes]], s.ids[second[passes]], np.full(int(passes.sum()), -1), count[passes]
+        down = passes[at]
+        q, w3, _, bits = s.next_words(at[down], block[down], bits[down])
+        last = frequent(pair_hash(s.ids[second[q]], s.ids[w3]))
+        key, count = _tally(q[last] * n + w3[last], bits[last])
+        q = key // n
+        yield s.ids[first[q]], s.ids[second[q]], s.ids[key % n], count
+
+
+def _walk(bitmaps: DataFrame, words: Filter, pairs: Filter | None) -> DataFrame:
+    """What shards find: ``hash, n`` of all pairs of words that pass ``words``; with ``pairs`` the phrases
+    ``w1, w2, w3, n`` that pass that."""
+    spark = bitmaps.sparkSession
+    given = spark.sparkContext.broadcast((words.bits, None if pairs is None else pairs.bits))
+    names = ["hash", "n"] if pairs is None else ["w1", "w2", "w3", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows_ in runs_of(batches, 1):
-            no, shard, frequent = read(rows_)
-            for found in pairs_of(shard) if depth == 2 else triples_of(shard, frequent):
-                if len(found[0]):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found[0]), no, np.int64)), *map(pa.array, found)], schema=schema)
-
-    return dealt.mapInArrow(run, ", ".join(f"{c} long" for c in columns))
+        word_bits, pair_bits = given.value
+        frequent, deeper = Filter(word_bits), None if pair_bits is None else Filter(pair_bits)
+        for batch in batches:
+            for ids, size, blocks, bits in zip(*batch.columns, strict=True):
+                ids, size = ids.values.to_numpy(), size.values.to_numpy()
+                bits = np.frombuffer(bits.as_buffer(), np.uint16)
+                blocks = np.frombuffer(blocks.as_buffer(), np.uint16 if blocks.as_buffer().size == 2 * len(bits) else np.uint32)
+                stays = frequent(ids)
+                held = np.repeat(stays, size)
+                index = np.repeat(np.cumsum(stays) - 1, size)[held]
+                shard = Shard(ids[stays], index, blocks[held].astype(np.int64), bits[held])
+                if deeper is None:
+                    found = ((pair_hash(a, b), n) for a, b, n in pairs_of(shard))
+                else:
+                    found = phrases_of(shard, deeper)
+                for x in found:
+                    if len(x[0]):
+                        yield pa.RecordBatch.from_arrays(list(map(pa.array, x)), names)
+
+    return bitmaps.select("ids", "size", "blocks", "bits").mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 def exact_score(a: Column, left: Column, right: Column) -> Column:
@@ -261,7 +279,7 @@ def exact_score(a: Column, left: Column, right: Column) -> Column:
     return F.call_function("div", F.lit(1000000).cast("decimal(7,0)") * d(a) * d(a), d(left) * d(right))
 
 
-def collocations(docs: DataFrame, text_col: str = "text", part_col: str = "lang", support: int = SUPPORT, covered: int = COVERED, first: int = FIRST, positions: int = POSITIONS) -> DataFrame:
+def collocations(docs: DataFrame, text_col: str = "text", part_col: str = "lang", support: int = SUPPORT, covered: int = COVERED, first: int = FIRST, positions: int = POSITIONS, filter_bits: int = FILTER_BITS) -> DataFrame:
     """The best phrases of two and three words of each part: ``lang, rank, phrase, a, l, r, n, score``.
 
     Texts are lower-cased (A-Z), cut into pieces at ``[.,;:!?\\n\\x0b\\x0c\\r]`` and those into words at blanks and tabs.
@@ -274,17 +292,24 @@ def collocations(docs: DataFrame, text_col: str = "text", part_col: str = "lang"
     each, whatever their id. A table without candidates gives an empty result. Other columns play no part.
     """
     with scratch(docs.sparkSession):
-        bitmaps = materialize(word_bitmaps(docs, text_col, part_col, positions), "bitmaps")
-        words = materialize(bitmaps.groupBy("part", "text").agg(F.sum("n").alias("f")), "words")
+        seed = 0
+        while True:
+            bitmaps = materialize(word_bitmaps(docs, text_col, part_col, positions, seed), "bitmaps")
+            each = bitmaps.select(F.explode(F.arrays_zip("ids", "part", "text", "n")).alias("w")).select(F.col("w.ids").alias("id"), "w.part", "w.text", "w.n")
+            words = materialize(each.groupBy("id", "part", "text").agg(F.sum("n").alias("f")), "words")
+            # Two words with one 64-bit hash would be counted as one: then all are hashed anew.
+            if words.groupBy("id").count().where("count > 1").isEmpty():
+                break
+            seed += 1
         totals = words.groupBy("part").agg(F.sum("f").alias("total"))
-        frequent = materialize(words.where(F.col("f") >= support).withColumn("id", F.monotonically_increasing_id()), "frequent_words")
+        frequent = materialize(words.where(F.col("f") >= support), "frequent_words")
         n_words = frequent.count()
-        names = materialize(bitmaps.select("shard", "word", "part", "text").join(bounded_broadcast(frequent.select("part", "text", "id"), n_words), ["part", "text"]).select("shard", "word", "id"), "names")
-        by_shard = materialize(_shards(bitmaps, names, None, 2), "shard_pairs")
-        pairs = materialize(by_shard.groupBy("w1", "w2").agg(F.sum("n").alias("a")).where(F.col("a") >= support), "pairs")
+        known = filter_of(frequent.select(F.col("id").alias("hash")), n_words, filter_bits)
+        hashes = materialize(_walk(bitmaps, known, None).groupBy("hash").agg(F.sum("n").alias("a")).where(F.col("a") >= support).select("hash"), "pair_hashes")
+        passing = filter_of(hashes, hashes.count(), filter_bits)
+        phrases = materialize(_walk(bitmaps, known, passing).groupBy("w1", "w2", "w3").agg(F.sum("n").alias("a")).where(F.col("a") >= support), "phrases")
+        pairs, triples = phrases.where("w3 = -1").drop("w3"), phrases.where("w3 <> -1")
         n_pairs = pairs.count()
-        wanted = by_shard.select("shard", "w1", "w2").join(bounded_broadcast(pairs.select("w1", "w2"), n_pairs), ["w1", "w2"], "left_semi")
-        triples = materialize(_shards(bitmaps, names, wanted, 3).groupBy("w1", "w2", "w3").agg(F.sum("n").alias("a")).where(F.col("a") >= support), "triples")
 
         def word(k: int, *more: str) -> DataFrame:
             return bounded_broadcast(frequent.select(F.col("id").alias(f"w{k}"), F.col("text").alias(f"t{k}"), F.col("f").alias(f"f{k}"), *more), n_words)

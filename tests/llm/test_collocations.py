@@ -48,7 +48,7 @@ def docs():
 def test_against_brute_force(spark, docs):
     frame = spark.createDataFrame([(*d, "x", 1, "p") for d in docs], SCHEMA).repartition(5)
     assert got(C.collocations(frame)) == brute(docs, 10)
-    assert got(C.collocations(frame, support=3, covered=80, first=7, positions=500)) == brute(docs, 3, 80, 7)
+    assert got(C.collocations(frame, support=3, covered=80, first=7, positions=500, filter_bits=1 << 16)) == brute(docs, 3, 80, 7)
 
 
 def test_long_documents_and_dense_meetings(spark, monkeypatch):
@@ -65,6 +65,11 @@ def test_long_documents_and_dense_meetings(spark, monkeypatch):
         monkeypatch.setattr(C, "MEETINGS", most)
         found = Counter({(a, b): n for xs in C.pairs_of(shard) for a, b, n in zip(*xs)})
         assert found == want
+    three = Counter((x - 1, y - 1, z - 1) for x, y, z in zip(at, at[1:], at[2:]) if x and y and z)
+    for some in (lambda h: h == h, lambda h: h % 3 != 0):  # a full filter, and one that holds back pairs
+        passes = lambda a, b: bool(some(C.pair_hash(np.array([a]), np.array([b])))[0])  # noqa: E731, B023
+        found = Counter({tuple(k): n for xs in C.phrases_of(shard, some) for *k, n in zip(*xs)})
+        assert found == Counter({(a, b, -1): n for (a, b), n in want.items() if passes(a, b)}) + Counter({k: n for k, n in three.items() if passes(*k[:2]) and passes(*k[1:])})
 
 
 def test_empty(spark):
@@ -72,6 +77,14 @@ def test_empty(spark):
     assert C.collocations(spark.createDataFrame([(1, "a b", "en", "x", 1, "p"), (2, None, None, "x", 1, "p")], SCHEMA)).count() == 0
 
 
+def test_filters(spark):
+    r = np.random.default_rng(1)
+    held, other = r.integers(-(2**63), 2**63, 3000), r.integers(-(2**63), 2**63, 3000)
+    f = C.filter_of(spark.createDataFrame([(int(x),) for x in held], "hash long"), 3000)
+    assert f(held).all() and f(other).mean() < 0.1
+    assert len(C.filter_of(spark.createDataFrame([], "hash long"), 0).bits) == 1 << 13 and not C.filter_of(spark.createDataFrame([], "hash long"), 0)(other).any()
+
+
 def test_scores_are_exact(spark):
     big = 99_999_999_999_999
     rows = [(big, big, big), (10**13 + 7, 10**13 + 9, 10**13 + 11), (10, 10**13, 3 * 10**12), (10, 10, 10)]
