@@ -67,7 +67,7 @@ def test_long_documents_and_dense_meetings(spark, monkeypatch):
         assert found == want
     three = Counter((x - 1, y - 1, z - 1) for x, y, z in zip(at, at[1:], at[2:]) if x and y and z)
     for some in (lambda h: h == h, lambda h: h % 3 != 0):  # a full filter, and one that holds back pairs
-        passes = lambda a, b: bool(some(C.pair_hash(np.array([a]), np.array([b])))[0])  # noqa: E731, B023
+        passes = lambda a, b: bool(some(C.pair_hash(np.array([a], np.int64), np.array([b], np.int64)))[0])  # noqa: E731, B023
         found = Counter({tuple(k): n for xs in C.phrases_of(shard, some) for *k, n in zip(*xs)})
         assert found == Counter({(a, b, -1): n for (a, b), n in want.items() if passes(a, b)}) + Counter({k: n for k, n in three.items() if passes(*k[:2]) and passes(*k[1:])})
 
