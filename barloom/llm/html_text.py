@@ -69,6 +69,9 @@ _NUMBER = re.compile(r"\s*([+-]?\d{1,9})")
 
 WIDEST = 60
 DEEPEST = 200
+#: Limits of layout, never of text: columns that cells are set in, tables within tables, and blanks for each
+#: character of a table's text, beyond which its cells stand in no columns.
+COLUMNS, NESTED, BLANKS = 1000, 32, 64
 #: The largest spans of a table cell in HTML.
 COLSPAN, ROWSPAN = 1000, 65534
 
@@ -309,44 +312,64 @@ class _Table:
 
     def placed(self) -> Iterator[list[tuple[int, int, list[str]]]]:
         """The rows with (first column, columns, lines) of each cell: cells step aside for those above
-        that reach down to them."""
-        taken: dict[int, int] = {}  # rows still to come in which a column is taken
-        for row in self.rows:
-            out, at, new = [], 0, {}
+        that reach down to them. Cells behind ``COLUMNS`` stand in no column."""
+        taken: list[tuple[int, int, int]] = []  # column ranges of cells from above and the row they end before
+        for y, row in enumerate(self.rows):
+            taken = [x for x in taken if x[2] > y]
+            out, new, at, k = [], [], 0, 0
             for across, down, cell in row:
-                while taken.get(at, 0):
-                    at += 1
-                out.append((at, across, cell))
-                if down > 1:
-                    new.update(dict.fromkeys(range(at, at + across), down - 1))
-                at += across
-            taken = {c: k - 1 for c, k in taken.items() if k > 1} | new
+                while k < len(taken) and taken[k][0] <= at:
+                    at = max(at, taken[k][1])
+                    k += 1
+                out.append((min(at, COLUMNS), across, cell))
+                to = min(at + across, COLUMNS)
+                if down > 1 and at < to:
+                    new.append((at, to, min(y + down, len(self.rows))))
+                at = max(at, to)
+            joined: list[tuple[int, int, int]] = []
+            for x in sorted(taken + new) if new else taken:
+                if joined and joined[-1][1] >= x[0] and joined[-1][2] == x[2]:
+                    joined[-1] = (joined[-1][0], max(joined[-1][1], x[1]), x[2])
+                else:
+                    joined.append(x)
+            taken = joined
             yield out
 
     def lay_out(self) -> list[str]:
         rows = [r for r in self.placed() if any(c for _, _, c in r)]
+        if len(rows) == 1 and len(rows[0]) == 1:
+            return rows[0][0][2]
         width: dict[int, int] = {}
         for r in rows:
             for at, across, cell in r:
-                if across == 1:
-                    w = max(map(len, cell), default=0)
-                    if w <= WIDEST:
-                        width[at] = max(width.get(at, 0), w)
-        edge, total = {}, 0  # where each column begins
-        for c in range(max((at + (1 if across == 1 else 0) for r in rows for at, across, _ in r), default=0) + 1):
+                if at < COLUMNS:
+                    w = max(map(len, cell), default=0) if across == 1 else 0
+                    width[at] = max(width.get(at, 0), w if w <= WIDEST else 0)
+        edge, total = {COLUMNS: 0}, 0  # where each column begins that has a cell of its own
+        for c in sorted(width):
             edge[c] = total
-            total += width.get(c, 0) + 2
+            total += width[c] + 2
+        plain = self._blanks(rows, edge) > BLANKS * sum(len(x) for r in rows for _, _, cell in r for x in cell)
         out = []
         for r in rows:
             for k in range(max(len(c) for _, _, c in r)):
-                line = ""
+                parts, n = [], 0
                 for at, _, cell in r:
                     if k < len(cell):
-                        line = line.ljust(edge[at]) if len(line) + 2 <= edge[at] or not line else line + "  "
-                        line += cell[k]
-                out.append(line.rstrip())
+                        gap = 0 if plain else edge[at] - n
+                        gap = gap if gap >= 2 or not n else 2
+                        parts += [" " * gap, cell[k]]
+                        n += max(0, gap) + len(cell[k])
+                out.append("".join(parts).rstrip())
         return out
 
+    @staticmethod
+    def _blanks(rows: list, edge: dict[int, int]) -> int:
+        """At most so many blanks would set the cells in columns."""
+        return sum(edge[at] * len(cell) for r in rows for at, _, cell in r[:1]) + sum(
+            max(0, edge[y[0]] - edge[x[0]]) * len(y[2]) + (edge[x[0]] * max(0, len(y[2]) - len(x[2]))) for r in rows for x, y in zip(r, r[1:])
+        )
+
 
 def render(events: list[tuple]) -> str:
     """All visible text of a tree as laid-out lines."""
@@ -354,7 +377,7 @@ def render(events: list[tuple]) -> str:
     outer: list[tuple] = []  # the flows around open cells
     tables: list[_Table] = []
     lists: list[list] = []  # [is numbered, next number, prefix outside]
-    hidden = pre = 0
+    hidden = pre = flat = 0  # flat: open tables too deep to be set as tables
     hides: list[bool] = []
     seen: list[bool] = []  # whether what each open element holds is visible
     folded: list[int] = []  # depths of closed details whose summary is still to come; -1 behind it
@@ -370,6 +393,8 @@ def render(events: list[tuple]) -> str:
                 continue
             text = html.unescape(ev[1]) if "&" in ev[1] else ev[1]
             if pre:
+                if events[at - 1][:2] == (1, "pre"):  # a line break right behind the tag is none
+                    text = text.removeprefix("\r").removeprefix("\n")
                 parts = text.expandtabs(8).replace("\r", "").split("\n")
                 for x in parts[:-1]:
                     flow.inline.append(x)
@@ -442,7 +467,10 @@ def render(events: list[tuple]) -> str:
                 elif tag == "pre":
                     pre += 1
                 elif tag == "table":
-                    tables.append(_Table())
+                    if len(tables) < NESTED:
+                        tables.append(_Table())
+                    else:
+                        flat += 1
             elif tag == "br":
                 if visible and (pre or flow.inline):
                     flow.end_line()
@@ -450,6 +478,8 @@ def render(events: list[tuple]) -> str:
                 if visible:
                     flow.block(False)
                     flow.put("---")
+            elif flat and tag in ("tr", "td", "th"):
+                flow.block(False)
             elif tag == "tr":
                 if tables:
                     tables[-1].rows.append([])
@@ -483,6 +513,8 @@ def render(events: list[tuple]) -> str:
                 svg -= 1
             elif svg and tag in ("text", "foreignobject"):
                 flow.block(False)
+            elif flat and tag in ("tr", "td", "th"):
+                flow.end_line()
             elif tag in ("td", "th") and outer and outer[-1][3] == len(tables):
                 flow.end_line()
                 lines = flow.lines
@@ -496,7 +528,9 @@ def render(events: list[tuple]) -> str:
                         if text:
                             flow.put(text)
                     pre = max(0, pre - 1)
-                if tag == "table" and tables:
+                if tag == "table" and flat:
+                    flat -= 1
+                elif tag == "table" and tables:
                     flow.block(True)
                     for x in tables.pop().lay_out():
                         flow.put(x) if x else flow.lines.append("")

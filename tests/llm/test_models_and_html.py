@@ -229,6 +229,28 @@ class Visible(HTMLParser):
             self.out.append(data)
 
 
+def test_spans_and_nesting_stay_small_and_fast():
+    """Pages of about 100 KB made to blow up: under two seconds, and no more than 20 times the page."""
+    pages = [
+        "<table>" + "<tr><td colspan=1000 rowspan=65534>x" * 3000, "<table>" + "<tr><td rowspan=65534>x" * 5000, "<table>" + "<tr><td>x<td rowspan=65534>x" * 4000,
+        "<table>" + "".join(f"<tr><td rowspan={k % 97 + 2}>x<td colspan={k % 13 + 1} rowspan={k % 31 + 1}>y" for k in range(3000)),
+        "<table><tr><td>x" * 6000, "<table><tr><td>a<td>x" * 5000, "<ul><li><table><tr><td>a" * 4000,
+    ]
+    for page in pages:
+        began = time.process_time()
+        text = extract(page)
+        assert time.process_time() - began < 2 and len(text) <= 20 * len(page)
+        assert len(re.findall("[axy]", text)) == len(re.findall("(?<=[>])[axy]", page))
+
+
+def test_columns_of_tables():
+    assert extract("<table><tr><td>name<td>n<tr><td>long name here<td>5<tr><td colspan=2>all<tr><td><td>7</table>") == "name            n\nlong name here  5\nall\n                7"
+    assert extract("<table><tr><td colspan=1000>x<td>y<tr><td>b<td>c</table>") == "x  y\nb  c"
+    assert extract("<table><tr><td rowspan=2>top<td>one<tr><td>two<tr><td>low<td>end</table>") == "top  one\n     two\nlow  end"
+    deep = "<table><tr><td>a<td>b" * 40 + "</table>" * 40
+    assert extract(deep).split() == ["a", "b"] * 40
+
+
 def test_every_visible_text_node_of_the_test_pages_appears(spark):
     pages = {r.page_id: r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()}
     from barloom.llm.html_text import op6_html_text
