@@ -2,6 +2,8 @@ import random
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from barloom.llm import quality_rules as q
 
 
@@ -74,3 +76,23 @@ def test_without_labels_and_without_rows(spark, make_docs):
     out, rules = q.judge(make_docs([(1, "word " * 10), (2, None)]), none)
     assert rules.rules == () and [r.base_failed for r in out.collect()] == [True, True]
     assert q.judge(make_docs([]), none)[0].count() == 0 and q.keep_good(make_docs([]), none).count() == 0
+
+
+def test_rules_do_not_depend_on_partitioning(spark):
+    x = lambda k: (F.xxhash64(F.lit(k), "id").bitwiseAND(0xFFFFF) / 1000.0)
+    rows = spark.range(60_000).select("id", x(1).alias("a"), x(2).alias("b"), (x(3) - 300).alias("c"))
+    rows = rows.withColumn("y", ((F.col("a") < 700) | (F.col("b") > 200) | (x(4) < 100)).cast("int"))
+    lists = [q.learn(rows.repartition(n), "y", "id", ["a", "b", "c"]).rules for n in (1, 3, 16)]
+    assert lists[0] and lists[0] == lists[1] == lists[2]
+
+
+def test_cuts_are_quantiles(spark):
+    r = random.Random(1)
+    values = [(k % 2, r.choice([0.0, -3.0, 1.0, 2.0, r.lognormvariate(0, 3)])) for k in range(4000)]
+    cuts = q._cuts(spark.createDataFrame(values, "y int, f double").repartition(5), "y", ["f"], 8)[0]
+    want = []
+    for y in (0, 1):
+        mine = sorted(v for k, v in values if k == y)
+        want += [mine[max(0, -(-(2 * k + 1) * len(mine) // 16) - 1)] for k in range(8)]
+    assert set(cuts) <= {v for _, v in values} and len(cuts) <= 16
+    assert all(min(abs(c - w) for c in cuts) <= 0.02 * max(0.0, w) or w <= 0 for w in want)
