@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -41,31 +42,32 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/corpus-{uuid.uuid4().hex[:12]}"
 
 
-#: The folders that each open ``scratch`` block has seen written, innermost last.
-_open: list[list[str]] = []
+#: The folders that each open ``scratch`` block has seen written, innermost last. Every thread has blocks of
+#: its own, so operators may run side by side.
+_blocks: ContextVar[tuple[list[str], ...]] = ContextVar("scratch_blocks", default=())
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[list[str]]:
-    """Deletes the tables that were materialized inside the block when it ends without an error, but
-    for those passed to ``keep``. What the block returns must not read any other of them."""
-    _open.append([])
+    """Deletes the tables that were materialized inside the block (by the same thread) when it ends, with
+    an error too, but for those passed to ``keep``. What the block returns must not read any other of them."""
+    mine: list[str] = []
+    before = _blocks.set((*_blocks.get(), mine))
     try:
-        yield _open[-1]
-    except BaseException:
-        _open.pop()
-        raise
-    for path in _open.pop():
-        delete_path(spark, path)
+        yield mine
+    finally:
+        _blocks.reset(before)
+        for path in mine:
+            delete_path(spark, path)
 
 
 def keep(df: DataFrame) -> DataFrame:
     """Hand a materialized table over to the scratch block around the current one, if there is any."""
-    path = df._scratch_path
-    if _open and path in _open[-1]:
-        _open[-1].remove(path)
-        if len(_open) > 1:
-            _open[-2].append(path)
+    path, blocks = df._scratch_path, _blocks.get()
+    if blocks and path in blocks[-1]:
+        blocks[-1].remove(path)
+        if len(blocks) > 1:
+            blocks[-2].append(path)
     return df
 
 
@@ -79,8 +81,8 @@ def materialize(df: DataFrame, name: str, partition_by: Iterable[str] = ()) -> D
     writer.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch_path = path
-    if _open:
-        _open[-1].append(path)
+    if blocks := _blocks.get():
+        blocks[-1].append(path)
     return out
 
 

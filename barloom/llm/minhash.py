@@ -20,10 +20,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col, connected_components, keep, materialize, scratch
+from .common import col, connected_components, fresh, keep, materialize, scratch
 
 BANDS = 30
 ROWS = 4
@@ -85,8 +85,9 @@ def band_keys(sets: list[np.ndarray], bands: int = BANDS, rows: int = ROWS) -> n
     return out
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, bands: int, rows: int) -> DataFrame:
-    """``doc_id, n_shingles, k1, k2`` (128-bit hash of the set) and the band keys of every row."""
+def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, bands: int, rows: int, tag: Column | None = None) -> DataFrame:
+    """``doc_id, n_shingles, k1, k2`` (128-bit hash of the set) and the band keys of every row, and ``tag``, a
+    long that comes along, if it is given."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -101,12 +102,14 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, bands: int
                         pa.array(np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)),
                         pa.array(np.array([np.bitwise_xor.reduce(_mix(s + _M3)) if len(s) else 0 for s in sets], np.uint64).view(np.int64)),
                         pa.array([next(keys) if len(s) else [] for s in sets], pa.list_(pa.int64())),
+                        *[c.slice(lo, 256) for c in part.columns[2:]],
                     ],
-                    ["doc_id", "n_shingles", "k1", "k2", "bands"],
+                    ["doc_id", "n_shingles", "k1", "k2", "bands", *["tag"] * tagged],
                 )
 
-    return docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text")).mapInArrow(
-        run, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"
+    tagged = int(tag is not None)
+    return docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text"), *([tag.alias("tag")] if tagged else [])).mapInArrow(
+        run, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>" + ", tag long" * tagged
     )
 
 
@@ -180,8 +183,10 @@ def near_duplicates(
     similar: int = SIMILAR,
     bands: int = BANDS,
     rows: int = ROWS,
+    tag: Column | None = None,
 ) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of every row.
+    """``doc_id, n_shingles, component_id, kept`` of every row, and ``tag``, a long that tells rows of one id
+    apart, if it is given.
 
     Texts link if their shingle sets have a Jaccard similarity of at least ``similar`` percent;
     ``id_col`` is a number. ``component_id`` is the smallest id reachable by links. At that similarity a pair shares no
@@ -192,7 +197,7 @@ def near_duplicates(
     other columns are ignored. An empty table gives an empty result.
     """
     with scratch(docs.sparkSession):
-        all_sketches = materialize(sketches(docs, id_col, text_col, words, bands, rows), "sketches")
+        all_sketches = materialize(sketches(docs, id_col, text_col, words, bands, rows, tag), "sketches")
         named = all_sketches.where("doc_id IS NOT NULL AND n_shingles > 0")
         first = F.min(F.struct("doc_id", "bands")).alias("first")
         classes = materialize(
@@ -203,10 +208,37 @@ def near_duplicates(
         out = all_sketches.drop("bands").join(rep, ["k1", "k2", "n_shingles"], "left")
         component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
         component = F.when(F.col("doc_id").isNotNull(), component)
-        out = out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+        out = out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), *(["tag"] if tag is not None else []))
         return keep(materialize(out, "near_copies"))
 
 
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """The rows of ``docs`` that are no near copy of a row with a smaller id, columns unchanged.
+
+    Rows are told apart by id and text, so different texts under one id are judged each for itself: all but the first
+    of them (by hash) go in under numbers behind the largest id. Rows that repeat both stay or go
+    together; rows without an id stay.
+    """
+    own, tag, new = fresh(docs, "mh_id", "mh_text", "mh_new")
+    docs_ = docs.withColumns({own: col(id_col).cast("long"), tag: F.xxhash64(F.coalesce(col(text_col), F.lit("")))})
+    seen = docs_.where(F.col(own).isNotNull()).select(own, tag).distinct()
+    with scratch(docs.sparkSession):
+        twice = materialize(seen.groupBy(own).agg(F.count("*").alias("n"), F.min(tag).alias("first")).where("n > 1").select(own, "first"), "repeated_ids")
+        numbered, repeats = docs_, not twice.isEmpty()
+        if repeats:
+            most = docs_.agg(F.max(own)).first()[0]
+            more = materialize(seen.join(twice, own).where(F.col(tag) != F.col("first")).select(own, tag, (F.lit(most + 1) + F.monotonically_increasing_id()).alias(new)), "further_texts")
+            numbered = docs_.join(more.hint("merge"), [own, tag], "left").withColumn(own, F.coalesce(new, own)).drop(new)
+        judged = near_duplicates(numbered, own, text_col, tag=F.col(tag), **settings)
+        gone = judged.where("NOT kept").select(F.col("doc_id").alias(own), F.col("tag").alias(tag)).distinct()
+        if repeats:
+            back = more.select(F.col(own).alias(new), F.col(new).alias(own), tag)
+            gone = keep(materialize(gone.join(back, [own, tag], "left").select(F.coalesce(new, own).alias(own), tag), "near_copies_gone"))
+        else:
+            keep(judged)
+        return docs_.join(gone.hint("merge"), [own, tag], "left_anti").select(*[col(c) for c in docs.columns])
+
+
 def _parts(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, words: int, similar: int) -> DataFrame:
     """``(id, component)`` of the classes that have verified links: enough of them to connect whatever
     the buckets can connect."""

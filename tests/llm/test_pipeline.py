@@ -1,11 +1,15 @@
 import hashlib
 import math
+import threading
 import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
+from pyspark.errors import AnalysisException
 
 import corpus_pipeline
+from barloom.llm import common
 from barloom.llm.common import connected_components
 from barloom.llm.tokens import UnitEncoder, tokenizer_path
 
@@ -81,6 +85,54 @@ def test_empty_corpus(spark):
         assert docs.count() == 0
 
 
+def test_all_stages_take_repeated_null_and_clashing_rows(spark, words):
+    """Rows that repeat an id keep what no copy of another row makes superfluous."""
+    new = lambda seed: " ".join(f"{w}{k}" for k, w in enumerate(words(90, seed)))
+    a, b, c = new(1), new(2), new(3)
+    rows = [(0, a), (1, a + " more"), (1, b), (2, c), (2, c), (3, None), (4, ""), (None, a), (None, None), (5, new(5) + "\n" + new(6)), (5, new(5)), (6, "x " * 50_000)]
+    docs = spark.createDataFrame([(i, t, "en", f"s{k % 2}" if k % 3 else None, None, "x", k, "y") for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, np_id string, tag int, kept string")
+    near = corpus_pipeline.near_dedup(spark, docs, SF)
+    assert near.columns == docs.columns
+    left = Counter((r.doc_id, r.text) for r in near.collect())
+    assert left == Counter(x for x in rows if x != (1, a + " more"))
+    out = docs
+    for name, stage in corpus_pipeline.STAGES:
+        out = corpus_pipeline.materialize(stage(spark, out, SF), name)
+        assert name == "packing" or out.columns == docs.columns
+        if name == "quality_rules":
+            assert {r.text for r in out.collect()} >= {a, b, c}
+        if name == "minhash_near_dedup":
+            assert {r.text for r in out.collect()} >= {a, b, c}
+    assert out.count() > 0
+
+
+def test_scratch_blocks_belong_to_their_thread(spark):
+    """A block deletes its own tables, after an error too, and none of another thread's."""
+    paths, held, done = {}, threading.Event(), threading.Event()
+
+    def other():
+        with common.scratch(spark):
+            paths["other"] = common.materialize(spark.range(3), "t")._scratch_path
+            held.set()
+            done.wait(60)
+            paths["rows"] = spark.read.parquet(paths["other"]).count()
+
+    t = threading.Thread(target=other)
+    t.start()
+    held.wait(60)
+    with pytest.raises(ValueError), common.scratch(spark):
+        with common.scratch(spark):
+            kept = common.keep(common.materialize(spark.range(5), "inner"))
+        assert kept.count() == 5
+        raise ValueError
+    done.set()
+    t.join()
+    assert paths["rows"] == 3
+    for p in (kept._scratch_path, paths["other"]):
+        with pytest.raises(AnalysisException):
+            spark.read.parquet(p)
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(1, 60)] + [(100, k) for k in range(101, 150)] + [(7, 7), (200, 201), (201, 200)]
     got = {r.id: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
