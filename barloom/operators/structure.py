@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from math import ceil, log
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -71,40 +72,69 @@ def fractals(merged: DataFrame) -> DataFrame:
     return rows.where((F.col("__n") <= 2) | (F.col("mark") != F.col("__m"))).drop("__n", "__m")
 
 
-class _Macd:
-    FAST, SLOW, SIGNAL = 2 / 13, 2 / 27, 2 / 10
+FAST, SLOW, SIGNAL = 2 / 13, 2 / 27, 2 / 10
+#: Bars of a block of the scan.
+BLOCK = 512
 
-    def __init__(self) -> None:
-        self.state: tuple[float, float, float] | None = None
-
-    def push(self, row: tuple) -> list[tuple]:
-        pos, close, *before = row
-        if self.state is None and before and before[0] is not None:
-            self.state = tuple(before)
-        if self.state is None:
-            self.state = (close, close, 0.0)
-            return [(pos, close, close, 0.0, 0.0)]
-        fast, slow, dea = self.state
-        fast = self.FAST * close + (1.0 - self.FAST) * fast
-        slow = self.SLOW * close + (1.0 - self.SLOW) * slow
-        dif = fast - slow
-        dea = self.SIGNAL * dif + (1.0 - self.SIGNAL) * dea
-        self.state = (fast, slow, dea)
-        return [(pos, fast, slow, dea, 2.0 * (dif - dea))]
-
-    def finish(self) -> list[tuple]:
-        return []
 
+def macd(bars: DataFrame, anchors: DataFrame | None = None, keep: tuple[str, ...] = (), block: int = BLOCK) -> DataFrame:
+    """12/26/9 MACD of each key: ``pos`` (0, 1, …), the columns in ``keep``, ``ema_fast, ema_slow, dea, hist``. The first
+    close seeds both averages, unless ``anchors`` (key, ema_fast, ema_slow, dea; one row a key) continue an
+    earlier series.
 
-def macd(bars: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
-    """12/26/9 MACD of each key: ``pos, ema_fast, ema_slow, dea, hist``. The first close seeds both
-    averages, unless ``anchors`` (key, ema_fast, ema_slow, dea; one row a key) continue an earlier series."""
-    columns = ["pos", "close"]
+    A scan by blocks, so that one series spreads over tasks. Each average is linear in the state that a block starts
+    with: inside a block it is a running sum of closes scaled by powers of the decay. A block's own
+    contribution is one row; the state that it starts with is the sum of the contributions of the blocks before it, decayed, of
+    which those beyond ``reach`` vanish in a double. Only these rows, one a block, meet by key.
+    """
+    if not 16 <= block <= 2048:  # powers of the decays stay within doubles, and reach is short
+        raise ValueError("a block has 16 to 2048 bars")
+    k = list(KEYS)
+    qf, qs, qd = 1 - FAST, 1 - SLOW, 1 - SIGNAL
+    reach = ceil(64 * log(2) / (block * -log(qs)))
+    power = lambda q, n: F.pow(F.lit(q), n)
+    slim = bars.select(*k, "pos", *keep, F.col("close").cast("double").alias("close")).withColumns({"__block": F.floor(F.col("pos") / block), "__i": (F.col("pos") % block).cast("double")})
+    inside = Window.partitionBy(*k, "__block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    # What the closes of the block so far give; the decayed start comes on top.
+    ema = lambda a, q: F.lit(a) * power(q, F.col("__i")) * F.sum(F.col("close") * power(q, -F.col("__i"))).over(inside)
+    rows = slim.withColumns({"__f": ema(FAST, qf), "__s": ema(SLOW, qs)})
+    n = F.col("__n").cast("double")
+    sums = rows.groupBy(*k, "__block").agg(
+        F.count("*").alias("__n"), F.max_by("__f", "pos").alias("__f"), F.max_by("__s", "pos").alias("__s"), F.min_by("close", "pos").alias("__c"),
+        F.sum((F.col("__f") - F.col("__s")) * power(qd, -F.col("__i"))).alias("__d"),
+    )
+    sums = sums.withColumn("__d", F.lit(SIGNAL) * power(qd, n - 1) * F.col("__d"))
+    seed = [F.when(F.col("__block") == 0, F.col("__c")).alias("__f0"), F.when(F.col("__block") == 0, F.col("__c")).alias("__s0"), F.when(F.col("__block") == 0, F.lit(0.0)).alias("__d0")]
     if anchors is not None:
-        seed = ["ema_fast", "ema_slow", "dea"]
-        bars = bars.select(*KEYS, *columns).join(anchors.select(*KEYS, *seed), list(KEYS), "left")
-        columns += seed
-    return keyed_fold(bars, columns, ["pos"], lambda key: _Macd(), "pos long, ema_fast double, ema_slow double, dea double, hist double")
+        first = F.col("__block") == 0
+        sums = sums.join(anchors.select(*k, *[F.col(c).alias(f"__{c}") for c in ("ema_fast", "ema_slow", "dea")]), k, "left")
+        seed = [F.when(first, F.coalesce("__ema_fast", "__c")).alias("__f0"), F.when(first, F.coalesce("__ema_slow", "__c")).alias("__s0"), F.when(first, F.coalesce("__dea", F.lit(0.0))).alias("__d0")]
+        sums = sums.withColumn("__seeded", first & F.col("__ema_fast").isNull())
+    else:
+        sums = sums.withColumn("__seeded", F.col("__block") == 0)
+    by_key = Window.partitionBy(*k).orderBy("__block")
+
+    def at_start(own: str, zero: str, q: float):
+        """The state that a block starts with; all blocks before it are full."""
+        before = [F.coalesce(F.lag(own, j + 1).over(by_key), F.lit(0.0)) * q ** (block * j) for j in range(reach)]
+        seen = F.max(zero).over(by_key.rowsBetween(Window.unboundedPreceding, 0)) * power(q, F.col("__block") * float(block))
+        return sum(before[1:], before[0]) + F.when(F.col("__block") <= reach, seen).otherwise(0.0)
+
+    sums = sums.select(*k, "__block", "__n", "__f", "__s", "__d", "__seeded", *seed)
+    sums = sums.withColumns({"__fin": at_start("__f", "__f0", qf), "__sin": at_start("__s", "__s0", qs)})
+    response = lambda q: F.lit(SIGNAL * q / (q - qd)) * (power(q, n) - power(qd, n))
+    sums = sums.withColumn("__g", F.col("__d") + response(qf) * F.col("__fin") - response(qs) * F.col("__sin"))
+    starts = sums.withColumn("__din", at_start("__g", "__d0", qd)).select(*k, "__block", "__fin", "__sin", "__din", "__seeded")
+    full = rows.join(starts.hint("merge"), [*k, "__block"])
+    seeded = F.col("__seeded") & (F.col("__i") == 0)  # the seeding close itself, free of rounding
+    step = F.col("__i") + 1
+    full = full.withColumns({
+        "ema_fast": F.when(seeded, F.col("close")).otherwise(power(qf, step) * F.col("__fin") + F.col("__f")),
+        "ema_slow": F.when(seeded, F.col("close")).otherwise(power(qs, step) * F.col("__sin") + F.col("__s")),
+    }).withColumn("__dif", F.col("ema_fast") - F.col("ema_slow"))
+    dea = power(qd, step) * F.col("__din") + F.lit(SIGNAL) * power(qd, F.col("__i")) * F.sum(F.col("__dif") * power(qd, -F.col("__i"))).over(inside)
+    full = full.withColumn("dea", F.when(seeded, F.lit(0.0)).otherwise(dea))
+    return full.select(*k, "pos", *keep, "ema_fast", "ema_slow", "dea", (2.0 * (F.col("__dif") - F.col("dea"))).alias("hist"))
 
 
 def macd_anchor(values: DataFrame, bars: DataFrame) -> DataFrame:
@@ -114,18 +144,37 @@ def macd_anchor(values: DataFrame, bars: DataFrame) -> DataFrame:
     return last.select(*KEYS, "s.open_time", "s.close_time", "s.ema_fast", "s.ema_slow", "s.dea", (F.col("s.pos") + 1).alias("processed_bar_count"))
 
 
+#: Histogram values are summed as decimals, since differences of long running sums of doubles lose digits.
+AREA_KIND, TOTAL_KIND = "decimal(24,12)", "decimal(34,12)"
+
+
 def directional_area(units: DataFrame, hist: DataFrame) -> DataFrame:
     """Area of the histogram on a unit's side of zero over ``[source_start, source_end]``.
 
-    ``units`` (key, idx, direction, source_start, source_end) are cut into the days they touch, so
-    that the range join has an equality to hash on and a long series spreads over days.
+    ``units``: key, idx, direction, source_start, source_end. Both ends of a unit look up the running sums of
+    either side, and the area is their difference: what is moved are the bars and two rows a unit,
+    however long the units. Running sums are taken within days, and over one row a day from day to day, so a
+    long series spreads over days.
     """
-    day = lambda c: F.floor(F.unix_seconds(c.cast("timestamp")) / 86400)
-    u = units.select(*KEYS, "idx", "direction", "source_start", "source_end", F.explode(F.sequence(day(F.col("source_start")), day(F.col("source_end")))).alias("day"))
-    h = hist.select(*KEYS, "open_time", "hist", day(F.col("open_time")).alias("day"))
-    on = u.join(h, [*KEYS, "day"]).where("open_time BETWEEN source_start AND source_end")
-    part = F.when((F.col("direction") == "down") & (F.col("hist") < 0), -F.col("hist")).when((F.col("direction") == "up") & (F.col("hist") > 0), F.col("hist")).otherwise(0.0)
-    return units.select(*KEYS, "idx").join(on.groupBy(*KEYS, "idx").agg(F.sum(part).alias("area")), [*KEYS, "idx"], "left").na.fill(0.0, ["area"])
+    k = list(KEYS)
+    zero = F.lit(0).cast(AREA_KIND)
+    h = F.col("hist").cast(AREA_KIND)
+    none = F.lit(None)
+    bars = hist.select(*k, F.col("open_time").alias("__t"), F.lit(1).alias("__what"), none.cast("long").alias("idx"), F.when(h > 0, h).otherwise(zero).alias("__up"), F.when(h < 0, -h).otherwise(zero).alias("__down"))
+    # At one time the start of a unit stands before the bar, which it counts, and the end behind it.
+    ends = F.inline(F.array(F.struct(F.col("source_start").alias("__t"), F.lit(0).alias("__what")), F.struct(F.col("source_end").alias("__t"), F.lit(2).alias("__what"))))
+    points = units.select(*k, F.col("idx").cast("long").alias("idx"), ends).select(*k, "__t", "__what", "idx", zero.alias("__up"), zero.alias("__down"))
+    rows = bars.unionByName(points).withColumn("__day", F.floor(F.unix_seconds(F.col("__t").cast("timestamp")) / 86400))
+    upto = Window.partitionBy(*k, "__day").orderBy("__t", "__what").rowsBetween(Window.unboundedPreceding, 0)
+    at = rows.withColumns({"__u": F.sum("__up").over(upto), "__v": F.sum("__down").over(upto)}).where("__what <> 1")
+    before = Window.partitionBy(*k).orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
+    days = rows.groupBy(*k, "__day").agg(F.sum("__up").alias("__du"), F.sum("__down").alias("__dv"))
+    days = days.select(*k, "__day", *[F.coalesce(F.sum(c).over(before), zero).cast(TOTAL_KIND).alias(c) for c in ("__du", "__dv")])
+    signed = lambda c: F.when(F.col("__what") == 2, c).otherwise(-c)
+    found = at.join(days.hint("merge"), [*k, "__day"]).groupBy(*k, "idx").agg(F.sum(signed(F.col("__u") + F.col("__du"))).alias("__up"), F.sum(signed(F.col("__v") + F.col("__dv"))).alias("__down"))
+    side = F.when(F.col("direction") == "up", F.col("__up")).when(F.col("direction") == "down", F.col("__down"))
+    area = F.greatest(F.coalesce(side, zero), zero).cast("double")  # a unit that ends before it starts has none
+    return units.select(*k, "idx", "direction").join(found, [*k, "idx"], "left").select(*k, "idx", area.alias("area"))
 
 
 EVENTS = (

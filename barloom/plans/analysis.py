@@ -158,7 +158,7 @@ class Analysis:
 
     @cached_property
     def macd(self) -> DataFrame:
-        return structure.macd(self.positioned, self._fine_macd_anchors)
+        return structure.macd(self.positioned, self._fine_macd_anchors, keep=("open_time",))
 
     @cached_property
     def exact(self) -> DataFrame:
@@ -179,8 +179,7 @@ class Analysis:
 
     @cached_property
     def areas(self) -> DataFrame:
-        hist = self.macd.join(self.positioned.select(*K, "pos", "open_time"), [*K, "pos"])
-        return structure.directional_area(self.segments.withColumnRenamed("pos", "idx"), hist).withColumnRenamed("idx", "pos")
+        return structure.directional_area(self.segments.withColumnRenamed("pos", "idx"), self.macd).withColumnRenamed("idx", "pos")
 
     @cached_property
     def gated_segments(self) -> DataFrame:

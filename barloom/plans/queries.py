@@ -84,8 +84,7 @@ def unit_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _areas(spark: SparkSession, sf_dir: str, units: DataFrame) -> DataFrame:
     b = B.with_position(hourly(spark, sf_dir).unionByName(walk(spark, sf_dir)))
-    hist = structure.macd(b).join(b.select(*K, "pos", "open_time"), [*K, "pos"])
-    return structure.directional_area(units.withColumnRenamed("pos", "idx"), hist).withColumnRenamed("idx", "pos")
+    return structure.directional_area(units.withColumnRenamed("pos", "idx"), structure.macd(b, keep=("open_time",))).withColumnRenamed("idx", "pos")
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
