@@ -34,7 +34,7 @@ FIRST = 2000
 #: Positions after which a shard is closed; one document is never cut.
 POSITIONS = 1 << 20
 #: Pairs of blocks compared at once.
-MEETINGS = 1 << 21
+MEETINGS = 1 << 19
 #: The size that a filter of hashes has at most: 32 MB.
 FILTER_BITS = 1 << 28
 WIDTH = 16
