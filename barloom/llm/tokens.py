@@ -25,7 +25,7 @@ _ODD = re.compile(f"[{_ODD_WS}]")
 _CHUNK = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 _WHOLE = re.compile("<\\||[\x1c-\x1f]")
 
-CACHE_UNITS = 1_200_000
+CACHE_UNITS = 500_000
 
 
 def tokenizer_path(name: str) -> str:
