@@ -78,7 +78,7 @@ BLOCK = 512
 
 
 def macd(bars: DataFrame, anchors: DataFrame | None = None, keep: tuple[str, ...] = (), block: int = BLOCK) -> DataFrame:
-    """12/26/9 MACD of each key: ``pos`` (0, 1, …), the columns in ``keep``, ``ema_fast, ema_slow, dea, hist``. The first
+    """12/26/9 MACD of each key: ``pos`` (whole numbers without a gap), the columns in ``keep``, ``ema_fast, ema_slow, dea, hist``. The first
     close seeds both averages, unless ``anchors`` (key, ema_fast, ema_slow, dea; one row a key) continue an
     earlier series.
 
@@ -100,34 +100,36 @@ def macd(bars: DataFrame, anchors: DataFrame | None = None, keep: tuple[str, ...
     rows = slim.withColumns({"__f": ema(FAST, qf), "__s": ema(SLOW, qs)})
     n = F.col("__n").cast("double")
     sums = rows.groupBy(*k, "__block").agg(
-        F.count("*").alias("__n"), F.max_by("__f", "pos").alias("__f"), F.max_by("__s", "pos").alias("__s"), F.min_by("close", "pos").alias("__c"),
+        F.count("*").alias("__n"), F.min("__i").alias("__i0"), F.max_by("__f", "pos").alias("__f"), F.max_by("__s", "pos").alias("__s"), F.min_by("close", "pos").alias("__c"),
         F.sum((F.col("__f") - F.col("__s")) * power(qd, -F.col("__i"))).alias("__d"),
     )
-    sums = sums.withColumn("__d", F.lit(SIGNAL) * power(qd, n - 1) * F.col("__d"))
-    seed = [F.when(F.col("__block") == 0, F.col("__c")).alias("__f0"), F.when(F.col("__block") == 0, F.col("__c")).alias("__s0"), F.when(F.col("__block") == 0, F.lit(0.0)).alias("__d0")]
+    sums = sums.withColumn("__d", F.lit(SIGNAL) * power(qd, F.col("__i0") + n - 1) * F.col("__d"))
+    by_key = Window.partitionBy(*k).orderBy("__block")
+    sums = sums.withColumns({"__k": (F.row_number().over(by_key) - 1).cast("double"), "__n0": F.first("__n").over(by_key)})
+    first = F.col("__k") == 0
     if anchors is not None:
-        first = F.col("__block") == 0
         sums = sums.join(anchors.select(*k, *[F.col(c).alias(f"__{c}") for c in ("ema_fast", "ema_slow", "dea")]), k, "left")
-        seed = [F.when(first, F.coalesce("__ema_fast", "__c")).alias("__f0"), F.when(first, F.coalesce("__ema_slow", "__c")).alias("__s0"), F.when(first, F.coalesce("__dea", F.lit(0.0))).alias("__d0")]
-        sums = sums.withColumn("__seeded", first & F.col("__ema_fast").isNull())
     else:
-        sums = sums.withColumn("__seeded", F.col("__block") == 0)
-    by_key = Window.partitionBy(*k).orderBy("__block")
+        sums = sums.withColumns(dict.fromkeys(("__ema_fast", "__ema_slow", "__dea"), F.lit(None).cast("double")))
+    sums = sums.withColumns({
+        "__seeded": first & F.col("__ema_fast").isNull(), "__f0": F.when(first, F.coalesce("__ema_fast", "__c")), "__s0": F.when(first, F.coalesce("__ema_slow", "__c")),
+        "__d0": F.when(first, F.coalesce("__dea", F.lit(0.0))),
+    })
 
     def at_start(own: str, zero: str, q: float):
-        """The state that a block starts with; all blocks before it are full."""
+        """The state that a block starts with; all blocks before it but the first are full."""
         before = [F.coalesce(F.lag(own, j + 1).over(by_key), F.lit(0.0)) * q ** (block * j) for j in range(reach)]
-        seen = F.max(zero).over(by_key.rowsBetween(Window.unboundedPreceding, 0)) * power(q, F.col("__block") * float(block))
-        return sum(before[1:], before[0]) + F.when(F.col("__block") <= reach, seen).otherwise(0.0)
+        since = F.when(first, 0.0).otherwise(F.col("__n0") + (F.col("__k") - 1) * block)
+        seen = F.first(zero).over(by_key) * power(q, since)
+        return sum(before[1:], before[0]) + F.when(F.col("__k") <= reach + 1, seen).otherwise(0.0)
 
-    sums = sums.select(*k, "__block", "__n", "__f", "__s", "__d", "__seeded", *seed)
     sums = sums.withColumns({"__fin": at_start("__f", "__f0", qf), "__sin": at_start("__s", "__s0", qs)})
     response = lambda q: F.lit(SIGNAL * q / (q - qd)) * (power(q, n) - power(qd, n))
     sums = sums.withColumn("__g", F.col("__d") + response(qf) * F.col("__fin") - response(qs) * F.col("__sin"))
-    starts = sums.withColumn("__din", at_start("__g", "__d0", qd)).select(*k, "__block", "__fin", "__sin", "__din", "__seeded")
+    starts = sums.withColumn("__din", at_start("__g", "__d0", qd)).select(*k, "__block", "__fin", "__sin", "__din", "__seeded", "__i0")
     full = rows.join(starts.hint("merge"), [*k, "__block"])
-    seeded = F.col("__seeded") & (F.col("__i") == 0)  # the seeding close itself, free of rounding
-    step = F.col("__i") + 1
+    seeded = F.col("__seeded") & (F.col("__i") == F.col("__i0"))  # the seeding close itself, free of rounding
+    step = F.col("__i") - F.col("__i0") + 1
     full = full.withColumns({
         "ema_fast": F.when(seeded, F.col("close")).otherwise(power(qf, step) * F.col("__fin") + F.col("__f")),
         "ema_slow": F.when(seeded, F.col("close")).otherwise(power(qs, step) * F.col("__sin") + F.col("__s")),

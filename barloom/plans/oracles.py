@@ -252,7 +252,7 @@ ORACLES: dict[str, str] = {
 )"""], """SELECT symbol, interval, open_time, close, arrival, CASE WHEN late THEN 'late' WHEN lead(arrival) OVER (PARTITION BY symbol, open_time, late ORDER BY arrival) IS NOT NULL THEN 'revised' ELSE 'current' END AS state FROM f"""),
     "klines": """SELECT 'EVT' AS symbol, date_trunc('millisecond', ts) AS open_time, date_trunc('millisecond', ts) + INTERVAL 59999 MILLISECOND AS close_time,
   1.5e0 AS open, 2.5e0 AS high, 0.5e0 AS low, 2e0 AS close, CAST(event_id % 50 AS DOUBLE) AS volume, 10.25e0 AS quote_volume, event_id % 7 AS trade_count FROM events""",
-    "macd_anchor": query([*ONE[:2], MERGED, MACD], "SELECT symbol, interval, open_time, f AS ema_fast, s AS ema_slow, dea, pos + 1 AS processed_bar_count FROM macd WHERE pos = (SELECT max(pos) FROM macd)"),
+    "macd_anchor": query([*ONE[:2], MERGED, MACD], "SELECT symbol, interval, open_time, round(f, 6) AS ema_fast, round(s, 6) AS ema_slow, round(dea, 6) AS dea, pos + 1 AS processed_bar_count FROM macd WHERE pos = (SELECT max(pos) FROM macd)"),
     "macd_anchor_issues": query([BY_TYPE, "b AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY open_time) - 1 AS pos FROM by_type)"], """SELECT symbol, interval, code FROM (
   SELECT a.symbol, a.interval, CASE WHEN f.t IS NULL THEN 'NO_BARS' WHEN f.t <= a.open_time THEN 'NOT_AFTER_ANCHOR' WHEN f.t <= a.close_time THEN 'OVERLAPS_ANCHOR' WHEN f.t <> a.open_time + INTERVAL 4 HOUR THEN 'NOT_CONTIGUOUS' END AS code
   FROM (SELECT * FROM b WHERE pos = 19) a LEFT JOIN (SELECT symbol, min(open_time) AS t FROM b WHERE pos >= CASE length(symbol) % 4 WHEN 0 THEN 20 WHEN 1 THEN 19 WHEN 2 THEN 22 ELSE 1000000000 END GROUP BY symbol) f ON f.symbol = a.symbol)
@@ -336,7 +336,7 @@ UNION ALL SELECT symbol, interval, point_type, segment_pos + 1000000, 'NOT_REPRO
     "merged_bars": query(ONE, "SELECT mpos, dt, open, high, low, close, raw_count, first_dt, last_dt FROM merged"),
     "fractals_raw": query(ONE, "SELECT mpos, dt, mark, high, low, value FROM fractal"),
     "fractals": query(ONE, "SELECT mpos, dt, mark, value FROM (SELECT *, row_number() OVER (ORDER BY mpos) AS rn, lag(mark) OVER (ORDER BY mpos) AS pm FROM fractal) WHERE rn <= 2 OR mark <> pm"),
-    "macd": query([*ONE[:2], MERGED, MACD], "SELECT pos, f AS ema_fast, s AS ema_slow, dea, hist FROM macd"),
+    "macd": query([*ONE[:2], MERGED, MACD], "SELECT pos, round(f, 6) AS ema_fast, round(s, 6) AS ema_slow, round(dea, 6) AS dea, round(hist, 6) AS hist FROM macd"),
     "unit_chain": query(BOTH, "SELECT symbol, interval, pos, direction, start_dt, start_value, end_dt, end_value FROM unit"),
     "macd_area": query([*BOTH, MACD, AREA], "SELECT symbol, interval, pos, round(area, 4) AS area FROM area"),
     "stroke_zone_groups": query([*BOTH, GROUPS], """SELECT symbol, interval, "group", start_pos, end_pos, size, zg, zd, gg, dd, CASE WHEN out THEN bgg ELSE gg END AS trend_gg, CASE WHEN out THEN bdd ELSE dd END AS trend_dd,

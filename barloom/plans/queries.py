@@ -45,8 +45,9 @@ def daily_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.resample(rows, "1d", F.col("o_orderpriority"), "ts", "o_totalprice", ["o_orderkey"])
 
 
-def rounded(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.round(c, 4) for c in columns})
+def rounded(df: DataFrame, *columns: str, digits: int = 4) -> DataFrame:
+    """Sums of doubles, which depend on the order of adding in their last bits."""
+    return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
 def walk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -270,6 +271,7 @@ def q_inner_thirds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 Query = Callable[[SparkSession, str], DataFrame]
+MACD = ["ema_fast", "ema_slow", "dea", "hist"]
 BAR_VIEW = ["open_time", "close_time", "open", "high", "low", "close", "volume", "quote_volume", "trade_count"]
 
 QUERIES: dict[str, Query] = {
@@ -287,7 +289,7 @@ QUERIES: dict[str, Query] = {
     "merged_bars": lambda s, d: structure.merged_bars(B.with_position(hourly(s, d))).select("mpos", "dt", "open", "high", "low", "close", "raw_count", "first_dt", "last_dt"),
     "fractals_raw": lambda s, d: structure.raw_fractals(structure.merged_bars(B.with_position(hourly(s, d)))).select("mpos", "dt", "mark", "high", "low", "value"),
     "fractals": lambda s, d: structure.fractals(structure.merged_bars(B.with_position(hourly(s, d)))).select("mpos", "dt", "mark", "value"),
-    "macd": lambda s, d: structure.macd(B.with_position(hourly(s, d))).select("pos", "ema_fast", "ema_slow", "dea", "hist"),
+    "macd": lambda s, d: rounded(structure.macd(B.with_position(hourly(s, d))).select("pos", *MACD), *MACD, digits=6),
     "unit_chain": lambda s, d: unit_chain(s, d).select(*K, "pos", "direction", "start_dt", "start_value", "end_dt", "end_value"),
     "macd_area": lambda s, d: rounded(_areas(s, d, unit_chain(s, d)), "area"),
     "stroke_zone_groups": lambda s, d: zones.stroke_zone_groups(unit_chain(s, d)).select(*K, "group", "start_pos", "end_pos", "size", "zg", "zd", "gg", "dd", "trend_gg", "trend_dd", "is_valid"),
@@ -302,7 +304,7 @@ QUERIES: dict[str, Query] = {
     "all_bars": q_all_bars,
     "revised_bars": q_revised_bars,
     "klines": q_klines,
-    "macd_anchor": lambda s, d: (lambda b: structure.macd_anchor(structure.macd(b), b))(B.with_position(hourly(s, d))).select(*K, "open_time", "ema_fast", "ema_slow", "dea", "processed_bar_count"),
+    "macd_anchor": lambda s, d: rounded((lambda b: structure.macd_anchor(structure.macd(b), b))(B.with_position(hourly(s, d))).select(*K, "open_time", *MACD[:3], "processed_bar_count"), *MACD[:3], digits=6),
     "macd_anchor_issues": q_macd_anchors,
     "stroke_faults": lambda s, d: (lambda u: validators.stroke_issues(damaged(u), structure.raw_fractals(structure.merged_bars(B.with_position(hourly(s, d).unionByName(walk(s, d))))), 5))(unit_chain(s, d)),
     "structure_faults": lambda s, d: points.structure_issues(as_segments(damaged(unit_chain(s, d)))),

@@ -279,7 +279,9 @@ def test_macd_continues_from_its_anchor(spark, walks):
     s = structure.macd_anchor(half, one).first()
     assert s.processed_bar_count == 700
     rest = structure.macd(one.where("pos >= 700"), spark.createDataFrame([("A", "1m", s.ema_fast, s.ema_slow, s.dea)], "symbol string, interval string, ema_fast double, ema_slow double, dea double"))
-    assert rest.select("pos", "hist").subtract(whole.select("pos", "hist")).count() == 0
+    # Blocks of the two runs begin elsewhere, so sums may differ in their last bits.
+    both = rest.select("pos", F.col("hist").alias("h")).join(whole, "pos").select("h", "hist").collect()
+    assert len(both) == one.count() - 700 and all(abs(r.h - r.hist) < 1e-10 for r in both)
 
 
 def test_live(spark, walks):

@@ -37,10 +37,11 @@ def series(sizes, seed=1):
 @pytest.mark.parametrize("block", [16, 100, 512, 2048])
 def test_macd_by_blocks_is_the_recurrence(spark, block):
     rows = series({"A": 3000, "B": 1, "C": 513, "D": 1024, "E": 16})
-    bars = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    off = {"A": 0, "B": 5, "C": 700, "D": block - 1, "E": block}  # a series may begin at any position
+    bars = spark.createDataFrame([(s, i, k + off[s], t, c) for s, i, k, t, c in rows], SCHEMA).repartition(3)
     anchors = spark.createDataFrame([("C", "7h", 1003.5, 998.25, -1.75)], "symbol string, interval string, ema_fast double, ema_slow double, dea double")
     for seeds, got in ((None, structure.macd(bars, block=block)), (anchors, structure.macd(bars, anchors, ("open_time",), block))):
-        found = {(x.symbol, x.pos): (x.ema_fast, x.ema_slow, x.dea, x.hist) for x in got.collect()}
+        found = {(x.symbol, x.pos - off[x.symbol]): (x.ema_fast, x.ema_slow, x.dea, x.hist) for x in got.collect()}
         assert len(found) == len(rows)
         for s in "ABCDE":
             start = (1003.5, 998.25, -1.75) if seeds is not None and s == "C" else None
