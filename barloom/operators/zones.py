@@ -157,7 +157,8 @@ def zone_candidates(units: DataFrame, formal: DataFrame) -> DataFrame:
 def quarantined(units: DataFrame, first_end: DataFrame) -> DataFrame:
     """Units behind the first group or zone of each key (``first_end``: key, end_pos), with positions
     kept: for series whose left end cannot be trusted."""
-    return units.join(first_end, K, "left").where("end_pos IS NULL OR pos > end_pos").drop("end_pos")
+    ends = first_end.select(*K, F.col("end_pos").alias("__first_end"))  # segments have an end_pos of their own
+    return units.join(ends, K, "left").where("__first_end IS NULL OR pos > __first_end").drop("__first_end")
 
 
 def behind_first_group(units: DataFrame) -> DataFrame:

@@ -351,6 +351,7 @@ UNION ALL SELECT symbol, interval, point_type, segment_pos + 1000000, 'NOT_REPRO
   SELECT symbol, interval, pos AS start_pos, least(high, lead(high, 1) OVER w, lead(high, 2) OVER w) AS zg, greatest(low, lead(low, 1) OVER w, lead(low, 2) OVER w) AS zd, lead(pos, 2) OVER w AS last
   FROM unit WINDOW w AS (PARTITION BY symbol, interval ORDER BY pos)) WHERE last IS NOT NULL AND zg >= zd"""),
     "segment_zones": query(_Z, "SELECT symbol, interval, zone, start_pos, end_pos, zg, zd, gg, dd, trend_gg, trend_dd FROM zone"),
+    "segment_zones_by_doubling": query(_Z, "SELECT symbol, interval, zone, start_pos, end_pos, zg, zd, gg, dd, trend_gg, trend_dd FROM zone"),
     "trend_pairs": query([*_Z, PAIRS], "SELECT symbol, interval, zone, pzone AS prev_zone, gg, dd, strict, core FROM pair"),
     "first_points": query(_F, point_rows("first")),
     "second_points": query([*_F, SECOND], point_rows("second")),

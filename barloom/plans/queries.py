@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.intervals import interval_seconds, next_open_time
 from ..operators import bars as B
-from ..operators import legacy_segments, live, points, recursive_points, structure, validators, zones
+from ..operators import legacy_segments, live, long_zones, points, recursive_points, structure, validators, zones
 from ..operators.folds import KEYS
 from ..sources import bar_files
 from .analysis import analyze, analyze_snapshot
@@ -295,6 +295,7 @@ QUERIES: dict[str, Query] = {
     "stroke_zone_groups": lambda s, d: zones.stroke_zone_groups(unit_chain(s, d)).select(*K, "group", "start_pos", "end_pos", "size", "zg", "zd", "gg", "dd", "trend_gg", "trend_dd", "is_valid"),
     "zone_seeds": lambda s, d: zones.zone_seeds(unit_chain(s, d)),
     "segment_zones": lambda s, d: zones.segment_zones(unit_chain(s, d)).select(*K, "zone", "start_pos", "end_pos", "zg", "zd", "gg", "dd", "trend_gg", "trend_dd"),
+    "segment_zones_by_doubling": lambda s, d: long_zones.zones_by_doubling(unit_chain(s, d)).select(*K, "zone", "start_pos", "end_pos", "zg", "zd", "gg", "dd", "trend_gg", "trend_dd"),
     "trend_pairs": lambda s, d: points.trend_pairs(zones.segment_zones(unit_chain(s, d))).select(*K, "zone", "prev_zone", "gg", "dd", "strict", "core"),
     "first_points": lambda s, d: _show(_judged(s, d)["first"]),
     "second_points": lambda s, d: _show(_judged(s, d)["second"]),

@@ -395,7 +395,7 @@ def test_paging_and_retries(tmp_path):
     hour = 3_600_000
     rows = [[k * hour, "1", "2", "0", "1", "1", (k + 1) * hour - 1, "1", 1, "0", "0", "0"] for k in range(30)]
     (tmp_path / "k.json").write_text(json.dumps(rows))
-    r = KlineReader({"symbol": "x", "interval": "1h", "limit": "25", "page": "10", "end": str(29 * hour), "url": f"file://{tmp_path}/k.json"})
+    r = KlineReader({"symbol": "x", "interval": "1h", "from": str(5 * hour), "page": "10", "end": str(29 * hour), "url": f"file://{tmp_path}/k.json"})
     pages = r.partitions()
     assert len(pages) == 3 and sorted(x[2] for p in pages for x in r.read(p)) == [k * hour for k in range(5, 30)]
     st = KlineStreamReader({"symbol": "x", "interval": "1h", "page": "10", "url": f"file://{tmp_path}/k.json"}, now=lambda: 25.5 * 3600)
