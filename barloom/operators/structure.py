@@ -182,7 +182,8 @@ def directional_area(units: DataFrame, hist: DataFrame) -> DataFrame:
 EVENTS = (
     "kind string, idx long, layer string, direction string, start_pos long, end_pos long, start_dt long, end_dt long, start_value double, "
     "end_value double, high double, low double, size long, source_start long, source_end long, known_at long, committed_at long, committed_pos long, "
-    "code string, gap boolean, moved boolean, left_pos array<long>, middle_pos array<long>, right_pos array<long>, at_pos long, fingerprint string"
+    "code string, gap boolean, moved boolean, left_pos array<long>, middle_pos array<long>, right_pos array<long>, at_pos long, fingerprint string, "
+    "origin_pos long, origin_at long, broken boolean, reverse boolean, primary_gap boolean"
 )
 _WIDTH = len(EVENTS.split(", "))
 _NAMES = [c.split()[0] for c in EVENTS.split(", ")]
@@ -216,7 +217,11 @@ class _Structure:
         a, b = strokes[0].a, strokes[-1].b
         prints = [stroke_print(self.key, s) for s in strokes]
         f = o.primary
+        origin = o.gap_origin or f
+        waits = [t for t, _ in o.audit if (t.origin, t.direction) == (o.start, strokes[0].direction)] if c and o.confirmation == seg.GAP_REVERSE else []
+        seen = [x for x in (waits[-1].candidates if waits else []) if x.at <= o.at]
         return [
+            *[_event(kind="candidate", idx=idx, layer=layer, direction=x.direction, code=x.status, end_pos=x.endpoint, end_value=x.value, gap=x.gap, at_pos=x.at) for x in seen],
             _event(
                 kind="segment", idx=idx, layer=layer, direction=strokes[0].direction, start_pos=o.start, end_pos=o.end, start_dt=a.t, end_dt=b.t,
                 start_value=a.value, end_value=b.value, high=max(s.high for s in strokes), low=min(s.low for s in strokes), size=len(strokes),
@@ -225,7 +230,8 @@ class _Structure:
                 gap=(o.gap_origin or f).gap, moved=o.gap_origin is not None and o.gap_origin.endpoint != o.end, left_pos=list(f.left.positions),
                 middle_pos=list(f.middle.positions), right_pos=list(f.right.positions), at_pos=o.at,
                 fingerprint=hashlib.sha256("|".join(prints).encode()).hexdigest(),
-            )
+                origin_pos=origin.endpoint, origin_at=origin.at, broken=f.status == seg.CONFIRMED, reverse=o.reverse is not None, primary_gap=f.gap,
+            ),
         ]
 
     def finish(self) -> list[tuple]:

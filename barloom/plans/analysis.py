@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.intervals import next_open_time
 from ..operators import bars as B
-from ..operators import live, points, structure, validators, zones
+from ..operators import live, points, segment_faults, structure, validators, zones
 from ..operators.folds import KEYS
 from ..operators.stroke_machine import MIN_BARS
 
@@ -87,8 +87,20 @@ class Analysis:
         return self._kind("segment", "committed").select(
             *K, "pos", "start_pos", "end_pos", F.col("code").alias("confirmation"), "gap", "moved", "left_pos", "middle_pos", "right_pos",
             F.col("at_pos").alias("confirmed_at_pos"), F.col("known_at").alias("available_at"), "committed_at", "committed_pos", "fingerprint",
+            "origin_pos", "origin_at", "broken", "reverse", "primary_gap",
         )
 
+    @cached_property
+    def waiting_candidates(self) -> DataFrame:
+        """Feature fractals that stood while a committed segment waited for its reverse fractal."""
+        return self._kind("candidate").select(*K, "pos", "direction", F.col("code").alias("status"), F.col("end_pos").alias("endpoint_pos"), F.col("end_value").alias("value"), "gap", F.col("at_pos").alias("detected_at_pos"))
+
+    @cached_property
+    def segment_faults(self) -> DataFrame:
+        """What breaks a rule of committed segments, their evidence and their waits; empty on sound data."""
+        stable = self._kind("state").select(*K, F.col("end_pos").alias("stable"))
+        return segment_faults.segment_faults(self.segments, self.strokes, self.evidence, self.waiting_candidates, self.detected_segments, stable)
+
     @cached_property
     def feature_elements(self) -> DataFrame:
         return self._kind("element").select(*K, F.col("start_pos").alias("sequence_start"), "direction", "pos", F.col("code").alias("merge_direction"), F.col("middle_pos").alias("positions"), "high", "low")

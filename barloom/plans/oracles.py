@@ -215,7 +215,61 @@ ONE = [HOURLY, "src AS (SELECT * FROM hourly)", MERGED]
 _Z = [*BOTH, SPANS]
 _F = [*_Z, MACD, AREA, PAIRS, FIRST]
 
+SEGMENT_FAULTS = [
+    """three AS (SELECT symbol, interval, pos, greatest(low, lead(low, 1) OVER w, lead(low, 2) OVER w) <= least(high, lead(high, 1) OVER w, lead(high, 2) OVER w) + 1e-12 AND lead(low, 2) OVER w IS NOT NULL AS overlap
+  FROM unit WINDOW w AS (PARTITION BY symbol, interval ORDER BY pos))""",
+    """base AS (SELECT symbol, interval, pos // 3 AS k, pos AS first, direction AS d0, start_dt, start_value, e_dt, e_value FROM (
+  SELECT *, lead(end_dt, 2) OVER w AS e_dt, lead(end_value, 2) OVER w AS e_value FROM unit WINDOW w AS (PARTITION BY symbol, interval ORDER BY pos)) WHERE pos % 3 = 0 AND e_value IS NOT NULL)""",
+    """given AS (SELECT *, CASE WHEN k % 13 <> 6 THEN d0 WHEN d0 = 'up' THEN 'down' ELSE 'up' END AS direction, e_dt AS end_dt, e_value + CASE WHEN k % 11 = 4 THEN 1 ELSE 0 END AS end_value,
+         CASE WHEN k % 17 = 4 THEN 2 ELSE 3 END AS size FROM base)""",
+    """shown AS (SELECT symbol, interval, k, true AS there, first AS v_start, first + 3 + CASE WHEN k % 23 = 5 THEN 3 ELSE 0 END AS v_end, k % 2 = 0 AS at_once, (k % 2 = 1) <> (k % 29 = 3) AS gap, k % 31 <> 8 AS broken,
+         k % 37 <> 9 AS reverse, first + 3 AS origin, first + 3 + CASE WHEN k % 5 = 0 THEN 6 ELSE 2 END AS seen, CASE WHEN k % 59 <> 13 THEN e_dt END AS available,
+         CASE WHEN k % 41 <> 11 THEN e_dt + CASE WHEN k % 43 = 12 THEN INTERVAL (-120) HOUR ELSE INTERVAL 1 HOUR END END AS committed, CASE WHEN k % 47 = 2 THEN 0 ELSE first END AS cpos,
+         first + CASE WHEN k % 53 = 20 THEN 1 ELSE 0 END AS print FROM base WHERE k % 19 <> 7)""",
+    f"""placed AS (SELECT g.*, a.pos AS s, a.mark AS sm, b.pos AS e, b.mark AS em, v.* EXCLUDE (symbol, interval, k), t.overlap, u.n - 6 AS stable,
+         lag(g.direction) OVER w AS pd, lag(g.end_dt) OVER w AS pe, lag(g.end_value) OVER w AS pv,
+         last_value(v.committed IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS c_at, last_value(v.cpos IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS c_pos
+  FROM given g LEFT JOIN shown v ON v.symbol = g.symbol AND v.interval = g.interval AND v.k = g.k
+  LEFT JOIN point a ON a.symbol = g.symbol AND a.interval = g.interval AND a.dt = g.start_dt AND abs(a.value - g.start_value) <= 1e-12
+  LEFT JOIN point b ON b.symbol = g.symbol AND b.interval = g.interval AND b.dt = g.end_dt AND abs(b.value - g.end_value) <= 1e-12
+  LEFT JOIN three t ON t.symbol = g.symbol AND t.interval = g.interval AND t.pos = a.pos
+  LEFT JOIN (SELECT symbol, interval, count(*) AS n FROM unit GROUP BY symbol, interval) u ON u.symbol = g.symbol AND u.interval = g.interval
+  WINDOW w AS (PARTITION BY g.symbol, g.interval ORDER BY g.k))""",
+    """waits AS (SELECT g.symbol, g.interval, g.k, g.direction, g.end_value, v.v_start, v.v_end, v.origin, v.seen, CASE WHEN g.direction = 'up' THEN 1 ELSE -1 END AS sign
+  FROM given g JOIN shown v ON v.symbol = g.symbol AND v.interval = g.interval AND v.k = g.k WHERE NOT v.at_once)""",
+    """fine AS (SELECT symbol, interval, k, endpoint, q FROM (
+  SELECT symbol, interval, k, first + 5 AS endpoint, first + 6 AS q FROM base UNION ALL SELECT symbol, interval, k, first + 3, first + 5 FROM base) WHERE k % 7 <> 1 AND k % 3 <> 2)""",
+    """best AS (SELECT w.symbol, w.interval, w.k, w.direction, w.sign, w.origin, c.q, max(w.sign * u.start_value) AS v, arg_max(c.endpoint, (w.sign * u.start_value, c.endpoint)) AS endpoint
+  FROM waits w JOIN fine c ON c.symbol = w.symbol AND c.interval = w.interval AND c.k = w.k AND c.q > w.origin + 1 AND c.q <= w.seen AND (c.endpoint - w.v_start) % 2 = 1 AND c.endpoint - w.v_start >= 3
+  JOIN unit u ON u.symbol = w.symbol AND u.interval = w.interval AND u.pos = c.endpoint
+  JOIN three t ON t.symbol = w.symbol AND t.interval = w.interval AND t.pos = w.v_start AND t.overlap GROUP BY ALL)""",
+    """active AS (SELECT b.symbol, b.interval, b.k, b.q, b.v, b.endpoint, max(b.sign * u.start_value) AS av, arg_max(u.pos, (b.sign * u.start_value, u.pos)) AS ap
+  FROM best b JOIN unit u ON u.symbol = b.symbol AND u.interval = b.interval AND u.pos BETWEEN b.origin AND b.q AND u.direction <> b.direction GROUP BY ALL)""",
+]
+_SEGMENT_CODES = {
+    "DIRECTION_MARK": "sm IS NOT NULL AND em IS NOT NULL AND NOT (sm = CASE WHEN direction = 'up' THEN 'D' ELSE 'G' END AND em = CASE WHEN direction = 'up' THEN 'G' ELSE 'D' END)",
+    "STROKE_COUNT": "size < 3 OR size % 2 = 0", "ENDPOINT_NOT_IN_CHAIN": "NOT coalesce(e > s, false)", "STROKES_NOT_CONTIGUOUS": "e > s AND size <> e - s", "FIRST_THREE_APART": "e > s AND NOT coalesce(overlap, false)",
+    "FIRST_EXTREME": """e > s AND k = 0 AND NOT coalesce(overlap AND e - s >= 3 AND (e - s) % 2 = 1 AND (SELECT CASE WHEN direction = 'up' THEN start_value <= min(p.value) FILTER (WHERE (p.pos - s) % 2 = 0) + 1e-12 AND end_value >= max(p.value) FILTER (WHERE (p.pos - s) % 2 = 1) - 1e-12
+      ELSE start_value >= max(p.value) FILTER (WHERE (p.pos - s) % 2 = 0) - 1e-12 AND end_value <= min(p.value) FILTER (WHERE (p.pos - s) % 2 = 1) + 1e-12 END FROM point p WHERE p.symbol = placed.symbol AND p.interval = placed.interval AND p.pos BETWEEN s AND e), false)""",
+    "OUTSIDE_STABLE_PREFIX": "e > s AND there AND v_end >= stable", "EVIDENCE_OF_ANOTHER": "e > s AND there AND print <> first", "COMMIT_MISSING": "e > s AND there AND committed IS NULL",
+    "COMMIT_TIME_NOT_MONOTONIC": "e > s AND committed < c_at", "COMMIT_POSITION_NOT_MONOTONIC": "e > s AND committed IS NOT NULL AND cpos < c_pos", "CONFIRMATION_TIME_MISSING": "e > s AND committed IS NOT NULL AND available IS NULL",
+    "COMMITTED_BEFORE_EVIDENCE": "e > s AND committed < available", "EVIDENCE_ENDPOINTS": "e > s AND there AND (v_start <> s OR v_end <> e)", "NO_ACTUAL_BREAK": "e > s AND there AND NOT broken",
+    "NO_GAP_HAS_GAP": "e > s AND at_once AND gap", "GAP_EVIDENCE_MISSING": "e > s AND NOT at_once AND (NOT gap OR NOT reverse)", "NOT_ALTERNATING": "direction = pd", "ENDPOINT_NOT_SHARED": "start_dt <> pe OR abs(start_value - pv) > 1e-12",
+}
+
+
+def segment_fault_rows() -> str:
+    each = ", ".join(f"CASE WHEN {c} THEN '{name}' END" for name, c in _SEGMENT_CODES.items())
+    return f"""SELECT symbol, interval, k AS pos, code FROM (SELECT symbol, interval, k, unnest([{each}]) AS code FROM placed) WHERE code IS NOT NULL
+UNION ALL SELECT DISTINCT w.symbol, w.interval, w.k, 'GAP_ENDPOINT_SUPERSEDED' FROM waits w JOIN unit u ON u.symbol = w.symbol AND u.interval = w.interval AND u.pos BETWEEN w.v_end + 1 AND w.seen - 1
+  AND u.direction <> w.direction AND w.sign * (u.start_value - w.end_value) > 1e-12
+UNION ALL SELECT DISTINCT symbol, interval, k, 'SKIPPED_PRIMARY_WITHOUT_GAP' FROM active WHERE endpoint = ap OR v - av > 1e-12 OR (abs(v - av) <= 1e-12 AND endpoint > ap)
+UNION ALL SELECT symbol, interval, -1, 'EVIDENCE_COUNT' FROM base GROUP BY symbol, interval HAVING count(*) FILTER (WHERE k % 19 = 7) > 0
+UNION ALL SELECT symbol, interval, -1, 'CHAIN_MISMATCH' FROM base GROUP BY symbol, interval HAVING count(*) FILTER (WHERE k % 61 = 17) > 0"""
+
+
 ORACLES: dict[str, str] = {
+    "segment_faults": query([*BOTH, POINTS, *SEGMENT_FAULTS], segment_fault_rows()),
     "resample_hourly": query([HOURLY], "SELECT * FROM hourly"),
     "resample_by_type": query([BY_TYPE], "SELECT * FROM by_type"),
     "resample_weekly_lines": query([LINES], "SELECT symbol, interval, open_time, close_time, open, high, low, close, volume, trade_count FROM lines"),

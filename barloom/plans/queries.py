@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.intervals import interval_seconds, next_open_time
 from ..operators import bars as B
-from ..operators import legacy_segments, live, long_zones, points, recursive_points, structure, validators, zones
+from ..operators import legacy_segments, live, long_zones, points, recursive_points, segment_faults, structure, validators, zones
 from ..operators.folds import KEYS
 from ..sources import bar_files
 from .analysis import analyze, analyze_snapshot
@@ -263,6 +263,32 @@ def q_legacy_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return legacy_segments.legacy_issues(seg, u)
 
 
+def q_segment_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every three units as a committed segment, with faults in the chain, the evidence and the waits."""
+    u = unit_chain(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)  # read by many branches
+    k, by = F.floor(F.col("pos") / 3).cast("long"), Window.partitionBy(*K).orderBy("pos")
+    on = lambda m, r: F.col("k") % m == r
+    base = u.withColumns({"k": k, "e_dt": F.lead("end_dt", 2).over(by), "e_value": F.lead("end_value", 2).over(by), "first": F.col("pos")}).where("pos % 3 = 0 AND e_value IS NOT NULL").withColumn("pos", F.col("k"))
+    seg = base.select(
+        *K, "pos", F.when(on(13, 6), F.when(F.col("direction") == "up", "down").otherwise("up")).otherwise(F.col("direction")).alias("direction"), "start_dt", "start_value", F.col("e_dt").alias("end_dt"),
+        (F.col("e_value") + F.when(on(11, 4), 1.0).otherwise(0.0)).alias("end_value"), F.when(on(17, 4), 2).otherwise(3).cast("long").alias("size"), F.concat(F.lit("f"), "first").alias("fingerprint"),
+    )
+    end = F.col("first") + 3
+    evidence = base.where(~on(19, 7)).select(
+        *K, "pos", F.col("first").alias("start_pos"), (end + F.when(on(23, 5), 3).otherwise(0)).alias("end_pos"), F.when(on(2, 0), "NO_GAP").otherwise("GAP_REVERSE_FRACTAL").alias("confirmation"),
+        (on(2, 1) != on(29, 3)).alias("gap"), (on(2, 1) != on(29, 3)).alias("primary_gap"), (~on(31, 8)).alias("broken"), (~on(37, 9)).alias("reverse"), end.alias("origin_pos"), (end + 1).alias("origin_at"), (end + F.when(on(5, 0), 6).otherwise(2)).alias("confirmed_at_pos"),
+        F.when(~on(59, 13), F.col("e_dt")).alias("available_at"), F.when(~on(41, 11), F.col("e_dt") + F.when(on(43, 12), F.expr("INTERVAL '-120' HOUR")).otherwise(F.expr("INTERVAL '1' HOUR"))).alias("committed_at"),
+        F.when(on(47, 2), 0).otherwise(F.col("first")).alias("committed_pos"), F.concat(F.lit("f"), F.col("first") + F.when(on(53, 20), 1).otherwise(0)).alias("fingerprint"),
+    )
+    # Of each wait two fractals: one behind its end, one at the end itself that is seen later.
+    seen = F.inline(F.array(F.struct((end + 2).alias("endpoint_pos"), (end + 3).alias("detected_at_pos")), F.struct(end.alias("endpoint_pos"), (end + 2).alias("detected_at_pos"))))
+    ends = u.select(*K, F.col("pos").alias("endpoint_pos"), F.col("start_value").alias("value"))
+    candidates = base.select(*K, "pos", on(7, 1).alias("gap"), F.when(on(3, 2), "pending").otherwise("confirmed").alias("status"), seen).join(ends, [*K, "endpoint_pos"])
+    expected = seg.where(~on(61, 17))
+    stable = u.groupBy(*K).agg((F.max("pos") - 5).alias("stable"))
+    return segment_faults.segment_faults(seg, u, evidence, candidates, expected, stable)
+
+
 def q_inner_thirds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Third points among the seven units from the end of each zone."""
     u = unit_chain(spark, sf_dir)
@@ -313,6 +339,8 @@ QUERIES: dict[str, Query] = {
     "commit_faults": lambda s, d: validators.commit_conflicts(unit_chain(s, d).select(*K, F.concat_ws("/", "direction", F.col("pos") % 40).alias("fingerprint"), (F.col("pos") % 80).alias("committed_at"))),
     "endpoints": lambda s, d: legacy_segments.endpoints(unit_chain(s, d)),
     "legacy_faults": q_legacy_faults,
+    "segment_faults": q_segment_faults,
+    "committed_segment_faults": lambda s, d: _analysis(s, d).segment_faults,
     "potentials": lambda s, d: legacy_segments.potentials(legacy_segments.endpoints(unit_chain(s, d))),
     "formal_stroke_zones": lambda s, d: zones.stroke_zones(zones.behind_first_group(unit_chain(s, d))).select(*K, "zone", "start_pos", "end_pos", "zg", "zd", "size"),
     "formal_segment_zones": lambda s, d: zones.segment_zones(zones.behind_first_zone(unit_chain(s, d))).select(*K, "zone", "start_pos", "end_pos", "zg", "zd", "size"),
