@@ -8,6 +8,7 @@ levels, and no task holds more than a segment's strokes at once.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,10 +60,10 @@ def inside(zones_: DataFrame, segments: DataFrame, strokes: DataFrame) -> DataFr
 
 def stroke_first_points(segments: DataFrame, strokes: DataFrame, stroke_areas: DataFrame, exact: DataFrame) -> DataFrame:
     """Confirmed first points on the level of strokes inside each segment: ``segment, point_type, dt, price``."""
-    inner = inner_strokes(segments, strokes)
-    areas = inner_strokes(segments, stroke_areas)
+    inner = inner_strokes(segments, strokes).persist(StorageLevel.MEMORY_AND_DISK)  # read by zones, pairs and legs
+    areas = inner_strokes(segments, stroke_areas).persist(StorageLevel.MEMORY_AND_DISK)
     known = segments.select(*K, "pos").join(exact, K).select(F.concat_ws("#", "symbol", "pos").alias("symbol"), "interval", "exact")
-    first = points.first_points(inner, zones.stroke_zones(inner), areas, known)
+    first = points.first_points(inner, zones.stroke_zones(inner).persist(StorageLevel.MEMORY_AND_DISK), areas, known)
     return outward(first.where("status = 'confirmed'").select(*K, "point_type", "dt", "price"))
 
 
@@ -75,6 +76,10 @@ def candidates(first: DataFrame, segments: DataFrame, strokes: DataFrame, zones_
     """All judged candidates by the older rules; ``first`` (from ``first_points``) is read several times, so keep
     it. A second point is confirmed with its segment: a commit before the end of the segment's last stroke is
     ``points.provenance_issues``' to report."""
+    third = first.unionByName(points.third_points(segments, zones_, commits))
     back = first.where("status = 'confirmed'").select(*K, (F.col("segment_pos") + 2).alias("pos")).distinct()
-    lower = stroke_first_points(segments.join(back, [*K, "pos"], "left_semi"), strokes, stroke_areas, exact)
-    return first.unionByName(points.second_points(first, segments, commits, lower)).unionByName(points.third_points(segments, zones_, commits))
+    if back.isEmpty():  # then there are no second points, and nothing to look for on the lower level
+        return third
+    pulled = segments.join(back, [*K, "pos"], "left_semi").persist(StorageLevel.MEMORY_AND_DISK)
+    lower = stroke_first_points(pulled, strokes, stroke_areas, exact)
+    return third.unionByName(points.second_points(first, segments, commits, lower))

@@ -258,6 +258,39 @@ _SEGMENT_CODES = {
 }
 
 
+# Two levels: the chain as strokes, every nine of them as a unit, and the strokes of each unit as a series of its own.
+LEGS = [
+    CHAIN.replace("unit AS (", "stroke AS ("),
+    """unit AS (SELECT symbol, interval, pos // 9 AS pos, direction, start_dt, start_value, e_dt AS end_dt, e_value AS end_value, top AS high, bottom AS low, pos AS first FROM (
+  SELECT *, lead(end_dt, 8) OVER w AS e_dt, lead(end_value, 8) OVER w AS e_value, max(high) OVER (w ROWS BETWEEN CURRENT ROW AND 8 FOLLOWING) AS top, min(low) OVER (w ROWS BETWEEN CURRENT ROW AND 8 FOLLOWING) AS bottom
+  FROM stroke WINDOW w AS (PARTITION BY symbol, interval ORDER BY pos)) WHERE pos % 9 = 0 AND e_value IS NOT NULL)""",
+]
+INSIDE = [
+    """piece AS (SELECT u.symbol || '#' || u.pos AS symbol, s.interval, s.pos - u.first AS pos, s.direction, s.high, s.low, u.symbol AS of, u.pos AS leg
+  FROM unit u JOIN stroke s ON s.symbol = u.symbol AND s.interval = u.interval AND s.pos BETWEEN u.first AND u.first + 8)""",
+    GROUPS.replace("grp", "igrp").replace("unit", "piece"),
+    """inner_zone AS (SELECT of, interval, leg, count(*) AS n FROM (
+  SELECT p.of, p.interval, p.leg, x.g FROM igrp x JOIN piece p ON p.symbol = x.symbol AND p.interval = x.interval AND p.pos = x.pos
+  JOIN (SELECT symbol, interval, g, arg_max(zg, pos) AS zg, arg_max(zd, pos) AS zd FROM igrp GROUP BY symbol, interval, g) e ON e.symbol = x.symbol AND e.interval = x.interval AND e.g = x.g
+  GROUP BY p.of, p.interval, p.leg, x.g, e.zg, e.zd
+  HAVING count(*) >= 3 AND e.zg >= e.zd AND bool_and(p.high BETWEEN e.zd AND e.zg OR p.low BETWEEN e.zd AND e.zg OR (p.high >= e.zg AND p.low <= e.zd))) GROUP BY of, interval, leg)""",
+    """inner_third AS (SELECT DISTINCT z.symbol, z.interval, z.zone FROM zone z JOIN unit s ON s.symbol = z.symbol AND s.interval = z.interval AND s.pos = z.end_pos
+JOIN stroke a ON a.symbol = z.symbol AND a.interval = z.interval AND a.pos BETWEEN s.first AND s.first + 6 AND a.direction = s.direction
+JOIN stroke b ON b.symbol = z.symbol AND b.interval = z.interval AND b.pos = a.pos + 1 AND b.direction <> s.direction
+JOIN stroke c ON c.symbol = z.symbol AND c.interval = z.interval AND c.pos = a.pos + 2 AND c.direction = s.direction
+WHERE CASE WHEN s.direction = 'down' THEN a.end_value < z.zd - 1e-9 AND b.high <= z.zd + 1e-9 AND c.end_value < b.start_value - 1e-9
+           ELSE a.end_value > z.zg + 1e-9 AND b.low >= z.zg - 1e-9 AND c.end_value > b.start_value + 1e-9 END)""",
+    """inside AS (SELECT z.symbol, z.interval, z.zone, t.zone IS NOT NULL AND coalesce(i.n, 0) >= 2 AS whole FROM zone z
+  LEFT JOIN inner_third t ON t.symbol = z.symbol AND t.interval = z.interval AND t.zone = z.zone LEFT JOIN inner_zone i ON i.of = z.symbol AND i.interval = z.interval AND i.leg = z.end_pos)""",
+]
+OLDER_FIRST = (
+    FIRST.replace("SELECT p.symbol, p.interval, p.zone, p.strict, e.b,", "SELECT p.symbol, p.interval, p.zone, p.strict, n.whole, e.b,")
+    .replace("FROM pair p LEFT JOIN entry e", "FROM pair p JOIN inside n ON n.symbol = p.symbol AND n.interval = p.interval AND n.zone = p.zone LEFT JOIN entry e")
+    .replace("THEN 'LEGS_INCOMPLETE' WHEN NOT (CASE", "THEN 'LEGS_INCOMPLETE' WHEN NOT whole THEN 'INSIDE_INCOMPLETE' WHEN NOT (CASE")
+    .replace("CASE reason WHEN 'LEGS_INCOMPLETE' THEN 'pending'", "CASE reason WHEN 'LEGS_INCOMPLETE' THEN 'pending' WHEN 'INSIDE_INCOMPLETE' THEN 'pending'")
+)
+
+
 def segment_fault_rows() -> str:
     each = ", ".join(f"CASE WHEN {c} THEN '{name}' END" for name, c in _SEGMENT_CODES.items())
     return f"""SELECT symbol, interval, k AS pos, code FROM (SELECT symbol, interval, k, unnest([{each}]) AS code FROM placed) WHERE code IS NOT NULL
@@ -269,6 +302,7 @@ UNION ALL SELECT symbol, interval, -1, 'CHAIN_MISMATCH' FROM base GROUP BY symbo
 
 
 ORACLES: dict[str, str] = {
+    "older_first_points": query([*BOTH[:4], *LEGS, SPANS, MACD, AREA, *INSIDE, PAIRS, OLDER_FIRST], point_rows("first")),
     "segment_faults": query([*BOTH, POINTS, *SEGMENT_FAULTS], segment_fault_rows()),
     "resample_hourly": query([HOURLY], "SELECT * FROM hourly"),
     "resample_by_type": query([BY_TYPE], "SELECT * FROM by_type"),

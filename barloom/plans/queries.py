@@ -289,6 +289,35 @@ def q_segment_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment_faults.segment_faults(seg, u, evidence, candidates, expected, stable)
 
 
+#: Strokes of a leg in the queries of the older point rules.
+LEG = 9
+
+
+def _two_levels(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The unit chain as strokes and every nine of them as a segment; what several branches read is kept once."""
+    keep = lambda df: df.persist(StorageLevel.MEMORY_AND_DISK)
+    strokes = keep(unit_chain(spark, sf_dir))
+    w = Window.partitionBy(*K).orderBy("pos")
+    ahead = w.rowsBetween(0, LEG - 1)
+    legs = strokes.withColumns({"e_dt": F.lead("end_dt", LEG - 1).over(w), "e_value": F.lead("end_value", LEG - 1).over(w), "top": F.max("high").over(ahead), "bottom": F.min("low").over(ahead)})
+    legs = keep(legs.where(f"pos % {LEG} = 0 AND e_value IS NOT NULL").select(
+        *K, F.floor(F.col("pos") / LEG).cast("long").alias("pos"), "direction", "start_dt", "start_value", F.col("e_dt").alias("end_dt"), F.col("e_value").alias("end_value"), F.col("top").alias("high"), F.col("bottom").alias("low"),
+        F.col("start_dt").alias("source_start"), F.col("e_dt").alias("source_end"), F.col("pos").alias("start_pos"), (F.col("pos") + LEG).alias("end_pos"),
+    ))
+    z = keep(zones.segment_zones(legs))
+    hist = keep(structure.macd(B.with_position(hourly(spark, sf_dir).unionByName(walk(spark, sf_dir))), keep=("open_time",)))
+    area = lambda u: structure.directional_area(u.withColumnRenamed("pos", "idx"), hist).withColumnRenamed("idx", "pos")
+    exact = legs.select(*K).distinct().withColumn("exact", F.lit(True))
+    first = keep(recursive_points.first_points(legs, strokes, z, area(legs), exact))
+    return {"strokes": strokes, "legs": legs, "zones": z, "stroke_areas": area(strokes), "exact": exact, "first": first}
+
+
+def q_older_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All candidates of the older rules, both levels."""
+    t = _two_levels(spark, sf_dir)
+    return _show(recursive_points.candidates(t["first"], t["legs"], t["strokes"], t["zones"], t["stroke_areas"], t["exact"]))
+
+
 def q_inner_thirds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Third points among the seven units from the end of each zone."""
     u = unit_chain(spark, sf_dir)
@@ -327,6 +356,8 @@ QUERIES: dict[str, Query] = {
     "second_points": lambda s, d: _show(_judged(s, d)["second"]),
     "third_points": lambda s, d: _show(_judged(s, d)["third"]),
     "inner_third_points": q_inner_thirds,
+    "older_first_points": lambda s, d: _show(_two_levels(s, d)["first"]),
+    "older_points": q_older_points,
     "contiguous_block": q_contiguous_block,
     "all_bars": q_all_bars,
     "revised_bars": q_revised_bars,
