@@ -25,7 +25,8 @@ _ODD = re.compile(f"[{_ODD_WS}]")
 _CHUNK = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 _WHOLE = re.compile("<\\||[\x1c-\x1f]")
 
-CACHE_UNITS = 500_000
+#: Units beyond which those that only one batch used are dropped.
+CACHE_UNITS = 600_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -54,7 +55,9 @@ class UnitEncoder:
         self.flat = np.zeros(1 << 16, np.uint32)
         self.at = np.zeros(1 << 14, np.int64)
         self.size = np.zeros(1 << 14, np.int64)
-        self.n_units = self.n_flat = 0
+        self.born = np.zeros(1 << 14, np.int32)  # the batch that brought a unit, and the last one that used it
+        self.used = np.zeros(1 << 14, np.int32)
+        self.n_units = self.n_flat = self.batch = 0
         if self.style == "byte":
             self.newline = self._add(*self._encode_each(["\n"]))
             self.after_space["\n"] = self.newline
@@ -65,13 +68,35 @@ class UnitEncoder:
         while self.n_flat + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while end > len(self.at):
-            self.at, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size))
+            self.at, self.size, self.born, self.used = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size, self.born, self.used))
         self.flat[self.n_flat : self.n_flat + total] = flat
         self.size[first:end] = sizes
+        self.born[first:end] = self.used[first:end] = self.batch
         self.at[first:end] = self.n_flat + np.cumsum(sizes) - sizes
         self.n_flat, self.n_units = self.n_flat + total, end
         return first
 
+    def _evict(self) -> None:
+        """Keep the units that a batch used again since the last time, of too many the latest: most units
+        are names and slips that never come back."""
+        n = self.n_units
+        stay = np.flatnonzero(self.used[:n] > self.born[:n])
+        if len(stay) > CACHE_UNITS // 2:
+            stay = np.sort(stay[np.argsort(self.used[stay], kind="stable")[-(CACHE_UNITS // 2) :]])
+        size, at, used = self.size[stay], self.at[stay], self.used[stay]
+        total = int(size.sum())
+        flat = self.flat[np.repeat(at - (np.cumsum(size) - size), size) + np.arange(total)]
+        number = np.full(n, -1, np.int64)
+        number[stay] = np.arange(len(stay))
+        number = number.tolist()
+        spaced, exact, batch = self.after_space, self.exact, self.batch
+        self._clear()
+        more = self._add(flat, size)
+        self.born[more : self.n_units] = self.used[more : self.n_units] = used
+        self.batch = batch
+        fresh = lambda table: {u: more + number[k] for u, k in table.items() if number[k] >= 0}
+        self.after_space, self.exact = fresh(spaced) | self.after_space, fresh(exact) | self.exact
+
     def _encode_each(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = [e.ids for e in self.tok.encode_batch_fast(units, add_special_tokens=False)]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
@@ -141,8 +166,9 @@ class UnitEncoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and how many belong to each text."""
+        self.batch += 1
         if self.n_units > CACHE_UNITS:
-            self._clear()
+            self._evict()
         counts, parts, other, whole = self._split(texts)
         coded = parts.dictionary_encode()
         code, known = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # each distinct word is looked up once
@@ -172,6 +198,7 @@ class UnitEncoder:
                     pieces.append(units[at : at + counts[k]])
                     at += counts[k]
             units = np.concatenate(pieces) if pieces else units
+        self.used[units] = self.batch
         size = self.size[units]
         total = int(size.sum())
         ids = self.flat[np.repeat(self.at[units] - (np.cumsum(size) - size), size) + np.arange(total)]

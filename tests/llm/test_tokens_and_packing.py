@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 import pytest
 
-from barloom.llm import packing, token_files
+from barloom.llm import packing, token_files, tokens
 from barloom.llm.common import shared_dir
 from barloom.llm.tokens import UnitEncoder, tokenizer_path
 
@@ -134,3 +134,20 @@ def test_packing_with_prompts_that_bear_no_loss(spark):
     for x in plain:
         sums[x["sequence_id"]] = sums.get(x["sequence_id"], 0) + x["length"]
     assert max(sums.values()) > 100  # without the limit sequences bear more
+
+
+@pytest.mark.parametrize(("name", "style"), [("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")])
+def test_a_full_cache_drops_what_did_not_come_back(monkeypatch, name, style):
+    monkeypatch.setattr(tokens, "CACHE_UNITS", 300)
+    r = random.Random(4)
+    often = [f"often{k}" for k in range(40)]
+    enc = tokens.UnitEncoder(tokens.tokenizer_path(name), style)
+    sizes = []
+    for _ in range(60):
+        texts = [r.choice(["", "  ", "\n"]) + r.choice([" ", "\n", "  "]).join(r.choice(often) if r.random() < 0.8 else f"Rare{r.random()}" for _ in range(r.randint(0, 30))) for _ in range(8)]
+        ids, lengths = enc.encode(texts)
+        assert ids.tolist() == [i for t in texts for i in enc.tok.encode(t, add_special_tokens=False).ids]
+        assert lengths.tolist() == [len(enc.tok.encode(t, add_special_tokens=False).ids) for t in texts]
+        sizes.append(enc.n_units)
+    assert max(sizes) < 1200 and sum(b < a for a, b in zip(sizes, sizes[1:])) > 3
+    assert set(often) <= set(enc.after_space) | set(enc.exact)
