@@ -17,7 +17,7 @@ class Grid:
     length; all other intervals a fixed one from the epoch, weeks from the first Monday on."""
 
     def __init__(self, interval: str):
-        m = re.fullmatch(r"([1-9][0-9]*)([smhdwM])", interval)
+        m = re.match(r"([1-9][0-9]*)([smhdwM])\Z", interval)
         if m is None:
             raise ValueError(f"no interval: {interval}")
         self.n, self.unit = int(m[1]), m[2]

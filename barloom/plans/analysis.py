@@ -169,9 +169,13 @@ class Analysis:
         return self.macd_anchors.join(validators.macd_anchor_issues(self.macd_anchors, self.bars).select(*K).distinct(), K, "left_anti")
 
     @cached_property
-    def macd(self) -> DataFrame:
+    def _timed_macd(self) -> DataFrame:
         return structure.macd(self.positioned, self._fine_macd_anchors, keep=("open_time",))
 
+    @cached_property
+    def macd(self) -> DataFrame:
+        return self._timed_macd.drop("open_time")
+
     @cached_property
     def exact(self) -> DataFrame:
         """MACD is exact where no bar is missing and the start is trusted or continues an exact anchor. A
@@ -191,7 +195,7 @@ class Analysis:
 
     @cached_property
     def areas(self) -> DataFrame:
-        return structure.directional_area(self.segments.withColumnRenamed("pos", "idx"), self.macd).withColumnRenamed("idx", "pos")
+        return structure.directional_area(self.segments.withColumnRenamed("pos", "idx"), self._timed_macd).withColumnRenamed("idx", "pos")
 
     @cached_property
     def gated_segments(self) -> DataFrame:
