@@ -34,9 +34,11 @@ FIRST = 2000
 #: Positions after which a shard is closed; one document is never cut.
 POSITIONS = 1 << 20
 #: Pairs of blocks compared at once.
-MEETINGS = 1 << 19
-#: The size that a filter of hashes has at most: 32 MB.
-FILTER_BITS = 1 << 28
+MEETINGS = 1 << 18
+#: The size that a filter of hashes has at most: 16 MB. Every Python worker holds one of words and one of pairs.
+FILTER_BITS = 1 << 27
+#: Rows that a shard hands over at once.
+ROWS = 1 << 16
 WIDTH = 16
 
 _END = b"\xff"  # no byte of UTF-8
@@ -64,24 +66,39 @@ class _Numbers(dict):
 def bitmaps_of(at: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For words 1 to ``n_words`` - 1 in a sequence of word numbers: blocks and their bits by word, and where
     each word's begin."""
-    order = np.argsort(at, kind="stable")
-    word, pos = at[order].astype(np.int64), order.astype(np.int64)
+    pos = np.argsort(at, kind="stable").astype(np.uint32)
+    word = at[pos]
     ends = np.searchsorted(word, 1)
     word, pos = word[ends:], pos[ends:]
-    key = (word << 40) | (pos // WIDTH)
-    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-    bits = np.bitwise_or.reduceat(np.left_shift(1, pos % WIDTH).astype(np.uint16), first) if len(key) else np.zeros(0, np.uint16)
+    block = pos // np.uint32(WIDTH)
+    first = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (block[1:] != block[:-1])]) if len(word) else np.zeros(0, np.int64)
+    bits = np.bitwise_or.reduceat(np.left_shift(np.uint16(1), (pos % np.uint32(WIDTH)).astype(np.uint16)), first) if len(word) else np.zeros(0, np.uint16)
     starts = np.searchsorted(word[first], np.arange(1, n_words + 1))
-    return (key[first] & ((1 << 40) - 1)).astype(np.uint32), bits, starts
+    return block[first], bits, starts
 
 
-BITMAPS = "shard long, ids array<long>, n array<long>, part array<string>, text array<string>, size array<int>, blocks binary, bits binary"
+def packed(sizes: np.ndarray, blocks: np.ndarray, bits: np.ndarray) -> tuple[bytes, int]:
+    """A shard's bitmaps compressed, as tasks hold several shards at a time, and their size before."""
+    raw = sizes.astype("<i4").tobytes() + blocks.astype("<u2" if not len(blocks) or blocks.max() < 1 << 16 else "<u4").tobytes() + bits.astype("<u2").tobytes()
+    return pa.compress(raw, codec="zstd", asbytes=True), len(raw)
+
+
+def unpacked(data: pa.Buffer, size: int, n_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What ``packed`` was given for ``n_words`` words."""
+    raw = pa.decompress(data, decompressed_size=size, codec="zstd")
+    sizes = np.frombuffer(raw, "<i4", n_words)
+    n = int(sizes.sum())
+    blocks = np.frombuffer(raw, "<u2" if size == 4 * n_words + 4 * n else "<u4", n, 4 * n_words)
+    return sizes, blocks, np.frombuffer(raw, "<u2", n, size - 2 * n)
+
+
+BITMAPS = "shard long, ids array<long>, n array<long>, part array<string>, text array<string>, bitmaps binary, raw_size long"
 
 
 def word_bitmaps(docs: DataFrame, text_col: str = "text", part_col: str = "lang", positions: int = POSITIONS, seed: int = 0) -> DataFrame:
-    """One row per shard: its words (``ids`` are hashes of part and word, ``n`` occurrences), and the blocks and
-    bits of all bitmaps one behind the other, ``size`` of each. ``part`` is the value of ``part_col`` (null:
-    ``und``); words of different parts are different words. Block numbers take 2 bytes, in a shard of a very
+    """One row per shard: its words (``ids`` are hashes of part and word, ``n`` occurrences), and ``packed`` how many
+    blocks each has, and the blocks and bits of all bitmaps one behind the other. ``part`` is the value of ``part_col``
+    (null: ``und``); words of different parts are different words. Block numbers take 2 bytes, in a shard of a very
     long document 4."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,15 +114,15 @@ def word_bitmaps(docs: DataFrame, text_col: str = "text", part_col: str = "lang"
         def close() -> pa.RecordBatch:
             nonlocal shard, n
             at = np.concatenate(held)
+            held.clear()
             blocks, bits, starts = bitmaps_of(at, len(seen))
             counts = np.bincount(at, minlength=len(seen))[1:].astype(np.int64)
             parts, words = zip(*seen[1:], strict=True) if len(seen) > 1 else ((), ())
             ids = np.fromiter((xxhash.xxh3_64_intdigest(p.encode() + _END + w, seed) for p, w in seen[1:]), np.uint64, len(words)).view(np.int64)
-            if len(at) // WIDTH < 1 << 16:
-                blocks = blocks.astype(np.uint16)
-            lists = [pa.array(ids), pa.array(counts), pa.array(parts, pa.string()), pa.array(words, pa.binary()).cast(pa.string()), pa.array(np.diff(starts).astype(np.int32))]
-            out = pa.RecordBatch.from_arrays([pa.array([shard]), *map(one, lists), pa.array([blocks.tobytes()], pa.binary()), pa.array([bits.tobytes()], pa.binary())], [c.split()[0] for c in BITMAPS.split(", ")])
-            held.clear(), numbers.clear()
+            lists = [pa.array(ids), pa.array(counts), pa.array(parts, pa.string()), pa.array(words, pa.binary()).cast(pa.string())]
+            data, size = packed(np.diff(starts), blocks, bits)
+            out = pa.RecordBatch.from_arrays([pa.array([shard]), *map(one, lists), pa.array([data], pa.binary()), pa.array([size])], [c.split()[0] for c in BITMAPS.split(", ")])
+            numbers.clear()
             seen[:] = [None]
             shard, n = shard + 1, 0
             return out
@@ -133,7 +150,7 @@ class Shard:
         """``ids``: numbers of the words; an entry is (index of its word, block, bits), entries come by word."""
         self.ids, self.word, self.block, self.bits = ids, word, block, bits
         order = np.argsort(block, kind="stable")
-        self.by_block, self.block_word, self.block_bits = order, word[order], bits[order]
+        self.block_word, self.block_bits = word[order], bits[order]
         self.first = np.searchsorted(block[order], np.arange((int(block.max()) if len(block) else 0) + 3))
 
     def next_words(self, phrase: np.ndarray, block: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -220,7 +237,7 @@ def pairs_of(s: Shard) -> Iterator[tuple[np.ndarray, ...]]:
     n = len(s.ids)
     for branch in s.branches():
         p, w, _, bits = s.next_words(*branch)
-        key, count = _tally(p * n + w, bits)
+        key, count = _tally(p.astype(np.int64) * n + w, bits)
         yield s.ids[key // n], s.ids[key % n], count
 
 
@@ -230,7 +247,7 @@ def phrases_of(s: Shard, frequent: Filter) -> Iterator[tuple[np.ndarray, ...]]:
     n = len(s.ids)
     for branch in s.branches():
         p, w, block, bits = s.next_words(*branch)
-        pair, at = np.unique(p * n + w, return_inverse=True)
+        pair, at = np.unique(p.astype(np.int64) * n + w, return_inverse=True)
         first, second = pair // n, pair % n
         passes = frequent(pair_hash(s.ids[first], s.ids[second]))
         count = np.bincount(at, np.bitwise_count(bits), len(pair)).astype(np.int64)
@@ -243,6 +260,13 @@ def phrases_of(s: Shard, frequent: Filter) -> Iterator[tuple[np.ndarray, ...]]:
         yield s.ids[first[q]], s.ids[second[q]], s.ids[key % n], count
 
 
+def frequent_shard(ids: np.ndarray, sizes: np.ndarray, blocks: np.ndarray, bits: np.ndarray, frequent: Filter) -> Shard:
+    """The shard of the words that pass the filter."""
+    stays = frequent(ids)
+    held = np.repeat(stays, sizes)
+    return Shard(ids[stays], np.repeat(np.arange(int(stays.sum()), dtype=np.int32), sizes[stays]), blocks[held].astype(np.int32), bits[held])
+
+
 def _walk(bitmaps: DataFrame, words: Filter, pairs: Filter | None) -> DataFrame:
     """What shards find: ``hash, n`` of all pairs of words that pass ``words``; with ``pairs`` the phrases
     ``w1, w2, w3, n`` that pass that."""
@@ -254,23 +278,17 @@ def _walk(bitmaps: DataFrame, words: Filter, pairs: Filter | None) -> DataFrame:
         word_bits, pair_bits = given.value
         frequent, deeper = Filter(word_bits), None if pair_bits is None else Filter(pair_bits)
         for batch in batches:
-            for ids, size, blocks, bits in zip(*batch.columns, strict=True):
-                ids, size = ids.values.to_numpy(), size.values.to_numpy()
-                bits = np.frombuffer(bits.as_buffer(), np.uint16)
-                blocks = np.frombuffer(blocks.as_buffer(), np.uint16 if blocks.as_buffer().size == 2 * len(bits) else np.uint32)
-                stays = frequent(ids)
-                held = np.repeat(stays, size)
-                index = np.repeat(np.cumsum(stays) - 1, size)[held]
-                shard = Shard(ids[stays], index, blocks[held].astype(np.int64), bits[held])
+            for ids, data, size in zip(*batch.columns, strict=True):
+                shard = frequent_shard(ids.values.to_numpy(), *unpacked(data.as_buffer(), size.as_py(), len(ids)), frequent)
                 if deeper is None:
                     found = ((pair_hash(a, b), n) for a, b, n in pairs_of(shard))
                 else:
                     found = phrases_of(shard, deeper)
                 for x in found:
-                    if len(x[0]):
-                        yield pa.RecordBatch.from_arrays(list(map(pa.array, x)), names)
+                    for lo in range(0, len(x[0]), ROWS):
+                        yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + ROWS]) for c in x], names)
 
-    return bitmaps.select("ids", "size", "blocks", "bits").mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    return bitmaps.select("ids", "bitmaps", "raw_size").mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 def exact_score(a: Column, left: Column, right: Column) -> Column:

@@ -1,8 +1,10 @@
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from barloom.llm import collocations as C
@@ -90,3 +92,38 @@ def test_scores_are_exact(spark):
     rows = [(big, big, big), (10**13 + 7, 10**13 + 9, 10**13 + 11), (10, 10**13, 3 * 10**12), (10, 10, 10)]
     out = spark.createDataFrame(rows, "a long, l long, r long").select("a", "l", "r", C.exact_score(*map(C.col, "alr")).alias("s")).collect()
     assert [x.s for x in out] == [10**6 * a * a // (l * r) for a, l, r in rows]
+
+
+def test_bitmaps_are_packed():
+    r = np.random.default_rng(2)
+    for at in (np.zeros(3, np.int32), np.array([1, 0], np.int32), r.integers(0, 9, 5000).astype(np.int32)):
+        n = int(at.max()) + 1
+        blocks, bits, starts = C.bitmaps_of(at, n)
+        for far in (blocks, blocks + np.uint32(1 << 20)):
+            data, size = C.packed(np.diff(starts), far, bits)
+            assert [x.tolist() for x in C.unpacked(pa.py_buffer(data), size, n - 1)] == [np.diff(starts).tolist(), far.tolist(), bits.tolist()]
+
+
+def test_what_a_worker_holds():
+    """A full shard and full filters leave room for the JVM beside two workers."""
+    r = np.random.default_rng(0)
+    at = np.minimum(r.zipf(1.15, C.POSITIONS), 80_000).astype(np.int32)
+    full = C.Filter(np.full(1 << 13, 255, np.uint8))
+    ids = r.integers(-(2**63), 2**63, 80_000)
+
+    def peak(f):
+        tracemalloc.start()
+        try:
+            return f(), tracemalloc.get_traced_memory()[1] / 1e6
+        finally:
+            tracemalloc.stop()
+
+    (blocks, bits, starts), mb = peak(lambda: C.bitmaps_of(at, 80_001))
+    assert mb < 40  # 57 with 64-bit positions and keys
+    data, size = C.packed(np.diff(starts), blocks, bits)
+    assert len(data) < 0.8 * size
+    shard = C.frequent_shard(ids, *C.unpacked(pa.py_buffer(data), size, 80_000), full)
+    assert sum(x.nbytes for x in vars(shard).values()) < 20e6  # 31
+    n, mb = peak(lambda: sum(len(x[0]) for x in C.phrases_of(shard, full)))
+    assert n > 10**6 and mb < 48  # 55 with twice the meetings
+    assert C.FILTER_BITS <= 1 << 27  # two of 32 MB each before
