@@ -24,6 +24,10 @@ _ODD_WS = "\t\x0b\x0c\r\x85\xa0  -     　"
 _ODD = re.compile(f"[{_ODD_WS}]")
 _CHUNK = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 _WHOLE = re.compile("<\\||[\x1c-\x1f]")
+#: Words of ASCII and Latin-1 letters: no normalization reaches over their characters.
+_LATIN = re.compile("[\x00-\x7fÀ-ÖØ-öø-ÿ]*")
+#: What the word tokenizer's pattern finds in such words in lower case, and the line breaks between words.
+_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|\n|[^\na-z0-9ß-öø-ÿ]+")
 
 #: Units beyond which those that only one batch used are dropped.
 CACHE_UNITS = 600_000
@@ -47,6 +51,8 @@ class UnitEncoder:
         if style == "byte":
             size = self.tok.get_vocab_size()
             self.spaced = np.array([(self.tok.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
+        else:
+            self.last = np.array([(self.tok.id_to_token(i) or "").endswith("</w>") for i in range(self.tok.get_vocab_size())])
         self._clear()
 
     def _clear(self) -> None:
@@ -118,13 +124,46 @@ class UnitEncoder:
             else:
                 ids, sizes = self._encode_each([" " + u for u in new])
         else:
-            # One call for all: a token's place in the joined text tells its unit.
-            e = self.tok.encode(" ".join(new), add_special_tokens=False)
-            starts = np.cumsum([0, *(len(u) + 1 for u in new[:-1])])
-            owner = np.searchsorted(starts, np.fromiter((o[0] for o in e.offsets), np.int64, len(e)), "right") - 1
-            ids, sizes = np.array(e.ids, np.uint32), np.bincount(owner, minlength=len(new))
+            plain = [u for u in new if _LATIN.fullmatch(u)]
+            if plain:
+                self._store(self.after_space, plain, *self._from_pieces(plain))
+            new = [u for u in new if not _LATIN.fullmatch(u)] if len(plain) < len(new) else []
+            if not new:
+                return
+            ids, sizes = self._encode_joined(new)
+        self._store(self.after_space, new, ids, sizes)
+
+    def _store(self, table: dict[str, int], units: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         first = self._add(ids, sizes)
-        self.after_space.update(zip(new, range(first, first + len(new)), strict=True))
+        table.update(zip(units, range(first, first + len(units)), strict=True))
+
+    def _encode_joined(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """One call for all units of the word tokenizer: a token's place in the joined text tells its unit."""
+        e = self.tok.encode(" ".join(units), add_special_tokens=False)
+        starts = np.cumsum([0, *(len(u) + 1 for u in units[:-1])])
+        owner = np.searchsorted(starts, np.fromiter((o[0] for o in e.offsets), np.int64, len(e)), "right") - 1
+        return np.array(e.ids, np.uint32), np.bincount(owner, minlength=len(units))
+
+    def _from_pieces(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Words of Latin letters from the pieces that the tokenizer cuts them into: new words differ in capitals, digits
+        and punctuation, and their pieces are mostly known. Only new pieces go to the library."""
+        coded = pa.array(_PIECES.findall("\n".join(words).lower()), pa.large_string()).dictionary_encode()
+        kinds = coded.dictionary.to_pylist()
+        units = self._lookup(self.exact, kinds)
+        new = [u for u, k in zip(kinds, units, strict=True) if k < 0 and u != "\n"]
+        if new:
+            # The last token of a piece tells where it ends.
+            ids = np.array(self.tok.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, np.uint32)
+            sizes = np.diff(np.flatnonzero(self.last[ids]), prepend=-1)
+            self._store(self.exact, new, *((ids, sizes) if len(sizes) == len(new) and sizes.sum() == len(ids) else self._encode_joined(new)))
+            units = self._lookup(self.exact, kinds)
+        self.used[units[units >= 0]] = self.batch
+        units = units[coded.indices.to_numpy(zero_copy_only=False)]
+        breaks = units < 0
+        owner, units = np.cumsum(breaks)[~breaks], units[~breaks]
+        size = self.size[units]
+        ids = self.flat[np.repeat(self.at[units] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+        return ids, np.bincount(owner, size, len(words)).astype(np.int64)
 
     def _lookup(self, table: dict[str, int], parts: list[str]) -> np.ndarray:
         return np.fromiter(map(table.get, parts, repeat(-1)), np.int64, len(parts))

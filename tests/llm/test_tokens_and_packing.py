@@ -151,3 +151,31 @@ def test_a_full_cache_drops_what_did_not_come_back(monkeypatch, name, style):
         sizes.append(enc.n_units)
     assert max(sizes) < 1200 and sum(b < a for a, b in zip(sizes, sizes[1:])) > 3
     assert set(often) <= set(enc.after_space) | set(enc.exact)
+
+
+def test_new_words_of_known_pieces_are_put_together():
+    class Counting:
+        def __init__(self, tok):
+            self.tok, self.sent = tok, 0
+
+        def encode(self, text, **more):
+            self.sent += len(text)
+            return self.tok.encode(text, **more)
+
+        def encode_batch_fast(self, texts, **more):
+            self.sent += sum(map(len, texts))
+            return self.tok.encode_batch_fast(texts, **more)
+
+    enc = UnitEncoder(tokenizer_path("word_bpe_49k.json"), "word")
+    tok = enc.tok
+    enc.tok = Counting(tok)
+    r = random.Random(8)
+    base = ["hello", "world", "collocations", "i", "can", "t", "re", "s", "ll", *"0123456789", *"',.-()!_", "\x00", "\u00e9t\u00e9", "\u00df", "\u00d7", "''", "'s", "'re", "'d"]
+    enc.encode([" ".join(base)])
+    enc.tok.sent = 0
+    words = ["".join(r.choice(base) for _ in range(r.randint(1, 6))) for _ in range(3000)]
+    words = [r.choice([w, w.upper(), w.title()]) for w in words]
+    texts = [" ".join(words[k : k + 50]) for k in range(0, 3000, 50)] + ["caf\u00e9 Hello, \u0130x e\u0301 \u212a"]
+    ids, n = enc.encode(texts)
+    assert [v.tolist() for v in np.split(ids, np.cumsum(n)[:-1])] == [v.ids for v in tok.encode_batch(texts, add_special_tokens=False)]
+    assert enc.tok.sent < len(" ".join(texts)) / 3  # before, all distinct words
