@@ -123,7 +123,7 @@ def test_what_a_worker_holds():
     data, size = C.packed(np.diff(starts), blocks, bits)
     assert len(data) < 0.8 * size
     shard = C.frequent_shard(ids, *C.unpacked(pa.py_buffer(data), size, 80_000), full)
-    assert sum(x.nbytes for x in vars(shard).values()) < 20e6  # 31
+    assert sum(x.nbytes for x in vars(shard).values()) < 20e6  # places and words of 32 bits
     n, mb = peak(lambda: sum(len(x[0]) for x in C.phrases_of(shard, full)))
     assert n > 10**6 and mb < 48  # 55 with twice the meetings
     assert C.FILTER_BITS <= 1 << 27  # two of 32 MB each before
