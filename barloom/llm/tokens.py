@@ -1,7 +1,7 @@
 """Token ids of whole texts by public tokenizer files, with a cache of units.
 
-Both vocabularies cut a text at white space before any merge, so a text is a row of *units* whose
-ids do not depend on their neighbours. Each distinct unit goes through the tokenizers library once
+Both vocabularies cut a text at white space before any merge, and between a letter and a full stop
+or comma, so a text is a row of *units* whose ids do not depend on their neighbours. Each distinct unit goes through the tokenizers library once
 per worker; texts are then put together from cached ids by array arithmetic. Where that reasoning
 does not hold (special-token strings, control characters that only one of the two sides calls
 white space), the library gets the whole text. ``tests/llm`` holds both ways against each other.
@@ -9,6 +9,7 @@ white space), the library gets the whole text. ``tests/llm`` holds both ways aga
 
 from __future__ import annotations
 
+import codecs
 import os
 import re
 import zlib
@@ -21,14 +22,33 @@ import pyarrow.compute as pc
 #: White space as in the Unicode property that the tokenizers' patterns use.
 _WS = "\t-\r \x85\xa0  -     　"
 _ODD_WS = "\t\x0b\x0c\r\x85\xa0  -     　"
-_ODD = re.compile(f"[{_ODD_WS}]")
+#: Stands before a unit that has no space before it, in texts that were cut into units.
+_BARE = "\x1e"
+_ODD = f"[{_ODD_WS}{_BARE}]"
 _CHUNK = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
-_WHOLE = re.compile("<\\||[\x1c-\x1f]")
+#: The control characters that only Python calls white space.
+_CONTROLS = "\x1c\x1d\x1e\x1f"
 #: Words of ASCII and Latin-1 letters: no normalization reaches over their characters.
 _LATIN = re.compile("[\x00-\x7fÀ-ÖØ-öø-ÿ]*")
 #: What the word tokenizer's pattern finds in such words in lower case, and the line breaks between words.
 _PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|\n|[^\na-z0-9ß-öø-ÿ]+")
 
+#: Words that are one piece by either pattern; the word tokenizer's are in lower case.
+_LETTERS = {"byte": "^[A-Za-zÀ-ÖØ-öø-ÿ]+$", "word": "^[a-zß-öø-ÿ]+$"}
+#: Behind a Latin letter or digit both patterns cut before a full stop or comma; this finds one elsewhere.
+_UNCUT = "(^|[^0-9A-Za-zÀ-ÖØ-öø-ÿ])[,.]"
+#: A file that cuts this otherwise than the pieces have it gets white-space units only.
+_PROBE = "Word, wordNext. Été, straßeÀ a.b l'Un I'LL 3,5 été\nOther. FIN"
+
+
+def _byte_characters() -> str:
+    """The character of byte-level vocabularies for each byte, but for the space."""
+    odd = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+    return "".join(" " if b == 32 else chr(256 + odd.index(b)) if b in odd else chr(b) for b in range(256))
+
+
+_BYTES = _byte_characters()
+
 #: Units beyond which those that only one batch used are dropped.
 CACHE_UNITS = 600_000
 
@@ -45,14 +65,22 @@ class UnitEncoder:
 
     def __init__(self, path: str, style: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok, self.style = Tokenizer.from_file(path), style
+        # The same vocabulary and merges for what is one piece already: no pattern, no normalizing.
+        self.pieces = Tokenizer(self.tok.model)
+        self.pieces.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         if style == "byte":
             size = self.tok.get_vocab_size()
             self.spaced = np.array([(self.tok.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
+            self.line_break = self.tok.token_to_id("Ċ")
         else:
             self.last = np.array([(self.tok.id_to_token(i) or "").endswith("</w>") for i in range(self.tok.get_vocab_size())])
+        self.by_piece = True
+        self._clear()
+        if self.encode([_PROBE])[0].tolist() != self.tok.encode(_PROBE, add_special_tokens=False).ids:
+            self.by_piece = False
         self._clear()
 
     def _clear(self) -> None:
@@ -64,9 +92,8 @@ class UnitEncoder:
         self.born = np.zeros(1 << 14, np.int32)  # the batch that brought a unit, and the last one that used it
         self.used = np.zeros(1 << 14, np.int32)
         self.n_units = self.n_flat = self.batch = 0
-        if self.style == "byte":
-            self.newline = self._add(*self._encode_each(["\n"]))
-            self.after_space["\n"] = self.newline
+        if self.style == "word":
+            self.after_space[""] = self._add(np.zeros(0, np.uint32), np.zeros(1, np.int64))  # between two spaces
 
     def _add(self, flat: np.ndarray, sizes: np.ndarray) -> int:
         """Store the ids of new units, one behind the other; returns the first unit's number."""
@@ -115,23 +142,66 @@ class UnitEncoder:
             self.exact.update(zip(new, range(first, first + len(new)), strict=True))
 
     def _learn_spaced(self, new: list[str]) -> None:
-        """``new`` are distinct words, learned as they stand behind a space."""
+        """``new`` are distinct words, learned as they stand behind a space, or behind nothing where marked so."""
         if self.style == "byte":
-            ids = np.array(self.tok.encode_batch_fast([" " + " ".join(new)], add_special_tokens=False)[0].ids, np.uint32)
-            cuts = np.flatnonzero(self.spaced[ids])
-            if len(cuts) == len(new) and cuts[0] == 0:
-                sizes = np.diff(cuts, append=len(ids))
-            else:
-                ids, sizes = self._encode_each([" " + u for u in new])
-        else:
-            plain = [u for u in new if _LATIN.fullmatch(u)]
+            bare = [u[1:] for u in new if u[0] == _BARE]
+            for words, encode in zip(self._by_letters(bare), (self._encode_bare, self._encode_each), strict=True):
+                if words:
+                    self._store(self.after_space, [_BARE + u for u in words], *encode(words))
+            if bare:
+                new = [u for u in new if u[0] != _BARE]
+        letters, new = self._by_letters(new)
+        if letters:
+            self._store(self.after_space, letters, *self._encode_letters(letters))
+        if new and self.style == "byte":
+            self._store(self.after_space, new, *self._encode_spaced(new))
+        elif new:
+            plain = [u for u in new if _LATIN.fullmatch(u)] if self.by_piece else []
             if plain:
                 self._store(self.after_space, plain, *self._from_pieces(plain))
-            new = [u for u in new if not _LATIN.fullmatch(u)] if len(plain) < len(new) else []
-            if not new:
-                return
-            ids, sizes = self._encode_joined(new)
-        self._store(self.after_space, new, ids, sizes)
+                new = [u for u in new if not _LATIN.fullmatch(u)] if len(plain) < len(new) else []
+            if new:
+                self._store(self.after_space, new, *self._encode_joined(new))
+
+    def _by_letters(self, words: list[str]) -> tuple[list[str], list[str]]:
+        """Those of nothing but Latin letters, which are one piece each, and the others."""
+        if not self.by_piece:
+            return [], words
+        fit = pc.match_substring_regex(pa.array(words, pa.large_string()), _LETTERS[self.style]).to_pylist()
+        return [w for w, x in zip(words, fit, strict=True) if x], [w for w, x in zip(words, fit, strict=True) if not x]
+
+    def _piece_ids(self, joined: str) -> np.ndarray:
+        return np.array(self.pieces.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
+
+    def _encode_letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Words that are one piece each, as behind a space."""
+        joined = codecs.charmap_decode(" ".join(words).encode(), "strict", _BYTES)[0]
+        if self.style == "byte":
+            ids = self._piece_ids("Ġ" + joined.replace(" ", " Ġ"))
+            sizes = np.diff(np.flatnonzero(self.spaced[ids]), append=len(ids))
+        else:
+            # The last token of a piece tells where it ends.
+            ids = self._piece_ids(joined)
+            sizes = np.diff(np.flatnonzero(self.last[ids]), prepend=-1)
+        if len(sizes) == len(words) and sizes.sum() == len(ids):
+            return ids, sizes
+        return self._encode_spaced(words) if self.style == "byte" else self._encode_joined(words)
+
+    def _encode_bare(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Words of the byte-level tokenizer that are one piece each, behind nothing; a line break after each tells where it ends."""
+        ids = self._piece_ids(codecs.charmap_decode(" ".join(words).encode(), "strict", _BYTES)[0].replace(" ", " Ċ ") + " Ċ")
+        ends = np.flatnonzero(ids == self.line_break)
+        if len(ends) != len(words):
+            return self._encode_each(words)
+        return np.delete(ids, ends), np.diff(ends, prepend=-1) - 1
+
+    def _encode_spaced(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Words of the byte-level tokenizer, as behind a space; one call if the spaces tell where they begin."""
+        ids = np.array(self.tok.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        cuts = np.flatnonzero(self.spaced[ids])
+        if len(cuts) == len(words) and cuts[0] == 0:
+            return ids, np.diff(cuts, append=len(ids))
+        return self._encode_each([" " + u for u in words])
 
     def _store(self, table: dict[str, int], units: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         first = self._add(ids, sizes)
@@ -152,10 +222,7 @@ class UnitEncoder:
         units = self._lookup(self.exact, kinds)
         new = [u for u, k in zip(kinds, units, strict=True) if k < 0 and u != "\n"]
         if new:
-            # The last token of a piece tells where it ends.
-            ids = np.array(self.tok.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, np.uint32)
-            sizes = np.diff(np.flatnonzero(self.last[ids]), prepend=-1)
-            self._store(self.exact, new, *((ids, sizes) if len(sizes) == len(new) and sizes.sum() == len(ids) else self._encode_joined(new)))
+            self._store(self.exact, new, *self._encode_letters(new))
             units = self._lookup(self.exact, kinds)
         self.used[units[units >= 0]] = self.batch
         units = units[coded.indices.to_numpy(zero_copy_only=False)]
@@ -174,31 +241,31 @@ class UnitEncoder:
         counts = np.zeros(len(texts), np.int64)
         other: dict[int, np.ndarray] = {}
         whole: dict[int, np.ndarray] = {}
-        if self.style == "word":
-            words: list[str] = []
-            for k, t in enumerate(texts):
-                if _WHOLE.search(t):
-                    whole[k] = np.array(self.tok.encode(t, add_special_tokens=False).ids, np.uint32)
-                else:
-                    found = t.split()
-                    counts[k] = len(found)
-                    words += found
-            return counts, pa.array(words, pa.large_string()), other, whole
+        rows = pa.array(texts, pa.large_string())
+        odd, uncut = (pc.match_substring_regex(rows, x).to_pylist() for x in (_ODD, _UNCUT))
+        if not self.by_piece:
+            uncut = [True] * len(texts)
+        word = self.style == "word"
         at: list[int] = []
         plain: list[str] = []
         for k, t in enumerate(texts):
-            if "<|" in t:
+            if "<|" in t or word and any(c in t for c in _CONTROLS):
                 whole[k] = np.array(self.tok.encode(t, add_special_tokens=False).ids, np.uint32)
                 continue
-            spaced = t.replace("\n", " \n ")
-            # Words with single spaces or line breaks between them leave no empty part.
-            if not t or "  " in spaced or spaced[0] == " " or spaced[-1] == " " or _ODD.search(t):
-                chunks = _CHUNK.findall(t)
-                self._learn_exact(chunks)
-                other[k] = self._lookup(self.exact, chunks)
+            if word:
+                spaced = " ".join(t.split()) if odd[k] else t.replace("\n", " ")
             else:
-                at.append(k)
-                plain.append(spaced)
+                spaced = _BARE + t.replace("\n", f" {_BARE}\n {_BARE}")
+                # Words with single spaces or line breaks between them leave no empty part.
+                if odd[k] or not t or "  " in spaced or f"{_BARE} " in spaced or spaced[-1] in (" ", _BARE):
+                    chunks = _CHUNK.findall(t)
+                    self._learn_exact(chunks)
+                    other[k] = self._lookup(self.exact, chunks)
+                    continue
+                if not uncut[k]:
+                    spaced = spaced.replace(",", f" {_BARE},").replace(".", f" {_BARE}.")
+            at.append(k)
+            plain.append(spaced)
         rows = pc.split_pattern(pa.array(plain, pa.large_string()), " ")
         counts[at] = rows.value_lengths().to_numpy(zero_copy_only=False)
         return counts, rows.flatten(), other, whole
@@ -213,15 +280,6 @@ class UnitEncoder:
         code, known = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # each distinct word is looked up once
         units = self._lookup(self.after_space, known)[code] if len(code) else np.zeros(0, np.int64)
         miss = units < 0
-        if self.style == "byte" and len(code):
-            # The first word of a text or of a line has no space before it.
-            bare = np.flatnonzero(units == self.newline) + 1
-            starts = np.cumsum(counts) - counts
-            bare = np.concatenate([bare, starts[counts > 0]])
-            words = [known[i] for i in code[bare]]
-            self._learn_exact(words)
-            miss[bare] = False
-            units[bare] = self._lookup(self.exact, words)
         if miss.any():
             new, place = np.unique(code[miss], return_inverse=True)
             words = [known[i] for i in new]

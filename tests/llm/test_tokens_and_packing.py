@@ -179,3 +179,62 @@ def test_new_words_of_known_pieces_are_put_together():
     ids, n = enc.encode(texts)
     assert [v.tolist() for v in np.split(ids, np.cumsum(n)[:-1])] == [v.ids for v in tok.encode_batch(texts, add_special_tokens=False)]
     assert enc.tok.sent < len(" ".join(texts)) / 3  # before, all distinct words
+
+
+class Sent:
+    """A tokenizer that keeps what it was given."""
+
+    def __init__(self, tok):
+        self.tok, self.texts = tok, []
+
+    def __getattr__(self, name):
+        return getattr(self.tok, name)
+
+    def encode(self, text, **more):
+        self.texts.append(text)
+        return self.tok.encode(text, **more)
+
+    def encode_batch_fast(self, texts, **more):
+        self.texts += texts
+        return self.tok.encode_batch_fast(texts, **more)
+
+
+def watched(name, style):
+    """An encoder, its tokenizer, and what goes to the whole pattern and to the model alone."""
+    enc = UnitEncoder(tokenizer_path(name), style)
+    tok = enc.tok
+    enc.tok, enc.pieces = Sent(tok), Sent(getattr(enc, "pieces", tok))
+    return enc, tok
+
+
+def syllables(n, seed):
+    r = random.Random(seed)
+    return sorted({"".join(r.choice(["on", "th", "ère", "ñu", "stra", "ß", "in"]) for _ in range(r.randint(2, 6))) for _ in range(n)})
+
+
+def test_byte_words_are_encoded_without_what_follows_them():
+    enc, tok = watched("byte_bpe_50k.json", "byte")
+    words = syllables(400, 3)
+    first = ["x " + " ".join(words), "\n".join(w.title() for w in words)]
+    texts = ["x " + ", ".join(words) + ".", "x " + ". ".join(words) + ",", ".\n".join(w.title() for w in words), "x 3,5 a.b", "x ,a .b ..c", ",", ".a", "x,\ny.", "a\x1eb c, d."]
+    want = lambda t: [v.ids for v in tok.encode_batch(t, add_special_tokens=False)]
+    ids, n = enc.encode(first)
+    assert [v.tolist() for v in np.split(ids, np.cumsum(n)[:-1])] == want(first)
+    assert sum(map(len, enc.tok.texts)) < 50  # words of letters need no pattern
+    enc.tok.texts, enc.pieces.texts = [], []
+    ids, n = enc.encode(texts)
+    assert [v.tolist() for v in np.split(ids, np.cumsum(n)[:-1])] == want(texts)
+    assert sum(map(len, enc.tok.texts + enc.pieces.texts)) < 100
+
+
+@pytest.mark.parametrize(("name", "style"), [("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")])
+def test_files_that_cut_otherwise_keep_whole_words(tmp_path, name, style):
+    from tokenizers import Tokenizer, normalizers
+
+    tok = Tokenizer.from_file(tokenizer_path(name))
+    tok.normalizer = normalizers.Lowercase() if style == "byte" else normalizers.Replace("a", "e")
+    tok.save(str(tmp_path / "t.json"))
+    enc = UnitEncoder(str(tmp_path / "t.json"), style)
+    texts = ["Hello, World. Again hello", "a.b Été, a"]
+    ids, _ = enc.encode(texts)
+    assert ids.tolist() == [i for t in texts for i in tok.encode(t, add_special_tokens=False).ids]
