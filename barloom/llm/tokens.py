@@ -37,6 +37,7 @@ _PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|\n|[^\na-z0
 _LETTERS = {"byte": "^[A-Za-zÀ-ÖØ-öø-ÿ]+$", "word": "^[a-zß-öø-ÿ]+$"}
 #: Behind a Latin letter or digit both patterns cut before a full stop or comma; this finds one elsewhere.
 _UNCUT = "(^|[^0-9A-Za-zÀ-ÖØ-öø-ÿ])[,.]"
+_NOT_LATIN = "[^\\x00-\\x7fÀ-ÖØ-öø-ÿ]"
 #: A file that cuts this otherwise than the pieces have it gets white-space units only.
 _PROBE = "Word, wordNext. Été, straßeÀ a.b l'Un I'LL 3,5 été\nOther. FIN"
 
@@ -242,9 +243,9 @@ class UnitEncoder:
         other: dict[int, np.ndarray] = {}
         whole: dict[int, np.ndarray] = {}
         rows = pa.array(texts, pa.large_string())
-        odd, uncut = (pc.match_substring_regex(rows, x).to_pylist() for x in (_ODD, _UNCUT))
+        odd, uncut, foreign = (pc.match_substring_regex(rows, x).to_pylist() for x in (_ODD, _UNCUT, _NOT_LATIN))
         if not self.by_piece:
-            uncut = [True] * len(texts)
+            uncut = foreign = [True] * len(texts)
         word = self.style == "word"
         at: list[int] = []
         plain: list[str] = []
@@ -253,7 +254,12 @@ class UnitEncoder:
                 whole[k] = np.array(self.tok.encode(t, add_special_tokens=False).ids, np.uint32)
                 continue
             if word:
+                # Space is dropped and case too, so words differ in neither, nor in what follows them.
                 spaced = " ".join(t.split()) if odd[k] else t.replace("\n", " ")
+                if not foreign[k]:
+                    spaced = spaced.lower()
+                if not uncut[k]:
+                    spaced = spaced.replace(",", " ,").replace(".", " .")
             else:
                 spaced = _BARE + t.replace("\n", f" {_BARE}\n {_BARE}")
                 # Words with single spaces or line breaks between them leave no empty part.

@@ -238,3 +238,18 @@ def test_files_that_cut_otherwise_keep_whole_words(tmp_path, name, style):
     texts = ["Hello, World. Again hello", "a.b Été, a"]
     ids, _ = enc.encode(texts)
     assert ids.tolist() == [i for t in texts for i in tok.encode(t, add_special_tokens=False).ids]
+
+
+def test_words_that_differ_in_case_or_what_follows_share_a_unit():
+    enc, tok = watched("word_bpe_49k.json", "word")
+    words = syllables(400, 5)
+    enc.encode(["Ab, cd. " + " ".join(words)])
+    units = enc.n_units
+    enc.tok.texts, enc.pieces.texts = [], []
+    texts = [", ".join(words) + ".", ". ".join(w.title() for w in words if w[0] != "ß") + ",", "\n".join(w.upper() for w in words if "ß" not in w)]
+    ids, n = enc.encode(texts)
+    assert [v.tolist() for v in np.split(ids, np.cumsum(n)[:-1])] == [v.ids for v in tok.encode_batch(texts, add_special_tokens=False)]
+    assert enc.n_units == units and enc.tok.texts == enc.pieces.texts == []
+    odd = ["a.b l'Un, I'LL. 3,5 x ,y .Z ..", ",", "ΑΣ, Σ. İx, É.", "é́, é. ß.", "a B,  c. \t d", "a\x1db, c."]
+    ids, n = enc.encode(odd)
+    assert [v.tolist() for v in np.split(ids, np.cumsum(n)[:-1])] == [v.ids for v in tok.encode_batch(odd, add_special_tokens=False)]
