@@ -70,7 +70,10 @@ def pack_words(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndar
         np.maximum(widest[:-more], widest[more:], out=widest[:-more])
         widest[-more:] = 255
         span = count
-        np.copyto(choice, s, where=widest <= bits)
+        fits = widest <= bits
+        if not fits.any():
+            break  # what follows takes more values of fewer bits
+        np.copyto(choice, s, where=fits)
     counts = np.array([c for c, _ in SELECTORS], np.int64)
     at = np.zeros(blocks, np.int64)
     rows = np.arange(blocks)
@@ -111,8 +114,8 @@ def unpack_words(words: np.ndarray, escapes: np.ndarray) -> np.ndarray:
             out[at[k]] = escapes[: len(k)]
         elif bits:
             mask = np.uint64((1 << bits) - 1)
-            for j in range(count):
-                out[at[k] + j] = (words[k] >> np.uint64(j * bits)) & mask
+            j = np.arange(count)
+            out[at[k][:, None] + j] = (words[k][:, None] >> (j * bits).astype(np.uint64)) & mask
     return out
 
 
@@ -155,9 +158,10 @@ def write_tokens(
         keys: list = []
         held: list[np.ndarray] = []
         sizes: list[np.ndarray] = []
+        total = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal page, before, keys, held, sizes
+            nonlocal page, before, keys, held, sizes, total
             ids, each = np.concatenate(held), np.concatenate(sizes)
             words, block_words, escapes = pack_words(ids)
             one = lambda v, t: pa.array([v], t)
@@ -170,18 +174,23 @@ def write_tokens(
                 ],
                 ["shard", "page", "first_id", "n_ids", "doc_ids", "doc_sizes", "block_words", "block_escapes", "escapes", "words"],
             )
-            page, before, keys, held, sizes = page + 1, before + len(ids), [], [], []
+            page, before, keys, held, sizes, total = page + 1, before + len(ids), [], [], [], 0
             return out
 
         for part in parts:
             ids_in, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
             for lo, hi in batches(texts):
                 ids, n = with_end(*enc.encode([t or "" for t in texts[lo:hi]]), end_id)
-                keys += ids_in[lo:hi]
-                held.append(ids)
-                sizes.append(n)
-                if sum(map(len, held)) >= PAGE_IDS:
-                    yield flush()
+                ends, at = np.concatenate([[0], np.cumsum(n)]), 0
+                while at < hi - lo:
+                    to = min(int(np.searchsorted(ends, ends[at] + PAGE_IDS - total)), hi - lo)  # the document that fills the page is its last
+                    keys += ids_in[lo + at : lo + to]
+                    held.append(ids[ends[at] : ends[to]])
+                    sizes.append(n[at:to])
+                    total += len(held[-1])
+                    at = to
+                    if total >= PAGE_IDS:
+                        yield flush()
         if keys:
             yield flush()
 

@@ -2,7 +2,8 @@
 
 Both vocabularies cut a text at white space before any merge, and between a letter and a full stop
 or comma, so a text is a row of *units* whose ids do not depend on their neighbours. Each distinct unit goes through the tokenizers library once
-per worker; texts are then put together from cached ids by array arithmetic. Where that reasoning
+per worker; texts are then put together from cached ids by array arithmetic. Known words are an Arrow array with sorted hashes, so a batch's
+distinct words are found by array searches, and what a hash finds is compared as text. Where that reasoning
 does not hold (special-token strings, control characters that only one of the two sides calls
 white space), the library gets the whole text. ``tests/llm`` holds both ways against each other.
 """
@@ -18,6 +19,7 @@ from itertools import chain, repeat
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 #: White space as in the Unicode property that the tokenizers' patterns use.
 _WS = "\t-\r \x85\xa0  -     　"
@@ -28,15 +30,14 @@ _ODD = f"[{_ODD_WS}{_BARE}]"
 _CHUNK = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 #: The control characters that only Python calls white space.
 _CONTROLS = "\x1c\x1d\x1e\x1f"
-#: Words of ASCII and Latin-1 letters: no normalization reaches over their characters.
-_LATIN = re.compile("[\x00-\x7fÀ-ÖØ-öø-ÿ]*")
 #: What the word tokenizer's pattern finds in such words in lower case, and the line breaks between words.
 _PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|\n|[^\na-z0-9ß-öø-ÿ]+")
 
 #: Words that are one piece by either pattern; the word tokenizer's are in lower case.
-_LETTERS = {"byte": "^[A-Za-zÀ-ÖØ-öø-ÿ]+$", "word": "^[a-zß-öø-ÿ]+$"}
+_LETTERS = {"byte": f"^{_BARE}?[A-Za-zÀ-ÖØ-öø-ÿ]+$", "word": "^[a-zß-öø-ÿ]+$"}
 #: Behind a Latin letter or digit both patterns cut before a full stop or comma; this finds one elsewhere.
 _UNCUT = "(^|[^0-9A-Za-zÀ-ÖØ-öø-ÿ])[,.]"
+#: In words of ASCII and Latin-1 letters no normalization reaches over their characters; this finds others.
 _NOT_LATIN = "[^\\x00-\\x7fÀ-ÖØ-öø-ÿ]"
 #: A file that cuts this otherwise than the pieces have it gets white-space units only.
 _PROBE = "Word, wordNext. Été, straßeÀ a.b l'Un I'LL 3,5 été\nOther. FIN"
@@ -51,7 +52,9 @@ def _byte_characters() -> str:
 _BYTES = _byte_characters()
 
 #: Units beyond which those that only one batch used are dropped.
-CACHE_UNITS = 600_000
+CACHE_UNITS = 1_200_000
+
+_hash = xxhash.xxh3_64_intdigest
 
 
 def tokenizer_path(name: str) -> str:
@@ -70,7 +73,9 @@ class UnitEncoder:
 
         self.tok, self.style = Tokenizer.from_file(path), style
         # The same vocabulary and merges for what is one piece already: no pattern, no normalizing.
-        self.pieces = Tokenizer(self.tok.model)
+        # Each word goes there once, so a cache of the model's own would only cost time.
+        self.pieces = Tokenizer(Tokenizer.from_file(path).model)
+        self.pieces.model._resize_cache(0)
         self.pieces.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         if style == "byte":
             size = self.tok.get_vocab_size()
@@ -85,16 +90,21 @@ class UnitEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.after_space: dict[str, int] = {}
+        self.words = pa.array([], pa.large_string())  # as they stand behind a space, or behind nothing where marked so
+        self.word_units = np.zeros(0, np.int32)
+        self.hashes, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # the words' hashes in order, and the word of each
         self.exact: dict[str, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
-        self.at = np.zeros(1 << 14, np.int64)
-        self.size = np.zeros(1 << 14, np.int64)
+        self.at = np.zeros(1 << 14, np.int32)
+        self.size = np.zeros(1 << 14, np.int32)
         self.born = np.zeros(1 << 14, np.int32)  # the batch that brought a unit, and the last one that used it
         self.used = np.zeros(1 << 14, np.int32)
         self.n_units = self.n_flat = self.batch = 0
-        if self.style == "word":
-            self.after_space[""] = self._add(np.zeros(0, np.uint32), np.zeros(1, np.int64))  # between two spaces
+
+    @property
+    def after_space(self) -> list[str]:
+        """The known words."""
+        return self.words.to_pylist()
 
     def _add(self, flat: np.ndarray, sizes: np.ndarray) -> int:
         """Store the ids of new units, one behind the other; returns the first unit's number."""
@@ -120,16 +130,18 @@ class UnitEncoder:
         size, at, used = self.size[stay], self.at[stay], self.used[stay]
         total = int(size.sum())
         flat = self.flat[np.repeat(at - (np.cumsum(size) - size), size) + np.arange(total)]
-        number = np.full(n, -1, np.int64)
+        number = np.full(n, -1, np.int32)
         number[stay] = np.arange(len(stay))
-        number = number.tolist()
-        spaced, exact, batch = self.after_space, self.exact, self.batch
+        words, units, hashes, places, exact, batch = self.words, number[self.word_units], self.hashes, self.places, self.exact, self.batch
         self._clear()
-        more = self._add(flat, size)
-        self.born[more : self.n_units] = self.used[more : self.n_units] = used
+        self._add(flat, size)
+        self.born[: self.n_units] = self.used[: self.n_units] = used
         self.batch = batch
-        fresh = lambda table: {u: more + number[k] for u, k in table.items() if number[k] >= 0}
-        self.after_space, self.exact = fresh(spaced) | self.after_space, fresh(exact) | self.exact
+        held = units >= 0
+        self.words, self.word_units = words.filter(pa.array(held)), units[held]
+        self.hashes, self.places = hashes[held[places]], (np.cumsum(held, dtype=np.int32) - 1)[places[held[places]]]
+        number = number.tolist()
+        self.exact = {u: number[k] for u, k in exact.items() if number[k] >= 0}
 
     def _encode_each(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = [e.ids for e in self.tok.encode_batch_fast(units, add_special_tokens=False)]
@@ -142,34 +154,52 @@ class UnitEncoder:
             first = self._add(*self._encode_each(new))
             self.exact.update(zip(new, range(first, first + len(new)), strict=True))
 
-    def _learn_spaced(self, new: list[str]) -> None:
-        """``new`` are distinct words, learned as they stand behind a space, or behind nothing where marked so."""
+    def _learn_spaced(self, new: pa.Array) -> np.ndarray:
+        """The units of distinct new words, learned as they stand behind a space, or behind nothing where marked so."""
+        matches = lambda x: pc.match_substring_regex(new, x).to_numpy(zero_copy_only=False)
+        letters = matches(_LETTERS[self.style]) if self.by_piece else np.zeros(len(new), bool)
         if self.style == "byte":
-            bare = [u[1:] for u in new if u[0] == _BARE]
-            for words, encode in zip(self._by_letters(bare), (self._encode_bare, self._encode_each), strict=True):
-                if words:
-                    self._store(self.after_space, [_BARE + u for u in words], *encode(words))
-            if bare:
-                new = [u for u in new if u[0] != _BARE]
-        letters, new = self._by_letters(new)
-        if letters:
-            self._store(self.after_space, letters, *self._encode_letters(letters))
-        if new and self.style == "byte":
-            self._store(self.after_space, new, *self._encode_spaced(new))
-        elif new:
-            plain = [u for u in new if _LATIN.fullmatch(u)] if self.by_piece else []
-            if plain:
-                self._store(self.after_space, plain, *self._from_pieces(plain))
-                new = [u for u in new if not _LATIN.fullmatch(u)] if len(plain) < len(new) else []
-            if new:
-                self._store(self.after_space, new, *self._encode_joined(new))
-
-    def _by_letters(self, words: list[str]) -> tuple[list[str], list[str]]:
-        """Those of nothing but Latin letters, which are one piece each, and the others."""
-        if not self.by_piece:
-            return [], words
-        fit = pc.match_substring_regex(pa.array(words, pa.large_string()), _LETTERS[self.style]).to_pylist()
-        return [w for w, x in zip(words, fit, strict=True) if x], [w for w, x in zip(words, fit, strict=True) if not x]
+            bare = pc.starts_with(new, _BARE).to_numpy(zero_copy_only=False)
+            ways = [
+                (letters & ~bare, 0, self._encode_letters), (~letters & ~bare, 0, self._encode_spaced),
+                (letters & bare, 1, self._encode_bare), (~letters & bare, 1, self._encode_each),
+            ]
+        else:
+            plain = ~letters & ~matches(_NOT_LATIN) if self.by_piece else letters
+            ways = [(letters, 0, self._encode_letters), (plain, 0, self._from_pieces), (~letters & ~plain, 0, self._encode_joined)]
+        words = new.to_numpy(zero_copy_only=False)
+        units = np.zeros(len(new), np.int32)
+        for held, mark, encode in ways:
+            if held.any():
+                group = words[held].tolist()
+                ids, sizes = encode([w[mark:] for w in group] if mark else group)
+                units[held] = self._add(ids, sizes) + np.arange(len(group))
+        return units
+
+    def _spaced_units(self, parts: pa.Array) -> np.ndarray:
+        """The unit of each word, the new ones learned."""
+        coded = parts.dictionary_encode()
+        kinds = coded.dictionary
+        hashes = np.fromiter(map(_hash, kinds.to_numpy(zero_copy_only=False)), np.uint64, len(kinds))
+        order = np.argsort(hashes)
+        units = np.full(len(kinds), -1, np.int32)
+        known = len(self.words)
+        if known:
+            at = np.minimum(np.searchsorted(self.hashes, hashes[order]), known - 1)
+            found = self.hashes[at] == hashes[order]
+            kind, place = order[found], self.places[at[found]]
+            same = pc.equal(kinds.take(pa.array(kind)), self.words.take(pa.array(place))).to_numpy(zero_copy_only=False)
+            units[kind[same]] = self.word_units[place[same]]
+        new = order[units[order] < 0]
+        if len(new):
+            fresh = kinds.take(pa.array(new))
+            units[new] = self._learn_spaced(fresh)
+            self.words = pa.concat_arrays([self.words, fresh])
+            self.word_units = np.concatenate([self.word_units, units[new]])
+            spots = np.searchsorted(self.hashes, hashes[new])
+            self.hashes = np.insert(self.hashes, spots, hashes[new])
+            self.places = np.insert(self.places, spots, np.arange(known, known + len(new), dtype=np.int32))
+        return units[coded.indices.to_numpy()]
 
     def _piece_ids(self, joined: str) -> np.ndarray:
         return np.array(self.pieces.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
@@ -243,10 +273,11 @@ class UnitEncoder:
         other: dict[int, np.ndarray] = {}
         whole: dict[int, np.ndarray] = {}
         rows = pa.array(texts, pa.large_string())
-        odd, uncut, foreign = (pc.match_substring_regex(rows, x).to_pylist() for x in (_ODD, _UNCUT, _NOT_LATIN))
+        word = self.style == "word"
+        odd, uncut = (pc.match_substring_regex(rows, x).to_pylist() for x in (_ODD, _UNCUT))
+        foreign = pc.match_substring_regex(rows, _NOT_LATIN).to_pylist() if word else []
         if not self.by_piece:
             uncut = foreign = [True] * len(texts)
-        word = self.style == "word"
         at: list[int] = []
         plain: list[str] = []
         for k, t in enumerate(texts):
@@ -282,15 +313,7 @@ class UnitEncoder:
         if self.n_units > CACHE_UNITS:
             self._evict()
         counts, parts, other, whole = self._split(texts)
-        coded = parts.dictionary_encode()
-        code, known = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # each distinct word is looked up once
-        units = self._lookup(self.after_space, known)[code] if len(code) else np.zeros(0, np.int64)
-        miss = units < 0
-        if miss.any():
-            new, place = np.unique(code[miss], return_inverse=True)
-            words = [known[i] for i in new]
-            self._learn_spaced(words)
-            units[miss] = self._lookup(self.after_space, words)[place]
+        units = self._spaced_units(parts)
         if other:
             pieces, at = [], 0
             for k in range(len(texts)):
@@ -303,9 +326,10 @@ class UnitEncoder:
             units = np.concatenate(pieces) if pieces else units
         self.used[units] = self.batch
         size = self.size[units]
-        total = int(size.sum())
-        ids = self.flat[np.repeat(self.at[units] - (np.cumsum(size) - size), size) + np.arange(total)]
-        ends = np.concatenate([[0], np.cumsum(size)])[np.cumsum(counts)]
+        upto = np.cumsum(size, dtype=np.int64)
+        total = int(upto[-1]) if len(upto) else 0
+        ids = self.flat[np.repeat((self.at[units] - (upto - size)).astype(np.int32), size) + np.arange(total, dtype=np.int32)]
+        ends = np.concatenate([[0], upto])[np.cumsum(counts)]
         lengths = np.diff(np.concatenate([[0], ends]))
         if whole:
             parts = np.split(ids, np.cumsum(lengths)[:-1])
@@ -334,7 +358,7 @@ def crc(ids: np.ndarray) -> int:
     return zlib.crc32(np.ascontiguousarray(ids, "<u4").tobytes())
 
 
-def batches(texts: list[str | None], chars: int = 2_000_000):
+def batches(texts: list[str | None], chars: int = 4_000_000):
     """Slices of at most about ``chars`` characters (one text at least), null as empty."""
     lo = size = 0
     for k, t in enumerate(texts):

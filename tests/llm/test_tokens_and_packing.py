@@ -253,3 +253,33 @@ def test_words_that_differ_in_case_or_what_follows_share_a_unit():
     odd = ["a.b l'Un, I'LL. 3,5 x ,y .Z ..", ",", "ΑΣ, Σ. İx, É.", "é́, é. ß.", "a B,  c. \t d", "a\x1db, c."]
     ids, n = enc.encode(odd)
     assert [v.tolist() for v in np.split(ids, np.cumsum(n)[:-1])] == [v.ids for v in tok.encode_batch(odd, add_special_tokens=False)]
+
+
+def test_pages_are_cut_within_a_batch_of_texts(spark, make_docs, monkeypatch):
+    texts = [f"some words of text number {k}" for k in range(300)] + ["long " * 900, ""]
+    monkeypatch.setattr(token_files, "PAGE_IDS", 500)
+    path = token_files.write_tokens(make_docs(list(enumerate(texts))), f"{shared_dir(spark)}/p", shards=1)
+    pages = spark.read.parquet(path).orderBy("page").collect()
+    assert len(pages) > 4 and all(sum(p.doc_sizes[:-1]) < 500 for p in pages)  # before, a page for all texts of a batch
+    rows = token_files.read_tokens(spark, path).orderBy("start").collect()
+    tok = UnitEncoder(tokenizer_path("byte_bpe_50k.json"), "byte").tok
+    assert [(r.doc_id, list(r.ids)) for r in rows] == [(k, [*tok.encode(t, add_special_tokens=False).ids, 0]) for k, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize(("name", "style"), [("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")])
+def test_known_words_are_compared_as_text_and_are_no_python_objects(monkeypatch, name, style):
+    import tracemalloc
+
+    words = syllables(30000, 7)
+    enc = UnitEncoder(tokenizer_path(name), style)
+    tracemalloc.start()
+    enc.encode(["x " + " ".join(words)])
+    assert tracemalloc.get_traced_memory()[0] < 110 * len(words)  # before, a string and a number of each word besides: over 150
+    tracemalloc.stop()
+    monkeypatch.setattr(tokens, "_hash", len)  # nearly all words share their hash with others
+    monkeypatch.setattr(tokens, "CACHE_UNITS", 300)
+    enc = UnitEncoder(tokenizer_path(name), style)
+    for lo in (0, 100, 50, 0, 200, 0):
+        texts = ["x " + " ".join(words[lo : lo + 150]), "\n".join(words[lo : lo + 20])]
+        ids, n = enc.encode(texts)
+        assert [v.tolist() for v in np.split(ids, np.cumsum(n)[:-1])] == [v.ids for v in enc.tok.encode_batch(texts, add_special_tokens=False)]
