@@ -16,9 +16,11 @@ size that every shard gets. What passes is counted exactly, so a full filter cos
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -37,39 +39,43 @@ POSITIONS = 1 << 20
 MEETINGS = 1 << 18
 #: The size that a filter of hashes has at most: 16 MB. Every Python worker holds one of words and one of pairs.
 FILTER_BITS = 1 << 27
+#: Bytes of texts that are cut into words at once, about; one text at least.
+TEXT_BYTES = 1 << 22
 #: Rows that a shard hands over at once.
 ROWS = 1 << 16
 WIDTH = 16
 
 _END = b"\xff"  # no byte of UTF-8
-_PIECES = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", _END * 10)
-
-
-def pieces_and_words(text: str | None) -> list[bytes]:
-    """The words of a text in order, A-Z in lower case, with an end mark behind each piece."""
-    return (text or "").encode("utf-8", "surrogatepass").lower().translate(_PIECES).replace(_END, b" \xff ").split() + [_END]
-
-
-class _Numbers(dict):
-    """Words to numbers in order of appearance, counted over all parts of a shard; an end is 0."""
-
-    def __init__(self, part: str, seen: list):
-        super().__init__({_END: 0})
-        self.part, self.seen = part, seen
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = k = len(self.seen)
-        self.seen.append((self.part, word))
-        return k
+#: A-Z in lower case, every end of a piece as an end mark, the tab as a blank.
+_FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + _END * 10 + b" ")
+
+
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts in a row as bytes, A-Z in lower case, with an end mark behind each piece, and how many
+    words and marks each text has."""
+    rows = pc.binary_join_element_wise(texts.cast(pa.binary()).fill_null(b""), pa.scalar(b"", pa.binary()), pa.scalar(_END, pa.binary()))
+    _, begins, data = rows.buffers()
+    begins = np.frombuffer(begins, np.int32, len(rows) + 1)
+    raw = np.frombuffer(data.to_pybytes()[: begins[-1]].translate(_FOLD), np.uint8)
+    full, first = raw != 32, raw == 255
+    # An end mark stands for itself; a word begins behind a blank, an end mark or nothing.
+    first[1:] |= full[1:] & (first[:-1] | ~full[:-1])
+    first[:1] |= full[:1]
+    raw = raw[full]
+    offsets = np.append(np.flatnonzero(first[full]), len(raw)).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
+    return words, np.add.reduceat(first, begins[:-1], dtype=np.int64)
 
 
 def bitmaps_of(at: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For words 1 to ``n_words`` - 1 in a sequence of word numbers: blocks and their bits by word, and where
     each word's begin."""
-    pos = np.argsort(at, kind="stable").astype(np.uint32)
-    word = at[pos]
-    ends = np.searchsorted(word, 1)
-    word, pos = word[ends:], pos[ends:]
+    key = at.astype(np.int64) << 32
+    key |= np.arange(len(at))
+    key.sort()
+    key = key[np.searchsorted(key, 1 << 32) :]
+    word, pos = (key >> 32).astype(np.int32), key.astype(np.uint32)
+    del key
     block = pos // np.uint32(WIDTH)
     first = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (block[1:] != block[:-1])]) if len(word) else np.zeros(0, np.int64)
     bits = np.bitwise_or.reduceat(np.left_shift(np.uint16(1), (pos % np.uint32(WIDTH)).astype(np.uint16)), first) if len(word) else np.zeros(0, np.uint16)
@@ -103,9 +109,9 @@ def word_bitmaps(docs: DataFrame, text_col: str = "text", part_col: str = "lang"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId() << 32
-        seen: list = [None]
-        numbers: dict[str, _Numbers] = {}
-        held: list[np.ndarray] = []
+        names: dict[str, int] = {}
+        held: list[pa.Array] = []
+        owners: list[np.ndarray] = []
         n = 0
 
         def one(values: pa.Array) -> pa.Array:
@@ -113,30 +119,41 @@ def word_bitmaps(docs: DataFrame, text_col: str = "text", part_col: str = "lang"
 
         def close() -> pa.RecordBatch:
             nonlocal shard, n
-            at = np.concatenate(held)
+            coded = pa.chunked_array(held).dictionary_encode().chunks
+            distinct = coded[0].dictionary
+            code = np.concatenate([c.indices.to_numpy() for c in coded])
+            key = np.concatenate(owners).astype(np.int64) * len(distinct) + code
+            key[code == pc.index(distinct, pa.scalar(_END, pa.binary())).as_py()] = -1
             held.clear()
-            blocks, bits, starts = bitmaps_of(at, len(seen))
-            counts = np.bincount(at, minlength=len(seen))[1:].astype(np.int64)
-            parts, words = zip(*seen[1:], strict=True) if len(seen) > 1 else ((), ())
-            ids = np.fromiter((xxhash.xxh3_64_intdigest(p.encode() + _END + w, seed) for p, w in seen[1:]), np.uint64, len(words)).view(np.int64)
-            lists = [pa.array(ids), pa.array(counts), pa.array(parts, pa.string()), pa.array(words, pa.binary()).cast(pa.string())]
+            owners.clear()
+            # Numbers of the words of all parts; an end is 0.
+            kinds, at = np.unique(key, return_inverse=True)
+            parts, words = pa.array(names, pa.string()).take(pa.array(kinds[1:] // len(distinct))), distinct.take(pa.array(kinds[1:] % len(distinct)))
+            blocks, bits, starts = bitmaps_of(at, len(kinds))
+            counts = np.bincount(at, minlength=len(kinds))[1:].astype(np.int64)
+            named = pc.binary_join_element_wise(parts.cast(pa.binary()), words, pa.scalar(_END, pa.binary())).to_numpy(zero_copy_only=False)
+            ids = np.fromiter(map(xxhash.xxh3_64_intdigest, named, repeat(seed)), np.uint64, len(named)).view(np.int64)
+            lists = [pa.array(ids), pa.array(counts), parts, words.cast(pa.string())]
             data, size = packed(np.diff(starts), blocks, bits)
             out = pa.RecordBatch.from_arrays([pa.array([shard]), *map(one, lists), pa.array([data], pa.binary()), pa.array([size])], [c.split()[0] for c in BITMAPS.split(", ")])
-            numbers.clear()
-            seen[:] = [None]
             shard, n = shard + 1, 0
             return out
 
         for batch in batches:
-            for part, text in zip(batch.column(0), batch.column(1), strict=True):
-                words = pieces_and_words(text.as_py())
-                p = part.as_py()
-                if p not in numbers:
-                    numbers[p] = _Numbers(p, seen)
-                held.append(np.fromiter(map(numbers[p].__getitem__, words), np.int32, len(words)))
-                n += len(words)
-                if n >= positions:
-                    yield close()
+            step = max(1, batch.num_rows * TEXT_BYTES // max(batch.nbytes, 1))
+            for lo in range(0, batch.num_rows, step):
+                some = batch.slice(lo, step)
+                words, each = words_of(some.column(1))
+                part = np.fromiter((names.setdefault(p, len(names)) for p in some.column(0).to_pylist()), np.int32, some.num_rows)
+                upto, at = np.concatenate([[0], np.cumsum(each)]), 0
+                while at < some.num_rows:
+                    to = min(int(np.searchsorted(upto, upto[at] + positions - n)), some.num_rows)  # the document that fills a shard is its last
+                    held.append(words.slice(upto[at], upto[to] - upto[at]))
+                    owners.append(np.repeat(part[at:to], each[at:to]))
+                    n += len(held[-1])
+                    at = to
+                    if n >= positions:
+                        yield close()
         if held:
             yield close()
 
@@ -149,7 +166,7 @@ class Shard:
     def __init__(self, ids: np.ndarray, word: np.ndarray, block: np.ndarray, bits: np.ndarray):
         """``ids``: numbers of the words; an entry is (index of its word, block, bits), entries come by word."""
         self.ids, self.word, self.block, self.bits = ids, word, block, bits
-        order = np.argsort(block, kind="stable")
+        order = np.argsort(block)
         self.block_word, self.block_bits = word[order], bits[order]
         self.first = np.searchsorted(block[order], np.arange((int(block.max()) if len(block) else 0) + 3))
 

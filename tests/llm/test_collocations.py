@@ -127,3 +127,27 @@ def test_what_a_worker_holds():
     n, mb = peak(lambda: sum(len(x[0]) for x in C.phrases_of(shard, full)))
     assert n > 10**6 and mb < 48  # 55 with twice the meetings
     assert C.FILTER_BITS <= 1 << 27  # two of 32 MB each before
+
+
+def test_words_are_cut_as_arrays(spark, monkeypatch):
+    texts = [None, "", " ", "a", "A b", "\ta  b\t", "a.b", "..", " . ", "É é, ÀB\x1cc", "x\u00a0y z", "a\x0b\x0c\r\nb!", "日本 語;Z", ",a", "a,"]
+    r = random.Random(3)
+    texts += ["".join(r.choice("aB .,\t\né日") for _ in range(r.randint(0, 12))) for _ in range(300)]
+    want = []
+    for t in texts:
+        pieces = re.split("[.,;:!?\x0a-\x0d]", (t or "").translate({c: c + 32 for c in range(65, 91)}))
+        want.append([x for p in pieces for x in [*(w.encode() for w in re.findall("[^\x20\x09]+", p)), b"\xff"]])
+    rows = pa.array(["before", *texts, "behind"], pa.string())[1:-1]
+    words, n = C.words_of(rows)
+    words = words.to_pylist()
+    assert [words[e - k : e] for k, e in zip(n.tolist(), np.cumsum(n).tolist())] == want and len(words) == n.sum()
+    long = ["one two three four " * 50_000]
+    C.words_of(pa.array(long))
+    tracemalloc.start()
+    held = C.words_of(pa.array(long))
+    assert tracemalloc.get_traced_memory()[0] < 16 * int(held[1].sum())  # before, a Python object for each word: over 40
+    tracemalloc.stop()
+    monkeypatch.setattr(C, "TEXT_BYTES", 40)
+    docs = [(k, " ".join(r.choice(["x", "Y", "zz", "w.", ",v"]) for _ in range(r.randint(0, 30))), r.choice(["en", None, "und", "de"])) for k in range(60)]
+    frame = spark.createDataFrame([(*d, "x", 1, "p") for d in docs], SCHEMA)
+    assert got(C.collocations(frame, support=2, positions=70)) == brute(docs, 2)
